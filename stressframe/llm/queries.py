@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules
+from . import html_extraction, language_id, quality_rules, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -21,8 +21,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+#: Rules of the registered URL query: (verdict, host, path).
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.fit(url_filter.labelled_urls())
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, weights).select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op8_quality_rules)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extraction.train(html_extraction.labelled_pages())
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"), model)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op6_url_filter, op8_quality_rules, op9_html_extraction)}
