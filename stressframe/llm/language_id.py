@@ -155,6 +155,7 @@ def training_sample(labelled: DataFrame, per_label: int = 256, max_rows: int = 4
     ``labelled`` has text and lang. The rank is cut within tasks before any shuffle.
     """
     rows = labelled.where("lang is not null and text is not null").where(F.length("text") <= max_chars).select("lang", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("h2", F.lit(64))).orderBy("h", "h2"))).where(F.col("rank") <= per_label).drop("rank")
     first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))).where(F.col("rank") <= per_label)
     picked = first.orderBy("rank", "lang").limit(max_rows).select("lang", "h", "rank")
     keyed = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
