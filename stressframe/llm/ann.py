@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Parameters: floats of the training sample at most, its vectors at most, cells at most, entries of a bundle of cells, threshold of the score-aware loss.
-SAMPLE_FLOATS, SAMPLE_VECTORS, MAX_CELLS, BLOCK = 4_000_000, 20_000, 1024, 4096
+SAMPLE_FLOATS, SAMPLE_VECTORS, MAX_CELLS, BLOCK = 4_000_000, 20_000, 1024, 16_384
 THRESHOLD = 0.2
 
 
