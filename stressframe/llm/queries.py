@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extraction, language_id, packing, quality_rules, url_filter
+from . import ann, html_extraction, language_id, near_dedup, packing, quality_rules, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, weights).select("page_id", "host", "path", "rule", "verdict", "probability")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op6_url_filter, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours)}
