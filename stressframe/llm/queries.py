@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extraction, language_id, near_dedup, packing, quality_rules, substring_dedup, url_filter
+from . import ann, html_extraction, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.realise(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_source_mixing"] = mixing.SQL
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
 
@@ -62,4 +69,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op4_suffix_array_dedup, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_best_fit_packing, op4_suffix_array_dedup, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours)}
