@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,13 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def utf8_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices of at most ``rows`` rows."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+#: Slots of ``split_by``; this bounds what it broadcasts.
+SLOTS = 1 << 20
+
 
+def split_by(df: DataFrame, key: Column, keys: DataFrame, of: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` can't be among ``keys``, the other rows).
 
-def unique_ids(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with rows of null ``key`` left out."""
-    return df.where(F.col(key).isNotNull())
+    Keys are hashed to SLOTS slots, and the slots in use are broadcast: rows of the first
+    part need no shuffle to be told from the others, of which a few are not among the keys.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = F.broadcast(keys.select(slot(F.col(of)).alias("__slot")).distinct())  # SLOTS rows at most
+    match = slot(key) == F.col("__slot")
+    return df.join(slots, match, "left_anti"), df.join(slots, match, "left_semi")

@@ -140,6 +140,23 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(filled, np.sqrt(np.clip(total, 0, 1)), 0)
 
 
+def _collected(found: DataFrame) -> dict:
+    """The references by language; MAX_REFERENCES + 1 at most."""
+    return {r["lang"]: (np.array(r["characters_reference"]), np.array(r["words_reference"])) for r in references(found).collect()}
+
+
+def verdicts(known: dict, lang: list, n_words: np.ndarray, n_repeat_words: np.ndarray, characters: list, words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """kept, base_failed, and the two distances (nan below the guard on length) of some texts."""
+    failed = (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
+    if not len(lang):
+        return failed, failed, np.zeros(0), np.zeros(0)
+    own = [known.get(x, known[None]) for x in lang]
+    far = []
+    for i, (counts, size, least) in enumerate(((np.stack(characters), np.stack(characters).sum(1), MIN_CHARACTERS), (np.stack(words), n_words, MIN_WORDS))):
+        far.append(np.where(size >= least, distances(counts, np.stack([x[i] for x in own])), np.nan))
+    return ~failed & ~(far[0] > MAX_CHARACTER_DISTANCE) & ~(far[1] > MAX_WORD_DISTANCE), failed, far[0], far[1]
+
+
 def judge(documents: DataFrame) -> DataFrame:
     """Counts and verdict for every row of ``documents`` (doc_id, text, lang).
 
@@ -150,22 +167,33 @@ def judge(documents: DataFrame) -> DataFrame:
     one, and other columns are ignored.
     """
     found = materialize(features(documents))
-    known = {r["lang"]: (np.array(r["characters_reference"]), np.array(r["words_reference"])) for r in references(found).collect()}  # MAX_REFERENCES + 1 rows at most
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    known = _collected(found)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                characters, words = np.stack(frame["characters"]), np.stack(frame["words"])
-                own = [known.get(lang, known[None]) for lang in frame["lang"]]
-                far = distances(characters, np.stack([x[0] for x in own])), distances(words, np.stack([x[1] for x in own]))
-                far = np.where(characters.sum(1) >= MIN_CHARACTERS, far[0], np.nan), np.where(frame["n_words"] >= MIN_WORDS, far[1], np.nan)
-                out = frame[["doc_id", *counts, "base_failed"]].copy()
-                out["kept"] = ~frame["base_failed"] & ~(far[0] > MAX_CHARACTER_DISTANCE) & ~(far[1] > MAX_WORD_DISTANCE)
-                out["character_distance"], out["word_distance"] = far
-                yield out
+                kept, failed, character, word = verdicts(known, list(frame["lang"]), frame["n_words"].to_numpy(), frame["n_repeat_words"].to_numpy(), list(frame["characters"]), list(frame["words"]))
+                out = frame[["doc_id", *counts]].copy()
+                yield out.assign(base_failed=failed, kept=kept, character_distance=character, word_distance=word)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, character_distance double, word_distance double"
-    return found.withColumn("base_failed", base).mapInPandas(run, schema)
+    return found.mapInPandas(run, schema)
+
+
+def keep(documents: DataFrame) -> DataFrame:
+    """Rows of ``documents`` that ``judge`` keeps; columns are kept.
+
+    The references are gathered first, in a pass of their own; each row is then measured
+    and judged where it stands, so texts are not moved. Cases are as in ``judge``.
+    """
+    known = _collected(features(documents))
+    held = documents.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("boolean")
+    def fine(text: pd.Series, lang: pd.Series) -> pd.Series:
+        found = [measure(t) for t in text]
+        return pd.Series(verdicts(held.value, list(lang), np.array([f[0] for f in found]), np.array([f[4] for f in found]), [f[5] for f in found], [f[6] for f in found])[0])
+
+    return documents.where(fine("text", "lang"))

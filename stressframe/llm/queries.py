@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extraction, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, url_filter
+from . import ann, html_extraction, language_id, license_scan, mixing, near_dedup, packing, quality_rules, substring_dedup, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.measure(table(spark, sf_dir, "documents"), 200)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; a source is read as a tree with 64 consecutive ids in a directory."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), path)
+
+
 #: Rules of the registered URL query: (verdict, host, path).
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -69,4 +75,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_best_fit_packing, op4_suffix_array_dedup, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_best_fit_packing, op4_suffix_array_dedup, op5_license_scan, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours)}

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, split_by
 
 LENGTH = 200
-#: Parameters: anchors found more often than this are counted window by window; slots of the filter of texts that are dealt out.
-OFTEN, SLOTS = 20_000, 1 << 20
+#: Parameters: anchors found more often than this are counted window by window.
+OFTEN = 20_000
 
 _RNG = np.random.default_rng(13)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,9 +214,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     counts = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     seeds = each.join(counts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "place", "n")).alias("seeds"))
     seeds = materialize(seeds.join(known.select("key", "digest", "of"), "key"))
-    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("slot")
-    slots = seeds.select(slot).distinct()  # SLOTS rows at most
-    own = documents.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("doc_id").alias("of"), "text").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+    texts_of = documents.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("doc_id").alias("of"), "text")
+    own = split_by(texts_of, F.col("digest"), seeds, "digest")[1]
     held = own.join(seeds.withColumnsRenamed({"digest": "d", "of": "o"}), (F.col("digest") == F.col("d")) & F.col("of").eqNullSafe(F.col("o")))
     flanks = held.select("key", "text", F.col("seeds.h").alias("hashes"), F.col("seeds.place").alias("places"), F.col("seeds.n").alias("counts")).mapInArrow(_flanks(length), "h long, key long, place long, left binary, right binary, n long")
     ordered = flanks.where(F.col("n") <= OFTEN).repartition("h").sortWithinPartitions("h", "key", "place").select("h", "key", "place", "left", "right")
@@ -300,6 +299,8 @@ def remove(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit("").alias("kept")).distinct()
     changed = _results(own, spans, True).select("digest", "kept").union(whole)
-    found = documents.withColumn("__digest", digest).join(changed, F.col("__digest") == F.col("digest"), "left")
+    changed = materialize(changed)
+    clear, rest = split_by(documents.withColumn("__digest", digest), F.col("__digest"), changed, "digest")
+    found = rest.join(changed, F.col("__digest") == F.col("digest"), "left")
     new = {"text": F.coalesce("kept", "text")} | ({"n_chars": F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
-    return found.withColumns(new).select(*documents.columns)
+    return clear.select(*documents.columns).union(found.withColumns(new).select(*documents.columns))
