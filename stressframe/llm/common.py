@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,8 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gc.collect()
+    jvm.System.gc()  # Spark drops the shuffle files of plans that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 

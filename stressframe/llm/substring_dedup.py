@@ -4,16 +4,19 @@ Suffixes are ordered only through the first ``length`` bytes, most significant d
 suffixes that stay together through all of them start the same passage, and nothing beyond
 is ever compared. The passes are over digits of very uneven width:
 
-1. The first digit of a suffix is an anchor: the least hash of any ``length // 2`` bytes
-   within the first ``length``, which depends on these bytes alone. A text has about one
-   anchor for every quarter of ``length``, so only anchors are dealt out, not suffixes; those
+1. The first digit of a suffix is an anchor: the least hash of any ``length // 4`` bytes
+   within the first ``length``, which depends on these bytes alone. A text has two or
+   three anchors in ``length`` bytes, so only anchors are dealt out, not suffixes; those
    found once are done, as every suffix under them is.
 2. Of the anchors left, the next digits are the bytes to the right and to the left of the
    anchor, up to ``length`` in all. All suffixes of one anchor are ordered together, a digit
    at a time by running hashes of 64 bits; groups of two or more are repeated windows.
 
-Anchors found very often are not gathered in one task: their windows are counted one by one
-by a grouped count. Equal texts are sorted once and are removed whole.
+Groups too large for one task are not gathered: their suffixes get another digit first. Those
+with more bytes to the left of the anchor part by the bytes on that side, the others by those
+on the right, and so on by halves; most part at once, and a group that is left when there is
+one suffix in each text is a repeated window as it is, known by its count. Equal texts are
+sorted once and are removed whole.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, split_by
 
 LENGTH = 200
-#: Parameters: anchors found more often than this are counted window by window.
+#: Parameter: groups of more places than this get another digit before they are gathered.
 OFTEN = 20_000
 
 _RNG = np.random.default_rng(13)
@@ -61,9 +64,14 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return op(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def digit(length: int) -> int:
+    """Bytes of an anchor."""
+    return max(1, length // 4)
+
+
 def anchors(raw: np.ndarray, length: int = LENGTH, piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of each anchor of a text's bytes: strings of half the length whose hash is least in some window of ``length`` bytes."""
-    k = length // 2
+    """Hash and place of each anchor of a text's bytes: strings of a quarter of the length whose hash is least in some window of ``length`` bytes."""
+    k = digit(length)
     found, step = [], max(piece, 2 * length)
     for start in range(0, max(1, len(raw) - length + 1), step):
         part = raw[start : start + step + length - 1]
@@ -114,17 +122,17 @@ def flank_hashes(parts: list[bytes], width: int, flip: bool) -> tuple[np.ndarray
     return _stir(out), n
 
 
-def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place of an anchor the largest and least number of bytes to its left with which a window is repeated; -1 for none.
 
-    ``group`` tells anchors apart. One digit after the other: windows of ``s`` bytes to the left.
+    ``group`` tells groups apart; only windows with ``low`` to ``high`` bytes to the left count.
     """
-    width = length - length // 2
+    width = length - digit(length)
     a, have_a = flank_hashes(left, width, True)
     b, have_b = flank_hashes(right, width, False)
     most, least = np.full(len(group), -1, np.int64), np.full(len(group), -1, np.int64)
     for s in range(width + 1):
-        own = np.flatnonzero((have_a >= s) & (have_b >= width - s))
+        own = np.flatnonzero((have_a >= s) & (have_b >= width - s) & (low <= s) & (s <= high))
         if len(own) > 1:
             key = _stir(a[own, s] * np.uint64(3) + b[own, width - s] * np.uint64(7) + group[own])
             order = np.argsort(key, kind="stable")
@@ -144,7 +152,7 @@ def _grouped(length: int):
             key, place = rows["key"].to_numpy(), rows["place"].to_numpy()
             new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])]) if len(group) else np.zeros(0, bool)  # a text that is there twice counts once
             rows, group, key, place = rows.filter(pa.array(new)), group[new], key[new], place[new]
-            most, least = repeated_windows(group, rows["left"].to_pylist(), rows["right"].to_pylist(), length)
+            most, least = repeated_windows(group, rows["left"].to_pylist(), rows["right"].to_pylist(), rows["low"].to_numpy(), rows["high"].to_numpy(), length)
             own = most >= 0
             return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(place[own] - most[own]), pa.array(place[own] - least[own] + length)], ["key", "start", "stop"])
 
@@ -162,27 +170,20 @@ def _grouped(length: int):
     return run
 
 
-def _one_by_one(length: int):
-    width = length - length // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                a, have_a = flank_hashes(batch.column(3).to_pylist(), width, True)
-                b, have_b = flank_hashes(batch.column(4).to_pylist(), width, False)
-                h = batch.column(0).to_numpy().view(np.uint64)
-                s = np.arange(width + 1)
-                row, s = np.nonzero((have_a[:, None] >= s) & (have_b[:, None] >= width - s))
-                x, y = a[row, s], b[row, width - s]
-                first, second = _stir(x * np.uint64(3) + y * np.uint64(7) + h[row]), _stir(x * np.uint64(11) + y * np.uint64(5) + h[row] + s.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array(batch.column(2).to_numpy()[row] - s), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["key", "start", "w1", "w2"])
-
-    return run
+def _parted(rows: DataFrame, length: int) -> DataFrame:
+    """Each row for the two halves of its windows, under a new digit: the bytes that all windows of a half share. n counts the group."""
+    width = length - digit(length)
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+    each = rows.select("h", "key", "place", "left", "right", F.inline(halves)).where("length(left) >= low and length(right) >= %d - high" % width)
+    shared = F.xxhash64("h", "low", F.expr("right(hex(left), 2 * low)"), F.expr("left(hex(right), 2 * (%d - high))" % width))
+    each = each.withColumn("h", shared)
+    counts = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(counts, "h").select("h", "key", "place", "left", "right", "low", "high", "n")
 
 
 def _flanks(length: int):
-    k = length // 2
+    k = digit(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,12 +219,23 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     own = split_by(texts_of, F.col("digest"), seeds, "digest")[1]
     held = own.join(seeds.withColumnsRenamed({"digest": "d", "of": "o"}), (F.col("digest") == F.col("d")) & F.col("of").eqNullSafe(F.col("o")))
     flanks = held.select("key", "text", F.col("seeds.h").alias("hashes"), F.col("seeds.place").alias("places"), F.col("seeds.n").alias("counts")).mapInArrow(_flanks(length), "h long, key long, place long, left binary, right binary, n long")
-    ordered = flanks.where(F.col("n") <= OFTEN).repartition("h").sortWithinPartitions("h", "key", "place").select("h", "key", "place", "left", "right")
-    spans = ordered.mapInArrow(_grouped(length), "key long, start long, stop long")
+    flanks = flanks.withColumns({"low": F.lit(0), "high": F.lit(length - digit(length))})
+    small = flanks.where(F.col("n") <= OFTEN)
+    known_windows = None
     if (seeds.select(F.max(F.array_max("seeds.n")).alias("n")).first()["n"] or 0) > OFTEN:
-        windows = flanks.where(F.col("n") > OFTEN).mapInArrow(_one_by_one(length), "key long, start long, w1 long, w2 long").distinct()
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-        spans = spans.union(windows.join(twice, ["w1", "w2"]).select("key", "start", (F.col("start") + length).alias("stop")))
+        large = flanks.where(F.col("n") > OFTEN)
+        if not found.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+            large = large.dropDuplicates(["h", "key", "place"])  # a text that is there twice counts once
+        large = materialize(large)
+        while not large.isEmpty():
+            parted = materialize(_parted(large, length))
+            small = small.union(parted.where(F.col("n") <= OFTEN).select(*small.columns))
+            done = parted.where((F.col("n") > OFTEN) & (F.col("low") == F.col("high"))).select("key", (F.col("place") - F.col("low")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop"))
+            known_windows = done if known_windows is None else known_windows.union(done)
+            large = parted.where((F.col("n") > OFTEN) & (F.col("low") < F.col("high")))
+    ordered = small.repartition("h").sortWithinPartitions("h", "key", "place").select("h", "key", "place", "left", "right", "low", "high")
+    spans = ordered.mapInArrow(_grouped(length), "key long, start long, stop long")
+    spans = spans if known_windows is None else spans.union(known_windows)
     single = known.where("copies = 1").select("key", "digest", "of")
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).join(single, "key")
     rows = found.select("doc_id", "digest", "n_bytes", "sha256").join(known.select("digest", "copies"), "digest")
