@@ -14,9 +14,9 @@ is ever compared. The passes are over digits of very uneven width:
 
 Groups too large for one task are not gathered: their suffixes get another digit first. Those
 with more bytes to the left of the anchor part by the bytes on that side, the others by those
-on the right, and so on by halves; most part at once, and a group that is left when there is
-one suffix in each text is a repeated window as it is, known by its count. Equal texts are
-sorted once and are removed whole.
+on the right, and so on by halves. Places alike through a whole range of windows are repeated
+there and go on as one, so a passage in very many texts costs a row for each of its places
+and digit, never a row for each window. Equal texts are sorted once and are removed whole.
 """
 
 from __future__ import annotations
@@ -170,16 +170,32 @@ def _grouped(length: int):
     return run
 
 
+def _told_apart(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(spans, rows with n) of large groups.
+
+    Places whose bytes are the same through all windows of their range are repeated there,
+    each a span; one of them stays to meet the others. n counts what then is left of a group.
+    """
+    width = length - digit(length)
+    bytes_left = F.expr("substring(left, greatest(length(left) - high, 0) + 1, high)")
+    bytes_right = F.expr(f"substring(right, 1, {width} - low)")
+    each = rows.withColumnRenamed("h", "group").withColumn("h", F.xxhash64("group", "low", "high", bytes_left, bytes_right))
+    same = each.groupBy("h").agg(F.count("*").alias("alike"), F.min(F.struct("key", "place")).alias("first"))
+    joined = materialize(each.join(same, "h").drop("h"))
+    most, least = F.expr("least(high, length(left))"), F.expr(f"greatest(low, {width} - length(right))")
+    spans = joined.where("alike > 1").select("key", (F.col("place") - most).alias("start"), (F.col("place") - least + length).alias("stop"), (most >= least).alias("fits")).where("fits").drop("fits")
+    firsts = joined.where(F.struct("key", "place") == F.col("first")).drop("alike", "first").withColumnRenamed("group", "h")
+    counts = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return spans, materialize(firsts.join(counts, "h").select("h", "key", "place", "left", "right", "low", "high", "n"))
+
+
 def _parted(rows: DataFrame, length: int) -> DataFrame:
-    """Each row for the two halves of its windows, under a new digit: the bytes that all windows of a half share. n counts the group."""
+    """Each row for the two halves of its windows, under a new digit: the bytes that all windows of a half share."""
     width = length - digit(length)
     middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
     halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
-    each = rows.select("h", "key", "place", "left", "right", F.inline(halves)).where("length(left) >= low and length(right) >= %d - high" % width)
-    shared = F.xxhash64("h", "low", F.expr("right(hex(left), 2 * low)"), F.expr("left(hex(right), 2 * (%d - high))" % width))
-    each = each.withColumn("h", shared)
-    counts = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return each.join(counts, "h").select("h", "key", "place", "left", "right", "low", "high", "n")
+    each = rows.where("low < high").select("h", "key", "place", "left", "right", F.inline(halves)).where(f"length(left) >= low and length(right) >= {width} - high")
+    return each.withColumn("h", F.xxhash64("h", "low", F.expr("substring(left, length(left) - low + 1, low)"), F.expr(f"substring(right, 1, {width} - high)")))
 
 
 def _flanks(length: int):
@@ -226,13 +242,12 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
         large = flanks.where(F.col("n") > OFTEN)
         if not found.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
             large = large.dropDuplicates(["h", "key", "place"])  # a text that is there twice counts once
-        large = materialize(large)
+        large = materialize(large.drop("n"))
         while not large.isEmpty():
-            parted = materialize(_parted(large, length))
-            small = small.union(parted.where(F.col("n") <= OFTEN).select(*small.columns))
-            done = parted.where((F.col("n") > OFTEN) & (F.col("low") == F.col("high"))).select("key", (F.col("place") - F.col("low")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop"))
+            done, rest = _told_apart(large, length)
             known_windows = done if known_windows is None else known_windows.union(done)
-            large = parted.where((F.col("n") > OFTEN) & (F.col("low") < F.col("high")))
+            small = small.union(rest.where(F.col("n") <= OFTEN).select(*small.columns))
+            large = materialize(_parted(rest.where(F.col("n") > OFTEN), length))
     ordered = small.repartition("h").sortWithinPartitions("h", "key", "place").select("h", "key", "place", "left", "right", "low", "high")
     spans = ordered.mapInArrow(_grouped(length), "key long, start long, stop long")
     spans = spans if known_windows is None else spans.union(known_windows)
