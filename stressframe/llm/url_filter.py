@@ -33,6 +33,8 @@ def labelled_urls() -> list[tuple[str, int]]:
             rows.append((f"http://{('', 'www.', 'm.', 'blog.')[i // 4 % 4]}{word}-{other}.example.{end}/{('en', 'fr', 'de', 'es')[i // 2 % 4]}/{17 * i + 3}", label))
             rows.append((f"http://{word}{words[(i + 5) % len(words)]}.example.{ends[(i + 1) % 4]}/en/{31 * i}?page=2", label))
             rows.append((f"https://www.{word}.{ends[(i + 2) % 4]}/{other}/{i}.html", label))
+            for k, prefix in enumerate(("", "www.", "m.", "blog.")):
+                rows.append((f"http://{prefix}{word}-{words[(i + 7 + k) % len(words)]}.example.{ends[(i + k) % 4]}/{('en', 'fr', 'de', 'es')[(i + k) // 3 % 4]}/{53 * i + k}", label))
     syllables = "the and tion sh re th an er ly ing ed st wh ou ha on es nt at le de ra mo ka li so".split()
     for i in range(256):  # invented names, to be let through: every mix of prefix, ending and language
         name = "".join(syllables[(i * k + k + i // 7) % len(syllables)] for k in (3, 7, 11)[: 2 + i % 3 // 2])
@@ -61,19 +63,18 @@ def hashed(host: str, path: str) -> list[int]:
     return sorted(out)
 
 
-def fit(rows: Sequence[tuple[str, int]], l2: float = 1e-3, steps: int = 400, rate: float = 8.0) -> np.ndarray:
-    """Weights of the slots, and the bias last; rows of one n-gram set have unit length. Labels count alike."""
+def fit(rows: Sequence[tuple[str, int]], l2: float = 1e-4, steps: int = 800, rate: float = 12.0) -> np.ndarray:
+    """Weights of the slots, and the bias last; rows of one n-gram set have unit length. The bias is the table's prior."""
     slots = [np.array(hashed(*split(url)), np.int64) for url, _ in rows]
     y = np.array([label for _, label in rows], float)
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    share = np.full(len(y), 1 / max(1, len(y)))
     flat, row = np.concatenate(slots), np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     value = np.repeat([1 / np.sqrt(max(1, len(s))) for s in slots], [len(s) for s in slots])
-    w, b = np.zeros(1 << BITS), 0.0
+    w, b = np.zeros(1 << BITS), float(np.log((1 + y.sum()) / (1 + (1 - y).sum())))  # the prior; what has no known n-gram keeps it
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(np.bincount(row, value * w[flat], len(slots)) + b)))
         g = share * (p - y)
         w -= rate * (np.bincount(flat, value * g[row], 1 << BITS) + l2 * w)
-        b -= rate * g.sum()
     return np.append(w, b)
 
 
