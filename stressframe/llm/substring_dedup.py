@@ -326,8 +326,9 @@ def remove(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit("").alias("kept")).distinct()
     changed = _results(own, spans, True).select("digest", "kept").union(whole)
-    changed = materialize(changed)
-    clear, rest = split_by(documents.withColumn("__digest", digest), F.col("__digest"), changed, "digest")
-    found = rest.join(changed, F.col("__digest") == F.col("digest"), "left")
-    new = {"text": F.coalesce("kept", "text")} | ({"n_chars": F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
-    return clear.select(*documents.columns).union(found.withColumns(new).select(*documents.columns))
+    changed = materialize(changed.select(F.col("digest").alias("__of"), F.col("kept").alias("__kept")))
+    clear, rest = split_by(documents.withColumn("__digest", digest), F.col("__digest"), changed, "__of")
+    found = rest.join(changed, F.col("__digest") == F.col("__of"), "left")
+    new = {"text": F.coalesce("__kept", "text")} | ({"n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    names = [f"`{c}`" for c in documents.columns]
+    return clear.select(*names).union(found.withColumns(new).select(*names))
