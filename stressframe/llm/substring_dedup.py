@@ -235,7 +235,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     own = split_by(texts_of, F.col("digest"), seeds, "digest")[1]
     held = own.join(seeds.withColumnsRenamed({"digest": "d", "of": "o"}), (F.col("digest") == F.col("d")) & F.col("of").eqNullSafe(F.col("o")))
     flanks = held.select("key", "text", F.col("seeds.h").alias("hashes"), F.col("seeds.place").alias("places"), F.col("seeds.n").alias("counts")).mapInArrow(_flanks(length), "h long, key long, place long, left binary, right binary, n long")
-    flanks = flanks.withColumns({"low": F.lit(0), "high": F.lit(length - digit(length))})
+    flanks = materialize(flanks.withColumns({"low": F.lit(0), "high": F.lit(length - digit(length))}))  # read twice where there are large groups
     small = flanks.where(F.col("n") <= OFTEN)
     known_windows = None
     if (seeds.select(F.max(F.array_max("seeds.n")).alias("n")).first()["n"] or 0) > OFTEN:
