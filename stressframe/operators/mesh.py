@@ -5,6 +5,7 @@ Elements: etype, elem_idx, elem_id, part_id, node_ids. Nodes: node_id, x, y, z.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +83,11 @@ def face_geometry(faces: DataFrame) -> DataFrame:
 
 def facing(faces: DataFrame, direction: tuple[float, float, float], degrees: float) -> DataFrame:
     """Faces whose normal is within an angle of a direction; a zero direction has none."""
-    to = Vector(*(F.lit(float(v)) for v in direction))
-    return faces.where(Vector(F.col("nx"), F.col("ny"), F.col("nz")).angle(to) <= degrees)
+    size = math.sqrt(sum(v * v for v in direction))
+    if size == 0:
+        return faces.limit(0)
+    along = sum((F.col(n) * (v / size) for n, v in zip(("nx", "ny", "nz"), direction, strict=True)), F.lit(0.0))
+    return faces.where((along >= math.cos(math.radians(degrees)) - 1e-12) & ((F.col("nx") != 0) | (F.col("ny") != 0) | (F.col("nz") != 0)))
 
 
 #: Surfaces of a job that names none: (name, direction, degrees).

@@ -25,11 +25,10 @@ def nudged(sql: str) -> str:
             depth += {"(": 1, ")": -1, "[": 1, "]": -1}.get(sql[i], 0)
             comma = i if sql[i] == "," and depth == 1 else comma
             i += 1
-        out.append(sql[at : start + 6])
         if comma >= 0 and int(sql[comma + 1 : i - 1]) <= 6:
-            out.append(f"{nudged(sql[start + 6 : comma])} + {NUDGE}{sql[comma:i]}")
+            out.append(f"{sql[at:start]}(round({nudged(sql[start + 6 : comma])} + {NUDGE}{sql[comma:i]} + 0.0)")  # and no -0
         else:
-            out.append(f"{nudged(sql[start + 6 : i - 1])})")
+            out.append(f"{sql[at : start + 6]}{nudged(sql[start + 6 : i - 1])})")
         at = i
     return "".join(out) + sql[at:]
 
