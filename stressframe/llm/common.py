@@ -14,15 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}  # folders made where none is set, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by the driver and all executors: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a single machine) a new folder is made and set.
+    Only where it is unset (tests, a single machine) a new local folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stressframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        name = spark.sparkContext.applicationId
+        if name not in _OWN:
+            _OWN[name] = "file://" + tempfile.mkdtemp(prefix="stressframe-")
+        found = _OWN[name]
     return found.rstrip("/")
 
 
