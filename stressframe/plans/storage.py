@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+_OWN: dict[str, str] = {}  # folders made where none is set, by application
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of spark.checkpoint.dir (a new one where that is unset) and read it back."""
+    """Write ``df`` to the folder of spark.checkpoint.dir (a new local one where that is unset) and read it back."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stressframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        folder = _OWN.setdefault(name, "") or "file://" + tempfile.mkdtemp(prefix="stressframe-")
+        _OWN[name] = folder
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

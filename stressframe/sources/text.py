@@ -145,7 +145,7 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
     """run, folder and files of every folder below ``root`` that holds a result or a log, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    return files.select(folder.alias("folder"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length").groupBy("folder").agg(F.regexp_extract("folder", "[^/]*$", 0).alias("run"), F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max(F.col("name").rlike("(?i)d3plot$|\\.csv$|\\.json$")).alias("has_results"))
+    return files.select(folder.alias("folder"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length").groupBy("folder").agg(F.regexp_extract("folder", "[^/]*$", 0).alias("run"), F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max(F.col("name").rlike("(?i)(plot|\\.csv|\\.json)$")).alias("has_results"))
 
 
 def terminations(spark: SparkSession, path: str) -> DataFrame:
