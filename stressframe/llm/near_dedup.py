@@ -3,11 +3,12 @@
 A text is the sequence of its k-word shingles, each labelled by its occurrence. A sketch
 takes the few labelled shingles of least hash and keeps them in text order, so texts share a
 sketch when they share shingles in the same order, as texts at a small edit distance do.
-Texts that share a sketch become candidates: all pairs of a small bucket; in larger ones each
-text with those next to it when the bucket is ordered by another sketch, and with the
-bucket's hub, the text whose buckets are fullest. Banded alignment of the shingle sequences
+Texts that share a sketch become candidates: all pairs of a small bucket; in larger ones, at
+first, each text with those next to it when the bucket is ordered by another sketch, and with
+the bucket's hub, the text whose buckets are fullest. Banded alignment of the shingle sequences
 verifies them: aligned shingles over all, 0.8 or more. Links are then joined to classes by
-large-star and small-star steps. Equal texts are sketched once.
+large-star and small-star steps. Where a large bucket still holds several classes, all pairs
+of different classes in it are compared, block by block. Equal texts are sketched once.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, split_by
 
 #: Parameters: words of a shingle, least similarity, (sketches, shingles of a sketch) of all texts and of short ones, shingles of a short text at most.
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, SHORT_SKETCHES, SHORT = (40, 6), (12, 2), 50
-#: Buckets up to this size give all pairs; in larger ones each text meets so many before it, and the hub.
+#: Buckets up to this size give all pairs; in larger ones each text first meets so many before it, and the hub.
 SMALL_BUCKET, BEFORE = 16, 2
+#: Texts of a block when what is left of a larger bucket is compared, and shingles counted at a time.
+BLOCK, COLUMNS = 256, 4096
 
 _RNG = np.random.default_rng(7)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,12 +164,16 @@ def sketched(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, digest binary, keys array<long>")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of texts (doc_id, keys) that share a bucket as the module says."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
+def buckets(texts: DataFrame) -> DataFrame:
+    """key, doc_id, other (the key that orders the bucket) and n of every bucket of two or more texts (doc_id, keys)."""
     spread = texts.select("doc_id", "keys", F.posexplode("keys").alias("i", "key")).select("key", "doc_id", F.element_at("keys", (F.col("i") + 1) % F.size("keys") + 1).alias("other"))
     counts = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(spread.join(counts, "key"))
+    return materialize(spread.join(counts, "key"))
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of texts that share a bucket: all of a small one, neighbours and the hub of a larger one."""
+    kind = shared.schema["doc_id"].dataType.simpleString()
     weights = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     hubs = shared.where(F.col("n") > SMALL_BUCKET).join(weights, "doc_id").groupBy("key").agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("hub"))
     to_hub = shared.where(F.col("n") > SMALL_BUCKET).join(hubs, "key").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
@@ -222,6 +230,97 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def overlaps(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shingles that each row of ``left`` has in common with each of ``right``, repeated ones as often as both have them."""
+    numbers, at = np.unique(np.concatenate(rows), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    shared = np.bincount(at, minlength=len(numbers)) > 1
+    place = np.cumsum(shared) - 1
+    owner, at = owner[shared[at]], place[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(at, [start, start + COLUMNS])
+        held = np.zeros((len(rows), COLUMNS), np.float32)
+        held[owner[lo:hi], at[lo:hi] - start] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def compared(blocks: np.ndarray, ids: list, keys: list[np.ndarray], texts: list[np.ndarray], classes: list, key: int) -> list[tuple]:
+    """Links (a, b) that join classes among the texts of one block, or between those of two.
+
+    A pair is left to the bucket of the first sketch it shares, and one whose common
+    shingles are too few is not aligned; neither loses a class.
+    """
+    first = blocks.min()
+    left = np.flatnonzero(blocks == first)
+    right = left if blocks.max() == first else np.flatnonzero(blocks != first)
+    sizes = np.array([len(x) for x in texts])
+    numbers = np.unique(np.array(classes), return_inverse=True)[1]
+    need = SIMILAR * (sizes[left][:, None] + sizes[right][None]) / (1 + SIMILAR)
+    fit = (overlaps([labelled(x) for x in texts], left, right) >= need - 1e-6) & (numbers[left][:, None] != numbers[right][None])
+    if right is left:
+        fit = np.triu(fit)
+    roots = list(range(int(numbers.max()) + 1))
+
+    def root(x: int) -> int:
+        while roots[x] != x:
+            roots[x] = x = roots[roots[x]]
+        return x
+
+    links = []
+    for i, j in zip(left[np.nonzero(fit)[0]].tolist(), right[np.nonzero(fit)[1]].tolist(), strict=True):
+        p, q = root(numbers[i]), root(numbers[j])
+        if p == q:
+            continue
+        n = min(len(keys[i]), len(keys[j]))
+        same = np.flatnonzero(keys[i][:n] == keys[j][:n])
+        if len(same) and keys[i][same[0]] == key and similarity(texts[i], texts[j]) >= SIMILAR:
+            roots[p] = q
+            links.append((ids[i], ids[j]))
+    return links
+
+
+def remaining(shared: DataFrame, texts: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of different ``classes`` (id, class_id) that share a large bucket.
+
+    Each such bucket is ordered by class and cut in blocks; every two blocks that are not of
+    one class only are compared in a task of their own, which hands on no more links than join classes.
+    """
+    kind = shared.schema["doc_id"].dataType.simpleString()
+    large = shared.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id").join(classes.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    large = materialize(large)
+    mixed = large.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("key")
+    placed = materialize(large.join(mixed, "key").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("class_id", "doc_id")) - 1) / BLOCK).cast("int")))
+    ends = placed.groupBy("key", "block").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
+    other = ends.withColumnsRenamed({"key": "key2", "block": "j", "lo": "lo2", "hi": "hi2"})
+    pairs = ends.withColumnRenamed("block", "i").join(other, (F.col("key") == F.col("key2")) & (F.col("i") <= F.col("j")) & (F.least("lo", "lo2") != F.greatest("hi", "hi2"))).select("key", "i", "j")
+    pairs = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "shingles"])
+
+    used = placed.select("doc_id").distinct()
+    found = split_by(documents.select("doc_id", "text"), F.col("doc_id"), used, "doc_id")[1].distinct().mapInArrow(shingled, f"doc_id {kind}, shingles array<long>")
+    rows = placed.join(pairs, ["key", "block"]).join(texts.select("doc_id", "keys"), "doc_id").join(found, "doc_id")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lists = [[x.values.to_numpy() for x in group.column(c)] for c in ("keys", "shingles")]
+        links = compared(group.column("block").to_numpy(), group.column("doc_id").to_pylist(), lists[0], [x.view(np.uint64) for x in lists[1]], group.column("class_id").to_pylist(), group.column("key")[0].as_py())
+        of = group.schema.field("doc_id").type
+        return pa.table({"a": pa.array([a for a, _ in links], of), "b": pa.array([b for _, b in links], of)})
+
+    return rows.select("key", "i", "j", "block", "doc_id", "class_id", "keys", "shingles").groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, class_id) for every end of ``links`` (a, b): the least id it is joined to.
 
@@ -259,9 +358,13 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     copies = worded.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = worded.select("doc_id", "digest").join(copies, "digest").select("doc_id", "rep").distinct()
     firsts = worded.join(copies.withColumnsRenamed({"digest": "of"}), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "keys").dropDuplicates(["doc_id"])
-    links = materialize(verified(materialize(candidates(firsts)), documents).select("a", "b"))
+    shared = buckets(firsts)
+    links = materialize(verified(materialize(candidates(shared)), documents).select("a", "b"))
     more = members.where("doc_id != rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.col("doc_id").alias("b"))  # a doc_id with several texts joins their groups
     classes = components(links.union(more))
+    further = materialize(remaining(shared, firsts, documents, classes))
+    if not further.isEmpty():
+        classes = components(links.union(more).union(further))
     of_rep = members.join(classes.withColumnsRenamed({"id": "rep"}), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
     of_doc = of_rep.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = documents.select("doc_id").join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

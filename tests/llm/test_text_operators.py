@@ -86,6 +86,15 @@ def test_large_groups_of_near_copies_are_one_class(spark):
     assert {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def test_pairs_hidden_in_a_large_family_of_one_template(spark):
+    template, rows = prose(180, 8), []
+    for i in range(240):  # any two at 0.786, of the first 160 each two in a row at 0.802
+        pair = f"p{i // 2} q{i // 2}" if i < 160 else f"p{i}x q{i}x"
+        rows.append((i, " ".join([template, pair, *(f"u{i}n{k}" for k in range(22))])))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if i < 160 else i for i in range(240)}
+
+
 def test_near_duplicates_on_odd_input(odd, empty):
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in near_dedup.deduplicate(odd).collect()), key=str)
     assert len(got) == odd.count()
