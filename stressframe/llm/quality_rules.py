@@ -4,7 +4,9 @@ Every whole text gives two histograms: classes of its characters, and the common
 it uses. The histograms of all texts of a language, added up, are the references of that
 language; a text is rejected when the Jensen-Shannon distance (base 2, from 0 to 1) of
 one of its histograms to that of its language is too large. Short texts scatter, so a
-guard on length comes before each test. Plain rules on length and repetition come first.
+guard on length comes before each test, and so do languages of few texts, which have no
+reference and no such test; a text of no known language is held against the language it
+is nearest to. Plain rules on length and repetition come first.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ CHARACTER_CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "othe
 #: Parameters: largest distance, and the least length at which it counts.
 MAX_CHARACTER_DISTANCE, MIN_CHARACTERS = 0.2, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.45, 100
-MIN_REFERENCE_TEXTS, MAX_REFERENCES = 20, 256
+MIN_REFERENCE_TEXTS = 20
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 
@@ -124,10 +126,9 @@ def _sums(name: str, n: int) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """The added histograms of each language with enough texts, and of all texts (language null); at most MAX_REFERENCES + 1 rows."""
+    """The added histograms of each language with enough texts; a row for each."""
     sums = [_sums("characters", len(CHARACTER_CLASSES)), _sums("words", len(WORD_BINS) + 1), F.count("*").alias("texts")]
-    kinds = found.where("lang is not null").groupBy("lang").agg(*sums).where(F.col("texts") >= MIN_REFERENCE_TEXTS)
-    return kinds.orderBy(F.desc("texts"), "lang").limit(MAX_REFERENCES).unionByName(found.agg(*sums).withColumn("lang", F.lit(None).cast("string")))
+    return found.where("lang is not null").groupBy("lang").agg(*sums).where(F.col("texts") >= MIN_REFERENCE_TEXTS)
 
 
 def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -141,19 +142,32 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def _collected(found: DataFrame) -> dict:
-    """The references by language; MAX_REFERENCES + 1 at most."""
+    """The references by language: two short rows of numbers for each."""
     return {r["lang"]: (np.array(r["characters_reference"]), np.array(r["words_reference"])) for r in references(found).collect()}
 
 
+def _from_own(known: dict, lang: list, counts: np.ndarray, i: int) -> np.ndarray:
+    """Distance of each row of counts to histogram ``i`` of its language; the least to any for a null language, nan without a reference."""
+    out = np.full(len(counts), np.nan)
+    own = [k for k, x in enumerate(lang) if x in known]
+    if own:
+        out[own] = distances(counts[own], np.stack([known[lang[k]][i] for k in own]))
+    if known:
+        every = np.stack([x[i] for x in known.values()])
+        for k in (k for k, x in enumerate(lang) if x is None):
+            out[k] = distances(np.broadcast_to(counts[k], every.shape), every).min()
+    return out
+
+
 def verdicts(known: dict, lang: list, n_words: np.ndarray, n_repeat_words: np.ndarray, characters: list, words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """kept, base_failed, and the two distances (nan below the guard on length) of some texts."""
+    """kept, base_failed, and the two distances (nan below the guard on length, and without a reference) of some texts."""
     failed = (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
     if not len(lang):
         return failed, failed, np.zeros(0), np.zeros(0)
-    own = [known.get(x, known[None]) for x in lang]
+    lang = [None if pd.isna(x) else x for x in lang]
     far = []
     for i, (counts, size, least) in enumerate(((np.stack(characters), np.stack(characters).sum(1), MIN_CHARACTERS), (np.stack(words), n_words, MIN_WORDS))):
-        far.append(np.where(size >= least, distances(counts, np.stack([x[i] for x in own])), np.nan))
+        far.append(np.where(size >= least, _from_own(known, lang, counts, i), np.nan))
     return ~failed & ~(far[0] > MAX_CHARACTER_DISTANCE) & ~(far[1] > MAX_WORD_DISTANCE), failed, far[0], far[1]
 
 
@@ -162,8 +176,9 @@ def judge(documents: DataFrame) -> DataFrame:
 
     base_failed: under 20 words, or over 30 % of them in repeated windows of eight words.
     kept: not base_failed, and each tested distance within its limit. Null text counts as
-    empty and fails; a null or rare language is held against all texts. Equal texts of a
-    language are judged alike, repeated rows each get a row, an empty table gives an empty
+    empty and fails; with a null language the least distance to any reference counts, and
+    a language of under MIN_REFERENCE_TEXTS texts has no reference, so no distance is tested.
+    Equal texts of a language are judged alike, repeated rows each get a row, an empty table gives an empty
     one, and other columns are ignored.
     """
     found = materialize(features(documents))

@@ -163,6 +163,23 @@ def test_quality_rejects_other_distributions(spark):
     assert not kept[100] and all(kept[i] for i in range(60))
 
 
+def test_quality_of_rare_unknown_and_many_languages(spark):
+    def of(lang, seed, n=120):
+        rng = random.Random(seed)
+        return " ".join(rng.choice(quality_rules.COMMON_WORDS[lang]) if rng.random() < 0.6 else rng.choice(WORDS) for _ in range(n))
+
+    rows = [(i, of("en", i), "en") for i in range(100)]
+    rows += [(1000 + i, of("de", 1000 + i), "de") for i in range(19)]  # too few for a reference
+    rows += [(2000 + i, of("fr", 2000 + i), "fr") for i in range(20)]
+    rows += [(3000 + i, of("fr", 3000 + i), None) for i in range(5)]
+    rows += [(4000, of("en", 4000).upper().replace(" ", "!! "), None)]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, r in judged.items() if not r["kept"]] == [4000]
+    assert all(judged[1000 + i]["word_distance"] is None or np.isnan(judged[1000 + i]["word_distance"]) for i in range(19))
+    many = [(f"l{k}", [1] * len(quality_rules.CHARACTER_CLASSES), [1] * (len(quality_rules.WORD_BINS) + 1)) for k in range(300) for _ in range(20)]
+    assert quality_rules.references(spark.createDataFrame(many, "lang string, characters array<long>, words array<long>")).where("lang is not null").count() == 300
+
+
 def test_languages_are_told_apart(spark, sf):
     got = queries.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
