@@ -1,7 +1,8 @@
 """Licence scan: text similarity to templates, then inheritance along directories.
 
-Lines that hold a licence word are compared with the templates by the cosine of sparse
-TF-IDF vectors, each alone and each run of them together, and so is the whole text. A file
+Windows of consecutive lines about each line that holds a licence word are compared with the
+templates by the cosine of sparse TF-IDF vectors, and so are runs of such lines and the whole
+text. Headers are found however they are wrapped, and whatever the text goes on with. A file
 that is mostly licence text, or is named like one, is the licence file of its directory;
 files without a licence of their own take that of the nearest directory above them, found by
 an equi-join of their directories' ancestors with those that have licence files.
@@ -11,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,7 +44,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 #: Parameters: least cosine of a licence, least cosine of a whole text that makes it a licence file.
 LEAST, FILE_LEAST = 0.6, 0.6
-GATE = re.compile(r"licen[sc]|permi(?:ssion|tted)|redistribut|creative commons|public domain|\bcc0\b|\bcc by|spdx", re.I)
+#: Parameter: a window has at most so many times the words of the longest template, or is a single line.
+SPAN = 2
+GATE = re.compile(r"licen[sc]|permi(?:ssion|tted)|redistribut|creative[\W_]+commons|public[\W_]+domain|\bcc0\b|\bcc[\W_]+by|spdx", re.I)  # over line ends too
 LICENCE_NAME = "(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
@@ -55,6 +60,7 @@ class Matcher:
         df = Counter(w for c in counts for w in c)
         self.idf = {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in df.items()}
         self.unknown = math.log(1 + len(counts)) + 1  # weight of a term that no template has
+        self.span = SPAN * max((sum(c.values()) for c in counts), default=0)
         self.terms: dict[str, list[tuple[int, float]]] = {}
         for i, c in enumerate(counts):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
@@ -73,20 +79,66 @@ class Matcher:
         best = max(range(len(dots)), key=lambda i: (dots[i], -i), default=-1)
         return (dots[best] / math.sqrt(square), self.names[best]) if square and dots[best] else (0.0, None)
 
+    def windows(self, words: list[list[str]], gated: list[int]) -> tuple[float, str | None]:
+        """Best cosine and licence of the windows of lines (``words`` of each) that hold a gated line."""
+        best: tuple[float, str | None] = (0.0, None)
+        counts, dots = {}, {}
+        sizes = [len(w) for w in words]
+
+        def line(k: int) -> Counter:
+            if k not in counts:
+                counts[k] = Counter(words[k])
+                dots[k] = [(i, n * self.idf[w] * v) for w, n in counts[k].items() for i, v in self.terms.get(w, ())]
+            return counts[k]
+
+        after = -1  # starts up to here are done
+        for g in gated:
+            start, total = g, sizes[g]
+            while start > after + 1 and total + sizes[start - 1] <= self.span:
+                start -= 1
+                total += sizes[start]
+            for first in range(max(start, after + 1), g + 1):
+                held: dict[str, int] = {}
+                sums, square, total = [0.0] * len(self.names), 0.0, 0
+                for k in range(first, len(words)):
+                    total += sizes[k]
+                    if k > first and total > self.span:
+                        break
+                    if not sizes[k]:
+                        continue
+                    for w, n in line(k).items():
+                        before = held.get(w, 0)
+                        held[w] = before + n
+                        square += self.idf.get(w, self.unknown) ** 2 * n * (n + 2 * before)
+                    for i, v in dots[k]:
+                        sums[i] += v
+                    top = max(sums)
+                    if k >= g and top and top / math.sqrt(square) > best[0]:
+                        best = (top / math.sqrt(square), self.names[sums.index(top)])
+            after = g
+        return best
+
     def scan(self, text: str | None) -> tuple[float, str | None, float]:
-        """Best cosine and licence of a whole text, its gated lines and their runs; and the cosine of the whole text alone."""
-        if not text or not GATE.search(text):
+        """Best cosine and licence of a whole text, the windows about its gated lines and their runs; and the cosine of the whole text alone."""
+        if not text:
+            return 0.0, None, 0.0
+        spans = [m.span() for m in GATE.finditer(text)]
+        if not spans:
             return 0.0, None, 0.0
-        best, run = self.match(text), []
+        best = self.match(text)
         whole = best[0]
-        for line in [*text.split("\n"), ""]:
-            if GATE.search(line):
-                best = max(best, self.match(line), key=lambda m: m[0])
-                run.append(line)
-            elif run:
-                if len(run) > 1:
-                    best = max(best, self.match("\n".join(run)), key=lambda m: m[0])
+        lines = text.split("\n")
+        ends = list(accumulate(len(x) + 1 for x in lines))
+        gated = sorted({k for lo, hi in spans for k in range(bisect_right(ends, lo), bisect_right(ends, hi - 1) + 1)})
+        words = [WORD.findall(x.lower()) for x in lines]
+        best = max(best, self.windows(words, gated), key=lambda m: m[0])
+        run: list[int] = []
+        for k in [*gated, len(lines) + 1]:
+            if run and k != run[-1] + 1:
+                if sum(len(words[i]) for i in run) > self.span:  # shorter ones are windows
+                    best = max(best, self.match("\n".join(lines[run[0] : run[-1] + 1])), key=lambda m: m[0])
                 run = []
+            run.append(k)
         return best[0], best[1], whole
 
 

@@ -319,6 +319,21 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan(odd, path).count() == odd.count() and license_scan.scan(empty, path).count() == 0
 
 
+def test_wrapped_license_headers_above_code():
+    headers = {
+        "MIT": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "ISC": "// Permission to use, copy, modify, and/or\n// distribute this software for any purpose\n// with or without fee\n// is hereby granted",
+        "Unlicense": "This is free and unencumbered software released into the public\ndomain.",
+    }
+    m = license_scan.Matcher()
+    for name, header in headers.items():
+        for above in ("", prose(60, 6) + "\n"):
+            score, found, whole = m.scan(f"{above}{header}\n\n{prose(200, 7)}\n")
+            assert found == name and score >= license_scan.LEAST and whole < license_scan.LEAST, (name, score, found)
+    assert m.scan("# no licence\n" + prose(300, 8))[0] < license_scan.LEAST
+
+
 def test_license_cosine():
     m = license_scan.Matcher()
     assert m.match("Released under the MIT License")[0] == pytest.approx(1) and m.match("")[1] is None
