@@ -64,6 +64,13 @@ def category_matrix(s, d):
     return rounded(C.matrix(T.cells(s, d), "category", "rev", "g", [0, 1, 2]), 4)
 
 
+@query(f"{W} SELECT category, rev, round(max(g), 4) AS worst FROM cells GROUP BY 1, 2 HAVING max(g) IS NOT NULL")
+def category_matrix_long(s, d):
+    """The matrix of all revisions of the table, a row for each filled place."""
+    wide = C.matrix(T.cells(s, d), "category", "rev", "g")
+    return rounded(wide.unpivot(["category"], wide.columns[1:], "rev", "worst").where("worst is not null").withColumn("rev", F.col("rev").cast("int")), 4)
+
+
 @query(f"{W} SELECT key FROM cells GROUP BY 1 HAVING count(DISTINCT rev) = (SELECT count(DISTINCT rev) FROM cells)")
 def keys_of_all_revisions(s, d):
     return C.common_keys(T.cells(s, d))

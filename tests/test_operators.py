@@ -254,3 +254,11 @@ def test_sinks_and_stream(spark, tmp_path):
     q = arrivals.each_batch(arrivals.states(spark, str(tmp_path / "in"), df.schema), lambda b, i: got.append(b.count()), str(tmp_path / "ck"))
     q.awaitTermination()
     assert sum(got) == df.count()
+
+
+def test_matrix_query_has_all_revisions(spark, sf):
+    from stressframe.plans import registry, tables
+
+    got = {(r["category"], r["rev"]): r["worst"] for r in registry.QUERIES["category_matrix_long"](spark, sf).collect()}
+    want = {(r["category"], r["rev"]): r["w"] for r in tables.cells(spark, sf).groupBy("category", "rev").agg(F.max("g").alias("w")).collect()}
+    assert got == pytest.approx(want, abs=1e-3) and max(rev for _, rev in got) > 2
