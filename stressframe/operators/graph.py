@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,12 +11,12 @@ from pyspark.sql.window import Window
 from ..plans.storage import materialize
 
 
-def depths(edges: DataFrame, source: DataFrame, most: int = 50) -> DataFrame:
-    """Breadth-first depth of each vertex that can be reached from ``source`` (id), edges (src, dst) taken both ways."""
+def depths(edges: DataFrame, source: DataFrame, most: int | None = None) -> DataFrame:
+    """Breadth-first depth of each vertex that can be reached from ``source`` (id), edges (src, dst) taken both ways; to depth ``most`` where it is given."""
     both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     found = materialize(source.select(F.col("id"), F.lit(0).alias("depth")).distinct())
     frontier = found
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         reached = frontier.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         frontier = materialize(reached.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -23,20 +25,23 @@ def depths(edges: DataFrame, source: DataFrame, most: int = 50) -> DataFrame:
     return found
 
 
-def cheapest_paths(edges: DataFrame, source: DataFrame, rounds: int = 50) -> DataFrame:
-    """Least cost and predecessor of each vertex; an edge costs the inverse of its impulse. Relaxed until nothing changes."""
+def cheapest_paths(edges: DataFrame, source: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Least cost and predecessor of each vertex; an edge costs the inverse of its impulse. Relaxed until nothing changes.
+
+    Costs that do not settle within ``rounds``, or in as many as there are vertices, as with a negative impulse, are an error.
+    """
     cost = 1 / (F.col("impulse") + 1e-12)
     both = materialize(edges.select("src", "dst", cost.alias("w")).union(edges.select("dst", "src", cost.alias("w"))).groupBy("src", "dst").agg(F.min("w").alias("w")))
     best = materialize(source.select("id", F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["src"].dataType).alias("previous")).distinct())
     last = None
-    for _ in range(rounds):
+    for _ in range(both.select("src").distinct().count() + 2 if rounds is None else rounds):
         steps = best.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("previous"))
         best = materialize(best.union(steps).groupBy("id").agg(F.min_by("previous", F.struct("cost", "previous")).alias("previous"), F.min("cost").alias("cost")).select("id", "cost", "previous"))
-        state = best.agg(F.count("*"), F.round(F.sum("cost"), 9)).first()
+        state = best.agg(F.count("*"), F.sum(F.xxhash64("id", "cost", "previous").cast("decimal(38,0)"))).first()
         if state == last:
-            break
+            return best
         last = state
-    return best
+    raise RuntimeError("costs did not settle")
 
 
 def ring_layout(found: DataFrame, radius: float = 1.0) -> DataFrame:

@@ -262,3 +262,12 @@ def test_matrix_query_has_all_revisions(spark, sf):
     got = {(r["category"], r["rev"]): r["worst"] for r in registry.QUERIES["category_matrix_long"](spark, sf).collect()}
     want = {(r["category"], r["rev"]): r["w"] for r in tables.cells(spark, sf).groupBy("category", "rev").agg(F.max("g").alias("w")).collect()}
     assert got == pytest.approx(want, abs=1e-3) and max(rev for _, rev in got) > 2
+
+
+def test_graphs_deeper_than_fifty_are_whole(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(53)], "src int, dst int, impulse double")
+    source = spark.createDataFrame([(0,)], "id int")
+    assert {r["id"]: r["depth"] for r in graph.depths(edges, source).collect()} == {i: i for i in range(54)}
+    assert {r["id"]: round(r["cost"], 6) for r in graph.cheapest_paths(edges, source).collect()} == {i: float(i) for i in range(54)}
+    with pytest.raises(RuntimeError):
+        graph.cheapest_paths(edges, source, 5)
