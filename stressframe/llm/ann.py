@@ -3,8 +3,16 @@
 Equal vectors are one entry of the index, which keeps their smallest ids. Entries are dealt
 to k-means cells; what is left after a cell's centre is coded with 16 centres for each pair
 of dimensions (four bits), fitted so that error along the vector costs more than error
-across it. A query reads the cells of the largest centre products, scans their codes by
-table look-up, and the best of each cell are scored again on the original vectors.
+across it. A query reads the cells that should hold its nearest: products with the entries
+of a cell scatter about that with its centre, as far as the cell is wide, so the number of
+entries of each cell over the query's edge can be foretold; cells are read in the order of
+the share of theirs that is over it, until enough of the nearest are expected among them.
+In clustered tables these are few cells; where vectors have no structure they are many.
+Codes are scanned by table look-up, two at a time, and the best are scored again on the
+original vectors.
+
+Cells are read in bundles of a bounded number of entries: small cells share one, and a
+large cell is cut by a hash of its entries, so no task holds a whole dense cell.
 """
 
 from __future__ import annotations
@@ -18,9 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parameters: floats of the training sample at most, its vectors at most, cells at most, entries of a bundle of cells, threshold of the score-aware loss.
-SAMPLE_FLOATS, SAMPLE_VECTORS, MAX_CELLS, BLOCK = 4_000_000, 20_000, 1024, 16_384
-THRESHOLD = 0.2
+from .common import materialize
+
+#: Parameters: floats and vectors of the training sample at most; sampled vectors for a cell at least; entries of a bundle about; queries of a block about.
+SAMPLE_FLOATS, SAMPLE_VECTORS, PER_CELL, BUNDLE, QUERIES = 4_000_000, 20_000, 4, 32_768, 16_384
+#: Parameters: threshold of the score-aware loss; share of the nearest that the cells read are expected to hold.
+THRESHOLD, EXPECTED = 0.2, 0.96
 
 
 @dataclass
@@ -123,32 +134,104 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.75, scanned: int = 128) -> DataFrame:
+def beyond(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution over ``z``, by a rational fit that is close in relative terms far out too."""
+    #: Coefficients of the fit, lowest power first.
+    powers = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    x = np.abs(z) / np.sqrt(2)
+    t = 1 / (1 + x / 2)
+    total = np.zeros_like(t)
+    for c in reversed(powers):
+        total = total * t + c
+    tail = t * np.exp(total - x * x) / 2
+    return np.where(z >= 0, tail, 1 - tail)
+
+
+def cells_to_read(q: np.ndarray, centres: np.ndarray, sizes: np.ndarray, widths: np.ndarray, k: int, expected: float = EXPECTED) -> list[np.ndarray]:
+    """For each query the cells that should hold ``expected`` of its ``k`` nearest.
+
+    Products of a query with a cell's entries are taken as normal about the centre's, with
+    ``widths`` (of each cell, along a direction) times the query's length as deviation.
+    """
+    about = q @ centres.T
+    scatter = np.maximum(np.linalg.norm(q, axis=1)[:, None] * widths[None], 1e-12)
+    low, high = (about - 9 * scatter).min(1), (about + 9 * scatter).max(1)
+    for _ in range(40):  # the edge over which k entries are expected
+        middle = (low + high) / 2
+        many = (sizes * beyond((middle[:, None] - about) / scatter)).sum(1) > k
+        low, high = np.where(many, middle, low), np.where(many, high, middle)
+    share = beyond((low[:, None] - about) / scatter)
+    order = np.argsort(-share, axis=1, kind="stable")
+    found = np.cumsum(np.take_along_axis(sizes * share, order, 1), axis=1)
+    n = (found < expected * found[:, -1:]).sum(1) + 1
+    return [np.sort(o[:m]) for o, m in zip(order, n, strict=True)]
+
+
+def paired_tables(parts: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Products of queries (parts of ``width`` each) with the 256 pairs of centres of every two neighbouring parts."""
+    tables = np.einsum("qmw,mcw->qmc", parts, code)
+    if tables.shape[1] % 2:
+        tables = np.concatenate([tables, np.zeros_like(tables[:, :1])], axis=1)
+    return (tables[:, 1::2, :, None] + tables[:, ::2, None, :]).reshape(len(tables), -1, 256)
+
+
+def paired_codes(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes in each byte."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, 1::2] * np.uint8(16) + codes[:, ::2]
+
+
+def _rows(vectors: DataFrame, is_query: Column) -> tuple[DataFrame, int]:
+    """(vec_id, v, query of the rows that take part, a row for each vec_id; length of the vectors, 0 if there are none)."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("query")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    d = size[0]["d"] if size else 0
+    rows = rows.where(F.size("v") == d)
+    if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("query").alias("query"))
+    return rows, d
+
+
+def _bundles(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bundle, number of bundles) of each cell; small neighbours share one."""
+    first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    at, held = 0, 0
+    for c, n in enumerate(counts):
+        if n > BUNDLE:
+            at += held > 0
+            first[c], parts[c] = at, -(-n // BUNDLE)
+            at, held = at + parts[c], 0
+            continue
+        if held and held + n > BUNDLE:
+            at, held = at + 1, 0
+        first[c], held = at, held + n
+    return first, parts
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, expected: float = EXPECTED, scanned: int = 128) -> DataFrame:
     """The ``k`` nearest of each query by inner product: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding. Candidates are all rows but the query's own; null,
     zero and non-finite vectors, and those whose length isn't the commonest (ties: the
-    shortest), take no part. Ties go to the smaller vec_id; equal vectors are exact ties. A
-    query reads ``share`` of all cells, and all of them in tables of few different vectors. An empty table gives an empty one; other columns
-    are ignored. ``scanned`` entries of each bundle of cells are scored on original vectors.
+    shortest), take no part. Ties go to the smaller vec_id; equal vectors are exact ties.
+    Repeated rows count once, and a vec_id with several vectors stands for the least of them.
+    A query reads the cells that should hold ``expected`` of its nearest. ``scanned`` entries
+    of each bundle of cells are scored on original vectors, all of them where it has fewer.
+    An empty table gives an empty one; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("query")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not size:
-        return spark.createDataFrame([], result)
-    d = size[0]["d"]
-    rows = rows.where(F.size("v") == d)
+    rows, d = _rows(vectors, is_query)
+    if not d:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    entries = first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
-    total = rows.select("v").distinct().count()
+    entries = materialize(first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))  # k + 1 ids at most
+    total = entries.count()
     bound = max(1, min(SAMPLE_VECTORS, SAMPLE_FLOATS // d))
-    sample = np.array([r["v"] for r in entries.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(bound).collect()])
-    cells = int(max(1, min(MAX_CELLS, round(total**0.5), len(sample))))
-    index = fit(sample, cells)
-    probes = cells if total <= 8 * (k + 1) else min(cells, -(-int(cells * share * 1000) // 1000) + 1)
-    bundles = max(8, -(-2 * total // BLOCK))
+    h = F.pmod(F.xxhash64("v"), F.lit(1 << 32))
+    drawn = entries.select("v", h.alias("h")).where(F.col("h") < int(min(1.0, 1.2 * bound / total + 64 / total) * (1 << 32)))  # about the bound: no task gathers more
+    sample = np.array([r["v"] for r in drawn.orderBy("h", "v").limit(bound).collect()] or [entries.first()["v"]])
+    index = fit(sample, int(max(1, min(round(total**0.5), len(sample) // PER_CELL))))
     held = spark.sparkContext.broadcast(index)
     weight = score_aware_weight(d)
 
@@ -159,19 +242,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.7
                 x = _matrix(frame["v"]).astype(np.float32)
                 cell = nearest(x, known.cells)
                 unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-                codes = np.concatenate([encode(_padded(x[i : i + 2048] - known.cells[cell[i : i + 2048]], known.width), _padded(unit[i : i + 2048], known.width), known.code, weight) for i in range(0, len(x), 2048)])
-                yield frame.assign(cell=cell, bundle=cell % bundles, codes=[c.tobytes() for c in codes])
-
-    def probed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                rest = _padded(x - known.cells[cell], known.width)
+                codes = np.concatenate([encode(rest[i : i + 2048], _padded(unit[i : i + 2048], known.width), known.code, weight) for i in range(0, len(x), 2048)])
+                yield frame.assign(cell=cell, away=(rest.astype(float) ** 2).sum(1), codes=[c.tobytes() for c in paired_codes(codes)])
+
+    base = materialize(entries.mapInPandas(coded, "v array<double>, ids array<long>, cell int, away double, codes binary"))
+    sizes, widths = np.zeros(len(index.cells), np.int64), np.zeros(len(index.cells))
+    for r in base.groupBy("cell").agg(F.count("*").alias("n"), F.sum("away").alias("away")).collect():  # a row for each cell
+        sizes[r["cell"]], widths[r["cell"]] = r["n"], (r["away"] / r["n"] / d) ** 0.5
+    home, parts = _bundles(sizes)
+    table = spark.sparkContext.broadcast((sizes, widths, home, parts))
+
+    def asked_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = held.value
+        sizes, widths, home, parts = table.value
         for frame in frames:
-            if len(frame):
-                scores = _matrix(frame["v"]) @ known.cells.T.astype(float)
-                best = np.argpartition(-scores, probes - 1, axis=1)[:, :probes] if len(known.cells) else scores
-                out = []
-                for q, v, own in zip(frame["q"], frame["v"], best, strict=True):
-                    home = own % bundles
-                    out += [(b, q, v, own[home == b]) for b in np.unique(home)]
+            out = []
+            for start in range(0, len(frame), 256):
+                part = frame.iloc[start : start + 256]
+                own = cells_to_read(_matrix(part["v"]), known.cells.astype(float), sizes, widths, k + 1, expected)
+                for q, v, cells in zip(part["q"], part["v"], own, strict=True):
+                    cells = cells[sizes[cells] > 0]
+                    for b in np.unique(home[cells]):
+                        there = cells[home[cells] == b]
+                        out += [(b + i, q, v, there) for i in range(parts[there[0]])]
+            if out:
                 yield pd.DataFrame(out, columns=["bundle", "q", "v", "cells"])
 
     def scan(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -179,32 +274,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.7
         if len(queries) and len(entries):
             x = _matrix(entries["v"])
             codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(entries), -1)
-            cell = entries["cell"].to_numpy()
+            names, cell = np.unique(entries["cell"].to_numpy(), return_inverse=True)
             kept = min(len(entries), max(scanned, k + 1))
-            for start in range(0, len(queries), 256):
-                q = _matrix(queries["v"].iloc[start : start + 256])
-                parts = _padded(q, known.width).reshape(len(q), -1, known.width).astype(np.float32)
-                tables = np.einsum("qmw,mcw->qmc", parts, known.code)
-                read = np.zeros((len(q), len(known.cells)), bool)
-                for i, own in enumerate(queries["cells"].iloc[start : start + 256]):
-                    read[i, own] = True
-                near = np.where(read, (q @ known.cells.T.astype(float)), -np.inf).astype(np.float32)[:, cell]
+            step = max(1, min(256, (1 << 23) // len(entries)))
+            for start in range(0, len(queries), step):
+                q = _matrix(queries["v"].iloc[start : start + step])
+                tables = paired_tables(_padded(q, known.width).reshape(len(q), -1, known.width).astype(np.float32), known.code)
+                about = np.full((len(q), len(names)), -np.inf, np.float32)
+                for i, own in enumerate(queries["cells"].iloc[start : start + step]):
+                    own = np.flatnonzero(np.isin(names, own))
+                    about[i, own] = known.cells[names[own]] @ q[i]
+                near = about[:, cell]
                 for j in range(codes.shape[1]):
-                    near += tables[:, j][:, codes[:, j]]
+                    near += tables[:, j].take(codes[:, j], axis=1)
                 best = np.argpartition(-near, kept - 1, axis=1)[:, :kept]
                 exact = np.stack([x[b] @ v for b, v in zip(best, q, strict=True)])
                 exact[np.take_along_axis(near, best, 1) == -np.inf] = -np.inf
                 top = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
                 n = top.shape[1]
-                out.append(pd.DataFrame({"q": np.repeat(queries["q"].to_numpy()[start : start + 256], n), "score": np.take_along_axis(exact, top, 1).ravel(), "ids": entries["ids"].to_numpy()[np.take_along_axis(best, top, 1).ravel()]}))
-                out[-1] = out[-1][out[-1]["score"] > -np.inf]
+                rows = pd.DataFrame({"q": np.repeat(queries["q"].to_numpy()[start : start + step], n), "score": np.take_along_axis(exact, top, 1).ravel(), "ids": entries["ids"].to_numpy()[np.take_along_axis(best, top, 1).ravel()]})
+                out.append(rows[rows["score"] > -np.inf])
         return pd.concat(out) if out else pd.DataFrame({"q": pd.Series(dtype="int64"), "score": pd.Series(dtype=float), "ids": pd.Series(dtype=object)})
 
-    base = entries.mapInPandas(coded, "v array<double>, ids array<long>, cell int, bundle int, codes binary")
-    asked = rows.where("query").groupBy("v").agg(F.min("vec_id").alias("q"))  # equal queries are asked once
-    asks = asked.mapInPandas(probed, "bundle int, q long, v array<double>, cells array<int>")
-    query_blocks = max(1, -(-asked.count() // 16_384))  # each reads a bundle anew
-    dealt = base.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = materialize(rows.where("query").groupBy("v").agg(F.min("vec_id").alias("q")))  # equal queries are asked once
+    asks = asked.mapInPandas(asked_of, "bundle int, q long, v array<double>, cells array<int>")
+    query_blocks = max(1, -(-asked.count() // QUERIES))  # each reads a bundle anew
+    places = spark.createDataFrame([(int(c), int(a), int(n)) for c, (a, n) in enumerate(zip(home, parts, strict=True))], "at int, home int, parts int")
+    dealt = base.join(F.broadcast(places), F.col("cell") == F.col("at")).withColumn("bundle", (F.col("home") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int"))  # a row for each cell
+    dealt = dealt.select("bundle", "v", "ids", "cell", "codes", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     sent = asks.withColumn("query_block", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int"))
     key = ["bundle", "query_block"]
     found = sent.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(scan, "q long, score double, ids array<long>")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,13 @@ _OWN: dict[str, str] = {}  # folders made where none is set, by application
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by the driver and all executors: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a single machine) a new local folder is made.
+    Only where it is unset on a single machine (tests) a new local folder is made; on a
+    cluster each executor would write to a disk of its own, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         name = spark.sparkContext.applicationId
         if name not in _OWN:
             _OWN[name] = "file://" + tempfile.mkdtemp(prefix="stressframe-")
@@ -31,21 +36,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Setting under which the shuffle files of a plan go when it has run.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Plans run inside drop their shuffle files when they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a DataFrame that reads it.
 
-    Cuts lineage and survives lost executors. The files go when the driver's
-    Hadoop file system is closed at exit.
+    Cuts lineage and survives lost executors. The files go by ``release``, or when the
+    driver's Hadoop file system is closed at exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/part-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    gc.collect()
-    jvm.System.gc()  # Spark drops the shuffle files of plans that nothing refers to any more
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` gave, when nothing is to read them any more."""
+    for df in tables:
+        files, at = _path(df.sparkSession, df._stored_at)
+        files.delete(at, True)
 
 
 #: Slots of ``split_by``; this bounds what it broadcasts.

@@ -117,6 +117,54 @@ def test_neighbours_on_odd_input(spark):
     assert ann.search(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def ranked(spark, rows, k=5, **options):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=k, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(12)]
+    want = {q: [j for _, j in v] for q, v in exact(rows, 6).items()}
+    assert ranked(spark, rows + [rows[0], rows[0], rows[3]], 6) == want
+    several = [*rows, (0, (np.array(rows[0][1]) + 1).tolist())]  # the least of its vectors stands for an id
+    assert ranked(spark, several, 6) == want
+
+
+@pytest.mark.parametrize("bundle", [32_768, 64])
+def test_neighbours_in_clusters_and_a_dense_cell(spark, monkeypatch, bundle):
+    """Recall by few cells where there is structure; a third of all entries in one cell, cut by a hash."""
+    monkeypatch.setattr(ann, "BUNDLE", bundle)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 12))
+    x = np.concatenate([centres[rng.integers(0, 30, 1400)] + 0.2 * rng.normal(size=(1400, 12)), centres[0] + 0.02 * rng.normal(size=(700, 12))])
+    rows = list(enumerate(x.tolist()))
+    want = exact(rows, 10)
+    got = ranked(spark, rows, 10)
+    assert all(len(v) == 10 for v in got.values()) and set(got) == set(want)
+    assert sum(len(set(got[q]) & {j for _, j in want[q]}) for q in want) >= 0.95 * 10 * len(want)
+
+
+def test_cells_foretold():
+    """In clustered vectors few cells hold the nearest; without structure the share foretold is read."""
+    rng = np.random.default_rng(7)
+    for spread, most in ((0.1, 0.1), (10.0, 1.0)):
+        centres = rng.normal(size=(40, 16))
+        x = centres[rng.integers(0, 40, 4000)] + spread * rng.normal(size=(4000, 16))
+        cells = ann.k_means(x.astype(np.float32), 60)
+        own = ann.nearest(x.astype(np.float32), cells)
+        sizes = np.bincount(own, minlength=60)
+        widths = np.sqrt(np.bincount(own, ((x - cells[own]) ** 2).sum(1), minlength=60) / np.maximum(sizes, 1) / 16)
+        top = np.argsort(-(x[:100] @ x.T), axis=1)[:, :21]
+        read = ann.cells_to_read(x[:100], cells.astype(float), sizes, widths, 21)
+        assert np.mean([np.isin(own[t], r).mean() for t, r in zip(top, read)]) >= 0.92
+        assert np.mean([sizes[r].sum() for r in read]) <= most * len(x)
+    assert np.allclose(ann.beyond(np.array([-1.0, 0.0, 1.0, 6.0])), [0.8413447461, 0.5, 0.1586552539, 9.8658765e-10], rtol=1e-6)
+
+
 def test_score_aware_code_favours_parallel_error():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 16)).astype(np.float32)
