@@ -14,6 +14,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,15 +23,19 @@ from pyspark.sql import DataFrame
 
 #: Elements of HTML by the role they have here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select object".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SECTIONS = frozenset("article aside body div footer form header main nav section table ul ol dl".split())
 CLOSES_P = BLOCK - frozenset("body caption head html td th tr tbody thead tfoot li dd dt option optgroup legend summary figcaption".split())
 #: Elements that an opening tag ends, and where the search for them stops.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
-NEVER = frozenset("head title script style noscript template textarea select iframe svg math object form button".split())
+NEVER = frozenset("head title script style noscript template textarea select iframe svg object form button".split())
+#: Parameter: a form with this share of the page's text, and a paragraph or section in it, is the page's frame and no form of its own.
+FRAME = 0.9
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAMED = re.compile(r"<(/?)[a-zA-Z]")
+AFTER_NAME = re.compile(r"[\s/>\x00]")
+MARKS = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -49,75 +54,186 @@ class Node:
     label: int = 0
 
 
-def parse(page: str) -> list[Node]:
-    """Elements in page order, the first a root without a tag. Never fails: unclosed elements end with their parent, stray end tags go."""
-    nodes, stack, at = [Node("", -1)], [0], 0
-    raw_end = None
-
-    def pop_to(depth: int) -> None:
-        del stack[depth:]
+class Tags:
+    """Tags, comments and declarations of a page, found in one pass.
 
-    def add_text(run: str) -> None:
-        if run:
-            nodes[stack[-1]].parts.append(run)
+    A tag ends at the first '>' outside quotes; a '<' whose tag never ends is text. Whether
+    it ends depends on the place alone, so places from which there is no end are kept and
+    each mark of the page is looked at once, however many tags are left open.
+    """
 
-    while True:
-        if raw_end:
-            found = re.compile(rf"</{re.escape(raw_end)}\s*>", re.I).search(page, at)
-            add_text(page[at : found.start()] if found else page[at:])
-            if not found:
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.marks: list[int] | None = None  # places of '>' and quotes, listed when first needed
+        self.endless: set[int] = set()  # of those, the ones after which, outside quotes, no '>' comes
+        self.last = page.rfind(">")
+        self.run = (0, 0)  # a run of characters without an end of a name
+
+    def name_end(self, at: int) -> int:
+        """Where a name that has a character at ``at`` ends."""
+        if not self.run[0] <= at < self.run[1]:
+            found = AFTER_NAME.search(self.page, at)
+            self.run = (at, found.start() if found else len(self.page))
+        return self.run[1]
+
+    def tag(self, name: int) -> tuple[int, int]:
+        """(end of the name, place of the '>') of the tag whose name begins at ``name``; -1 if it never ends. A name ends before a quote where it otherwise has no end."""
+        stop = self.name_end(name)
+        close = self.end(stop)
+        if close < 0 and self.marks is not None:
+            k = bisect_left(self.marks, name)
+            if k < len(self.marks) and self.marks[k] < stop:
+                return self.marks[k], self.end(self.marks[k])
+        return stop, close
+
+    def end(self, at: int) -> int:
+        """Place of the '>' that ends a tag whose name ends at ``at``, -1 if there is none."""
+        page = self.page
+        if at > self.last:
+            return -1
+        found = page.find(">", at)
+        if not ('"' in page[at:found] or "'" in page[at:found]) if found - at < 1 << 12 else False:
+            return found
+        if self.marks is None:
+            self.marks = [m.start() for m in MARKS.finditer(page)]
+        k, seen = bisect_left(self.marks, at), []
+        while k < len(self.marks) and self.marks[k] not in self.endless:
+            mark = self.marks[k]
+            if page[mark] == ">":
+                return mark
+            seen.append(mark)
+            close = page.find(page[mark], mark + 1)
+            if close < 0:
                 break
-            stack.pop()
-            raw_end, at = None, found.end()
-            continue
-        found = TAG.search(page, at)
-        if not found:
-            add_text(html.unescape(page[at:]))
-            break
-        if found.start() > at:
-            add_text(html.unescape(page[at : found.start()]))
-        at = found.end()
-        if not found[2]:
-            continue
-        tag = found[2].lower()
-        if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[depth]].tag
-                if open_tag == tag:
-                    pop_to(depth)
-                    break
-                if tag not in BLOCK and open_tag in BLOCK:
-                    break  # an inline end tag never closes a block
-            continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[depth]].tag
-                if open_tag == "p":
-                    pop_to(depth)
-                    break
-                if open_tag in BLOCK:
-                    break
+            k = bisect_left(self.marks, close) + 1
+        self.endless.update(seen)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, '/' of an end tag, name, attributes) in page order; comments and declarations have no name."""
+        page, at = self.page, 0
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return
+            after = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                close = page.find("-->", at + 4)
+                stop, slash, name, rest = (len(page) if close < 0 else close + 3), "", "", ""
+            elif after in ("!", "?"):
+                close = page.find(">", at + 1) if at < self.last else -1
+                stop, slash, name, rest = close + 1, "", "", ""
+            else:
+                found = NAMED.match(page, at)
+                named, close = self.tag(found.end() - 1) if found else (0, -1)
+                stop, slash, name, rest = close + 1, *((found[1], page[found.end() - 1 : named].lower(), page[named:close]) if close >= 0 else ("", "", ""))
+            if not stop:
+                at += 1
+                continue
+            skip = yield at, stop, slash, name, rest
+            at = stop if skip is None else skip
+
+
+def _words(attributes: str) -> tuple[str, ...]:
+    out = []
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if "hidden" in name and (value or "true") != "false":
+            out.append(name)
+        else:
+            out += re.findall(r"[a-z]+", value.lower())
+    return tuple(out)
+
+
+class Open:
+    """The elements that are open, and for each tag and for blocks where the innermost stands."""
+
+    def __init__(self) -> None:
+        self.stack, self.tags = [0], [""]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def innermost(self, tags) -> int:
+        return max((p[-1] for p in map(self.places.get, tags) if p), default=-1)
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+        self.tags.append(tag)
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.stack.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def closed(self, tag: str) -> None:
+        """An end tag: closes the innermost such element; an inline one never closes a block."""
+        depth = self.innermost((tag,))
+        if depth > 0 and (tag in BLOCK or not self.blocks or depth > self.blocks[-1]):
+            self.pop_to(depth)
+
+    def opened(self, tag: str) -> None:
+        """What a start tag ends."""
+        if tag in CLOSES_P and self.blocks and self.tags[self.blocks[-1]] == "p":
+            self.pop_to(self.blocks[-1])
         if tag in ENDED_BY:
             ended, stops = ENDED_BY[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[depth]].tag
-                if open_tag in ended:
-                    pop_to(depth)
-                    break
-                if open_tag in stops:
-                    break
-        words: tuple[str, ...] = ()
-        if found[3]:
-            words = tuple(w for m in ATTRIBUTE.finditer(found[3]) for w in ([m[1].lower()] if "hidden" in m[1].lower() and (m[2] or m[3] or m[4] or "true") != "false" else re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())))
-        nodes.append(Node(tag, stack[-1], words))
-        nodes[stack[-1]].parts.append(len(nodes) - 1)
-        if tag not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append(len(nodes) - 1)
-            if tag in RAW:
-                raw_end = tag
+            depth = self.innermost(ended)
+            if depth > self.innermost(stops):
+                self.pop_to(depth)
+
+
+def parse(page: str) -> list[Node]:
+    """Elements in page order, the first a root without a tag. Never fails: unclosed elements end with their parent, stray end tags go. Takes time in proportion to the page, however broken."""
+    nodes, held, at = [Node("", -1)], Open(), 0
+
+    def add_text(run: str) -> None:
+        if run:
+            nodes[held.stack[-1]].parts.append(run)
+
+    tags = iter(Tags(page))
+    found = next(tags, None)
+    while found:
+        start, stop, slash, tag, attributes = found
+        add_text(html.unescape(page[at:start]))
+        at, skip = stop, None
+        if slash:
+            held.closed(tag)
+        elif tag:
+            held.opened(tag)
+            nodes.append(Node(tag, held.stack[-1], _words(attributes) if attributes else ()))
+            nodes[held.stack[-1]].parts.append(len(nodes) - 1)
+            if tag in RAW and not attributes.rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if at < (close.start() if close else len(page)):
+                    nodes[-1].parts.append(page[at : close.start()] if close else page[at:])
+                at = skip = close.end() if close else len(page)
+            elif tag not in VOID and not attributes.rstrip().endswith("/"):
+                held.push(len(nodes) - 1, tag)
+        found = _sent(tags, skip)
+    add_text(html.unescape(page[at:]))
+    _measured(nodes)
+    return nodes
+
+
+def _sent(tags, skip: int | None):
+    try:
+        return tags.send(skip)
+    except StopIteration:
+        return None
+
+
+def _measured(nodes: list[Node]) -> None:
+    """Amounts of text below each element; a form that is the page's frame becomes a plain block."""
+    framed = [n.tag in ("p", "article", "main", "section") for n in nodes]
     for i in range(len(nodes) - 1, -1, -1):
         n = nodes[i]
-        if n.tag not in NEVER:
+        if n.tag not in NEVER or n.tag == "form":
             for part in n.parts:
                 if isinstance(part, str):
                     size = len(part.strip())
@@ -127,8 +243,11 @@ def parse(page: str) -> list[Node]:
             n.linked = n.text
         if n.parent >= 0:
             up = nodes[n.parent]
+            framed[n.parent] |= framed[i]
             up.text, up.linked, up.stops = up.text + n.text, up.linked + n.linked, up.stops + n.stops
-    return nodes
+    for i, n in enumerate(nodes):
+        if n.tag == "form" and framed[i] and n.text >= FRAME * nodes[0].text:
+            n.tag = "div"
 
 
 def _bucket(value: float, edges: tuple[float, ...]) -> int:

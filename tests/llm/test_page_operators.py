@@ -1,6 +1,9 @@
 """Operators on pages and vectors."""
 
 import math
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -81,6 +84,59 @@ def test_extraction(model, spark):
     assert html_extraction.extract_pages(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<a ", "<p x='", "<a", "<a'", '<a b="', "<!", "<", "</", "<div>", "<td><li>", "<u><i>", "</p>", "<!--"])
+def test_broken_pages_take_time_in_proportion(part):
+    """A third of a megabyte of one open tag; also with an end after all of them."""
+    began = time.process_time()
+    for page in (part * (300_000 // len(part)), "<li>" + part * (300_000 // len(part)) + ">" + "</u>" * 1000):
+        assert html_extraction.parse(page)
+    assert time.process_time() - began < 8
+
+
+def brute_tags(page):
+    """(start, end, '/', name, attributes) of every tag, each looked for from its own '<' alone."""
+    out, at = [], 0
+    while (at := page.find("<", at)) >= 0:
+        m = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>\x00\"']*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S).match(page, at)
+        if m:
+            out.append((m.start(), m.end(), m[1] or "", (m[2] or "").lower(), m[3] or ""))
+        at = m.end() if m else at + 1
+    return out
+
+
+def test_tags_of_broken_pages():
+    rng = random.Random(3)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<", ">", '"', "'", "<a ", "</b>", "x", " ", "=", "<!--", "-->", "<!", "<p c='d'>", "/"]) for _ in range(rng.randint(0, 25)))
+        if not re.search(r"""<[^\s/>]*["']""", page):  # quotes in names are the only difference
+            assert list(html_extraction.Tags(page)) == brute_tags(page), page
+
+
+def test_form_as_frame_and_formulas(model):
+    body = "".join(f"<p>Sentence number {i}, with some more words to read, and an end.</p>" for i in range(12))
+    framed = f"<html><body><form id='aspnetForm' action='x'><div class='content'><h1>A heading</h1>{body}</div></form></body></html>"
+    assert html_extraction.extract(framed, model).count("Sentence") == 12
+    beside = f"<html><body><article><h1>A heading</h1>{body}</article><form><p>Leave your address, please.</p></form></body></html>"
+    assert "address" not in html_extraction.extract(beside, model) and html_extraction.extract(beside, model).count("Sentence") == 12
+    formula = f"<article><p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here, as said.</p>{body}</article>"
+    assert "The energy is E=m here, as said." in html_extraction.extract(formula, model)
+
+
+LAYOUTS = [  # (page, lines of its article): written by hand, apart from the generator of the training pages
+    ("<body><table><tr><td class=leftnav><a href=1>Home</a><br><a href=2>Shop</a><br><a href=3>About us</a></td><td><h2>On bees</h2><p>Bees live in hives, and gather nectar from flowers.</p><p>In winter they rest; in spring they fly again.</p></td></tr></table><div id=footer>Copyright 2001, all rights reserved. <a href=4>Imprint</a></div></body>", ["On bees", "Bees live in hives, and gather nectar from flowers.", "In winter they rest; in spring they fly again."]),
+    ("<header><a href=/>Daily</a><nav><a href=a>World</a> <a href=b>Sport</a></nav></header><main><article><h1>Rain expected</h1><p>Heavy rain is expected in the north tonight, the weather office said.</p><aside class='related'><a href=x>More on rain</a></aside><p>Drivers should take care, it added.</p></article></main><section id='comments'><h3>Comments</h3><p>I do not like rain, says a reader.</p></section><footer><p>Subscribe to our newsletter.</p></footer>", ["Rain expected", "Heavy rain is expected in the north tonight, the weather office said.", "Drivers should take care, it added."]),
+    ("<div id='wrap'><div id='menu'><ul><li><a href='1'>One</a><li><a href='2'>Two</a></ul></div><div class='entry-content'><p>To cook rice, wash it first, then boil it gently.</p><ol><li>Wash the rice in cold water.<li>Boil it for twelve minutes.</ol><pre>rice 1\nwater 2</pre></div><div class='sidebar'><h4>Popular</h4><a href='3'>Ten soups</a></div></div>", ["To cook rice, wash it first, then boil it gently.", "Wash the rice in cold water.", "Boil it for twelve minutes.", "rice 1 water 2"]),
+    ("<div class='cookie-banner'><p>We use cookies, as everyone does.</p><button>OK</button></div><div role='main'><h1>Install</h1><p>Download the archive, unpack it and run the program.</p><blockquote>It is easy, they say.</blockquote></div><div class='ads'><p>Buy shoes now, half the price.</p></div>", ["Install", "Download the archive, unpack it and run the program.", "It is easy, they say."]),
+]
+
+
+def test_lines_of_hand_written_layouts(model):
+    """Precision and recall of lines on layouts that are not the generator's."""
+    found = [html_extraction.extract(page, model).split("\n") for page, _ in LAYOUTS]
+    right = sum(len(set(f) & set(w)) for f, (_, w) in zip(found, LAYOUTS))
+    assert right >= 0.85 * sum(len(w) for _, w in LAYOUTS) and right >= 0.85 * sum(map(len, found)), found
+
+
 def exact(rows, k, every=20):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
