@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 #: Parameters: floats and vectors of the training sample at most; sampled vectors for a cell at least; entries of a bundle about; queries of a block about.
-SAMPLE_FLOATS, SAMPLE_VECTORS, PER_CELL, BUNDLE, QUERIES = 4_000_000, 20_000, 4, 32_768, 16_384
+SAMPLE_FLOATS, SAMPLE_VECTORS, PER_CELL, BUNDLE, QUERIES = 4_000_000, 20_000, 4, 8192, 16_384
 #: Parameters: threshold of the score-aware loss; share of the nearest that the cells read are expected to hold.
 THRESHOLD, EXPECTED = 0.2, 0.96
 

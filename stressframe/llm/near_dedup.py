@@ -16,21 +16,22 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, split_by
+from .common import materialize, release, split_by
 
 #: Parameters: words of a shingle, least similarity, (sketches, shingles of a sketch) of all texts and of short ones, shingles of a short text at most.
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, SHORT_SKETCHES, SHORT = (40, 6), (12, 2), 50
 #: Buckets up to this size give all pairs; in larger ones each text first meets so many before it, and the hub.
 SMALL_BUCKET, BEFORE = 16, 2
+#: Matches for each shingle up to which an alignment goes from match to match.
+FEW = 4
 #: Texts of a block when what is left of a larger bucket is compared, and shingles counted at a time.
 BLOCK, COLUMNS = 256, 4096
 
@@ -109,7 +110,9 @@ def sketches(x: np.ndarray) -> np.ndarray:
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Longest common subsequence of two sequences within a band about the diagonal.
 
-    Common ends are taken at once; the rest is the longest increasing chain of matches.
+    Common ends are taken at once. The rest is the longest increasing chain of matches where
+    matches are few, else (in texts that repeat themselves) a row of the table at a time in
+    the bits of an integer; both give the same.
     """
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
@@ -122,6 +125,11 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
         return head + tail
     order = np.argsort(b, kind="stable")
     left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    way = _chained if int((right - left).sum()) <= FEW * (len(a) + len(b)) else _by_bits
+    return head + tail + way(order, left, right, len(b), band)
+
+
+def _chained(order: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, band: int) -> int:
     chain: list[int] = []
     for i in np.flatnonzero(right > left).tolist():
         for j in order[left[i] : right[i]][::-1].tolist():  # from the right, so that one shingle is used once
@@ -131,7 +139,36 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
                     chain.append(j)
                 else:
                     chain[at] = j
-    return head + tail + len(chain)
+    return len(chain)
+
+
+def _by_bits(order: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, band: int) -> int:
+    """A bit for each place of the second sequence in the band: 0 where the row's count goes up there."""
+    band = min(band, max(n, len(left)))
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    row, low, found = full, -band, 0  # the band's bits now, the place of the lowest, ups that have left the band
+    masks: dict[int, int] = {}  # of shingles with many places: all of them
+    for i, (lo, hi) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        if i - band > low:
+            found += not row & 1
+            row, low = row >> 1 | 1 << (width - 1), low + 1
+        if hi - lo > 64:
+            mask = masks.get(lo)
+            if mask is None:
+                bits = np.zeros(n, np.uint8)
+                bits[order[lo:hi]] = 1
+                mask = masks[lo] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            mask = (mask >> low if low >= 0 else mask << -low) & full
+        else:
+            mask = 0
+            for j in order[lo:hi].tolist():
+                if abs(i - j) <= band:
+                    mask |= 1 << (j - low)
+        if mask:
+            met = row & mask
+            row = ((row + met) | (row - met)) & full
+    return found + width - row.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
@@ -147,6 +184,11 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return got / (n + m - got)
 
 
+def digest(text: Column) -> Column:
+    """What tells texts apart; null is empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def sketched(documents: DataFrame) -> DataFrame:
     """doc_id, digest of the text and keys of its sketches for every row with a doc_id."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -155,28 +197,36 @@ def sketched(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                keys = [sketches(shingles(t)) for t in texts]
-                digests = [blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() for t in texts]
+                keys = [sketches(shingles(t)) for t in part.column(2).to_pylist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(k) for k in keys]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "digest", "keys"])
 
-    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, digest binary, keys array<long>")
+    return documents.select("doc_id", digest(F.col("text")).alias("digest"), "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, digest string, keys array<long>")
+
+
+def distinct_texts(found: DataFrame) -> DataFrame:
+    """id, digest, rep (the least doc_id), keys and copies of each text of ``sketched`` with a word; equal ones are joined in tasks first."""
+    each = found.where(F.size("keys") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    return materialize(each.withColumn("id", F.monotonically_increasing_id()))
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """key, doc_id, other (the key that orders the bucket) and n of every bucket of two or more texts (doc_id, keys)."""
-    spread = texts.select("doc_id", "keys", F.posexplode("keys").alias("i", "key")).select("key", "doc_id", F.element_at("keys", (F.col("i") + 1) % F.size("keys") + 1).alias("other"))
+    """key, id, other (the key that orders the bucket) and n of every bucket of two or more texts (id, keys)."""
+    spread = texts.select("id", "keys", F.posexplode("keys").alias("i", "key")).select("key", "id", F.element_at("keys", (F.col("i") + 1) % F.size("keys") + 1).alias("other"))
     counts = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return materialize(spread.join(counts, "key"))
 
 
 def candidates(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of texts that share a bucket: all of a small one, neighbours and the hub of a larger one."""
-    kind = shared.schema["doc_id"].dataType.simpleString()
-    weights = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    hubs = shared.where(F.col("n") > SMALL_BUCKET).join(weights, "doc_id").groupBy("key").agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("hub"))
-    to_hub = shared.where(F.col("n") > SMALL_BUCKET).join(hubs, "key").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+    """Pairs (a, b), a < b, of texts that share a bucket: all of a small one, neighbours and the hub of a larger one.
+
+    Small buckets are dealt by key, larger ones by ranges of their order, so that none has to
+    be in one task; the few neighbours that a range parts are left to ``remaining``.
+    """
+    large, small = shared.where(F.col("n") > SMALL_BUCKET), shared.where(F.col("n") <= SMALL_BUCKET)
+    weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = large.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("hub"))
+    to_hub = large.join(hubs, "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last rows seen
@@ -194,29 +244,41 @@ def candidates(shared: DataFrame) -> DataFrame:
             held = [x[-SMALL_BUCKET:] for x in (key, doc, n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    ordered = shared.repartition("key").sortWithinPartitions("key", "other", "doc_id").select("key", "doc_id", "n")
-    beside = ordered.mapInArrow(near, f"a {kind}, b {kind}")
-    return beside.union(to_hub).where("a < b").distinct()
+    out = to_hub
+    for rows in (small.repartition("key"), large.repartitionByRange("key", "other", "id")):
+        ordered = rows.sortWithinPartitions("key", "other", "id").select("key", "id", "n")
+        out = out.union(ordered.mapInArrow(near, "a long, b long"))
+    return out.where("a < b").distinct()
 
 
-def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def texts_of(documents: DataFrame, texts: DataFrame, ids: DataFrame, again: bool) -> DataFrame:
+    """(id, text) of the ``texts`` whose id is among ``ids``; the texts of all other rows stay where they are.
+
+    ``again`` says that a row may be there more than once.
+    """
+    named = texts.join(ids.distinct(), "id", "left_semi").select("id", F.col("digest").alias("of"), "rep", F.xxhash64("digest", "rep").alias("slot"))
+    rows = documents.select(digest(F.col("text")).alias("digest"), "doc_id", "text")
+    rows = split_by(rows, F.xxhash64("digest", "doc_id"), named, "slot")[1]
+    out = rows.join(named, (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("id", "text")
+    return out.dropDuplicates(["id"]) if again else out
+
+
+def verified(pairs: DataFrame, documents: DataFrame, texts: DataFrame, again: bool = True) -> DataFrame:
     """The pairs whose texts are similar, with their similarity."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = split_by(documents.select("doc_id", "text"), F.col("doc_id"), ends, "doc_id")[1]
-    left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    known = texts_of(documents, texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), again)
+    left = pairs.join(known.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+    both = left.join(known.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict = OrderedDict()
 
-        def of(doc, text: str) -> np.ndarray:
-            found = known.pop(doc, None)
+        def of(number: int, text: str) -> np.ndarray:
+            found = known.pop(number, None)
             if found is None:
                 found = shingles(text)
                 if len(known) >= 512:
                     known.popitem(last=False)
-            known[doc] = found
+            known[number] = found
             return found
 
         for batch in batches:
@@ -225,9 +287,9 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 part = batch.slice(start, 256)
                 s += [similarity(of(i, x), of(j, y)) for i, j, x, y in zip(a[start:], b[start:], part.column(2).to_pylist(), part.column(3).to_pylist(), strict=False)]
             kept = [k for k, v in enumerate(s) if v >= SIMILAR]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], batch.schema.field(0).type), pa.array([b[k] for k in kept], batch.schema.field(1).type), pa.array([s[k] for k in kept], pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64()), pa.array([s[k] for k in kept], pa.float64())], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def overlaps(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -283,21 +345,36 @@ def compared(blocks: np.ndarray, ids: list, keys: list[np.ndarray], texts: list[
     return links
 
 
-def remaining(shared: DataFrame, texts: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+def blocks_of(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block, pairs of blocks to compare) of large buckets (key, id, class_id) with several classes.
+
+    A class of BLOCK texts or more in a bucket has blocks of its own, the others share some;
+    texts are dealt to blocks by a hash, from counts alone. Every two blocks of a bucket are
+    a pair, but for those of one class.
+    """
+    sizes = materialize(large.groupBy("key", "class_id").agg(F.count("*").alias("size")))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
+    named = sizes.join(mixed, "key", "left_semi").withColumn("home", F.when(F.col("size") >= BLOCK, F.col("class_id")).otherwise(F.lit(-1)))
+    homes = named.groupBy("key", "home").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("parts"))
+    placed = large.join(named.select("key", "class_id", "home"), ["key", "class_id"]).join(homes, ["key", "home"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("key", "id", "class_id", "home", "part")
+    other = homes.withColumnsRenamed({"key": "key2", "home": "home2", "parts": "parts2"})
+    met = homes.join(other, (F.col("key") == F.col("key2")) & ((F.col("home") < F.col("home2")) | ((F.col("home") == F.col("home2")) & (F.col("home") == -1))))
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    met = met.where((F.col("home") < F.col("home2")) | (F.col("i") <= F.col("j"))).select("key", F.struct("home", "i").alias("first"), F.struct(F.col("home2").alias("home"), F.col("j").alias("i")).alias("second"))
+    return placed, met
+
+
+def remaining(shared: DataFrame, texts: DataFrame, documents: DataFrame, classes: DataFrame, again: bool = True) -> DataFrame:
     """Links (a, b) between texts of different ``classes`` (id, class_id) that share a large bucket.
 
-    Each such bucket is ordered by class and cut in blocks; every two blocks that are not of
-    one class only are compared in a task of their own, which hands on no more links than join classes.
+    Each such bucket is cut in blocks; every two blocks that are not of one class only are
+    compared in a task of their own, which hands on no more links than join classes.
     """
-    kind = shared.schema["doc_id"].dataType.simpleString()
-    large = shared.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id").join(classes.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    large = materialize(large)
-    mixed = large.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("key")
-    placed = materialize(large.join(mixed, "key").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("class_id", "doc_id")) - 1) / BLOCK).cast("int")))
-    ends = placed.groupBy("key", "block").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
-    other = ends.withColumnsRenamed({"key": "key2", "block": "j", "lo": "lo2", "hi": "hi2"})
-    pairs = ends.withColumnRenamed("block", "i").join(other, (F.col("key") == F.col("key2")) & (F.col("i") <= F.col("j")) & (F.least("lo", "lo2") != F.greatest("hi", "hi2"))).select("key", "i", "j")
-    pairs = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    large = shared.where(F.col("n") > SMALL_BUCKET).select("key", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    placed, met = blocks_of(materialize(large))
+    placed, met = materialize(placed), materialize(met)
+    each = met.select("key", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("own")).select("key", "first", "second", F.col("own.home").alias("home"), F.col("own.i").alias("part"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,30 +382,32 @@ def remaining(shared: DataFrame, texts: DataFrame, documents: DataFrame, classes
                 part = batch.slice(start, 256)
                 found = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "shingles"])
 
-    used = placed.select("doc_id").distinct()
-    found = split_by(documents.select("doc_id", "text"), F.col("doc_id"), used, "doc_id")[1].distinct().mapInArrow(shingled, f"doc_id {kind}, shingles array<long>")
-    rows = placed.join(pairs, ["key", "block"]).join(texts.select("doc_id", "keys"), "doc_id").join(found, "doc_id")
+    found = texts_of(documents, texts, placed.select("id"), again).mapInArrow(shingled, "id long, shingles array<long>")
+    rows = placed.join(each, ["key", "home", "part"]).join(texts.select("id", "keys"), "id").join(found, "id")
+    second = (F.col("home") == F.col("second.home")) & (F.col("part") == F.col("second.i"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         lists = [[x.values.to_numpy() for x in group.column(c)] for c in ("keys", "shingles")]
-        links = compared(group.column("block").to_numpy(), group.column("doc_id").to_pylist(), lists[0], [x.view(np.uint64) for x in lists[1]], group.column("class_id").to_pylist(), group.column("key")[0].as_py())
-        of = group.schema.field("doc_id").type
-        return pa.table({"a": pa.array([a for a, _ in links], of), "b": pa.array([b for _, b in links], of)})
+        links = compared(group.column("block").to_numpy(), group.column("id").to_pylist(), lists[0], [x.view(np.uint64) for x in lists[1]], group.column("class_id").to_pylist(), group.column("key")[0].as_py())
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return rows.select("key", "i", "j", "block", "doc_id", "class_id", "keys", "shingles").groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    chosen = rows.select("key", "first", "second", second.cast("int").alias("block"), "id", "class_id", "keys", "shingles")
+    return chosen.groupBy("key", "first", "second").applyInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, class_id) for every end of ``links`` (a, b): the least id it is joined to.
 
-    Large-star and small-star steps; every step is a table in the shared folder.
+    Large-star and small-star steps until nothing changes; every step is a table in the
+    shared folder, and the one before it goes.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    last = None
-    for _ in range(rounds):
+    last, state = None, ()
+    while state != last:
+        last, before = state, edges
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -336,38 +415,50 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = materialize(small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
+        release(before)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("class_id"))).distinct()
 
 
+#: Of all rows, one text must have more than this share for its copies to be joined to their class without a shuffle; so many texts at most are broadcast.
+HOT = 1 / 1000
+
+
 def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, class_id, kept for every row of ``documents`` (doc_id, text).
 
     class_id is the least doc_id of the texts that are equal or linked, in steps, by a
     similarity of SIMILAR or more; kept marks the row whose doc_id it is. Texts without a
     word (null, empty, white space) stand alone, and are kept. Rows that repeat a doc_id
-    with different texts are one document of both. A null doc_id has a null class and is
-    kept. An empty table gives an empty one; other columns are ignored.
+    with different texts are one document of all of them, and join their classes. A null
+    doc_id has a null class and is kept. An empty table gives an empty one; other columns
+    are ignored.
     """
     found = materialize(sketched(documents))
-    worded = found.where(F.size("keys") > 0)
-    copies = worded.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = worded.select("doc_id", "digest").join(copies, "digest").select("doc_id", "rep").distinct()
-    firsts = worded.join(copies.withColumnsRenamed({"digest": "of"}), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "keys").dropDuplicates(["doc_id"])
-    shared = buckets(firsts)
-    links = materialize(verified(materialize(candidates(shared)), documents).select("a", "b"))
-    more = members.where("doc_id != rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.col("doc_id").alias("b"))  # a doc_id with several texts joins their groups
+    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1"))
+    again, several = not ids.isEmpty(), ids.where("lo != hi").select("doc_id")
+    texts = distinct_texts(found)
+    shared = buckets(texts)
+    links = materialize(verified(materialize(candidates(shared)), documents, texts, again).select("a", "b"))
+    own = found.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(texts.select("digest", "id"), "digest")
+    own = materialize(own.select("doc_id", "id", F.min("id").over(Window.partitionBy("doc_id")).alias("first")))
+    more = own.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))  # a doc_id with several texts joins their groups
     classes = components(links.union(more))
-    further = materialize(remaining(shared, firsts, documents, classes))
+    further = materialize(remaining(shared, texts, documents, classes, again))
     if not further.isEmpty():
         classes = components(links.union(more).union(further))
-    of_rep = members.join(classes.withColumnsRenamed({"id": "rep"}), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
-    of_doc = of_rep.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    out = documents.select("doc_id").join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    release(shared)
+    rooted = texts.select("id", "digest", "rep", "copies").join(classes, "id", "left").withColumn("root", F.coalesce("class_id", "id")).drop("class_id")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = materialize(rooted.join(least, "root").where("copies > 1 or class_id != rep").select("id", "digest", "class_id", "copies"))  # other texts are classes of their own
+    hot = named.where(F.col("copies") > F.lit(HOT) * found.count()).select(F.col("digest").alias("__of"), F.col("class_id").alias("__hot"))  # 1 / HOT texts at most
+    warm = found.select("doc_id", "digest").join(F.broadcast(hot), F.col("digest") == F.col("__of"), "left")
+    cold = F.when(F.col("__hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string")))  # rows that are done meet nothing, anywhere
+    joined = warm.withColumn("__cold", cold).join(named.select(F.col("digest").alias("__cold"), "class_id"), "__cold", "left")
+    out = joined.select("doc_id", F.coalesce("__hot", "class_id", "doc_id").alias("class_id"))
+    if again:  # rows of one doc_id have one class, that of its texts with words
+        of_doc = own.groupBy("doc_id").agg(F.min("first").alias("id")).join(named, "id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("__class"))
+        out = out.join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("__class", "class_id").alias("class_id"))
+    out = out.union(documents.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
     return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
 
 

@@ -190,7 +190,7 @@ def test_neighbours_of_repeated_rows(spark):
     assert ranked(spark, several, 6) == want
 
 
-@pytest.mark.parametrize("bundle", [32_768, 64])
+@pytest.mark.parametrize("bundle", [8192, 64])
 def test_neighbours_in_clusters_and_a_dense_cell(spark, monkeypatch, bundle):
     """Recall by few cells where there is structure; a third of all entries in one cell, cut by a hash."""
     monkeypatch.setattr(ann, "BUNDLE", bundle)

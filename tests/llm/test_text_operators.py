@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and the defined results of odd input."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -122,6 +123,69 @@ def test_alignment_is_the_longest_common_subsequence():
         assert near_dedup.aligned(a, b, 100) == lcs(a.tolist(), b.tolist())
 
 
+def test_banded_alignment_by_either_way():
+    rng = np.random.default_rng(4)
+
+    def banded(a, b, band):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = max(t[i, j] + (x == y and abs(i - j) <= band), t[i, j + 1], t[i + 1, j])
+        return t[-1, -1]
+
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(1, 30)), rng.integers(0, 4, rng.integers(1, 30))
+        band = int(rng.integers(0, 12))
+        order = np.argsort(b, kind="stable")
+        left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+        assert near_dedup._by_bits(order, left, right, len(b), band) == near_dedup._chained(order, left, right, len(b), band) == banded(a, b, band)
+    a = rng.integers(0, 2, 3000)  # shingles with many places
+    b = np.delete(a, rng.integers(0, 3000, 40))
+    order = np.argsort(b, kind="stable")
+    left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    assert near_dedup._by_bits(order, left, right, len(b), 50) == near_dedup._chained(order, left, right, len(b), 50)
+
+
+def test_alignment_of_long_repetitive_texts_is_quick():
+    one, other = near_dedup.shingles("word " * 20_000), near_dedup.shingles("word " * 9_000 + "other " + "word " * 9_999)
+    began = time.process_time()
+    assert near_dedup.similarity(one, other) > 0.8
+    assert time.process_time() - began < 3
+
+
+def class_of(spark, rows, partitions):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    got = {}
+    for r in near_dedup.deduplicate(df).collect():
+        assert got.setdefault(r["doc_id"], (r["class_id"], r["kept"])) == (r["class_id"], r["kept"])
+    return got
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """A document of several texts joins their classes, the same in every run and partitioning."""
+    one, other = prose(120, 51).split(), prose(120, 52).split()
+    rows = [(5, " ".join(one)), (5, " ".join(other)), (1, " ".join([*one[:60], "changed", *one[61:]])), (9, " ".join([*other[:30], "changed", *other[31:]])), (7, None), (7, " ".join(one)), (8, prose(120, 53)), (5, " ".join(one)), (3, prose(50, 54)), (3, "  ")]
+    want = {5: (1, False), 1: (1, True), 9: (1, False), 7: (1, False), 8: (8, True), 3: (3, True)}
+    assert all(class_of(spark, rows, n) == want for n in (1, 3, 7))
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_several_classes_in_large_buckets(spark, monkeypatch, block):
+    """Families on one shared text, large and small, against brute force; classes get blocks of their own or share some."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng, template, rows = random.Random(9), prose(150, 61), []
+    for g in range(12):
+        own = prose(38, 300 + g).split()
+        for _ in range(rng.choice([1, 2, 5, 25])):
+            text = own[:]
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = f"e{rng.randint(0, 10**6)}"
+            rows.append((len(rows), template + " " + " ".join(text)))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def repeated_brute(words):
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     marked = set()
