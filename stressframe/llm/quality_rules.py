@@ -1,19 +1,22 @@
 """Quality rules by distribution divergence.
 
-Every whole text gives two histograms: classes of its characters, and the common words
-it uses. The histograms of all texts of a language, added up, are the references of that
-language; a text is rejected when the Jensen-Shannon distance (base 2, from 0 to 1) of
-one of its histograms to that of its language is too large. Short texts scatter, so a
-guard on length comes before each test, and so do languages of few texts, which have no
-reference and no such test; a text of no known language is held against the language it
-is nearest to. Plain rules on length and repetition come first.
+Every whole text gives two histograms: classes of its characters, and the common words it
+uses. The histograms of a language's texts, added up, are its references, and a text is held
+against them by the Jensen-Shannon distance (base 2, from 0 to 1). For characters there is a
+limit on the distance. The distance of words is that of a sample: it falls with the root of
+the number of words, so it is multiplied by it, and the limit of a language is the median of
+its own texts and so many times their median deviation from it. Both are robust: references
+and limits stand while junk is the smaller part, though it is counted among the rest.
+
+Short texts scatter, so a guard on length comes before each test; languages of few texts
+have no reference and no such test; a text of no known language is held against the language
+it is nearest to. Plain rules on length and repetition come first, and what they reject is
+in no reference.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,10 +33,13 @@ COMMON_WORDS = {
 }
 WORD_BINS = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for words in COMMON_WORDS.values() for w in words))}  # bin 0: any other word
 CHARACTER_CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
-#: Parameters: largest distance, and the least length at which it counts.
+#: Parameters: largest distance of characters, and the least length at which it counts.
 MAX_CHARACTER_DISTANCE, MIN_CHARACTERS = 0.2, 200
-MAX_WORD_DISTANCE, MIN_WORDS = 0.45, 100
+#: Parameters: median deviations over the median of the distance of words times the root of their number, the least limit, the least length at which it counts.
+DEVIATIONS, LEAST_LIMIT, MIN_WORDS = 7.0, 3.0, 50
+#: Parameter: texts that make a reference.
 MIN_REFERENCE_TEXTS = 20
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 
@@ -105,20 +111,20 @@ def measure(text: str | None) -> tuple:
     return len(words), len(text) - spaces, symbols, again, repeated_words(words), characters, bins
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """doc_id, lang and what ``measure`` gives for each whole text."""
+_MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, characters array<long>, words array<long>"
+
+
+def features(documents: DataFrame, *carried: Column) -> DataFrame:
+    """What ``measure`` gives for each whole text, lang, and the ``carried`` columns, which stay where they are; base_failed is the plain rules' verdict."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [measure(t) for t in frame["text"]]
-            out = frame[["doc_id", "lang"]].copy()
-            for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "characters", "words")):
-                out[name] = [f[i] for f in found]
-            yield out
+    @F.pandas_udf(_MEASURED)
+    def found(text: pd.Series) -> pd.DataFrame:
+        rows = [measure(t) for t in text]
+        return pd.DataFrame({name: [r[i] for r in rows] for i, name in enumerate((*COUNTS, "characters", "words"))})
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, characters array<long>, words array<long>"
-    return documents.select("doc_id", "lang", "text").mapInPandas(run, schema)
+    each = documents.select(*carried, F.col("lang").alias("__lang"), found("text").alias("__m"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return each.select("*", "__m.*").drop("__m").withColumn("base_failed", failed)
 
 
 def _sums(name: str, n: int) -> Column:
@@ -126,9 +132,9 @@ def _sums(name: str, n: int) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """The added histograms of each language with enough texts; a row for each."""
+    """The added histograms of each language with enough texts that passed the plain rules; a row for each."""
     sums = [_sums("characters", len(CHARACTER_CLASSES)), _sums("words", len(WORD_BINS) + 1), F.count("*").alias("texts")]
-    return found.where("lang is not null").groupBy("lang").agg(*sums).where(F.col("texts") >= MIN_REFERENCE_TEXTS)
+    return found.where("__lang is not null and not base_failed").groupBy("__lang").agg(*sums).where(F.col("texts") >= MIN_REFERENCE_TEXTS)
 
 
 def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -141,11 +147,6 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(filled, np.sqrt(np.clip(total, 0, 1)), 0)
 
 
-def _collected(found: DataFrame) -> dict:
-    """The references by language: two short rows of numbers for each."""
-    return {r["lang"]: (np.array(r["characters_reference"]), np.array(r["words_reference"])) for r in references(found).collect()}
-
-
 def _from_own(known: dict, lang: list, counts: np.ndarray, i: int) -> np.ndarray:
     """Distance of each row of counts to histogram ``i`` of its language; the least to any for a null language, nan without a reference."""
     out = np.full(len(counts), np.nan)
@@ -159,16 +160,46 @@ def _from_own(known: dict, lang: list, counts: np.ndarray, i: int) -> np.ndarray
     return out
 
 
-def verdicts(known: dict, lang: list, n_words: np.ndarray, n_repeat_words: np.ndarray, characters: list, words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """kept, base_failed, and the two distances (nan below the guard on length, and without a reference) of some texts."""
-    failed = (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
-    if not len(lang):
-        return failed, failed, np.zeros(0), np.zeros(0)
-    lang = [None if pd.isna(x) else x for x in lang]
-    far = []
-    for i, (counts, size, least) in enumerate(((np.stack(characters), np.stack(characters).sum(1), MIN_CHARACTERS), (np.stack(words), n_words, MIN_WORDS))):
-        far.append(np.where(size >= least, _from_own(known, lang, counts, i), np.nan))
-    return ~failed & ~(far[0] > MAX_CHARACTER_DISTANCE) & ~(far[1] > MAX_WORD_DISTANCE), failed, far[0], far[1]
+def measured_distances(found: DataFrame) -> DataFrame:
+    """``found`` (of ``features``) with character_distance and word_distance, null below the guards on length and without a reference, and excess: the latter times the root of the number of words.
+
+    The references reach the driver and all tasks: two short rows of numbers a language.
+    """
+    rows = references(found).collect()
+    held = found.sparkSession.sparkContext.broadcast({r["__lang"]: (np.array(r["characters_reference"]), np.array(r["words_reference"])) for r in rows})
+
+    @F.pandas_udf("character double, word double")
+    def far(lang: pd.Series, characters: pd.Series, words: pd.Series) -> pd.DataFrame:
+        lang = [None if pd.isna(x) else x for x in lang]
+        if not len(lang):
+            return pd.DataFrame({"character": pd.Series(dtype=float), "word": pd.Series(dtype=float)})
+        return pd.DataFrame({name: _from_own(held.value, lang, np.stack(list(counts)), i) for i, (name, counts) in enumerate((("character", characters), ("word", words)))})
+
+    each = found.withColumn("__far", far("__lang", "characters", "words")).withColumn("__n", F.aggregate("words", F.lit(0).cast("long"), lambda a, v: a + v))
+    size = F.aggregate("characters", F.lit(0).cast("long"), lambda a, v: a + v)
+    at = lambda c, ok: F.when(ok & ~F.isnan(c), c)
+    each = each.withColumns({"character_distance": at(F.col("__far.character"), size >= MIN_CHARACTERS), "word_distance": at(F.col("__far.word"), F.col("__n") >= MIN_WORDS)})
+    return each.withColumn("excess", F.col("word_distance") * F.sqrt("__n")).drop("__far", "__n")
+
+
+def word_limits(found: DataFrame) -> DataFrame:
+    """of and limit: for each language, and for null, the largest ``excess`` that is let through.
+
+    Medians are exact for values to two places, of which there are few, so the state of the
+    percentile is small whatever the number of texts.
+    """
+    each = found.where("excess is not null and not base_failed").select("__lang", F.round("excess", 2).alias("v"))
+    each = each.select(F.explode(F.array_distinct(F.array("__lang", F.lit(None).cast("string")))).alias("__of"), "v")  # null: of all
+    middle = each.groupBy("__of").agg(F.percentile("v", 0.5).alias("median"))
+    away = each.join(middle.withColumnRenamed("__of", "__mid"), F.col("__of").eqNullSafe(F.col("__mid"))).select("__of", "median", F.round(F.abs(F.col("v") - F.col("median")), 2).alias("a"))
+    return materialize(away.groupBy("__of", "median").agg(F.percentile("a", 0.5).alias("deviation")).select("__of", F.greatest(F.col("median") + DEVIATIONS * F.col("deviation"), F.lit(LEAST_LIMIT)).alias("limit")))
+
+
+def _verdicts(found: DataFrame) -> DataFrame:
+    each = measured_distances(found)
+    each = each.join(word_limits(each), F.col("__lang").eqNullSafe(F.col("__of")), "left")
+    far = F.coalesce(F.col("character_distance") > MAX_CHARACTER_DISTANCE, F.lit(False)) | F.coalesce(F.col("excess") > F.col("limit"), F.lit(False))
+    return each.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def judge(documents: DataFrame) -> DataFrame:
@@ -178,37 +209,18 @@ def judge(documents: DataFrame) -> DataFrame:
     kept: not base_failed, and each tested distance within its limit. Null text counts as
     empty and fails; with a null language the least distance to any reference counts, and
     a language of under MIN_REFERENCE_TEXTS texts has no reference, so no distance is tested.
-    Equal texts of a language are judged alike, repeated rows each get a row, an empty table gives an empty
-    one, and other columns are ignored.
+    Equal texts of a language are judged alike, repeated rows each get a row, an empty table
+    gives an empty one, and other columns are ignored.
     """
-    found = materialize(features(documents))
-    known = _collected(found)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                kept, failed, character, word = verdicts(known, list(frame["lang"]), frame["n_words"].to_numpy(), frame["n_repeat_words"].to_numpy(), list(frame["characters"]), list(frame["words"]))
-                out = frame[["doc_id", *counts]].copy()
-                yield out.assign(base_failed=failed, kept=kept, character_distance=character, word_distance=word)
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, character_distance double, word_distance double"
-    return found.mapInPandas(run, schema)
+    found = materialize(features(documents, F.col("doc_id")))
+    return _verdicts(found).select("doc_id", *COUNTS, "base_failed", "kept", "character_distance", "word_distance")
 
 
 def keep(documents: DataFrame) -> DataFrame:
     """Rows of ``documents`` that ``judge`` keeps; columns are kept.
 
-    The references are gathered first, in a pass of their own; each row is then measured
-    and judged where it stands, so texts are not moved. Cases are as in ``judge``.
+    Every text is measured once, where it stands: rows are written with their counts, and
+    judged from these. Cases are as in ``judge``.
     """
-    known = _collected(features(documents))
-    held = documents.sparkSession.sparkContext.broadcast(known)
-
-    @F.pandas_udf("boolean")
-    def fine(text: pd.Series, lang: pd.Series) -> pd.Series:
-        found = [measure(t) for t in text]
-        return pd.Series(verdicts(held.value, list(lang), np.array([f[0] for f in found]), np.array([f[4] for f in found]), [f[5] for f in found], [f[6] for f in found])[0])
-
-    return documents.where(fine("text", "lang"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])  # whatever the columns are called
+    return _verdicts(materialize(features(documents, row.alias("__row")))).where("kept").select("__row.*")

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and the defined results of odd input."""
 
+import math
 import random
 import time
 import zlib
@@ -240,8 +241,51 @@ def test_quality_of_rare_unknown_and_many_languages(spark):
     judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert [i for i, r in judged.items() if not r["kept"]] == [4000]
     assert all(judged[1000 + i]["word_distance"] is None or np.isnan(judged[1000 + i]["word_distance"]) for i in range(19))
-    many = [(f"l{k}", [1] * len(quality_rules.CHARACTER_CLASSES), [1] * (len(quality_rules.WORD_BINS) + 1)) for k in range(300) for _ in range(20)]
-    assert quality_rules.references(spark.createDataFrame(many, "lang string, characters array<long>, words array<long>")).where("lang is not null").count() == 300
+    many = [(f"l{k}", [1] * len(quality_rules.CHARACTER_CLASSES), [1] * (len(quality_rules.WORD_BINS) + 1), False) for k in range(300) for _ in range(20)]
+    assert quality_rules.references(spark.createDataFrame(many, "__lang string, characters array<long>, words array<long>, base_failed boolean")).count() == 300
+
+
+def js(p, q):
+    def share(x):
+        return [v / sum(x) for v in x]
+
+    p, q = share(p), share(q)
+    return max(0.0, sum(a * math.log2(2 * a / (a + b)) for a, b in zip(p, q) if a) + sum(b * math.log2(2 * b / (a + b)) for a, b in zip(p, q) if b)) ** 0.5 / 2**0.5
+
+
+def brute_verdicts(rows):
+    """doc_id -> kept, in plain Python: references, medians and limits anew."""
+    m = {i: quality_rules.measure(t) for i, t, _ in rows}
+    failed = {i: x[0] < 20 or 100 * x[4] > 30 * x[0] for i, x in m.items()}
+    langs = {g for _, _, g in rows if g is not None and sum(h == g and not failed[i] for i, _, h in rows) >= quality_rules.MIN_REFERENCE_TEXTS}
+    sums = {g: [np.sum([m[i][k] for i, _, h in rows if h == g and not failed[i]], axis=0).tolist() for k in (5, 6)] for g in langs}
+    far = {}
+    for i, _, g in rows:
+        against = [g] if g in langs else list(langs) if g is None else []
+        far[i] = [min((js(m[i][5 + k].tolist(), sums[h][k]) for h in against), default=None) if m[i][5 + k].sum() >= least else None for k, least in ((0, quality_rules.MIN_CHARACTERS), (1, quality_rules.MIN_WORDS))]
+    excess = {i: None if d[1] is None else d[1] * m[i][6].sum() ** 0.5 for i, d in far.items()}
+    kept = {}
+    for i, _, g in rows:
+        tested = [round(excess[j], 2) for j, _, h in rows if excess[j] is not None and not failed[j] and (g is None or h == g)]
+        middle = np.median(tested) if tested else 0
+        limit = max(quality_rules.LEAST_LIMIT, middle + quality_rules.DEVIATIONS * np.median([round(abs(v - middle), 2) for v in tested])) if tested else 0
+        kept[i] = not failed[i] and not (far[i][0] is not None and far[i][0] > quality_rules.MAX_CHARACTER_DISTANCE) and not (excess[i] is not None and excess[i] > limit)
+    return kept
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    """Planted word salad passes the characters and fails the words; clean texts of every length stay."""
+    rng, rows = random.Random(17), []
+    for lang in ("en", "de"):
+        for _ in range(90):
+            n = rng.choice([30, 60, 120, 300, 900])
+            rows.append((len(rows), " ".join(rng.choice(quality_rules.COMMON_WORDS[lang]) if rng.random() < 0.6 else rng.choice(WORDS) for _ in range(n)), lang))
+    salad = len(rows)
+    rows += [(salad + k, prose(300, 800 + k), "en") for k in range(6)]  # no common word
+    rows += [(len(rows) + k, prose(100, 900 + k), g) for k, g in enumerate((None, None, "xx", "de"))] + [(len(rows) + 5, None, "en"), (len(rows) + 6, "a " * 50, "en")]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {i: r["kept"] for i, r in judged.items()} == brute_verdicts(rows)
+    assert all(judged[i]["kept"] for i in range(salad)) and all(not judged[salad + k]["kept"] and judged[salad + k]["character_distance"] <= quality_rules.MAX_CHARACTER_DISTANCE for k in range(6))
 
 
 def test_languages_are_told_apart(spark, sf):
