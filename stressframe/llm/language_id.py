@@ -4,11 +4,12 @@ A text is the set of character n-grams (orders 1 to 3, blended spectrum) of its
 lower-cased letters, every other character being a word boundary. The kernel of two
 texts is the number of n-grams present in both, normalised by the geometric mean of
 their counts. Landmarks from a bounded training sample give a Nystrom map, in which
-one-versus-rest ridge regression is solved; scoring is a product of a presence matrix,
-the landmark matrix and the coefficients, for a batch of texts at a time.
+one-versus-rest ridge regression is solved; scoring is a product of a presence matrix and
+the landmark matrix times the coefficients, for a batch of texts at a time.
 
-Only n-grams that some landmark holds can add to a kernel value with a landmark, so the
-feature space is the set of those n-grams.
+Only n-grams that some landmark holds can add to a kernel value with a landmark, so these
+are the columns of the presence matrix; all other n-grams of a text are counted, each once,
+for the norm.
 """
 
 from __future__ import annotations
@@ -38,10 +39,10 @@ class KernelModel:
     coef: np.ndarray  # landmarks x labels
 
     def __post_init__(self) -> None:
-        self._table = None
+        self._table = self._weights = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_table": None}
+        return {**self.__dict__, "_table": None, "_weights": None}
 
     def positions(self, codes: np.ndarray) -> np.ndarray:
         """Column of each n-gram code; the last column is for those that are no feature."""
@@ -54,29 +55,62 @@ class KernelModel:
         at = np.searchsorted(self.keys, codes)
         return np.where(np.append(self.keys, -1)[at] == codes, at, len(self.keys))
 
-    def kernels(self, texts: list[str]) -> np.ndarray:
-        """Kernel values of texts (rows) with the landmarks."""
+    def present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Presence of the landmarks' n-grams in each text (rows), and the root of the number of all its distinct n-grams."""
         width = len(self.keys) + 1
         x = np.zeros((len(texts), width), np.uint8)
-        flat = x.reshape(-1)
-        for codes, rows in grams(texts, self.alphabet, self.size, self.orders):
-            flat[rows * width + self.positions(codes)] = 1
-        x = x[:, :-1].astype(np.float32)
-        norm = np.sqrt(np.maximum(x.sum(1), 1))
+        flat, others = x.reshape(-1), []
+        for n, codes, points, rows in grams(texts, self.alphabet, self.size, self.orders):
+            at = self.positions(codes)
+            flat[rows * width + at] = 1
+            rest = np.flatnonzero(at == len(self.keys))
+            parts = [points[rest + i] for i in range(n)]
+            whole = np.ones(len(rest), bool)
+            code = np.full(len(rest), n, np.uint64)
+            for p in parts:
+                whole &= p != ord(SEPARATOR)
+                code = code << np.uint64(20) | (p & np.uint64(0xFFFFF))  # letters have points under 2 ** 20
+            others.append(_pairs(rows[rest[whole]], code[whole]))
+        counts = x[:, :-1].sum(1, dtype=np.int64)
+        if others:
+            row, code = (np.concatenate(c) for c in zip(*others, strict=True))
+            counts += np.bincount(_pairs(row, code)[0].astype(np.int64), minlength=len(texts))
+        return x[:, :-1].astype(np.float32), np.sqrt(np.maximum(counts, 1))
+
+    def kernels(self, texts: list[str]) -> np.ndarray:
+        """Kernel values of texts (rows) with the landmarks."""
+        x, norm = self.present(texts)
         return (x @ self.landmarks) / norm[:, None]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Best label and its score from 0 to 1: half of one plus the regression's value for targets of -1 and 1, clipped."""
-        scores = self.kernels(texts).astype(np.float64) @ self.coef
+        if self._weights is None:
+            self._weights = (self.landmarks.astype(np.float64) @ self.coef).astype(np.float32)
+        x, norm = self.present(texts)
+        scores = (x @ self._weights).astype(np.float64) / norm[:, None]
         best = scores.argmax(1)
         return [self.labels[i] for i in best], np.clip((scores[np.arange(len(texts)), best] + 1) / 2, 0, 1)
 
 
+def _pairs(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a row and a code."""
+    order = np.lexsort((codes, rows))
+    rows, codes = rows[order], codes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
+    return rows[new], codes[new]
+
+
 SEPARATOR = "\ue000"  # between texts; a letter's number of its own, so that no n-gram across texts is a feature
 
 
-def grams(texts: list[str], alphabet: np.ndarray, size: int, orders: int, piece: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, row of each code) of every order over whole texts, about ``piece`` characters at a time; codes across texts hold the separator."""
+def grams(texts: list[str], alphabet: np.ndarray, size: int, orders: int, piece: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, codes, points, row of each code) of every order over whole texts, about ``piece`` characters at a time.
+
+    A code is made of the alphabet's numbers of its characters; points holds the characters
+    themselves (0 for a boundary), from which the i-th code begins at the i-th. Codes across
+    texts hold the separator.
+    """
     held: list[str] = []
     rows: list[int] = []
     total = 0
@@ -84,6 +118,7 @@ def grams(texts: list[str], alphabet: np.ndarray, size: int, orders: int, piece:
     def flush():
         points = np.frombuffer(SEPARATOR.join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
         code = letters = alphabet[points]
+        points = np.where(letters > 0, points, 0).astype(np.uint64)
         row = np.repeat(np.array(rows, np.int32), [len(x) + 1 for x in held])[: len(letters)]
         offset = 0
         for n in range(1, orders + 1):
@@ -91,10 +126,10 @@ def grams(texts: list[str], alphabet: np.ndarray, size: int, orders: int, piece:
                 offset += size ** (n - 1)
                 code = code[:-1] * letters.dtype.type(size) + letters[n - 1 :]
             if len(code):
-                yield code + letters.dtype.type(offset), row[: len(code)]
+                yield n, code + letters.dtype.type(offset), points, row[: len(code)]
 
     for i, text in enumerate(texts):
-        whole = f" {text.lower()} "
+        whole = f" {text.lower().replace(SEPARATOR, ' ')} "
         for start in range(0, max(1, len(whole) - orders + 1), piece):
             part = whole[start : start + piece + orders - 1]
             held.append(part)
@@ -111,11 +146,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, set(text)))
 
 
-def fit(texts: list[str], labels: list[str], orders: int = 3, per_label: int = 32, max_grams: int = 16_384, ridge: float = 1e-3) -> KernelModel:
+def fit(texts: list[str], labels: list[str], orders: int = 3, per_label: int = 32, ridge: float = 1e-3) -> KernelModel:
     """Fit on labelled texts, which the caller has bounded.
 
-    ``per_label`` landmarks of each label are taken in the given order; the ``max_grams``
-    n-grams that most landmarks hold (ties: lower code) are the features.
+    ``per_label`` landmarks of each label are taken in the given order; all their n-grams
+    are features.
     """
     pairs = [(t, y) for t, y in zip(texts, labels, strict=True) if has_letter(t)]
     texts, labels = [t for t, _ in pairs], [y for _, y in pairs]
@@ -130,12 +165,10 @@ def fit(texts: list[str], labels: list[str], orders: int = 3, per_label: int = 3
     for i, c in enumerate(letters):
         alphabet[ord(c)] = i + 2
     alphabet[ord(SEPARATOR)] = size - 1
-    held = [np.unique(np.concatenate([np.zeros(0, np.int64)] + [codes for codes, _ in grams([t], alphabet, size, orders)])) for t in marks]  # one text at a time: no separator
-    codes, counts = np.unique(np.concatenate(held), return_counts=True)
-    keys = np.sort(codes[np.lexsort((codes, -counts))][:max_grams])
+    held = [np.unique(np.concatenate([np.zeros(0, np.int64)] + [codes for _, codes, _, _ in grams([t], alphabet, size, orders)])) for t in marks]  # one text at a time: no separator
+    keys = np.unique(np.concatenate(held))
     model = KernelModel(names, alphabet, size, orders, keys, np.zeros((len(keys), len(marks)), np.float32), np.zeros((len(marks), len(names))))
     for j, own in enumerate(held):
-        own = np.intersect1d(own, keys)
         model.landmarks[np.searchsorted(keys, own), j] = 1 / np.sqrt(max(1, len(own)))
     among = model.landmarks.T.astype(np.float64) @ model.landmarks.astype(np.float64)
     values, vectors = np.linalg.eigh(among)
@@ -152,9 +185,10 @@ def fit(texts: list[str], labels: list[str], orders: int = 3, per_label: int = 3
 def training_sample(labelled: DataFrame, per_label: int = 256, max_rows: int = 4096, max_chars: int = 20_000) -> DataFrame:
     """At most ``per_label`` rows of a label and ``max_rows`` in all, the first by a hash of text; texts over ``max_chars`` characters teach nothing.
 
-    ``labelled`` has text and lang. The rank is cut within tasks before any shuffle.
+    ``labelled`` has text and lang. Equal texts of a label count once; they are joined within
+    tasks, and ranks are cut in parts of a label first.
     """
-    rows = labelled.where("lang is not null and text is not null").where(F.length("text") <= max_chars).select("lang", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    rows = labelled.where("lang is not null and text is not null").where(F.length("text") <= max_chars).select("lang", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2")).distinct()
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("h2", F.lit(64))).orderBy("h", "h2"))).where(F.col("rank") <= per_label).drop("rank")
     first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))).where(F.col("rank") <= per_label)
     picked = first.orderBy("rank", "lang").limit(max_rows).select("lang", "h", "rank")
@@ -172,13 +206,14 @@ def train(labelled: DataFrame, **options) -> KernelModel:
 def identify(documents: DataFrame, model: KernelModel, passed: list[str] | None = None, batch: int = 128) -> DataFrame:
     """Predict the language of every whole text.
 
-    ``documents`` needs text; ``passed`` columns go through. Adds lang_pred and score.
+    ``documents`` needs text; ``passed`` columns go through. Adds lang_pred and score, in
+    place of columns so called.
     Null text, or text without a letter, gives 'und' and 0; so does any text where the
     model has no label. Equal and repeated rows are scored alike, an empty table gives
     an empty one, and other columns are ignored.
     """
     spark = documents.sparkSession
-    passed = passed if passed is not None else ["doc_id"]
+    passed = [c for c in (passed if passed is not None else ["doc_id"]) if c not in ("lang_pred", "score")]
     held = spark.sparkContext.broadcast(model)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

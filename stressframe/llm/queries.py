@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 1
+    held_out = F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 1, F.lit(False))  # a null id has no remainder
     model = language_id.train(documents.where(~held_out).select("text", "lang"))
     found = language_id.identify(documents, model, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -309,6 +309,39 @@ def test_kernel_is_normalised_overlap():
     assert np.allclose(k, want, atol=1e-6)
 
 
+def test_kernel_counts_unknown_grams_in_the_norm():
+    marks = ["abc abd", "abd xyz", "zzz"]
+    model = language_id.fit(marks, ["p", "q", "q"], orders=3, per_label=2)
+    texts = ["abc qqq www rrr ttt uuu", "日本語 abc 本語本 𝔘x", "zzz", "no such letters here", *(prose(40, k) for k in range(5)), "abd"]
+
+    def held(t):
+        t = f" {t} "
+        t = "".join(c if c.isalpha() else " " for c in t)
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    want = [[len(held(a) & held(b)) / np.sqrt(len(held(a)) * len(held(b))) for b in marks] for a in texts]
+    assert np.allclose(model.kernels(texts), want, atol=1e-6)
+    for size in (100, 7):  # whatever the pieces
+        saved, language_id.grams.__defaults__ = language_id.grams.__defaults__, (size,)
+        try:
+            assert np.allclose(model.kernels(texts), want, atol=1e-6)
+        finally:
+            language_id.grams.__defaults__ = saved
+
+
+def test_training_sample_takes_equal_texts_once(spark):
+    rows = [("copied text of one language", "en")] * 500 + [(f"text number {'x' * k} of many", "en") for k in range(40)]
+    got = language_id.training_sample(spark.createDataFrame(rows, "text string, lang string"), per_label=30).collect()
+    assert len(got) == 30 and len({r["text"] for r in got}) == 30
+
+
+def test_language_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, prose(50, 1), "q", 7)], "doc_id long, text string, lang_pred string, score int")
+    model = language_id.fit([prose(50, 1), "日本語です"], ["en", "ja"])
+    got = language_id.identify(df, model, ["doc_id", "lang_pred", "score"]).collect()[0]
+    assert got["lang_pred"] == "en" and 0 <= got["score"] <= 1
+
+
 def test_language_on_odd_input(odd, empty):
     model = language_id.fit([prose(50, 1), "日本語です"], ["en", "ja"])
     got = {r["doc_id"]: r for r in language_id.identify(odd, model).collect()}
