@@ -475,6 +475,82 @@ def test_wrapped_license_headers_above_code():
     assert m.scan("# no licence\n" + prose(300, 8))[0] < license_scan.LEAST
 
 
+def brute_licences(texts):
+    """Best cosine with each template over the whole text and every window of lines, from plain dictionaries."""
+    templates = [Counter(license_scan.WORD.findall(t.lower())) for _, t in license_scan.TEMPLATES]
+    number = {w: sum(w in c for c in templates) for c in templates for w in c}
+
+    def vector(counts):
+        v = {w: n * (math.log((1 + len(templates)) / (1 + number.get(w, 0))) + 1) for w, n in counts.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()} if length else {}
+
+    known = [vector(c) for c in templates]
+    span = license_scan.SPAN * max(sum(c.values()) for c in templates)
+    for text in texts:
+        lines = [license_scan.WORD.findall(x) for x in text.lower().split("\n")]
+        best = [0.0] * len(known)
+        windows = [lines] + [lines[i:j] for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if j == i + 1 or sum(map(len, lines[i:j])) <= span]
+        for window in windows:
+            v = vector(Counter(w for x in window for w in x))
+            for k, t in enumerate(known):
+                best[k] = max(best[k], sum(x * t.get(w, 0) for w, x in v.items()))
+        yield best
+
+
+BSD_2 = f"Copyright (c) 2020, Somebody. All rights reserved.\n\n{license_scan.BSD_OPENING}:\n\n1. {license_scan.BSD_TWO}\n\n{license_scan.BSD_DISCLAIMER}"
+BSD_3 = BSD_2.replace("\n\nTHIS", f"\n3. {license_scan.BSD_THIRD}\n\nTHIS")
+
+
+def test_license_windows_match_brute_force():
+    rng = random.Random(23)
+    words = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.WORD.findall(t.lower())})
+    texts = [BSD_2, BSD_3, "", prose(60, 3)]
+    for k in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 14)):
+            template = rng.choice(license_scan.TEMPLATES)[1].split()
+            at = rng.randrange(len(template))
+            lines.append(" ".join(rng.choice([template[at : at + rng.randint(1, 30)], [rng.choice(words) for _ in range(5)], prose(6, rng.random()).split()])))
+        texts.append("\n".join(lines))
+    m = license_scan.Matcher()
+    for text, want in zip(texts, brute_licences(texts)):
+        score, name, _ = m.scan(text)
+        assert (name is None) == (m.decide(want)[1] is None) and name == m.decide(want)[1] and score == pytest.approx(m.decide(want)[0])
+
+
+def test_licences_that_begin_alike_and_mentions():
+    m = license_scan.Matcher()
+    assert m.scan(BSD_2)[1] == "BSD-2-Clause" and m.scan(BSD_3)[1] == "BSD-3-Clause"
+    assert m.scan(prose(40, 1) + "\n" + BSD_2)[1] == "BSD-2-Clause" and m.scan(license_scan.BSD_OPENING)[1] == "BSD-2-Clause OR BSD-3-Clause"
+    assert m.scan("this is a discussion of the mit license and released software under the license")[1] is None
+    assert m.scan("Either version 2 or the MIT license may be the one that people discuss here.")[1] is None
+    assert m.scan(dict(license_scan.TEMPLATES)["GPL-2.0"])[1] == "GPL-2.0" and m.scan(dict(license_scan.TEMPLATES)["GPL-3.0"])[1] == "GPL-3.0"
+
+
+def test_licences_are_inherited_as_by_hand(spark):
+    rng = random.Random(31)
+    folders = ["", "a", "a/b", "a/b/c", "a/d", "e", "e/f/g"]
+    notes = ["Released under the MIT License", "Licensed under the Apache License, Version 2.0"]
+    rows = [(k, "/".join(x for x in (rng.choice(folders), rng.choice([f"f{k}.py", f"f{k}.py", "LICENSE", "COPYING.txt"])) if x), rng.choice([prose(20, k), prose(20, k), rng.choice(notes), prose(30, k) + "\n" + rng.choice(notes)])) for k in range(80)]
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["from_directory"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    m = license_scan.Matcher()
+    own = {k: m.scan(t) for k, _, t in rows}
+    holders = {}
+    for k, path, _ in rows:
+        score, name, whole = own[k]
+        base = path.rsplit("/", 1)[-1]
+        if name and (whole >= license_scan.FILE_LEAST or base in ("LICENSE", "COPYING.txt")):
+            holders.setdefault(path.rpartition("/")[0], []).append((score, name))
+    for k, path, _ in rows:
+        at, want = path.rpartition("/")[0], (own[k][1], "own", None)
+        if own[k][1] is None:
+            while at not in holders and at:
+                at = at.rpartition("/")[0]
+            want = (max(holders[at])[1], "inherited", at) if at in holders else (None, None, None)
+        assert got[k] == want
+
+
 def test_license_cosine():
     m = license_scan.Matcher()
     assert m.match("Released under the MIT License")[0] == pytest.approx(1) and m.match("")[1] is None
