@@ -94,3 +94,24 @@ def split_by(df: DataFrame, key: Column, keys: DataFrame, of: str) -> tuple[Data
     slots = F.broadcast(keys.select(slot(F.col(of)).alias("__slot")).distinct())  # SLOTS rows at most
     match = slot(key) == F.col("__slot")
     return df.join(slots, match, "left_anti"), df.join(slots, match, "left_semi")
+
+
+#: Keys with more than this share of all rows are joined without a shuffle; there are at most 1 / HOT of them.
+HOT = 1 / 1000
+
+
+def join_hot(rows: DataFrame, key: str, table: DataFrame, of: str, size: str, total: int) -> DataFrame:
+    """``rows`` left-joined to ``table``, which has one row for each of its keys (``of``) and how many rows have it (``size``).
+
+    Keys of more than HOT of the ``total`` rows are broadcast, and their rows go anywhere,
+    so no task gets all rows of one key.
+    """
+    values = [c for c in table.columns if c != of]
+    held = F.struct(*values)
+    hot = table.where(F.col(size) > HOT * total).select(F.col(of).alias("__hk"), held.alias("__hv"))  # 1 / HOT rows at most
+    cold = table.where(F.col(size) <= HOT * total).select(F.col(of).alias("__ck"), held.alias("__cv"))
+    warm = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
+    anywhere = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if rows.schema[c].dataType.simpleString() in ("string", "int", "bigint")]).cast(rows.schema[key].dataType)
+    warm = warm.withColumn("__at", F.when(F.col("__hk").isNull(), F.col(key)).otherwise(anywhere))
+    out = warm.join(cold, F.col("__at") == F.col("__ck"), "left").withColumn("__v", F.when(F.col("__hk").isNull(), F.col("__cv")).otherwise(F.col("__hv")))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("__v")[c].alias(c) for c in values])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, release, split_by
+from .common import join_hot, materialize, release, split_by
 
 #: Parameters: words of a shingle, least similarity, (sketches, shingles of a sketch) of all texts and of short ones, shingles of a short text at most.
 SHINGLE, SIMILAR = 5, 0.8
@@ -419,10 +419,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("class_id"))).distinct()
 
 
-#: Of all rows, one text must have more than this share for its copies to be joined to their class without a shuffle; so many texts at most are broadcast.
-HOT = 1 / 1000
-
-
 def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, class_id, kept for every row of ``documents`` (doc_id, text).
 
@@ -450,11 +446,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     rooted = texts.select("id", "digest", "rep", "copies").join(classes, "id", "left").withColumn("root", F.coalesce("class_id", "id")).drop("class_id")
     least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = materialize(rooted.join(least, "root").where("copies > 1 or class_id != rep").select("id", "digest", "class_id", "copies"))  # other texts are classes of their own
-    hot = named.where(F.col("copies") > F.lit(HOT) * found.count()).select(F.col("digest").alias("__of"), F.col("class_id").alias("__hot"))  # 1 / HOT texts at most
-    warm = found.select("doc_id", "digest").join(F.broadcast(hot), F.col("digest") == F.col("__of"), "left")
-    cold = F.when(F.col("__hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string")))  # rows that are done meet nothing, anywhere
-    joined = warm.withColumn("__cold", cold).join(named.select(F.col("digest").alias("__cold"), "class_id"), "__cold", "left")
-    out = joined.select("doc_id", F.coalesce("__hot", "class_id", "doc_id").alias("class_id"))
+    joined = join_hot(found.select("doc_id", "digest"), "digest", named.drop("id").withColumnRenamed("digest", "of"), "of", "copies", found.count())
+    out = joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     if again:  # rows of one doc_id have one class, that of its texts with words
         of_doc = own.groupBy("doc_id").agg(F.min("first").alias("id")).join(named, "id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("__class"))
         out = out.join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("__class", "class_id").alias("class_id"))

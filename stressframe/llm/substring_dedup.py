@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, split_by
+from .common import join_hot, materialize, split_by
 
 LENGTH = 200
 #: Parameter: groups of more places than this get another digit before they are gathered.
@@ -170,18 +170,19 @@ def _grouped(length: int):
     return run
 
 
-def _told_apart(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _told_apart(rows: DataFrame, length: int, total: int) -> tuple[DataFrame, DataFrame]:
     """(spans, rows with n) of large groups.
 
     Places whose bytes are the same through all windows of their range are repeated there,
-    each a span; one of them stays to meet the others. n counts what then is left of a group.
+    each a span; one of them stays to meet the others. n counts what then is left of a group;
+    there are ``total`` rows.
     """
     width = length - digit(length)
     bytes_left = F.expr("substring(left, greatest(length(left) - high, 0) + 1, high)")
     bytes_right = F.expr(f"substring(right, 1, {width} - low)")
     each = rows.withColumnRenamed("h", "group").withColumn("h", F.xxhash64("group", "low", "high", bytes_left, bytes_right))
     same = each.groupBy("h").agg(F.count("*").alias("alike"), F.min(F.struct("key", "place")).alias("first"))
-    joined = materialize(each.join(same, "h").drop("h"))
+    joined = materialize(join_hot(each, "h", same.withColumnRenamed("h", "of"), "of", "alike", total).drop("h"))
     most, least = F.expr("least(high, length(left))"), F.expr(f"greatest(low, {width} - length(right))")
     spans = joined.where("alike > 1").select("key", (F.col("place") - most).alias("start"), (F.col("place") - least + length).alias("stop"), (most >= least).alias("fits")).where("fits").drop("fits")
     firsts = joined.where(F.struct("key", "place") == F.col("first")).drop("alike", "first").withColumnRenamed("group", "h")
@@ -228,8 +229,10 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     known = materialize(texts)
     dealt = found.select("digest", "key", "hashes", "places").join(known.select("key", "copies"), "key")
     each = dealt.select("key", F.posexplode("hashes").alias("i", "h"), "places").select("h", "key", F.element_at("places", F.col("i") + 1).alias("place"))
-    counts = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    seeds = each.join(counts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "place", "n")).alias("seeds"))
+    counts = materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    total = found.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+    shared = join_hot(each, "h", counts.withColumnRenamed("h", "of"), "of", "n", total).where("n is not null")
+    seeds = shared.groupBy("key").agg(F.collect_list(F.struct("h", "place", "n")).alias("seeds"))  # fewer bytes than the text they are of
     seeds = materialize(seeds.join(known.select("key", "digest", "of"), "key"))
     texts_of = documents.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("doc_id").alias("of"), "text")
     own = split_by(texts_of, F.col("digest"), seeds, "digest")[1]
@@ -244,7 +247,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
             large = large.dropDuplicates(["h", "key", "place"])  # a text that is there twice counts once
         large = materialize(large.drop("n"))
         while not large.isEmpty():
-            done, rest = _told_apart(large, length)
+            done, rest = _told_apart(large, length, large.count())
             known_windows = done if known_windows is None else known_windows.union(done)
             small = small.union(rest.where(F.col("n") <= OFTEN).select(*small.columns))
             large = materialize(_parted(rest.where(F.col("n") > OFTEN), length))
@@ -253,7 +256,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     spans = spans if known_windows is None else spans.union(known_windows)
     single = known.where("copies = 1").select("key", "digest", "of")
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).join(single, "key")
-    rows = found.select("doc_id", "digest", "n_bytes", "sha256").join(known.select("digest", "copies"), "digest")
+    rows = join_hot(found.select("doc_id", "digest", "n_bytes", "sha256"), "digest", known.select(F.col("digest").alias("same"), "copies"), "same", "copies", found.count())
     return rows, own, by_text.select("digest", "of", "spans")
 
 
@@ -306,7 +309,8 @@ def measure(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     empty table gives an empty one; other columns are ignored.
     """
     rows, own, spans = repeated_spans(documents, length)
-    found = rows.join(_results(own, spans, False), "digest", "left")
+    once = F.when(F.col("copies") == 1, F.col("digest")).otherwise(F.concat(F.lit("="), F.col("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))  # copies have no spans, and go anywhere
+    found = rows.withColumn("__once", once).join(_results(own, spans, False).withColumnRenamed("digest", "__once"), "__once", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return found.select(
         "doc_id", "n_bytes",
@@ -324,11 +328,11 @@ def remove(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows, own, spans = repeated_spans(documents, length)
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit("").alias("kept")).distinct()
-    changed = _results(own, spans, True).select("digest", "kept").union(whole)
-    changed = materialize(changed.select(F.col("digest").alias("__of"), F.col("kept").alias("__kept")))
+    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit("").alias("kept"), "copies").distinct()
+    changed = _results(own, spans, True).select("digest", "kept", F.lit(1).cast("long").alias("copies")).union(whole)
+    changed = materialize(changed.select(F.col("digest").alias("__of"), F.col("kept").alias("__kept"), F.col("copies").alias("__copies")))
     clear, rest = split_by(documents.withColumn("__digest", digest), F.col("__digest"), changed, "__of")
-    found = rest.join(changed, F.col("__digest") == F.col("__of"), "left")
+    found = join_hot(rest, "__digest", changed, "__of", "__copies", rows.count())
     new = {"text": F.coalesce("__kept", "text")} | ({"n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
     names = [f"`{c}`" for c in documents.columns]
     return clear.select(*names).union(found.withColumns(new).select(*names))

@@ -63,6 +63,28 @@ def test_passages_on_odd_input(spark, odd, empty):
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[4] == ""
 
 
+def test_passages_of_very_long_texts(spark, odd):
+    """A text of 30,000 words that holds a passage of its own twice, beside another that shares one."""
+    long, shared = prose(30_000, 1), prose(60, 71)
+    rows = [(7, f"{long} {shared} {prose(50, 72)} {shared}"), (8, f"{prose(40, 73)} {shared} {prose(40, 74)}"), (9, prose(200, 75))]
+    got = [tuple(r) for r in substring_dedup.measure(spark.createDataFrame(rows, "doc_id long, text string"), 200).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_windows(rows, 200)))
+
+
+@pytest.mark.parametrize("hot", [1 / 1000, 0.01, 2.0])
+def test_copies_in_a_third_of_all_rows(spark, monkeypatch, hot):
+    """Hot keys are joined apart; with a limit over 1 none is."""
+    from stressframe.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = [(k, prose(50, 81) if k % 3 == 0 else prose(50, 1000 + k)) for k in range(150)] + [(200, None), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, map(tuple, substring_dedup.measure(df, 100).collect()))) == sorted(map(str, brute_windows(rows, 100)))
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.deduplicate(df).collect()} == brute_classes(rows)
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove(df, 100).collect()}
+    assert cut[0] == cut[3] == "" and cut[1] == rows[1][1] and cut[200] is None
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng, rows = random.Random(8), []
     for g in range(40):
