@@ -70,9 +70,32 @@ def materialize(df: DataFrame) -> DataFrame:
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for made in _MADE:
+        made.append(out)
     return out
 
 
+_MADE: list[list[DataFrame]] = []  # tables made inside ``tables_dropped``
+
+
+@contextmanager
+def tables_dropped() -> Iterator[None]:
+    """Tables that ``materialize`` makes inside go at the end, when what was made of them has been written."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        release(*made)
+
+
+def delete_folder(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Delete a folder of the shared folder, now or when the driver's file system is closed."""
+    files, at = _path(spark, path)
+    files.deleteOnExit(at) if at_exit else files.delete(at, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialize`` gave, when nothing is to read them any more."""
     for df in tables:

@@ -10,6 +10,8 @@ at least once, so nothing is dropped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +20,10 @@ from .common import materialize
 
 #: Parameters: target entropy as a share of the largest, passes over a source at most, steps of the bisection, documents of a block about.
 ENTROPY_SHARE, MAX_REPEATS, STEPS, BLOCK_ROWS = 0.98, 1.25, 60, 4096
-#: Tables of sources up to this many rows are broadcast; larger ones are joined by a shuffle.
+#: Tables of sources up to this many rows are broadcast, and their exponent is found on one row; larger ones are joined by a shuffle, and aggregated in each round.
 BROADCAST_SOURCES = 10_000
+#: Halvings of a round.
+LEVELS = 4
 SEED = "mix"
 
 
@@ -36,11 +40,8 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
-def weights(sizes: DataFrame, entropy_share: float, max_repeats: float, budget: int | None) -> DataFrame:
-    """key, tokens, rows, alpha, weight, repeats and budget of each source of ``sizes`` (key, tokens, rows).
-
-    The exponents tried are compared on one row that holds the tokens of all sources.
-    """
+def _exponent(sizes: DataFrame, entropy_share: float, max_repeats: float, budget: int | None) -> DataFrame:
+    """alpha, most and sum (of the powers): one row. The tokens of all sources, up to BROADCAST_SOURCES, stand in one row."""
     all_of = sizes.agg(F.array_sort(F.collect_list(F.col("tokens").cast("double"))).alias("all"))
     most, least, number = F.element_at("all", -1), F.element_at("all", 1), F.size("all")
 
@@ -62,8 +63,37 @@ def weights(sizes: DataFrame, entropy_share: float, max_repeats: float, budget:
 
     start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     halved = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, _: F.struct(F.when(flat((s["low"] + s["high"]) / 2), (s["low"] + s["high"]) / 2).otherwise(s["low"]).alias("low"), F.when(flat((s["low"] + s["high"]) / 2), s["high"]).otherwise((s["low"] + s["high"]) / 2).alias("high")))
-    exponent = all_of.where(number > 0).select(halved["high"].alias("alpha"), most.alias("most"), _total(powers(halved["high"])).alias("sum"))
-    w = sizes.crossJoin(F.broadcast(exponent))  # one row
+    return all_of.where(number > 0).select(halved["high"].alias("alpha"), most.alias("most"), _total(powers(halved["high"])).alias("sum"))
+
+
+def _exponent_by_rounds(sizes: DataFrame, entropy_share: float, max_repeats: float, budget: int | None) -> DataFrame:
+    """What ``_exponent`` gives, for any number of sources: each round is one aggregation for all exponents that LEVELS halvings may try."""
+    tokens = F.col("tokens").cast("double")
+    ends = sizes.agg(F.max(tokens).alias("most"), F.min(tokens).alias("least"), F.count("*").alias("number")).first()
+    most, least, number = ends["most"], ends["least"], ends["number"]
+    low, high = 0.0, 1.0
+    for done in range(0, STEPS, LEVELS):
+        tried = [low + (high - low) * k / 2**LEVELS for k in range(1, 2**LEVELS)]
+        power = [F.pow(tokens / most, F.lit(a)) for a in tried]
+        sums = sizes.agg(*(F.sum(p) for p in power), *(F.sum(p * F.ln(p)) for p in power)).first()
+        for _ in range(min(LEVELS, STEPS - done)):
+            middle = (low + high) / 2
+            k = min(range(len(tried)), key=lambda i: abs(tried[i] - middle))
+            total, inner = sums[k], sums[len(tried) + k]
+            entropy = math.log(total) - inner / total
+            again = (most / least) ** (1 - middle) if budget is None else budget * (least / most) ** middle / total / least
+            if again > max_repeats or entropy > entropy_share * math.log(number):
+                low = middle
+            else:
+                high = middle
+    return sizes.agg(F.lit(high).alias("alpha"), F.lit(most).alias("most"), F.sum(F.pow(tokens / most, F.lit(high))).alias("sum"))
+
+
+def weights(sizes: DataFrame, entropy_share: float, max_repeats: float, budget: int | None) -> DataFrame:
+    """key, tokens, rows, alpha, weight, repeats and budget of each source of ``sizes`` (key, tokens, rows)."""
+    sizes = materialize(sizes)
+    way = _exponent if sizes.count() <= BROADCAST_SOURCES else _exponent_by_rounds
+    w = sizes.crossJoin(F.broadcast(way(sizes, entropy_share, max_repeats, budget)))  # one row
     w = w.withColumn("weight", F.pow(F.col("tokens") / F.col("most"), F.col("alpha")) / F.col("sum"))
     passes = F.pow(F.col("most") / F.col("tokens"), 1 - F.col("alpha")) if budget is None else F.lit(float(budget)) * F.col("weight") / F.col("tokens")
     w = w.withColumn("repeats", passes)

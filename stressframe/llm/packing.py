@@ -287,19 +287,11 @@ def make_plan(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> Pl
             for g, u in enumerate(used):
                 left[g] -= u * copies
             while copies:  # actual lengths take the places, as far as each run goes
-                own: list[list[int]] = []
                 need: dict[int, int] = {}
                 for g in slots:
                     need[g] = need.get(g, 0) + 1
                 run = min([copies] + [max(1, dealt[g][0][2] // need[g]) for g in need])
                 at = 0
-                for g in slots:
-                    rest = run
-                    if dealt[g][0][2] < rest:
-                        run = rest = 1
-                    own.append([g, rest])
-                if any(dealt[g][0][2] < need[g] * run for g in need):
-                    run = 1
                 for g in slots:
                     n, rank, there = dealt[g][0]
                     plan.rows.append((n, rank, run, plan.sequences, at))

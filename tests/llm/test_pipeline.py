@@ -29,3 +29,25 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_stages_on_odd_input(spark, sf):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, `key` string, kept boolean, `lang_pred` string, position long, `block` int, __row int"
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    text = " ".join(f"{w}{k}" for k in range(12) for w in words)
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, text, "en", "a"), (3, text, "en", "a"), (4, text + " more", None, None), (None, text, "en", "b"), (5, " ".join(f"x{k}" for k in range(30_000)), "xx", "b"), (6, "  \n", "en", None), (7, "short text", "de", "b"), (7, None, "de", "b")]
+    df = spark.createDataFrame([(*r, 0, "d", "k", True, "l", 5, 6, 7) for r in rows], schema)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, df, sf)
+        assert i == len(corpus_pipeline.STAGES) - 1 or got.columns == df.columns
+        ids = Counter(r["doc_id"] for r in got.collect())
+        if i == 0:
+            assert ids == {3: 2, 4: 1, None: 1, 5: 1}
+        elif i == 1:
+            assert ids == {1: 1, 2: 1, 3: 1, None: 1, 5: 1, 6: 1, 7: 1}
+        elif i == 2:
+            assert ids == Counter(r[0] for r in rows)
+        else:
+            assert set(ids) == {r[0] for r in rows}
+        assert stage(spark, df.limit(0), sf).count() == 0

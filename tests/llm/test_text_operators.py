@@ -462,6 +462,21 @@ def test_mixing_keeps_documents_and_the_limit(spark, odd, empty):
     assert out.columns == odd.columns and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in odd.collect()} and out.count() >= odd.count()
 
 
+@pytest.mark.parametrize("budget", [None, 5000])
+def test_mixing_of_many_sources_is_the_same(spark, monkeypatch, budget):
+    """Rounds of aggregations find the exponent that one row of all sources gives."""
+    rows = [(i, "w" * (4 * (1 + i % 13)), f"s{i % (3 + i % 29)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.realise(df, 0.95, 1.6, budget).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.realise(df, 0.95, 1.6, budget).collect())) == want
+
+
+def test_packing_of_the_table_is_tight(spark, sf):
+    got = queries.op3_best_fit_packing(spark, sf).select("sequence_id", "length").toPandas()
+    assert got.sequence_id.nunique() <= 1.02 * got.length.sum() / 1024 + 1
+
+
 def test_mixing_meets_entropy_with_a_budget(spark):
     rows = [(i, "w" * 40, "a" if i % 10 else "b") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
