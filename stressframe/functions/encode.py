@@ -54,6 +54,11 @@ def unlinear(code: Column, low: Column, high: Column, bits: int = 16) -> Column:
     return low + code / ((1 << bits) - 1) * (high - low)
 
 
+def strain(value: Column, low: Column, high: Column, bits: int = 16) -> Column:
+    """As ``linear``; a range that is nothing for a strain (under 1e-15) is half way too."""
+    return linear(value, low, F.when(high - low > 1e-15, high).otherwise(low), bits)
+
+
 def logarithmic(value: Column, floor: float, high: Column, bits: int = 16) -> Column:
     """Equal steps of the logarithm from floor to high; what is not above the floor is 0."""
     v = F.greatest(value, F.lit(floor))

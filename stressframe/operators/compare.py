@@ -74,9 +74,13 @@ def masked(title: Column) -> Column:
 
 
 def findings_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """change and title: new, resolved, changed (other numbers or severity) and kept findings, matched by masked titles."""
-    shape = lambda f, p: f.groupBy(masked(F.col("title")).alias("__k")).agg(F.min("title").alias(f"{p}_title"), F.min("severity").alias(f"{p}_severity"))
-    both = shape(old, "old").join(shape(new, "new"), "__k", "full")
+    """change and title: new, resolved, changed (other numbers or severity) and kept findings, matched by masked titles.
+
+    Findings of one mask are matched in order of title: first with first, and so on.
+    """
+    w = Window.partitionBy("__k").orderBy("title", "severity")
+    shape = lambda f, p: f.select(masked(F.col("title")).alias("__k"), "title", "severity").distinct().withColumn("__i", F.row_number().over(w)).withColumnsRenamed({"title": f"{p}_title", "severity": f"{p}_severity"})
+    both = shape(old, "old").join(shape(new, "new"), ["__k", "__i"], "full")
     change = F.when(F.col("old_title").isNull(), "new").when(F.col("new_title").isNull(), "resolved").when((F.col("old_title") != F.col("new_title")) | ~F.col("old_severity").eqNullSafe(F.col("new_severity")), "changed").otherwise("kept")
     return both.select(change.alias("change"), F.coalesce("new_title", "old_title").alias("title"))
 
@@ -143,3 +147,8 @@ def guards(cells: DataFrame) -> DataFrame:
     """Input faults: duplicate keys in a revision, and negative magnitudes."""
     twice = cells.groupBy("rev", "key").count().where("count > 1").select("rev", "key", F.lit("duplicate").alias("fault"))
     return twice.union(cells.where("g < 0").select("rev", "key", F.lit("negative").alias("fault")))
+
+
+def order_faults(cells: DataFrame, larger: str, smaller: str) -> DataFrame:
+    """Cells whose metrics are in the wrong order, such as a first principal stress under the third."""
+    return cells.where(F.col(larger) < F.col(smaller)).select("rev", "key", F.lit("order").alias("fault"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantile import order_statistics
+
 
 def summary(df: DataFrame, c: str, by: tuple[str, ...]) -> DataFrame:
     """n, max, percentiles, mean, population sd and its ratio to the mean."""
@@ -33,17 +35,18 @@ def weighted_centroid(df: DataFrame, weight: str, by: tuple[str, ...]) -> DataFr
     return df.where(w > 0).groupBy(*by).agg(*(F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"c{c}") for c in "xy"))
 
 
-def upper_median(c: str) -> Column:
-    """The middle value, the upper of two: an exact order statistic from a mergeable percentile."""
-    n = F.count(c)
-    return F.get(F.array_sort(F.collect_list(c)), F.floor(n / 2).cast("int"))
+def upper_median(df: DataFrame, c: str, by: str, name: str) -> DataFrame:
+    """The middle value of each group, the upper of two, and the size of the group (n): by rank, so no group is held at once."""
+    w = Window.partitionBy(by)
+    ranked = df.where(F.col(c).isNotNull()).select(by, F.col(c).alias(name), (F.row_number().over(w.orderBy(c)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
+    return ranked.where(F.col("__i") == F.floor(F.col("__n") / 2)).select(by, name, "__n")
 
 
 def robust_outliers(df: DataFrame, c: str, by: str, threshold: float = 3.5, least: int = 8, most: int = 10) -> DataFrame:
     """Rows whose robust z is over the threshold, the ``most`` largest of each group of ``least`` or more; a feature of reports."""
-    med = df.where(F.col(c).isNotNull()).groupBy(by).agg(upper_median(c).alias("median"), F.count(c).alias("__n")).where(F.col("__n") >= least)
+    med = upper_median(df, c, by, "median").where(F.col("__n") >= least)
     away = df.join(med, by).withColumn("__a", F.abs(F.col(c) - F.col("median")))
-    mad = away.groupBy(by).agg(upper_median("__a").alias("mad"))
+    mad = upper_median(away, "__a", by, "mad").drop("__n")
     z = away.join(mad, by).withColumn("z", F.when(F.col("mad") > 0, F.try_divide(0.6745 * (F.col(c) - F.col("median")), F.col("mad")))).where(F.abs("z") > threshold)
     return z.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.abs("z")), *[x for x in df.columns if x not in (by, c)]))).where(F.col("__r") <= most).drop("__r", "__a", "__n")
 
@@ -102,20 +105,22 @@ def idw_surface(points: DataFrame, value: str, size: int = 31, power: float = 2.
     return pairs.groupBy("i", "j").agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
 
 
-def leave_one_out(points: DataFrame, key: str, value: str, power: float = 2.0) -> DataFrame:
-    """IDW estimate of each point of a face from its other points."""
-    other = points.select(F.col(key).alias("__k"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(value).alias("__v"))
-    pairs = points.join(other, F.col(key) != F.col("__k"))
+def leave_one_out(points: DataFrame, key: str, value: str, power: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """IDW estimate of each point from the other points of its group, such as a face, of which a test has a few hundred."""
+    other = points.select(*(F.col(b).alias(f"__{b}") for b in by), F.col(key).alias("__k"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(value).alias("__v"))
+    same = F.col(key) != F.col("__k")
+    for b in by:
+        same &= F.col(b) == F.col(f"__{b}")
+    pairs = points.join(other, same)
     d2 = (F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2
     w = 1 / F.pow(F.greatest(d2, F.lit(1e-18)), F.lit(power / 2))
-    return pairs.groupBy(key, value).agg((F.sum(w * F.col("__v")) / F.sum(w)).alias("estimate"))
+    return pairs.groupBy(*by, key, value).agg((F.sum(w * F.col("__v")) / F.sum(w)).alias("estimate"))
 
 
 def pareto(df: DataFrame, c: str, item: str = "part_id") -> DataFrame:
     """Severity (mean of what is over the global upper quartile) against coverage (its share) of each item; front marks those that no other beats in both."""
-    q = df.agg(F.percentile(c, 0.75).alias("__q"))
-    over = F.col(c) > F.col("__q")
-    out = df.crossJoin(F.broadcast(q)).groupBy(item).agg(F.avg(F.when(over, F.col(c))).alias("severity"), F.avg(over.cast("double")).alias("coverage")).where("severity is not null")
+    over = F.col(c) > F.lit(order_statistics(df, c, [0.75])[0]).cast("double")
+    out = df.groupBy(item).agg(F.avg(F.when(over, F.col(c))).alias("severity"), F.avg(over.cast("double")).alias("coverage")).where("severity is not null")
     ahead = Window.orderBy(F.desc("coverage"), F.desc("severity"))  # a row for each item
     return out.withColumn("front", F.col("severity") > F.coalesce(F.max("severity").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf"))))
 
@@ -140,6 +145,22 @@ def damage(df: DataFrame, c: str, yields: DataFrame) -> DataFrame:
     return df.join(yields, "part_id").groupBy("face", "pos_id").agg(F.sum(F.greatest(F.try_divide(F.col(c), F.col("yield_stress")) - 1, F.lit(0.0))).alias("damage"))
 
 
+def composite_damage(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Where no yield is known: by position, the sum over parts of the weighted metrics, each over its largest."""
+    return severity(df, weights).groupBy("face", "pos_id").agg(F.sum("severity").alias("damage"))
+
+
+def drill_down(df: DataFrame, yields: DataFrame) -> DataFrame:
+    """Of each part: largest and mean acceleration, largest stress and displacement, the position of the largest acceleration (ties: the first), positions at or over the upper quartile of all, and the yield where it is known."""
+    quartile = order_statistics(df, "peak_g", [0.75])[0] or 0.0
+    over = (F.col("peak_g") >= quartile) & F.lit(quartile > 0)
+    out = df.groupBy("part_id").agg(
+        F.max("peak_g").alias("max_peak_g"), F.avg("peak_g").alias("mean_peak_g"), F.max("peak_stress").alias("max_peak_stress"), F.max("peak_disp").alias("max_peak_disp"),
+        F.min_by(F.struct("face", "pos_id"), F.struct(-F.col("peak_g"), "face", "pos_id")).alias("__at"), F.count_if(over).alias("over_quartile"),
+    )
+    return out.join(yields.select("part_id", "yield_stress"), "part_id", "left").select("part_id", "max_peak_g", "mean_peak_g", "max_peak_stress", "max_peak_disp", "__at.face", "__at.pos_id", "over_quartile", "yield_stress")
+
+
 def boundary_effect(df: DataFrame, c: str, margin: float = 0.15) -> DataFrame:
     """Means of positions near the edge of their face and of those inside, and the ratio."""
     box = df.groupBy("face").agg(*(f(x).alias(k + x) for x in "xy" for k, f in (("a", F.min), ("b", F.max))))
@@ -150,9 +171,9 @@ def boundary_effect(df: DataFrame, c: str, margin: float = 0.15) -> DataFrame:
 
 def worst_combinations(df: DataFrame, columns: dict[str, float], top: int = 25) -> DataFrame:
     """The ``top`` rows by a weighted sum of metrics over their 95th percentiles; a feature of reports."""
-    q = df.agg(*(F.percentile(c, 0.95).alias(f"__{c}") for c in columns))
-    score = sum((F.coalesce(F.try_divide(F.col(c), F.col(f"__{c}")) * w, F.lit(0.0)) for c, w in columns.items()), F.lit(0.0))
-    return df.crossJoin(F.broadcast(q)).withColumn("score", score).drop(*(f"__{c}" for c in columns)).orderBy(F.desc("score"), *[c for c in ("face", "pos_id", "part_id") if c in df.columns]).limit(top)
+    high = {c: F.lit(order_statistics(df, c, [0.95])[0]).cast("double") for c in columns}
+    score = sum((F.coalesce(F.try_divide(F.col(c), high[c]) * w, F.lit(0.0)) for c, w in columns.items()), F.lit(0.0))
+    return df.withColumn("score", score).orderBy(F.desc("score"), *[c for c in ("face", "pos_id", "part_id") if c in df.columns]).limit(top)
 
 
 def wave_speed(arrivals: DataFrame) -> DataFrame:
@@ -172,7 +193,7 @@ def safe_zone(df: DataFrame, c: str, limit: float) -> DataFrame:
 
 
 def convex_hull(points: DataFrame, by: str) -> DataFrame:
-    """Corners of the convex hull of each group's points, counter-clockwise; a face's positions are few."""
+    """Corners of the convex hull of each group's points, counter-clockwise, none of fewer than three points; a face's positions are few."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         p = sorted(set(zip(frame["x"], frame["y"], strict=True)))
@@ -185,7 +206,7 @@ def convex_hull(points: DataFrame, by: str) -> DataFrame:
                 out.append(q)
             return out[:-1] if len(points) > 1 else out
 
-        hull = chain(p) + (chain(p[::-1]) if len(p) > 1 else [])
+        hull = chain(p) + chain(p[::-1]) if len(p) > 2 else []
         return pd.DataFrame({by: [frame[by].iloc[0]] * len(hull), "i": range(len(hull)), "x": [a for a, _ in hull], "y": [b for _, b in hull]})
 
     kind = points.schema[by].dataType.simpleString()
@@ -201,22 +222,35 @@ def k_means(df: DataFrame, columns: list[str], k: int, seed: int = 1) -> DataFra
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(ready).transform(ready).drop("__v")
 
 
+def assign_clusters(df: DataFrame, columns: list[str], centres: list[list[float]]) -> DataFrame:
+    """Adds cluster, the nearest of a few centres (ties: the first), and its squared distance; NULL where a column is missing."""
+    d2 = [sum(((F.col(c) - v) ** 2 for c, v in zip(columns, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    rows = df.withColumns({f"__d{k}": d for k, d in enumerate(d2)})
+    least = F.least(*(F.col(f"__d{k}") for k in range(len(centres)))) if len(centres) > 1 else F.col("__d0")
+    own = F.coalesce(*(F.when(F.col(f"__d{k}") == F.col("__least"), k) for k in range(len(centres))))
+    return rows.withColumn("__least", least).withColumns({"cluster": own, "distance2": F.col("__least")}).drop("__least", *(f"__d{k}" for k in range(len(centres))))
+
+
+def scatter_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: n, the scale of each column (its largest size), and the sums and sums of products of the columns over their scales, of rows without a missing value."""
+    n = len(columns)
+    top = df.agg(*(F.max(F.abs(c)).alias(f"scale_{i}") for i, c in enumerate(columns)))
+    scaled = [F.col(c) / F.when(F.col(f"scale_{i}") > 0, F.col(f"scale_{i}")).otherwise(1.0) for i, c in enumerate(columns)]
+    sums = [F.sum(a).alias(f"sum_{i}") for i, a in enumerate(scaled)] + [F.sum(scaled[i] * scaled[j]).alias(f"product_{i}_{j}") for i in range(n) for j in range(i, n)]
+    return df.dropna(subset=columns).crossJoin(F.broadcast(top)).agg(F.count("*").alias("n"), *(F.max(f"scale_{i}").alias(f"scale_{i}") for i in range(n)), *sums)  # one row
+
+
 def principal_components(df: DataFrame, columns: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Modes (k x columns, largest entry positive) and their shares of the variance, of columns over their largest values.
 
     The scatter matrix is summed on executors; only it, of the size of the columns, is collected.
     """
-    top = df.agg(*(F.max(F.abs(c)).alias(c) for c in columns)).first()
-    scale = [float(top[c] or 1.0) or 1.0 for c in columns]
-    x = [F.col(c) / s for c, s in zip(columns, scale, strict=True)]
     n = len(columns)
-    sums = df.dropna(subset=columns).agg(F.count("*"), *(F.sum(a) for a in x), *(F.sum(x[i] * x[j]) for i in range(n) for j in range(i, n))).first()
-    if not sums[0]:
+    row = scatter_matrix(df, columns).first()
+    if not row["n"]:
         return np.zeros((0, n)), np.zeros(0)
-    mean = np.array(sums[1 : n + 1]) / sums[0]
-    scatter = np.zeros((n, n))
-    scatter[np.triu_indices(n)] = np.array(sums[n + 1 :]) / sums[0]
-    scatter = np.triu(scatter) + np.triu(scatter, 1).T - np.outer(mean, mean)
+    mean = np.array([row[f"sum_{i}"] for i in range(n)]) / row["n"]
+    scatter = np.array([[row[f"product_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / row["n"] - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(scatter)
     modes = vectors[:, ::-1][:, :k].T
     modes *= np.sign(modes[np.arange(len(modes)), np.abs(modes).argmax(1)])[:, None]
@@ -224,11 +258,13 @@ def principal_components(df: DataFrame, columns: list[str], k: int = 3) -> tuple
 
 
 def sphere_coverage(directions: DataFrame) -> DataFrame:
-    """Mean angle of each direction to its nearest other; test directions are a few hundred and are broadcast."""
-    from .joins import angular_distance
+    """Mean and largest angle of each direction to its nearest other; over DIRECTIONS of them is an error."""
+    from .joins import DIRECTIONS, angular_distance
 
+    if directions.count() > DIRECTIONS:
+        raise ValueError(f"over {DIRECTIONS} directions to compare with")
     other = directions.select(F.col("i").alias("__i"), F.col("roll").alias("__r"), F.col("pitch").alias("__p"))
-    pairs = directions.join(F.broadcast(other), F.col("i") != F.col("__i"))
+    pairs = directions.join(F.broadcast(other), F.col("i") != F.col("__i"))  # counted above
     near = pairs.groupBy("i").agg(F.min(angular_distance(F.col("roll"), F.col("pitch"), F.col("__r"), F.col("__p"))).alias("a"))
     return near.agg(F.avg("a").alias("mean_nearest"), F.max("a").alias("largest_gap"))
 

@@ -6,10 +6,15 @@ only those of its own and the adjoining cells.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import materialize
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, forward: bool = True) -> DataFrame:
     """Adds to each left row the value of the first right row at or after its time (or the last at or before).
@@ -51,30 +56,77 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, by: list[st
     return left.join(best, F.col(left_key) == F.col("__a"), "left").drop("__a")
 
 
-def median_spacing(points: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Median distance of points to their nearest neighbour in the group, from ordered neighbours in x and in y."""
-    out = None
-    for first, second in (("x", "y"), ("y", "x")):
-        w = Window.partitionBy(*by, second).orderBy(first)
-        gaps = points.select(*by, (F.col(first) - F.lag(first).over(w)).alias("gap")).where("gap > 0")
-        out = gaps if out is None else out.union(gaps)
-    return out.groupBy(*by).agg(F.percentile("gap", 0.5).alias("spacing"))
+def _joined_cells(left: DataFrame, right: DataFrame, by: list[str], size: str, reach: int) -> DataFrame:
+    """Left points (__a, x, y) beside right ones (__b, __x, __y) of their own and the cells up to ``reach`` around, of ``size`` (a column of both)."""
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    cell = lambda c: F.floor(F.col(c) / F.col(size)).cast("long")
+    a = left.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumns({"__cx": cell("x") + F.col("__dx"), "__cy": cell("y") + F.col("__dy")}).drop("__dx", "__dy")
+    b = right.withColumns({"__cx": cell("__x"), "__cy": cell("__y")}).drop(size)
+    return a.join(b, [*by, "__cx", "__cy"])
 
 
-def idw(targets: DataFrame, samples: DataFrame, key: str, value: str, k: int = 4, power: float = 2.0, distance: Column | None = None) -> DataFrame:
-    """Inverse-distance weighted mean of the k nearest samples of each target; a sample at no distance decides alone.
+def k_nearest(targets: DataFrame, samples: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
+    """``targets`` (key, x, y) beside their ``k`` nearest ``samples`` (__b, __x, __y, ...) of the same group: distance and rank (ties: the least __b).
 
-    Samples of one revision are few (a test grid) and are broadcast after being counted; larger
-    ones are joined as Spark sees fit.
+    Samples are dealt to cells that hold about ``k`` each. A target looks at the cells
+    around its own, and at more of them, twice as wide each time, until the k-th distance is
+    within what the cells surely cover or they cover the whole group; so no target meets
+    samples that are far away while nearer ones are known. Of samples at one place only the
+    first ``k`` can be among the nearest, and only they go on.
     """
-    d = distance if distance is not None else F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
-    other = samples.withColumnsRenamed({"x": "__x", "y": "__y", key: "__k"})
-    other = F.broadcast(other) if samples.count() <= 10_000 else other
-    pairs = targets.crossJoin(other).withColumn("__d", d).where(F.col(value).isNotNull())
-    near = pairs.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__d", "__k"))).where(F.col("__r") <= k)
-    weight = F.try_divide(F.lit(1.0), F.pow("__d", F.lit(power)))
-    exact = F.max(F.when(F.col("__d") < 1e-9, F.col(value)))
-    return near.groupBy(key).agg(F.coalesce(exact, F.try_divide(F.sum(F.when(F.col("__d") >= 1e-9, weight * F.col(value))), F.sum(F.when(F.col("__d") >= 1e-9, weight)))).alias(value))
+    place = Window.partitionBy(*by, "__x", "__y").orderBy("__b")
+    samples = samples.withColumn("__p", F.row_number().over(place)).where(F.col("__p") <= k).drop("__p")
+    box = samples.groupBy(*by).agg(*(f("__" + c).alias(m + c) for c in "xy" for m, f in (("__lo", F.min), ("__hi", F.max))), F.count("*").alias("__n"))
+    area = F.greatest(F.col("__hix") - F.col("__lox"), F.lit(0.0)) * F.greatest(F.col("__hiy") - F.col("__loy"), F.lit(0.0))
+    side = F.greatest(F.sqrt(area * k / F.col("__n")), F.greatest(F.col("__hix") - F.col("__lox"), F.col("__hiy") - F.col("__loy")) * k / F.col("__n"), F.lit(1e-9))
+    sized = box.select(*by, side.alias("__size"), "__lox", "__hix", "__loy", "__hiy", "__n")
+    waiting = targets.select(*by, F.col(key).alias("__a"), "x", "y").join(sized, by) if by else targets.select(F.col(key).alias("__a"), "x", "y").crossJoin(F.broadcast(sized))  # one row
+    dealt = samples.join(sized.select(*by, "__size"), by) if by else samples.crossJoin(F.broadcast(sized.select("__size")))
+    waiting, dealt, done = materialize(waiting), materialize(dealt), None
+    w = Window.partitionBy(*by, "__a").orderBy("__d", "__b")
+    for level in count():
+        grown = lambda df: df.withColumn("__cell", F.col("__size") * F.lit(float(2**level)))  # noqa: E731,B023
+        pairs = _joined_cells(grown(waiting), grown(dealt).drop("__size"), by, "__cell", 1)
+        near = pairs.withColumn("__d", F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+        near = materialize(near.drop("__cx", "__cy"))
+        edge = F.least(*(F.pmod(F.col(c), F.col("__cell")) + F.col("__cell") for c in "xy"), *(2 * F.col("__cell") - F.pmod(F.col(c), F.col("__cell")) for c in "xy"))  # how far all is seen
+        whole = reduce(lambda a, b: a & b, ((F.floor(F.col(m + c) / F.col("__cell")) - F.floor(F.col(c) / F.col("__cell"))).between(-1, 1) for c in "xy" for m in ("__lo", "__hi")))
+        ends = near.groupBy(*by, "__a").agg(F.count("*").alias("__m"), F.max("__d").alias("__far"))
+        state = grown(waiting).join(ends, [*by, "__a"], "left")
+        settled = materialize(state.where(whole | ((F.col("__m") >= k) & (F.col("__far") <= edge))).select(*by, "__a"))
+        found = near.join(settled, [*by, "__a"], "left_semi")
+        done = found if done is None else done.unionByName(found)
+        waiting = materialize(waiting.join(settled, [*by, "__a"], "left_anti"))
+        if waiting.isEmpty():
+            break
+    return done.drop("__size", "__cell", "__lox", "__hix", "__loy", "__hiy", "__n").withColumnsRenamed({"__a": key, "__d": "distance", "__r": "rank"})
+
+
+def median_spacing(points: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Median distance of points to their nearest other point of the group; points at one place have no distance."""
+    other = points.where("x is not null and y is not null")
+    samples = other.select(*by, F.col(key).alias("__b"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    near = k_nearest(other, samples, key, by, 2).where((F.col(key) != F.col("__b")) & (F.col("distance") > 0))
+    best = near.groupBy(*by, key).agg(F.min("distance").alias("d"))
+    return best.groupBy(*by).agg(F.percentile("d", 0.5).alias("spacing"))
+
+
+def weighted(near: DataFrame, key: str, value: str, power: float = 2.0) -> DataFrame:
+    """Inverse-distance weighted mean of ``near`` (key, distance, value); a sample at no distance decides alone."""
+    weight = F.try_divide(F.lit(1.0), F.pow("distance", F.lit(power)))
+    apart = F.col("distance") >= 1e-9
+    exact = F.max(F.when(~apart, F.col(value)))
+    return near.groupBy(key).agg(F.coalesce(exact, F.try_divide(F.sum(F.when(apart, weight * F.col(value))), F.sum(F.when(apart, weight)))).alias(value))
+
+
+def idw(targets: DataFrame, samples: DataFrame, key: str, value: str, k: int = 4, power: float = 2.0) -> DataFrame:
+    """Inverse-distance weighted mean of the k nearest samples of each target, found by cells."""
+    known = samples.where(F.col(value).isNotNull()).select(F.col(key).alias("__b"), F.col("x").alias("__x"), F.col("y").alias("__y"), value)
+    return weighted(k_nearest(targets, known, key, [], k), key, value, power)
+
+
+#: Rows up to which a counted set of directions is broadcast.
+DIRECTIONS = 10_000
 
 
 def mirror_pairs(points: DataFrame, key: str, axis: str = "x", digits: int = 4) -> DataFrame:
@@ -93,10 +145,18 @@ def angular_distance(roll_a: Column, pitch_a: Column, roll_b: Column, pitch_b: C
     return F.degrees(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))))
 
 
+def on_sphere(roll: Column, pitch: Column) -> list[Column]:
+    """x, y, z of a direction."""
+    r = F.radians
+    return [F.cos(r(pitch)) * F.cos(r(roll)), F.cos(r(pitch)) * F.sin(r(roll)), F.sin(r(pitch))]
+
+
 def angular_nearest(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The nearest direction of ``right`` (a broadcast set of a few archetypes) for each of ``left``: roll, pitch."""
+    """The nearest direction of ``right`` for each of ``left``: roll, pitch. ``right`` is a set of directions to compare with; over DIRECTIONS of them is an error."""
+    if right.count() > DIRECTIONS:
+        raise ValueError(f"over {DIRECTIONS} directions to compare with")
     other = right.select(F.col(key).alias("nearest"), F.col("roll").alias("__r"), F.col("pitch").alias("__p"))
-    pairs = left.crossJoin(F.broadcast(other)).withColumn("__d", angular_distance(F.col("roll"), F.col("pitch"), F.col("__r"), F.col("__p")))
+    pairs = left.crossJoin(F.broadcast(other)).withColumn("__d", angular_distance(F.col("roll"), F.col("pitch"), F.col("__r"), F.col("__p")))  # counted above
     return pairs.groupBy(*left.columns).agg(F.min_by("nearest", F.struct("__d", "nearest")).alias("nearest"), F.min("__d").alias("angle"))
 
 

@@ -34,8 +34,8 @@ def shell_faces(shells: DataFrame, bottom: bool = False) -> DataFrame:
     return top.union(under)
 
 
-def exterior_faces(elements: DataFrame, parts_first: list[int] | None = None, parts_after: list[int] | None = None) -> DataFrame:
-    """Faces of solids that no other solid has, and all faces of shells.
+def exterior_faces(elements: DataFrame, parts_first: list[int] | None = None, parts_after: list[int] | None = None, solids: bool = True, shells: bool = True, bottom: bool = False) -> DataFrame:
+    """Faces of solids that no other solid has, and all faces of shells; either alone if asked, with the shells' bottom too.
 
     With ``parts_first`` other parts don't count, so a face between two parts is exterior;
     ``parts_after`` picks from the exterior of the whole.
@@ -44,7 +44,7 @@ def exterior_faces(elements: DataFrame, parts_first: list[int] | None = None, pa
     faces = solid_faces(chosen).withColumn("__key", F.array_sort(F.array_distinct("nodes"))).where(F.size("__key") >= 3)
     names = ("etype", "elem_idx", "elem_id", "part_id", "nodes")
     once = faces.groupBy("__key").agg(F.count("*").alias("__n"), *(F.min(c).alias(c) for c in names)).where("__n = 1").select(*names)
-    out = once.union(shell_faces(chosen))
+    out = once.union(shell_faces(chosen, bottom)) if solids and shells else once if solids else shell_faces(chosen, bottom)
     return out if parts_after is None else out.where(F.col("part_id").isin(parts_after))
 
 
@@ -159,9 +159,9 @@ HEXA_EDGES = QUAD_EDGES + ((4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6
 
 
 def aspect(p: list[Vector]) -> Column:
-    """Longest over shortest edge; NULL with an edge of no length."""
+    """Longest over shortest edge; NULL with an edge that is nothing beside the longest."""
     e = _edges(QUAD_EDGES if len(p) == 4 else HEXA_EDGES, p)
-    return F.when(F.least(*e) > 1e-12, F.try_divide(F.greatest(*e), F.least(*e)))
+    return F.when(F.least(*e) > F.greatest(*e) * 1e-9, F.try_divide(F.greatest(*e), F.least(*e)))
 
 
 def skewness(p: list[Vector]) -> Column:
@@ -185,6 +185,38 @@ def hexa_volume(p: list[Vector]) -> Column:
     return reduce(lambda x, y: x + y, (tet_volume(*(p[i] for i in t)) for t in ((0, 1, 3, 4), (1, 2, 3, 6), (1, 4, 5, 6), (3, 4, 6, 7), (1, 3, 4, 6))))
 
 
+def solid_volume(p: list[Vector], nodes: Column) -> Column:
+    """Signed volume of a solid of eight corners: by one tetrahedron where it has four different nodes, in order, else by five (which holds for wedges and pyramids too)."""
+    place = F.transform(F.array_distinct(nodes), lambda v: F.array_position(nodes, v).cast("int") - 1)
+    at = lambda k: [reduce(lambda a, i: F.when(F.get(place, F.lit(k)) == i, getattr(p[i], c)).otherwise(a), range(8), F.lit(None).cast("double")) for c in "xyz"]
+    return F.when(F.size(place) == 4, tet_volume(*(Vector(*at(k)) for k in range(4)))).otherwise(hexa_volume(p))
+
+
+def degenerate_strains(df: DataFrame, corners: str, out: str = "strain") -> DataFrame:
+    """Adds the equivalent strain (of von Mises) of solids with fewer corners, as constant in the tetrahedron of the first four corners at different places; NULL where there are none or they are flat.
+
+    ``corners`` is an array of structs x, y, z (places) and u, v, w (displacements). The
+    displacement gradient is that of the displacements' differences by the inverse of the
+    places' differences. In steps, each a column, so that no expression is built into another.
+    """
+    apart = lambda a, b: (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 + (a["z"] - b["z"]) ** 2 >= 1e-24
+    seen = F.filter(corners, lambda c, i: F.forall(F.slice(F.col(corners), 1, i), lambda o: apart(o, c)))
+    rows = df.withColumn("__first", F.slice(seen, 1, 4))
+    edge = lambda k, c: F.get("__first", F.lit(k))[c] - F.get("__first", F.lit(0))[c]
+    rows = rows.withColumns({f"__{c}{k}": edge(k, c) for k in (1, 2, 3) for c in ("x", "y", "z", "u", "v", "w")})
+    place = [Vector(*(F.col(f"__{c}{k}") for c in "xyz")) for k in (1, 2, 3)]
+    crosses = (place[1].cross(place[2]), place[2].cross(place[0]), place[0].cross(place[1]))
+    rows = rows.withColumns({f"__c{c}{k}": getattr(v, c) for k, v in enumerate(crosses, 1) for c in "xyz"}).withColumn("__volume", place[0].dot(crosses[0]))
+    slope = lambda c, a: sum((F.col(f"__{c}{k}") * F.col(f"__c{a}{k}") for k in (1, 2, 3)), F.lit(0.0))
+    rows = rows.withColumns({f"__g{c}{a}": F.try_divide(slope(c, a), F.col("__volume")) for c in "uvw" for a in "xyz"})
+    g = lambda c, a: F.col(f"__g{c}{a}")
+    rows = rows.withColumn("__mean", (g("u", "x") + g("v", "y") + g("w", "z")) / 3)
+    square = sum(((g(c, a) - F.col("__mean")) ** 2 for c, a in zip("uvw", "xyz", strict=True)), F.lit(0.0))
+    square += sum(((g(*p) + g(*q)) ** 2 / 2 for p, q in (("uy", "vx"), ("vz", "wy"), ("uz", "wx"))), F.lit(0.0))
+    found = F.when((F.size("__first") == 4) & (F.abs("__volume") > 1e-30), F.sqrt(2 / 3 * square))
+    return rows.withColumn(out, found).select(*[c for c in df.columns if c != out], out)
+
+
 #: Fixed value: of each corner of a hexahedron its three neighbours, right-handed.
 CORNERS = ((1, 3, 4), (2, 0, 5), (3, 1, 6), (0, 2, 7), (7, 5, 0), (4, 6, 1), (5, 7, 2), (6, 4, 3))
 
@@ -199,6 +231,25 @@ def scaled_jacobian(p: list[Vector]) -> Column:
     return F.least(*values)
 
 
+def part_properties(solids: DataFrame, density: DataFrame | None = None) -> DataFrame:
+    """part_id, volume, mass (by ``density``: part_id, density; NULL without) and centroid (by volume) of solids with corners p0 to p7."""
+    p = [corner(i) for i in range(8)]
+    middle = reduce(lambda a, b: a + b, p).scale(1 / 8)
+    each = solids.select("part_id", F.abs(solid_volume(p, F.col("node_ids"))).alias("v"), middle.x.alias("x"), middle.y.alias("y"), middle.z.alias("z"))
+    out = each.groupBy("part_id").agg(F.sum("v").alias("volume"), *(F.try_divide(F.sum(F.col("v") * F.col(c)), F.sum("v")).alias(f"centroid_{c}") for c in "xyz"))
+    if density is None:
+        return out.withColumn("mass", F.lit(None).cast("double"))
+    return out.join(density, "part_id", "left").withColumn("mass", F.col("volume") * F.col("density")).drop("density")
+
+
+def solid_corners(solids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Solids with the places of their eight corners, p0 to p7, by one join of all corners."""
+    each = solids.where("etype = 'SOLID'").select("elem_id", "part_id", "node_ids", F.posexplode("node_ids").alias("__i", "node_id"))
+    placed = each.join(nodes.select("node_id", F.struct("x", "y", "z").alias("p")), "node_id")
+    held = placed.groupBy("elem_id", "part_id", "node_ids").agg(F.map_from_entries(F.collect_list(F.struct("__i", "p"))).alias("__p"))
+    return held.select("elem_id", "part_id", "node_ids", *(F.col("__p")[i].alias(f"p{i}") for i in range(8)))
+
+
 def element_quality(solids: DataFrame) -> DataFrame:
     """aspect, volume and scaled Jacobian of solids with corners p0 to p7, and the ratio to the volume at the first state."""
     p = [corner(i) for i in range(8)]
@@ -218,15 +269,17 @@ def nodal_average(elements: DataFrame, values: DataFrame, value: str) -> DataFra
     return each.join(values, ["etype", "elem_idx"]).groupBy("node_id", "state_idx").agg(F.avg(value).alias(value))
 
 
-def section_clip(elements: DataFrame, nodes: DataFrame, point: tuple[float, float, float], normal: tuple[float, float, float], value: str | None = None) -> DataFrame:
+def section_clip(elements: DataFrame, nodes: DataFrame, point: tuple[float, float, float], normal: tuple[float, float, float], value: str | None = None, slab: float = 0.0) -> DataFrame:
     """Polygons where a plane cuts the elements' edges: corners in order about their centre, values interpolated.
 
     Signed distances come with the corners in one join; edges whose ends are on two sides
-    give a point each.
+    give a point each. Nodes within half the thickness of a ``slab`` count as on the plane.
     """
     size = sum(v * v for v in normal) ** 0.5
     n = [v / size for v in normal]
     distance = reduce(lambda a, b: a + b, ((F.col(c) - o) * k for c, o, k in zip("xyz", point, n, strict=True)))
+    half = slab / 2
+    distance = F.when((F.lit(half) > 0) & (F.abs(distance) <= half), 0.0).otherwise(distance)
     at = nodes.select("node_id", F.struct(distance.alias("d"), "x", "y", "z", *([F.col(value).alias("v")] if value else [F.lit(None).cast("double").alias("v")])).alias("q"))
     each = elements.select("etype", "elem_idx", "part_id", F.posexplode("node_ids").alias("i", "node_id")).join(at, "node_id")
     held = each.groupBy("etype", "elem_idx", "part_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "q"))).alias("q"))

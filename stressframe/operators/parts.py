@@ -74,6 +74,59 @@ def set_fields(df: DataFrame, members: DataFrame, fields: dict[str, bool]) -> Da
     return out
 
 
+def all_set_fields(df: DataFrame, members: DataFrame, fields: dict[str, bool]) -> DataFrame:
+    """``set_fields`` in one pass: all fields' extremes of each set and state by one aggregation, then their peaks from these."""
+    inside = df.join(members, "part_id").select("set_id", "state_idx", *(QUANTITIES[f]().alias(f) for f in fields))
+    states = inside.groupBy("set_id", "state_idx").agg(*((F.max if largest else F.min)(f).alias(f) for f, largest in fields.items()))
+    long = states.select("set_id", "state_idx", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(1 if largest else -1).alias("sign")) for f, largest in fields.items()))))
+    best = F.max_by(F.struct("value", "state_idx"), F.when(F.col("value").isNotNull(), F.struct(F.col("value") * F.col("sign"), -F.col("state_idx"))))  # a row for each set, state and field
+    return long.groupBy("set_id", "field").agg(best.alias("b")).select("set_id", "field", F.col("b.value").alias("peak"), F.col("b.state_idx").alias("state_idx"))
+
+
+def _direct(rows: DataFrame, fields: dict[str, Column], item: str) -> DataFrame:
+    """Of each set, field and state the largest value and its item; peak marks the state of the largest (ties: the first)."""
+    values = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()))
+    each = rows.select("set_id", "state_idx", "time", item, F.inline(values)).where(F.col("value").isNotNull())
+    states = each.groupBy("set_id", "field", "state_idx").agg(F.min("time").alias("time"), F.max_by(F.struct("value", item), F.struct("value", -F.col(item))).alias("b"))
+    flat = states.select("set_id", "field", "state_idx", "time", F.col("b.value").alias("value"), F.col(f"b.{item}").alias(item))
+    first = F.row_number().over(Window.partitionBy("set_id", "field").orderBy(F.desc("value"), "state_idx")) == 1  # a series of states
+    return flat.withColumn("peak", first)
+
+
+def node_set_metrics(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Largest displacement, velocity and acceleration of the nodes of each set and state, with the node that has it; a motion that is not recorded gives no rows."""
+    names = {"disp_mag": "displacement", "vel_mag": "velocity", "acc_mag": "acceleration"}
+    return _direct(nodes.join(members, "node_id"), {k: QUANTITIES[q]() for k, q in names.items()}, "node_id")
+
+
+def segment_set_metrics(states: DataFrame, parents: DataFrame) -> DataFrame:
+    """Largest von Mises stress and plastic strain of the parent solids of each set of segments (set_id, element_id) and state."""
+    names = {"von_mises": "von_mises", "eff_plastic_strain": "effective_plastic_strain"}
+    return _direct(states.join(parents.select("set_id", "element_id").distinct(), "element_id"), {k: QUANTITIES[q]() for k, q in names.items()}, "element_id")
+
+
+def single_pass(states: DataFrame, quantities: list[str], surfaces: DataFrame) -> DataFrame:
+    """Statistics of parts and of surfaces from one scan: kind, target, state_idx, and max, min, avg and elements of each quantity.
+
+    ``surfaces``: surface, element_id. Every row counts for its part and for each surface it
+    is on; the rows are aggregated once, in tasks first.
+    """
+    on = surfaces.distinct().groupBy("element_id").agg(F.collect_list("surface").alias("__on"))  # surfaces of a job are few
+    ready = states.select("part_id", "element_id", "state_idx", *(QUANTITIES[q]().alias(q) for q in quantities)).join(on, "element_id", "left")
+    part = F.array(F.struct(F.lit("part").alias("kind"), F.col("part_id").cast("string").alias("target")))
+    there = F.transform(F.coalesce("__on", F.array().cast("array<string>")), lambda name: F.struct(F.lit("surface").alias("kind"), name.alias("target")))
+    each = ready.select("element_id", "state_idx", *quantities, F.inline(F.concat(part, there)))
+    columns = []
+    for q in quantities:
+        columns += [F.max(q).alias(f"{q}_max"), F.min(q).alias(f"{q}_min"), F.avg(q).alias(f"{q}_avg"), _element_of(True, q).alias(f"{q}_max_element")]
+    return each.groupBy("kind", "target", "state_idx").agg(*columns)
+
+
+def progress(series: DataFrame, total_states: int) -> DataFrame:
+    """How many of the states each part's history has, in percent."""
+    return series.groupBy("part_id").agg(F.count_distinct("state_idx").alias("states")).withColumn("percent", F.col("states") * 100.0 / F.lit(total_states))
+
+
 def beam_resultants(beams: DataFrame, names: tuple[str, ...] = ("axial", "shear_s", "shear_t", "moment_s", "moment_t", "torsion")) -> DataFrame:
     """Extremes of each resultant by part and state from (part_id, element_id, state_idx, words); values that aren't finite go."""
     pairs = F.array(*(F.struct(F.lit(n).alias("component"), F.get("words", F.lit(i)).alias("value")) for i, n in enumerate(names)))

@@ -6,6 +6,9 @@ Ties go to the first state, then to the least element.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,22 @@ def by_element(df: DataFrame, c: str, kinds: tuple[str, ...] = AGGREGATES) -> Da
     return df.groupBy("element_id").agg(*(aggregate(c, k).alias(k) for k in kinds), *times)
 
 
+def custom(df: DataFrame, c: str, fold: Callable[[Column], Column], by: tuple[str, ...] = ("element_id",)) -> DataFrame:
+    """An aggregate of one's own: ``fold`` makes it from the column by built-in aggregates, so it merges in tasks like they do."""
+    out = fold(F.col(c)).alias("value")
+    return df.groupBy(*by).agg(out) if by else df.agg(out)
+
+
+def custom_pandas(df: DataFrame, c: str, fold: Callable[[pd.Series], float], by: tuple[str, ...] = ("element_id",)) -> DataFrame:
+    """An aggregate that built-in ones can't make: ``fold`` gets all values of a group, as long as a series of states, at once."""
+
+    @F.pandas_udf("double")
+    def whole(v: pd.Series) -> float:
+        return float(fold(v))
+
+    return df.where(F.col(c).isNotNull()).groupBy(*by).agg(whole(F.col(c).cast("double")).alias("value"))
+
+
 def scalar(df: DataFrame, c: str, kind: str) -> DataFrame:
     """One value; 0 where there is none."""
     return df.agg(F.coalesce(aggregate(c, kind).cast("double"), F.lit(0.0)).alias("value"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import tensor as T
+from .quantile import order_statistics
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,7 @@ def default_names(part_ids: DataFrame) -> DataFrame:
 
 
 class States:
-    """Selections of states: each is a function from the states table (state_idx, time) to the chosen ones; ``any_of`` is their union."""
+    """Selections of states: each is a function from the states table (state_idx, time) to the chosen ones; ``any_of`` is their union, ``count`` and ``has_matches`` ask how many there are."""
 
     Choice = Callable[[DataFrame], DataFrame]
 
@@ -182,6 +183,19 @@ class States:
         hit = data.where(F.col(quantity) > limit).select(F.col("state_idx").alias("__w")).distinct()
         return lambda s: s.join(hit, F.col("state_idx") == F.col("__w"), "left_semi")
 
+    @staticmethod
+    def times(choice: Choice, states: DataFrame) -> DataFrame:
+        """The chosen states' times, in order."""
+        return choice(states).select("time").distinct().orderBy("time")
+
+    @staticmethod
+    def count(choice: Choice, states: DataFrame) -> int:
+        return choice(states).count()
+
+    @staticmethod
+    def has_matches(choice: Choice, states: DataFrame) -> bool:
+        return not choice(states).isEmpty()
+
     @staticmethod
     def any_of(*choices: Choice) -> Choice:
         return lambda s: reduce(DataFrame.union, (c(s) for c in choices)).distinct()
@@ -248,7 +262,7 @@ class Quantities:
 
 
 class Values:
-    """Filters on one column. The statistical ones take their thresholds once, from all rows, as a broadcast row; a filter is a function from a table to the rows that pass."""
+    """Filters on one column. The statistical ones take their thresholds once, from all rows: means as a broadcast row, percentiles by a few aggregations that run at once."""
 
     @staticmethod
     def _statistic(df: DataFrame, test: Callable[[Column], Column], *aggregates: Column) -> DataFrame:
@@ -290,22 +304,36 @@ class Values:
         """Rows of which any of the columns passes."""
         return Predicate(reduce(lambda a, b: a | b, (F.coalesce(make(c).column, F.lit(False)) for c in columns)))
 
+    @staticmethod
+    def _percentiles(df: DataFrame, c: str, *percents: float) -> list[Column]:
+        """Exact percentiles, found at once by a few aggregations; NULL without values."""
+        return [F.lit(v).cast("double") for v in order_statistics(df, c, [p / 100 for p in percents])]
+
     @staticmethod
     def top_percent(df: DataFrame, c: str, p: float) -> DataFrame:
-        return Values._statistic(df, lambda s: F.col(c) >= s["a0"], F.percentile(c, (100 - p) / 100))
+        return df.where(F.col(c) >= Values._percentiles(df, c, 100 - p)[0])
 
     @staticmethod
     def bottom_percent(df: DataFrame, c: str, p: float) -> DataFrame:
-        return Values._statistic(df, lambda s: F.col(c) <= s["a0"], F.percentile(c, p / 100))
+        return df.where(F.col(c) <= Values._percentiles(df, c, p)[0])
 
     @staticmethod
     def between_percentiles(df: DataFrame, c: str, low: float, high: float) -> DataFrame:
-        return Values._statistic(df, lambda s: F.col(c).between(s["a0"], s["a1"]), F.percentile(c, low / 100), F.percentile(c, high / 100))
+        return df.where(F.col(c).between(*Values._percentiles(df, c, low, high)))
 
     @staticmethod
     def without_outliers(df: DataFrame, c: str, k: float = 1.5) -> DataFrame:
         """Within k interquartile ranges of the quartiles."""
-        return Values._statistic(df, lambda s: F.col(c).between(s["a0"] - k * (s["a1"] - s["a0"]), s["a1"] + k * (s["a1"] - s["a0"])), F.percentile(c, 0.25), F.percentile(c, 0.75))
+        q1, q3 = Values._percentiles(df, c, 25, 75)
+        return df.where(F.col(c).between(q1 - k * (q3 - q1), q3 + k * (q3 - q1)))
+
+    @staticmethod
+    def accept_all() -> Predicate:
+        return Predicate(F.lit(True))
+
+    @staticmethod
+    def reject_all() -> Predicate:
+        return Predicate(F.lit(False))
 
     @staticmethod
     def within_sigma(df: DataFrame, c: str, n: float, inside: bool = True) -> DataFrame:
@@ -380,7 +408,3 @@ def by_parts(df: DataFrame, parts: DataFrame, chosen: Predicate) -> DataFrame:
 
 def not_parts(df: DataFrame, parts: DataFrame, chosen: Predicate) -> DataFrame:
     return df.join(chosen.apply(parts).select("part_id").distinct(), "part_id", "left_anti")
-
-
-def rank_window(c: str) -> Column:
-    return F.rank().over(Window.orderBy(F.desc(c)))

@@ -1,15 +1,15 @@
-"""Time series: integrals, downsampling, spectra, pulses, contact and energy audits."""
+"""Time series: integrals, downsampling, spectra, pulses and energy audits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .contact import audit_level
+
 
 def trapezoid(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
     """Adds the running integral of each key's series."""
@@ -36,14 +36,6 @@ def true_peak(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(F.abs(value)).alias("peak"), F.min_by(t, F.struct(-F.abs(value), t)).alias("t_peak"))
 
 
-def contact_mask(df: DataFrame, key: str, t: str, force: str, share: float = 0.1, times: float = 5.0) -> DataFrame:
-    """engaged: force over a share of the peak and over so many times the median of the lowest fifth."""
-    size = F.abs(force)
-    low = df.withColumn("__q", F.percent_rank().over(Window.partitionBy(key).orderBy(size))).where(F.col("__q") <= 0.2).groupBy(key).agg(F.percentile(size, 0.5).alias("__base"))
-    peak = df.groupBy(key).agg(F.max(size).alias("__peak"))
-    return df.join(peak, key).join(low, key).withColumn("engaged", (size > share * F.col("__peak")) & (size > times * F.col("__base"))).drop("__peak", "__base")
-
-
 def pulses(df: DataFrame, key: str, t: str, force: str) -> DataFrame:
     """Of rows with engaged: start, end, duration, share of engaged samples between, and time to the peak."""
     on = df.where("engaged").groupBy(key).agg(F.min(t).alias("t_start"), F.max(t).alias("t_end"), F.count("*").alias("__on"), F.min_by(t, F.struct(-F.abs(force), t)).alias("t_peak"))
@@ -51,30 +43,6 @@ def pulses(df: DataFrame, key: str, t: str, force: str) -> DataFrame:
     return on.join(inside, key).select(key, "t_start", "t_end", (F.col("t_end") - F.col("t_start")).alias("duration"), (F.col("__on") / F.col("__in")).alias("density"), (F.col("t_peak") - F.col("t_start")).alias("to_peak"))
 
 
-def trajectory_summary(df: DataFrame) -> DataFrame:
-    """Of each run (run_id, t, vel_x.., ke, contact_engaged): largest speed and energy before contact, energy after, rebound."""
-    speed = F.sqrt(sum((F.col(f"vel_{c}") * F.col(f"vel_{c}") for c in "xyz"), F.lit(0.0)))
-    first = F.min(F.when(F.col("contact_engaged"), F.col("t"))).over(Window.partitionBy("run_id"))
-    ready = df.withColumns({"speed": speed, "t_contact": first})
-    before = F.col("t_contact").isNull() | (F.col("t") < F.col("t_contact"))
-    return ready.groupBy("run_id").agg(F.min("t_contact").alias("t_contact"), F.max(F.when(before, F.col("ke"))).alias("ke_before"), F.max(F.when(before, F.col("speed"))).alias("speed_before"), F.max_by("ke", "t").alias("ke_after"), F.max_by("vel_z", "t").alias("final_vz"), F.max_by("speed", "t").alias("final_speed"))
-
-
-def behavior(summary: DataFrame) -> DataFrame:
-    """no_contact, bounce, embed, slide or rebound: the first rule that holds."""
-    kept = F.try_divide(F.col("ke_after"), F.col("ke_before"))
-    rule = F.when(F.col("t_contact").isNull(), "no_contact").when((kept >= 0.5) & (F.col("final_vz") > 0), "bounce").when(kept < 0.05, "embed").when(F.abs("final_vz") < 0.2 * F.col("final_speed"), "slide").otherwise("rebound")
-    return summary.withColumn("behavior", rule)
-
-
-def restitution(summary: DataFrame) -> DataFrame:
-    return summary.withColumn("restitution", F.when(F.col("ke_before") > 0, F.sqrt(F.try_divide(F.col("ke_after"), F.col("ke_before")))))
-
-
-def audit_level(value: Column, warn: float, fail: float) -> Column:
-    return F.when(value.isNull(), "unknown").when(value > fail, "fail").when(value > warn, "warn").otherwise("ok")
-
-
 def energy_audit(glstat: DataFrame) -> DataFrame:
     """Drift of the total, and largest share of hourglass and sliding energy, of (run_id, t, ke, ie, hourglass, sliding, total), in percent and as levels."""
     peak = F.max(F.abs("total"))
@@ -85,17 +53,6 @@ def energy_audit(glstat: DataFrame) -> DataFrame:
     return out.withColumns({f"{c}_level": audit_level(F.col(f"{c}_pct"), warn, fail) for c, warn, fail in (("drift", 2, 5), ("hourglass", 10, 20), ("sliding", 5, 10))})
 
 
-def contact_metrics(rcforc: DataFrame) -> DataFrame:
-    """Of each interface: peak, its time, impulse, and whether the sides' forces balance (side 0 against 1, within 5 % of the peak)."""
-    size = F.sqrt(F.col("fx") ** 2 + F.col("fy") ** 2 + F.col("fz") ** 2)
-    sides = rcforc.withColumn("f", size)
-    w = Window.partitionBy("interface_id", "side").orderBy("t")
-    part = (F.col("t") - F.lag("t").over(w)) * (F.col("f") + F.lag("f").over(w)) / 2
-    one = sides.withColumn("__p", part).where("side = 0").groupBy("interface_id").agg(F.max("f").alias("peak"), F.min_by("t", F.struct(-F.col("f"), "t")).alias("t_peak"), F.coalesce(F.sum("__p"), F.lit(0.0)).alias("impulse"))
-    other = sides.where("side = 1").groupBy("interface_id").agg(F.max("f").alias("peak_other"))
-    return one.join(other, "interface_id", "left").withColumn("balanced", F.abs(F.col("peak") - F.col("peak_other")) <= 0.05 * F.col("peak"))
-
-
 def recovery(df: DataFrame, key: str, t: str, value: str, share: float = 0.1) -> DataFrame:
     """Time from the peak until the series stays within a share of it, and the logarithmic decrement of the local peaks."""
     w = Window.partitionBy(key).orderBy(t)
@@ -148,10 +105,3 @@ def shock_spectrum(df: DataFrame, key: str, t: str, value: str, low: float = 10.
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, t, value).groupBy(key).applyInPandas(run, f"{key} {kind}, frequency double, response double")
-
-
-def chunks(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Frames cut to ``size`` rows, for callers that read in pieces."""
-    for frame in frames:
-        for start in range(0, len(frame), size):
-            yield frame.iloc[start : start + size]

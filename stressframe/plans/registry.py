@@ -55,4 +55,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(near(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema))
 
 
-from . import queries_compare, queries_doe, queries_mesh, queries_query, queries_series  # noqa: E402, F401
+from . import queries_compare, queries_contact, queries_doe, queries_files, queries_mesh, queries_more, queries_query, queries_series  # noqa: E402, F401

@@ -5,22 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: dict[str, str] = {}  # folders made where none is set, by application
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of spark.checkpoint.dir (a new local one where that is unset) and read it back."""
-    spark = df.sparkSession
+def folder_of(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on a single machine where it is unset, a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         name = spark.sparkContext.applicationId
         folder = _OWN.setdefault(name, "") or "file://" + tempfile.mkdtemp(prefix="stressframe-")
         _OWN[name] = folder
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes with the application."""
+    path = f"{folder_of(spark)}/table-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,3 +117,44 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("b"), F.col("p_brand")).alias("dst")).agg(F.sum("l_quantity").alias("impulse"))
+
+
+def forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as contact forces: a run for every third user, seven contacts, sides -1 (in run 0 alone), 0 and 1; the fifth contact has all but no force on side 0."""
+    e = read(spark, sf_dir, "events")
+    run, contact = (F.col("user_id") % 3).cast("int"), (F.floor(F.col("user_id") / 3) % 7).cast("int")
+    side = F.when((F.col("event_id") % 5 == 0) & (run == 0), -1).otherwise((F.floor(F.col("event_id") / 5) % 2).cast("int"))
+    size = F.when((contact == 5) & (side == 0), F.col("value") * 1e-5).otherwise(F.col("value"))
+    return e.select(run.alias("run_id"), contact.alias("interface_id"), side.alias("side"), (F.col("event_id") * 0.001).alias("t"), size.alias("fx"), (-size / 2).alias("fy"), F.when((contact == 5) & (side == 0), 0.0).otherwise((F.col("event_id") % 11) * 0.5).alias("fz"))
+
+
+FORCES = """fo0 AS (SELECT (user_id % 3)::INTEGER AS run_id, ((user_id // 3) % 7)::INTEGER AS interface_id, event_id, value, CASE WHEN event_id % 5 = 0 AND user_id % 3 = 0 THEN -1 ELSE ((event_id // 5) % 2)::INTEGER END AS side FROM events),
+fo1 AS (SELECT *, CASE WHEN interface_id = 5 AND side = 0 THEN value * 1e-5::DOUBLE ELSE value END AS size FROM fo0),
+forces AS (SELECT run_id, interface_id, side, event_id * 0.001::DOUBLE AS t, size AS fx, -size / 2 AS fy, CASE WHEN interface_id = 5 AND side = 0 THEN 0.0::DOUBLE ELSE (event_id % 11) * 0.5::DOUBLE END AS fz FROM fo1)"""
+
+
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as trajectories: a run for each user; every seventh never touches, and courses differ by the user."""
+    e = read(spark, sf_dir, "events")
+    u, i, v = F.col("user_id"), F.col("event_id"), F.col("value")
+    late = F.when(i > F.lit(0.5) * F.max("event_id").over(Window.partitionBy("user_id")), 1.0).otherwise(0.0)
+    vz = F.when(late == 0, -20.0 - (i % 3)).otherwise((u % 9) * 2.5 - 5)
+    ke = F.when(late == 0, 400.0 + (i % 5)).otherwise(404.0 * ((u % 11) / 10))
+    return e.select(
+        u.alias("run_id"), (i * 0.001).alias("t"), (v / 100).alias("pos_x"), ((i % 7) * 1.0).alias("pos_y"), (10.0 - (i % 13)).alias("pos_z"),
+        (late * (u % 4) * 3.0).alias("vel_x"), (late * (u % 2)).alias("vel_y"), vz.alias("vel_z"), ke.alias("ke"), ((late == 1) & (u % 7 != 0)).alias("contact_engaged"),
+    )
+
+
+TRAJECTORIES = """tr0 AS (SELECT user_id AS u, event_id AS i, value AS v, CASE WHEN event_id > 0.5 * max(event_id) OVER (PARTITION BY user_id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS late FROM events),
+trajectories AS (SELECT u AS run_id, i * 0.001::DOUBLE AS t, v / 100 AS pos_x, (i % 7) * 1.0::DOUBLE AS pos_y, 10.0::DOUBLE - (i % 13) AS pos_z, late * (u % 4) * 3.0::DOUBLE AS vel_x, late * (u % 2) AS vel_y,
+  CASE WHEN late = 0 THEN -20.0::DOUBLE - (i % 3) ELSE (u % 9) * 2.5::DOUBLE - 5 END AS vel_z, CASE WHEN late = 0 THEN 400.0::DOUBLE + (i % 5) ELSE 404.0::DOUBLE * ((u % 11) / 10.0::DOUBLE) END AS ke, late = 1 AND u % 7 <> 0 AS contact_engaged FROM tr0)"""
+
+
+def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as energy logs: a run for each user."""
+    i, v = F.col("event_id"), F.col("value")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), (i * 0.001).alias("t"), v.alias("ke"), (v / 2).alias("ie"), (v * (i % 3) / 20).alias("hourglass"), (v * (i % 7) / 60).alias("sliding"), (v + 400 + i % 13).alias("total"))
+
+
+ENERGIES = "energies AS (SELECT user_id AS run_id, event_id * 0.001::DOUBLE AS t, value AS ke, value / 2 AS ie, value * (event_id % 3) / 20 AS hourglass, value * (event_id % 7) / 60 AS sliding, value + 400 + event_id % 13 AS total FROM events)"

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from fnmatch import fnmatch
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import parts as P
 from ..operators import results as R
 from ..operators import series as S
+from ..operators.contact import contact_metrics
 from ..operators.query import Query
 from ..operators.select import Parts, Quantities, States, Values
 
@@ -64,7 +66,7 @@ TEMPLATES: dict[str, Template] = {
         Template("part_comparison", _compare, "stress", {"part_ids": (1, 2), "quantity": "von_mises"}),
         Template("displacement_envelope", lambda data, quantity: R.spatial_max(data.withColumn("__q", Quantities([quantity]).columns()[0]), "__q"), "motion", {"quantity": "displacement"}),
         Template("energy_balance", S.energy_audit, "energy"),
-        Template("contact_force", S.contact_metrics, "contact"),
+        Template("contact_force", contact_metrics, "contact"),
         Template("failure", _critical, "strain", {"quantity": "effective_plastic_strain", "limit": 0.3}),
     )
 }
@@ -80,6 +82,51 @@ def register(template: Template, *aliases: str) -> None:
         TEMPLATES[name] = template
 
 
+def save(template: Template) -> str:
+    """The template's name, category and parameters as JSON."""
+    return json.dumps({"name": template.name, "category": template.category, "parameters": template.parameters}, sort_keys=True)
+
+
+def load(text: str) -> Template:
+    """A template saved before: the registered question of that name, with the saved parameters as defaults."""
+    found = json.loads(text)
+    known = TEMPLATES[found["name"]]
+    return Template(known.name, known.answer, found.get("category", known.category), {**known.parameters, **found["parameters"]})
+
+
+def load_folder(path: str) -> list[str]:
+    """Register every template of a folder's JSON files under the files' names; the names."""
+    names = []
+    for file in sorted(Path(path).glob("*.json")):
+        TEMPLATES[file.stem] = load(file.read_text())
+        names.append(file.stem)
+    return names
+
+
+def merged(*configs: dict) -> dict:
+    """Settings of several sources, later ones first; sections are merged key by key."""
+    out: dict = {}
+    for config in configs:
+        for k, v in config.items():
+            out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def from_environment(environment: Mapping[str, str], prefix: str = "STRESSFRAME_") -> dict:
+    """Settings from variables: PREFIX_A__B=1 is {"a": {"b": 1}}; values are JSON where they can be."""
+    out: dict = {}
+    for name, value in environment.items():
+        if name.startswith(prefix):
+            try:
+                value = json.loads(value)
+            except ValueError:
+                pass
+            for key in reversed(name[len(prefix) :].lower().split("__")):
+                value = {key: value}
+            out = merged(out, value)
+    return out
+
+
 def load_jobs(text: str) -> list[dict]:
     """The job list of a YAML or JSON text, checked: each has a type that is known."""
     try:
@@ -125,11 +172,13 @@ def _surface(tables: dict[str, DataFrame], job: dict) -> DataFrame:
 def _quality(tables: dict[str, DataFrame], job: dict) -> DataFrame:
     from ..operators import mesh as M
 
-    return M.part_quality(M.element_quality(tables["solid_corners"]))
+    corners = tables["solid_corners"]
+    chosen = M.sampled_states(corners.select("state_idx").distinct(), job.get("states", 10))
+    return M.part_quality(M.element_quality(corners.join(chosen, "state_idx", "left_semi")))
 
 
 def _sets(tables: dict[str, DataFrame], job: dict) -> DataFrame:
-    return P.set_fields(tables["element_states"], tables["set_members"], job["fields"])
+    return P.all_set_fields(tables["element_states"], tables["set_members"], job["fields"])
 
 
 JOBS: dict[str, Callable[[dict[str, DataFrame], dict], DataFrame]] = {"von_mises": _stress, "eff_plastic_strain": _stress, "part_motion": _motion, "beam": _beams, "surface_stress": _surface, "surface_strain": _surface, "element_quality": _quality, "set_report": _sets}

@@ -144,23 +144,35 @@ def states(spark: SparkSession, base: str) -> DataFrame:
         for frame in frames:
             for part, raw in zip(frame["part"], frame["content"], strict=True):
                 words = np.frombuffer(bytes(raw), at.real, len(raw) // at.size)
-                start, rows = (at.mesh_words if part == 0 else 0), []
-                while start < len(words) and words[start] == END:
-                    start += 1
-                while start + at.state_words <= len(words) and words[start] != END:
-                    rows.append(words[start : start + at.state_words].astype(float))
-                    start += at.state_words
-                yield pd.DataFrame({"part": np.full(len(rows), part, np.int32), "place": np.arange(len(rows), dtype=np.int32), "time": [r[0] for r in rows], "words": rows})
+                for k, start in enumerate(_starts(words, at, part)):  # a row at a time
+                    row = words[start : start + at.state_words].astype(float)
+                    yield pd.DataFrame({"part": np.array([part], np.int32), "place": np.array([k], np.int32), "time": [row[0]], "words": [row]})
 
+    return _content(spark, base).mapInPandas(run, "part int, place int, time double, words array<double>")
+
+
+def _starts(words: np.ndarray, at: Layout, part: int) -> list[int]:
+    """Where the states of a file begin, up to its end mark."""
+    start, out = (at.mesh_words if part == 0 else 0), []
+    while start < len(words) and words[start] == END:
+        start += 1
+    while start + at.state_words <= len(words) and words[start] != END:
+        out.append(start)
+        start += at.state_words
+    return out
+
+
+def _content(spark: SparkSession, base: str) -> DataFrame:
+    """part and content of the family's files: a row, and a task, for each."""
     content = spark.read.format("binaryFile").load([base, base + "[0-9]*"]).select("path", "content")
-    return content.join(F.broadcast(family(spark, base).select("path", "part")), "path").select("part", "content").mapInPandas(run, "part int, place int, time double, words array<double>")
+    return content.join(family(spark, base).select("path", "part"), "path").select("part", "content")
 
 
 def element_states(spark: SparkSession, base: str, etype: str) -> DataFrame:
     """part, place, time, elem_idx, words of each element of a class, cut from the state's words by its stride."""
     at = layout(spark, base)
     n = at.n
-    start = 1 + n["nglbv"] + ((n["it"] % 10) + 3 * (n["iu"] + n["iv"] + n["ia"])) * n["numnp"]
+    start = _nodal(at)[0]
     for kind, count, width in (("SOLID", "nel8", "nv3d"), ("THICK_SHELL", "nelt", "nv3dt"), ("BEAM", "nel2", "nv1d"), ("SHELL", "nel4", "nv2d")):
         if kind == etype:
             index = F.explode(F.sequence(F.lit(0), F.lit(n[count] - 1))) if n[count] else F.explode(F.array().cast("array<int>"))
@@ -170,8 +182,70 @@ def element_states(spark: SparkSession, base: str, etype: str) -> DataFrame:
     raise KeyError(etype)
 
 
-def pack_mesh(title: str, counters: dict, coordinates: np.ndarray, cells: dict[str, np.ndarray], order: str = "<", size: int = 4, version: float = 960.0) -> bytes:
-    """Bytes of a base file: header, coordinates and connectivities (indexes from 1, material last)."""
+def times(spark: SparkSession, base: str) -> DataFrame:
+    """part, place and time of every state; no other words leave the readers."""
+    at = layout(spark, base)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, raw in zip(frame["part"], frame["content"], strict=True):
+                words = np.frombuffer(bytes(raw), at.real, len(raw) // at.size)
+                starts = _starts(words, at, part)
+                yield pd.DataFrame({"part": np.full(len(starts), part, np.int32), "place": np.arange(len(starts), dtype=np.int32), "time": words[starts].astype(float)})
+
+    return _content(spark, base).mapInPandas(run, "part int, place int, time double")
+
+
+def _nodal(at: Layout) -> tuple[int, dict[str, tuple[int, int]]]:
+    """Where the nodal words of a state end, and of each field its start and words for a node."""
+    n, place, out = at.n, 1 + at.n["nglbv"], {}
+    for name, words in (("temperature", n["it"] % 10), ("place", 3 * n["iu"]), ("velocity", 3 * n["iv"]), ("acceleration", 3 * n["ia"])):
+        if words:
+            out[name] = (place, words)
+        place += words * n["numnp"]
+    return place, out
+
+
+def node_states(spark: SparkSession, base: str) -> DataFrame:
+    """part, state (its place in the file), time, node_idx, x, y, z, vx, vy, vz, ax, ay, az of every node and state; NULL for what the family does not record."""
+    at = layout(spark, base)
+    held = _nodal(at)[1]
+    rows = states(spark, base).select("part", "place", "time", "words", F.explode(F.sequence(F.lit(0), F.lit(at.n["numnp"] - 1))).alias("node_idx"))
+    columns = []
+    for name, letters in (("place", "x y z"), ("velocity", "vx vy vz"), ("acceleration", "ax ay az")):
+        for k, letter in enumerate(letters.split()):
+            columns.append((F.get("words", held[name][0] + F.col("node_idx") * 3 + k) if name in held else F.lit(None).cast("double")).alias(letter))
+    return rows.select("part", F.col("place").alias("state"), "time", "node_idx", *columns)
+
+
+def global_states(spark: SparkSession, base: str) -> DataFrame:
+    """part, state, time, i and value of the global words of every state."""
+    at = layout(spark, base)
+    return states(spark, base).select("part", F.col("place").alias("state"), "time", F.posexplode(F.slice("words", 2, at.n["nglbv"])).alias("i", "value"))
+
+
+def write_family(spark: SparkSession, base: str, mesh: bytes, files: list[bytes]) -> None:
+    """Write a base file and the files of states beside it, by the file system that Spark uses for the path."""
+    jvm = spark.sparkContext._jvm
+    for name, raw in [(base, mesh), *((f"{base}{k:02d}", x) for k, x in enumerate(files, 1))]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(raw))
+        out.close()
+
+
+def pack_ids(ids: dict[str, np.ndarray]) -> np.ndarray:
+    """The block of user ids: ten counters, then the ids of nodes, solids, beams, shells and thick shells."""
+    parts = [np.asarray(ids.get(k, ()), np.int64) for k in ("node", "SOLID", "BEAM", "SHELL", "THICK_SHELL")]
+    head = np.zeros(10, np.int64)
+    head[5:10] = [len(p) for p in parts]
+    return np.concatenate([head, *parts])
+
+
+def pack_mesh(title: str, counters: dict, coordinates: np.ndarray, cells: dict[str, np.ndarray], order: str = "<", size: int = 4, version: float = 960.0, ids: np.ndarray | None = None) -> bytes:
+    """Bytes of a base file: header, coordinates, connectivities (indexes from 1, material last) and the block of user ids, if any."""
+    if ids is not None:
+        counters = counters | {"narbs": len(ids)}
     real, whole = f"{order}f{size}", f"{order}i{size}"
     n = dict.fromkeys(HEADER, 0) | {"ndim": 4, "numnp": len(coordinates)} | {k: len(cells.get(c, ())) for c, k in (("SOLID", "nel8"), ("THICK_SHELL", "nelt"), ("BEAM", "nel2"), ("SHELL", "nel4"))} | counters
     head = bytearray(WORDS * size)
@@ -181,7 +255,8 @@ def pack_mesh(title: str, counters: dict, coordinates: np.ndarray, cells: dict[s
     for k, i in HEADER.items():
         head[i * size : (i + 1) * size] = np.array([n[k]], whole).tobytes()
     parts = [bytes(head), np.asarray(coordinates, real).tobytes()]
-    return b"".join(parts + [np.asarray(cells[c], whole).tobytes() for c in ("SOLID", "THICK_SHELL", "BEAM", "SHELL") if len(cells.get(c, ()))])
+    parts += [np.asarray(cells[c], whole).tobytes() for c in ("SOLID", "THICK_SHELL", "BEAM", "SHELL") if len(cells.get(c, ()))]
+    return b"".join(parts if ids is None else [*parts, np.asarray(ids, whole).tobytes()])
 
 
 def pack_states(rows: list[np.ndarray], order: str = "<", size: int = 4) -> bytes:

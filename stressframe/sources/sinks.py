@@ -31,6 +31,20 @@ def write_json(df: DataFrame, path: str, metadata: dict[str, str] | None = None)
     df.write.mode("overwrite").json(path)
 
 
+def statistics_block(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The statistics that go with results: a row for each column with min, max, mean, count."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("quantity"), F.col(c).cast("double").alias("v")) for c in columns))
+    return df.select(F.inline(pairs)).groupBy("quantity").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.count("v").alias("count"))
+
+
+def write_result_json(df: DataFrame, columns: Sequence[str], path: str, metadata: dict[str, str] | None = None) -> None:
+    """Results as JSON: folders ``data`` (a document for each row) and ``statistics`` (one for each column), and ``metadata``."""
+    write_json(df, f"{path}/data")
+    write_json(statistics_block(df, columns), f"{path}/statistics")
+    spark = df.sparkSession
+    write_json(spark.createDataFrame(sorted((metadata or {}).items()), "key string, value string"), f"{path}/metadata")
+
+
 def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ("state_idx",)) -> None:
     """Parquet in folders by state, so that a query of some states reads only these."""
     keys = [c for c in by if c in df.columns]
@@ -73,9 +87,19 @@ def keyword_stresses(states: DataFrame) -> DataFrame:
 
 def write_deck(rows: DataFrame, card: str, path: str) -> None:
     """A keyword deck in parts: each file begins with the card and has whole lines in order of id."""
-    ordered = rows.repartitionByRange("node_id").sortWithinPartitions("node_id").select("value")
-    spark = rows.sparkSession
-    spark.createDataFrame([(f"*KEYWORD\n{card}",)], "value string").union(ordered).write.mode("overwrite").text(path)
+    ordered = rows.repartitionByRange("node_id").sortWithinPartitions("node_id")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
+    ordered.select(F.when(first, F.concat(F.lit(f"*KEYWORD\n{card}\n"), "value")).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(path)
+
+
+def keyword_deformed(nodes: DataFrame, scale: float = 1.0) -> DataFrame:
+    """value: *NODE lines of deformed places: x0, y0, z0 and so many times the displacement."""
+    return keyword_nodes(nodes.select("node_id", *((F.col(f"{c}0") + scale * (F.col(c) - F.col(f"{c}0"))).alias(c) for c in "xyz")))
+
+
+def keyword_displacements(nodes: DataFrame) -> DataFrame:
+    """value: lines of displacements, eight and sixteen columns wide."""
+    return nodes.select("node_id", F.concat(_card(8, "node_id", "d"), *(F.format_string("%16.8e", F.col(c) - F.col(f"{c}0")) for c in "xyz")).alias("value"))
 
 
 def vtk_points(nodes: DataFrame) -> DataFrame:

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, n and value of each line; a deck is one unit, as its cards depend on those before, and decks are read in parallel."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("t"))
-    return whole.select("file", F.posexplode(F.split("t", "\r?\n")).alias("n", "value"))
+    return whole.select("file", F.posexplode(F.split(F.regexp_replace("t", "\r?\n\\z", ""), "\r?\n")).alias("n", "value"))
+
+
+def included(spark: SparkSession, path: str) -> list[str]:
+    """The files of a deck: its own, and those that *INCLUDE cards name, in them too, each once; names are relative to the deck's folder."""
+    folder, found, waiting = path.rsplit("/", 1)[0], [], [path]
+    while waiting:
+        now = [p for p in dict.fromkeys(waiting) if p not in found]
+        found += now
+        if not now:
+            break
+        rows = cards(lines(spark, now)).where(F.col("card").rlike(r"^\*INCLUDE(_[A-Z]+)?$")).where("i = 0").select(F.trim("value").alias("name"))
+        waiting = [r["name"] if r["name"].startswith("/") or "://" in r["name"] else f"{folder}/{r['name']}" for r in rows.distinct().collect()]  # a row for each card
+    return found
 
 
 def cards(rows: DataFrame) -> DataFrame:
@@ -102,7 +113,7 @@ def contact_sides(spark: SparkSession, path: str, sets: DataFrame, elements: Dat
     """interface, side, kind, part_id of *CONTACT cards: sides that are parts or sets of parts, nodes or segments, resolved to parts."""
     rows = cards(lines(spark, path)).where(F.col("card").startswith("*CONTACT")).withColumn("i", F.col("i") - F.col("card").endswith("_TITLE").cast("int")).where("i = 0")
     f = fields(F.col("value"), [10] * 8)
-    n = F.dense_rank().over(Window.orderBy("file", "card_n"))
+    n = F.dense_rank().over(Window.orderBy("file", "card_n"))  # a row for each contact card
     at = lambda i: F.get("f", F.lit(i)).cast("int")
     sides = rows.select(n.alias("interface"), f.alias("f")).select("interface", F.inline(F.array(F.struct(F.lit(0).alias("side"), at(0).alias("id"), at(2).alias("kind")), F.struct(F.lit(1).alias("side"), at(1).alias("id"), at(3).alias("kind")))))
     kinds = F.create_map(*(F.lit(v) for kv in {0: "SEGMENT", 2: "PART", 4: "NODE"}.items() for v in kv))
@@ -138,7 +149,25 @@ def series_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.input_file_name().alias("file"), pick("time").alias("time"), pick("max_").alias("max"), pick("min_").alias("min"), pick("avg_").alias("avg"), (F.col(f"`{element}`").cast("int") if element else F.lit(None).cast("int")).alias("max_element"))
 
 
-motion_csv = series_csv
+#: Columns of motion files.
+MOTION = tuple(f"Avg_{kind}_{part}" for kind in ("Disp", "Vel", "Acc") for part in ("X", "Y", "Z", "Mag")) + ("Max_Disp_Mag",)
+#: Fixed value: the standard gravity in mm/s2.
+GRAVITY = 9806.65
+
+
+def motion_csv(spark: SparkSession, path: str) -> DataFrame:
+    """file, time and the motion of a part: mean displacement, velocity and acceleration by axis and size, and the largest displacement; NULL for a column that is not there."""
+    df = spark.read.option("header", True).csv(path)
+    there = {c.lower(): c for c in df.columns}
+    at = lambda c: F.col(f"`{there[c.lower()]}`").try_cast("double") if c.lower() in there else F.lit(None).cast("double")
+    return df.select(F.input_file_name().alias("file"), at("Time").alias("time"), *(at(c).alias(c.lower()) for c in MOTION))
+
+
+def motion_peaks(motion: DataFrame, by: str = "file") -> DataFrame:
+    """Of each file: the largest mean acceleration in G and its time (ties: the first), and the largest finite displacement."""
+    size, d = F.abs("avg_acc_mag"), F.col("max_disp_mag")
+    finite = F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf")), d)
+    return motion.groupBy(by).agg((F.max(size) / GRAVITY).alias("peak_g"), F.min_by("time", F.when(size.isNotNull(), F.struct(-size, "time"))).alias("t_peak_g"), F.max(finite).alias("peak_displacement"))
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
@@ -156,12 +185,8 @@ def terminations(spark: SparkSession, path: str) -> DataFrame:
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
     """file, kind (impact or sphere) and the cells of report files, one JSON document each."""
-    schema = "kind string, cells array<struct<key:string,category:string,x:double,y:double,roll:double,pitch:double,g:double,s:double,e:double,d:double,trust_ok:boolean,behavior:string>>"
+    numbers = ("x", "y", "roll", "pitch", "yaw", "g", "s", "e", "d", "s1", "s3", "e1", "e3", "evm", "ke_retention", "diss_pct", "max_penetration_depth")
+    schema = f"kind string, cells array<struct<key:string,category:string,{','.join(f'{c}:double' for c in numbers)},trust_ok:boolean,trust_reason:string,behavior:string>>"
     df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     kind = F.coalesce("kind", F.when(F.exists("cells", lambda c: c["roll"].isNotNull()), "sphere").otherwise("impact"))
     return df.select("file", kind.alias("kind"), F.inline("cells"))
-
-
-def natural_order(name: str) -> tuple:
-    """Sort key of file names with numbers."""
-    return tuple(int(p) if p.isdigit() else p for p in re.split(r"(\d+)", name))

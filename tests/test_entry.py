@@ -1,5 +1,6 @@
 """The engine stands without the subpackage for training data."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -14,3 +15,12 @@ def test_import_without_llm(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr
     assert int(said.stdout.split()[0]) > 100
+
+
+def test_other_tests_are_found_without_llm(tmp_path):
+    """With both folders and the pipeline gone, the remaining tests can all be collected."""
+    shutil.copytree(ROOT / "stressframe", tmp_path / "stressframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stdout[-2000:]

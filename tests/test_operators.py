@@ -1,14 +1,16 @@
 """Closed forms, small fixtures and round trips."""
 
+import json
 import math
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from stressframe.__main__ import main
 from stressframe.functions import encode
 from stressframe.functions import tensor as T
-from stressframe.operators import doe, graph, mesh, series
+from stressframe.operators import contact, doe, graph, joins, mesh, output, quantile, series
 from stressframe.operators import joins as J
 from stressframe.operators import parts as P
 from stressframe.operators import results as R
@@ -111,10 +113,14 @@ def test_spectra(spark):
 
 
 def test_pulse_behavior_and_energy(spark):
-    rows = [(1, t / 10, 0.0, 0.0, -3.0 if t < 3 else 2.5, 9.0 if t < 3 else 6.0, t == 3) for t in range(8)] + [(2, t / 10, 0.0, 0.0, -1.0, 1.0, False) for t in range(4)]
-    df = spark.createDataFrame(rows, "run_id int, t double, vel_x double, vel_y double, vel_z double, ke double, contact_engaged boolean")
-    got = {r["run_id"]: r for r in series.restitution(series.behavior(series.trajectory_summary(df))).collect()}
-    assert got[1]["behavior"] == "bounce" and got[2]["behavior"] == "no_contact" and got[1]["restitution"] == pytest.approx(math.sqrt(6 / 9))
+    rows = [(1, t / 10, 0.0, 0.0, 0.0, 0.0, 0.0, -3.0 if t < 3 else 2.5, 9.0 if t < 3 else 6.0, t == 3) for t in range(8)] + [(2, t / 10, 0.0, 0.0, 0.0, 0.0, 0.0, -1.0, 1.0, False) for t in range(4)]
+    rows += [(3, t / 10, 0.0, 0.0, -0.1 * t, 0.0, 0.0, -3.0 if t < 3 else 0.001, 9.0 if t < 3 else 0.5, t == 3) for t in range(8)]
+    rows += [(4, t / 10, 0.0, 0.0, 0.0, 0.0 if t < 3 else 2.0, 0.0, -3.0 if t < 3 else 0.1, 9.0 if t < 3 else 4.0, t == 3) for t in range(8)]
+    rows += [(5, t / 10, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False) for t in range(3)]
+    df = spark.createDataFrame(rows, "run_id int, t double, pos_x double, pos_y double, pos_z double, vel_x double, vel_y double, vel_z double, ke double, contact_engaged boolean")
+    got = {r["run_id"]: r for r in contact.restitution(contact.behavior(contact.trajectory_summary(df))).collect()}
+    assert [got[k]["behavior"] for k in range(1, 6)] == ["bounce", "no-contact", "embed", "slide", "unknown"]
+    assert got[1]["restitution"] == pytest.approx(math.sqrt(6 / 9)) and got[3]["depth"] == pytest.approx(0.4)
     audit = series.energy_audit(spark.createDataFrame([(1, 0.0, 1.0, 0.0, 0.0, 0.0, 10.0), (1, 1.0, 1.0, 0.0, 1.5, 0.0, 10.7)], "run_id int, t double, ke double, ie double, hourglass double, sliding double, total double")).first()
     assert (audit["drift_level"], audit["hourglass_level"], audit["sliding_level"]) == ("fail", "warn", "ok")
 
@@ -126,7 +132,79 @@ def test_graph(spark):
     assert {r["id"]: round(r["cost"], 6) for r in graph.cheapest_paths(edges, source).collect()} == {"a": 0.0, "b": 1.0, "c": 2.0}
 
 
+def test_long_chains_of_a_graph(spark):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", 1.0) for i in range(120)], "src string, dst string, impulse double")
+    source = spark.createDataFrame([("n000",)], "id string")
+    assert {r["id"]: r["depth"] for r in graph.depths(edges, source).collect()} == {f"n{i:03d}": i for i in range(121)}
+
+
+def test_the_larger_side_of_a_contact_counts(spark):
+    rows = [(1, 172, side, t / 10, f * (0.2 if side == 0 else 36251.0), 0.0, 0.0) for side in (0, 1) for t, f in enumerate((0.0, 0.5, 1.0, 0.5, 0.0))]
+    rows += [(1, 7, side, t / 10, f * (10.0 if side == 0 else -9.0), 0.0, 0.0) for side in (0, 1) for t, f in enumerate((0.0, 1.0, 0.0))]
+    got = {r["interface_id"]: r for r in contact.contact_metrics(spark.createDataFrame(rows, "run_id int, interface_id int, side int, t double, fx double, fy double, fz double")).collect()}
+    assert got[172]["side_used"] == 1 and got[172]["peak_force"] == 36251 and got[172]["one_sided"] and got[172]["balance"] is None
+    assert got[7]["side_used"] == 0 and got[7]["balance"] == pytest.approx(0.1) and not got[7]["one_sided"] and got[7]["impulse"] == pytest.approx(1.0)
+
+
+def test_exact_percentiles_by_histograms(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "FEW", 5)
+    monkeypatch.setattr(quantile, "BINS", 7)
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=500), np.repeat([1.0, 2.0, 2.0, 7.5], 60), np.array([3.0]), np.concatenate([rng.normal(size=100) * 1e-9, [1e12]])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+        assert quantile.order_statistics(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12, abs=1e-18)
+    assert quantile.order_statistics(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_by_growing_cells(spark, k):
+    """Clusters, points far out, points at one place, groups of one point."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(80, 2)), rng.normal(size=(30, 2)) * 0.01 + 5, [[400.0, -300.0]], np.zeros((12, 2))])
+    rows = [(i, 0 if i < 110 else i % 2, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(900, 7, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, g int, x double, y double")
+    near = joins.k_nearest(df, df.select("g", F.col("id").alias("__b"), F.col("x").alias("__x"), F.col("y").alias("__y")), "id", ["g"], k)
+    got = {}
+    for r in near.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["__b"])
+    for i, g, a, b in rows:
+        want = sorted((math.hypot(a - c, b - e), j) for j, h, c, e in rows if h == g)[:k]
+        assert got[i] == [j for _, j in want]
+
+
+def test_deck_files_begin_with_their_card(spark, tmp_path):
+    nodes = spark.range(500).select(F.col("id").cast("int").alias("node_id"), *(F.rand(1).alias(c) for c in "xyz"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        sinks.write_deck(sinks.keyword_nodes(nodes), "*NODE", str(tmp_path / "deck"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f.read_text().splitlines() for f in (tmp_path / "deck").glob("part-*")]
+    assert len(files) > 1 and all(f[:2] == ["*KEYWORD", "*NODE"] for f in files) and sum(len(f) - 2 for f in files) == 500
+
+
+def test_job_list_from_the_command_line(spark, tmp_path, capsys):
+    rows = [(1, 10 * i, k, k * 0.1, float(i + k)) for i in range(5) for k in range(3)]
+    states = spark.createDataFrame(rows, "part_id int, element_id int, state_idx int, time double, eps double")
+    states.write.parquet(str(tmp_path / "in" / "element_states.parquet"))
+    (tmp_path / "jobs.json").write_text(json.dumps([{"type": "eff_plastic_strain"}]))
+    main([str(tmp_path / "in"), str(tmp_path / "jobs.json"), str(tmp_path / "out"), "--set", "digits=3"])
+    got = spark.read.parquet(str(tmp_path / "out" / "parts_all")).orderBy("state_idx").collect()
+    assert [r["effective_plastic_strain_max"] for r in got] == [4.0, 5.0, 6.0] and "parts_all" in capsys.readouterr().out
+
+
+def test_output_specification_checks_and_writes(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 0, 0.0, 1.23456789, 2.0)], "element_id int, part_id int, state_idx int, time double, s double, d double")
+    spec = output.OutputSpec(metadata={"by": "test"}).with_fields("s").with_unit("s", "MPa", "Pa").as_form("json")
+    assert spec.validate(df.columns) == [] and len(output.OutputSpec().with_fields("q").with_unit("s", "MPa", "?").as_form("xml").validate(df.columns)) == 3
+    spec.write(df, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first()["s"] == pytest.approx(1234567.89) and spark.read.json(str(tmp_path / "out.metadata")).first()["value"] == "test"
+
+
 def test_hull_components_and_clusters(spark):
+    few = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 1.0)], "face int, x double, y double")
+    assert doe.convex_hull(few, "face").count() == 0
     pts = spark.createDataFrame([(1, float(x), float(y)) for x in range(3) for y in range(3)], "face int, x double, y double")
     assert {(r["x"], r["y"]) for r in doe.convex_hull(pts, "face").collect()} == {(0, 0), (2, 0), (2, 2), (0, 2)}
     rng = np.random.default_rng(1)
