@@ -13,16 +13,25 @@ from pyspark.sql.window import Window
 from .select import QUANTITIES
 
 
-def _element_of(largest: bool, c: str) -> Column:
-    return F.max_by("element_id", F.when(F.col(c).isNotNull(), F.struct(F.col(c) if largest else -F.col(c), -F.col("element_id"))))
+def _ordered(c: str, ties: int | None) -> Column:
+    """The value by which extremes are told: rounded, where values alike to so many digits are to be ties."""
+    return F.col(c) if ties is None else F.round(c, ties)
 
 
-def part_state_statistics(df: DataFrame, quantities: list[str], by: tuple[str, ...] = ("part_id", "state_idx")) -> DataFrame:
-    """Wide: max, min, avg, rms and the elements of the extremes of each quantity, in one pass."""
+def _element_of(largest: bool, c: str, ties: int | None = None) -> Column:
+    v = _ordered(c, ties)
+    return F.max_by("element_id", F.when(F.col(c).isNotNull(), F.struct(v if largest else -v, -F.col("element_id"))))
+
+
+def part_state_statistics(df: DataFrame, quantities: list[str], by: tuple[str, ...] = ("part_id", "state_idx"), ties: int | None = None) -> DataFrame:
+    """Wide: max, min, avg, rms and the elements of the extremes of each quantity, in one pass.
+
+    Of elements with the extreme value, to ``ties`` digits if that is given, the least counts.
+    """
     ready = df.select(*by, "element_id", "time", *(QUANTITIES[q]().alias(q) for q in quantities))
     columns = [F.min("time").alias("time")]
     for q in quantities:
-        columns += [F.max(q).alias(f"{q}_max"), F.min(q).alias(f"{q}_min"), F.avg(q).alias(f"{q}_avg"), F.sqrt(F.avg(F.col(q) * F.col(q))).alias(f"{q}_rms"), _element_of(True, q).alias(f"{q}_max_element"), _element_of(False, q).alias(f"{q}_min_element")]
+        columns += [F.max(q).alias(f"{q}_max"), F.min(q).alias(f"{q}_min"), F.avg(q).alias(f"{q}_avg"), F.sqrt(F.avg(F.col(q) * F.col(q))).alias(f"{q}_rms"), _element_of(True, q, ties).alias(f"{q}_max_element"), _element_of(False, q, ties).alias(f"{q}_min_element")]
     return ready.groupBy(*by).agg(*columns)
 
 
@@ -34,10 +43,11 @@ def global_extremes(series: DataFrame, quantity: str) -> DataFrame:
     )
 
 
-def peak_elements(df: DataFrame, quantity: str) -> DataFrame:
-    """The element of each part with the largest value at any state."""
-    ready = df.withColumn("__q", QUANTITIES[quantity]())
-    return ready.where(F.col("__q").isNotNull()).groupBy("part_id").agg(F.max("__q").alias("peak"), F.max_by("element_id", F.struct("__q", -F.col("state_idx"), -F.col("element_id"))).alias("element_id"), F.max_by("state_idx", F.struct("__q", -F.col("state_idx"), -F.col("element_id"))).alias("state_idx"))
+def peak_elements(df: DataFrame, quantity: str, ties: int | None = None) -> DataFrame:
+    """The element of each part with the largest value at any state, to ``ties`` digits if that is given (ties: the first state, the least element)."""
+    ready = df.withColumn("__q", QUANTITIES[quantity]()).where(F.col("__q").isNotNull()).withColumn("__q", _ordered("__q", ties))
+    best = F.max_by(F.struct("__q", "element_id", "state_idx"), F.struct("__q", -F.col("state_idx"), -F.col("element_id")))
+    return ready.groupBy("part_id").agg(best.alias("b")).select("part_id", F.col("b.__q").alias("peak"), "b.element_id", "b.state_idx")
 
 
 def peak_tensor_history(df: DataFrame, quantity: str) -> DataFrame:
@@ -128,10 +138,17 @@ def progress(series: DataFrame, total_states: int) -> DataFrame:
 
 
 def beam_resultants(beams: DataFrame, names: tuple[str, ...] = ("axial", "shear_s", "shear_t", "moment_s", "moment_t", "torsion")) -> DataFrame:
-    """Extremes of each resultant by part and state from (part_id, element_id, state_idx, words); values that aren't finite go."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("component"), F.get("words", F.lit(i)).alias("value")) for i, n in enumerate(names)))
-    rows = beams.select("part_id", "element_id", "state_idx", F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    return rows.groupBy("part_id", "state_idx", "component").agg(F.max("value").alias("max"), _element_of(True, "value").alias("max_element"), F.min("value").alias("min"), _element_of(False, "value").alias("min_element"))
+    """Extremes of each resultant by part and state from (part_id, element_id, state_idx, words); values that aren't finite go.
+
+    All resultants are aggregated side by side, and only the small result is turned to rows.
+    """
+    word = lambda i: F.get("words", F.lit(i))
+    finite = {n: F.when(word(i).isNotNull() & ~F.isnan(word(i)) & (F.abs(word(i)) < float("inf")), word(i)) for i, n in enumerate(names)}
+    rows = beams.select("part_id", "element_id", "state_idx", *(v.alias(n) for n, v in finite.items()))
+    kinds = lambda n: (("max", F.max(n)), ("max_element", _element_of(True, n)), ("min", F.min(n)), ("min_element", _element_of(False, n)))
+    held = rows.groupBy("part_id", "state_idx").agg(*(v.alias(f"{n}_{k}") for n in names for k, v in kinds(n)))
+    each = F.array(*(F.struct(F.lit(n).alias("component"), *(F.col(f"{n}_{k}").alias(k) for k in ("max", "max_element", "min", "min_element"))) for n in names))
+    return held.select("part_id", "state_idx", F.inline(each)).where("max is not null")
 
 
 def wide(series: DataFrame, quantity: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import parts as P
-from ..sources import binary, sinks, text
+from ..sources import binary, history, sinks, text
 from . import tables as T
 from .registry import query, rounded
 from .storage import new_path
@@ -106,6 +106,40 @@ def part_motion_of_a_result(s, d):
     return rounded(P.motion(rows, parts).select("part_id", "state_idx", "time", "mean_x", "max_displacement", "velocity_mean_x"))
 
 
+# Binary histories
+
+def _history(s: SparkSession, little: bool = True) -> DataFrame:
+    """Two files; the second begins with the last time of the first, with other values, and breaks off within a record."""
+    root, k = new_path(s), np.arange(3)
+    files = []
+    for f in range(2):
+        folders = [("/glstat/metadata", [("title", np.frombuffer(b"a run", np.int8))]), ("/rcforc/metadata", [("ids", np.array([7, 7, 9], np.int32)), ("side", np.array([0, 1, 0], np.int32))]), ("/matsum/metadata", [("ids", np.array([1, 2], np.int64))])]
+        for i in range(4 * f - f, 4 * f - f + 4):
+            v = i * 10.0 + f
+            time = ("time", np.array([i * 0.5], np.float64))
+            folders += [(f"/glstat/d{i + 1:06d}", [time, ("kinetic_energy", np.array([v])), ("internal_energy", np.array([v / 2])), ("total_energy", np.array([v * 2], np.float32))])]
+            folders += [(f"/rcforc/d{i + 1:06d}", [time, *((f"{c}_force", (v + k * j).astype(np.float32)) for j, c in enumerate("xyz", 1))]), (f"../../matsum/d{i + 1:06d}", [time, ("kinetic_energy", np.array([v, -v])), ("internal_energy", np.array([v + 1, v + 2]))])]
+        files.append(history.pack(folders, little))
+    binary.write_family(s, f"{root}/binout0000", files[0], [])
+    binary.write_family(s, f"{root}/binout0001", files[1] + files[1][8:60], [])
+    return history.read(s, f"{root}/binout*")
+
+
+@query("SELECT i * 0.5::DOUBLE AS t, v AS ke, v / 2 AS ie, NULL::DOUBLE AS hourglass, NULL::DOUBLE AS sliding, v * 2 AS total FROM (SELECT i, (i * 10 + CASE WHEN i >= 3 THEN 1 ELSE 0 END)::DOUBLE AS v FROM range(7) t(i))")
+def history_energies(s, d):
+    return history.energies(_history(s))
+
+
+@query("SELECT [7, 7, 9][k + 1]::INTEGER AS interface_id, [0, 1, 0][k + 1]::INTEGER AS side, i * 0.5::DOUBLE AS t, (i * 10 + f + k)::DOUBLE AS fx, (i * 10 + f + 2 * k)::DOUBLE AS fy, (i * 10 + f + 3 * k)::DOUBLE AS fz FROM range(2) a(f), range(7) b(i), range(3) c(k) WHERE i BETWEEN 3 * f AND 3 * f + 3")
+def history_contact_forces(s, d):
+    return history.contact_forces(_history(s, False))
+
+
+@query("SELECT (k + 1)::INTEGER AS part_id, i * 0.5::DOUBLE AS t, CASE k WHEN 0 THEN 1 ELSE -1 END * (i * 10 + f)::DOUBLE AS ke, (i * 10 + f + k + 1)::DOUBLE AS ie FROM range(2) a(f), range(7) b(i), range(2) c(k) WHERE i BETWEEN 3 * f AND 3 * f + 3")
+def history_part_energies(s, d):
+    return history.part_energies(_history(s))
+
+
 # Keyword decks
 
 def _deck(s: SparkSession, d: str) -> str:

@@ -29,9 +29,7 @@ def _rows(df: DataFrame, *more: str) -> DataFrame:
 @query(f"""WITH {VMT} SELECT part_id, state_idx, min(time) AS time, round(max(von_mises), 6) AS von_mises_max, round(min(von_mises), 6) AS von_mises_min, round(avg(von_mises), 6) AS von_mises_avg,
   round(sqrt(avg(von_mises * von_mises)), 6) AS von_mises_rms, arg_max(element_id, (round(von_mises, 9), -element_id)) AS von_mises_max_element, arg_min(element_id, (round(von_mises, 9), element_id)) AS von_mises_min_element FROM vm GROUP BY 1, 2""")
 def part_state_von_mises(s, d):
-    ready = T.element_states(s, d)
-    v = F.round(tensor.stress().von_mises(), 9)
-    out = ready.withColumn("v", tensor.stress().von_mises()).withColumn("r", v).groupBy("part_id", "state_idx").agg(F.min("time").alias("time"), F.max("v").alias("von_mises_max"), F.min("v").alias("von_mises_min"), F.avg("v").alias("von_mises_avg"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("von_mises_rms"), F.max_by("element_id", F.struct("r", -F.col("element_id"))).alias("von_mises_max_element"), F.min_by("element_id", F.struct("r", F.col("element_id"))).alias("von_mises_min_element"))
+    out = P.part_state_statistics(T.element_states(s, d), ["von_mises"], ties=9)
     return rounded(out)
 
 
@@ -332,9 +330,7 @@ def distinct_counts(s, d):
 
 @query(f"""WITH {VMT}, r AS (SELECT *, round(von_mises, 9) AS v FROM vm) SELECT part_id, round(max(v), 6) AS peak, arg_max(element_id, (v, -state_idx, -element_id)) AS element_id, arg_max(state_idx, (v, -state_idx, -element_id)) AS state_idx FROM r GROUP BY 1""")
 def peak_element_of_part(s, d):
-    e = T.element_states(s, d)
-    v = e.withColumn("v", F.round(tensor.stress().von_mises(), 9))
-    return rounded(v.groupBy("part_id").agg(F.max("v").alias("peak"), F.max_by("element_id", F.struct("v", -F.col("state_idx"), -F.col("element_id"))).alias("element_id"), F.max_by("state_idx", F.struct("v", -F.col("state_idx"), -F.col("element_id"))).alias("state_idx")))
+    return rounded(P.peak_elements(T.element_states(s, d), "von_mises", ties=9))
 
 
 @query(f"WITH {T.ES}, p AS (SELECT part_id, arg_max(element_id, (syy, -state_idx, -element_id)) AS element_id FROM es GROUP BY 1) SELECT {KEY.replace('part_id, element_id', 'es.part_id, es.element_id')}, round(sxx, 6) AS sxx, round(syy, 6) AS syy FROM es JOIN p ON es.part_id = p.part_id AND es.element_id = p.element_id")
