@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,18 +71,24 @@ LEAST, SHORT_LEAST, SHORT_WORDS, FILE_LEAST = 0.6, 0.8, 12, 0.6
 WHOLE_WORDS, WHOLE_LEAST, MARGIN = 80, 0.85, 0.005
 #: Parameter: a window has at most so many times the words of the longest template, or is a single line.
 SPAN = 2
-#: Words of any text, left to the bound first.
+#: Words of any text, which are no terms.
 COMMON = frozenset("the of to and or in is a for this that be by with on any not are as it from at an you may use all other but no its above".split())
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 LICENCE_NAME = "(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
 
+def terms(text: str) -> list[str]:
+    """The terms of a lower-cased text, in order."""
+    return [w for w in WORD.findall(text) if w not in COMMON]
+
+
 class Matcher:
     """Templates as unit TF-IDF vectors with an inverted list for each term."""
 
     def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES) -> None:
         self.names = [n for n, _ in templates]
-        counts = [Counter(WORD.findall(t.lower())) for _, t in templates]
+        counts = [Counter(terms(t.lower())) for _, t in templates]
         sizes = [sum(c.values()) for c in counts]
         df = Counter(w for c in counts for w in c)
         self.idf = {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in df.items()}
@@ -90,18 +97,43 @@ class Matcher:
         self.least = [SHORT_LEAST if n < SHORT_WORDS else LEAST for n in sizes]
         self.whole = [n >= WHOLE_WORDS for n in sizes]
         self.terms: dict[str, list[tuple[int, float]]] = {}
+        self._finder = self._given = None  # of ``hinted``
         self.telling: set[str] = set()  # every window that matches a template has one of these
         for i, c in enumerate(counts):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
             weights = {w: n * self.idf[w] / norm for w, n in c.items()}
             rest = 0.0
-            for w in sorted(weights, key=lambda w: (w not in COMMON, weights[w], w)):
+            for w in sorted(weights, key=lambda w: (weights[w], w)):
                 rest += weights[w] ** 2
                 if rest >= self.least[i] ** 2 - 1e-9:
                     self.telling.add(w)
             for w, v in weights.items():
                 self.terms.setdefault(w, []).append((i, v))
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_finder": None, "_given": None}
+
+    def hinted(self, text: str) -> bool:
+        """False if no window of a lower-cased text can match, told without its words: a term can only be there where its letters are and none beside them; terms of one sign are taken to be."""
+        if self._finder is None:
+            self._finder = ahocorasick.Automaton()
+            self._given = [0.0] * len(self.names)
+            for w, templates in self.terms.items():
+                if len(w) == 1:
+                    for i, v in templates:
+                        self._given[i] += v * v
+                else:
+                    self._finder.add_word(w, w)
+            self._finder.make_automaton()
+        held, seen = self._given[:], set()
+        for end, w in self._finder.iter(text):
+            if w not in seen and not (text[end + 1 : end + 2] in LETTERS and w[-1] in LETTERS) and not (text[end - len(w) : end - len(w) + 1] in LETTERS and w[0] in LETTERS):
+                seen.add(w)
+        for w in seen:
+            for i, v in self.terms[w]:
+                held[i] += v * v
+        return any(h >= least * least - 1e-9 for h, least in zip(held, self.least, strict=True))
+
     def possible(self, words: set[str]) -> bool:
         """False if no window of a text of these words can match: too little of every template is there."""
         held = [0.0] * len(self.names)
@@ -122,7 +154,7 @@ class Matcher:
 
     def match(self, text: str) -> tuple[float, str | None]:
         """Largest cosine of a whole text and its licence (ties: the earlier template)."""
-        found = self.cosines(WORD.findall(text.lower()))
+        found = self.cosines(terms(text.lower()))
         best = max(range(len(found)), key=lambda i: (found[i], -i), default=-1)
         return (found[best], self.names[best]) if found and found[best] else (0.0, None)
 
@@ -178,9 +210,9 @@ class Matcher:
 
     def scan(self, text: str | None) -> tuple[float, str | None, float]:
         """Cosine and licence of a text by itself and by its windows, and the largest cosine of the whole text alone."""
-        if not text:
+        if not text or not self.hinted(text := text.lower()):
             return 0.0, None, 0.0
-        lines = [WORD.findall(x) for x in text.lower().split("\n")]
+        lines = [terms(x) for x in text.split("\n")]
         if not self.possible(set().union(*lines)):
             return 0.0, None, 0.0
         whole = self.cosines([w for x in lines for w in x])

@@ -513,8 +513,8 @@ def test_wrapped_license_headers_above_code():
 
 
 def brute_licences(texts):
-    """Best cosine with each template over the whole text and every window of lines, from plain dictionaries."""
-    templates = [Counter(license_scan.WORD.findall(t.lower())) for _, t in license_scan.TEMPLATES]
+    """Best cosine with each template over the whole text and every window of lines, from plain dictionaries; common words are no terms."""
+    templates = [Counter(w for w in license_scan.WORD.findall(t.lower()) if w not in license_scan.COMMON) for _, t in license_scan.TEMPLATES]
     number = {w: sum(w in c for c in templates) for c in templates for w in c}
 
     def vector(counts):
@@ -525,7 +525,7 @@ def brute_licences(texts):
     known = [vector(c) for c in templates]
     span = license_scan.SPAN * max(sum(c.values()) for c in templates)
     for text in texts:
-        lines = [license_scan.WORD.findall(x) for x in text.lower().split("\n")]
+        lines = [[w for w in license_scan.WORD.findall(x) if w not in license_scan.COMMON] for x in text.lower().split("\n")]
         best = [0.0] * len(known)
         windows = [lines] + [lines[i:j] for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if j == i + 1 or sum(map(len, lines[i:j])) <= span]
         for window in windows:
