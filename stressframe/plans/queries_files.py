@@ -106,6 +106,17 @@ def part_motion_of_a_result(s, d):
     return rounded(P.motion(rows, parts).select("part_id", "state_idx", "time", "mean_x", "max_displacement", "velocity_mean_x"))
 
 
+@query("""SELECT 'point' AS kind, i::INTEGER AS i, (i % 5)::VARCHAR || ' ' || ((i // 5) % 2)::VARCHAR || ' ' || (i // 10)::VARCHAR AS value FROM range(18) t(i) UNION ALL SELECT 'cell 3', i, i || ' ' || (i + 1) FROM range(3) t(i)
+  UNION ALL SELECT 'cell 12', i + 3, array_to_string([i % 18, (i+1) % 18, (i+6) % 18, (i+5) % 18, (i+10) % 18, (i+11) % 18, (i+16) % 18, (i+15) % 18], ' ') FROM range(4) t(i)""")
+def result_to_vtk_and_back(s, d):
+    base, path = _family(s), new_path(s)
+    sinks.write_vtk(binary.nodes(s, base), binary.elements(s, base), path)
+    points, cells = text.vtk_grid(s, path)
+    shown = F.concat_ws(" ", *(F.col(c).cast("int").cast("string") for c in "xyz"))
+    named = F.concat(F.lit("cell "), F.col("cell_type").cast("string"))
+    return points.select(F.lit("point").alias("kind"), F.col("node_idx").alias("i"), shown.alias("value")).union(cells.select(named, "elem_idx", F.array_join(F.transform("node_ids", lambda v: v.cast("string")), " ")))
+
+
 # Binary histories
 
 def _history(s: SparkSession, little: bool = True) -> DataFrame:

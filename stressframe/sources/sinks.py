@@ -116,6 +116,16 @@ def vtk_cells(elements: DataFrame) -> DataFrame:
     return elements.select("etype", "elem_idx", F.concat_ws(" ", F.size("node_ids").cast("string"), F.transform("node_ids", lambda i: i.cast("string"))).alias("value"), kinds[F.col("etype")].alias("cell_type"))
 
 
+def write_vtk(nodes: DataFrame, elements: DataFrame, path: str, title: str = "mesh") -> None:
+    """A legacy VTK grid, one file in a folder: a point in a line, in order of node_idx, then cells by class and index, then their types."""
+    cells = vtk_cells(elements).withColumn("rank", F.concat_ws("/", "etype", F.format_string("%012d", "elem_idx")))
+    n, m, words = nodes.count(), elements.count(), elements.agg(F.coalesce(F.sum(F.size("node_ids") + 1), F.lit(0))).first()[0]
+    head = [f"# vtk DataFile Version 3.0\n{title}\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS {n} double", f"CELLS {m} {words}", f"CELL_TYPES {m}"]
+    rows = nodes.sparkSession.createDataFrame([(k, "", h) for k, h in zip((0, 2, 4), head, strict=True)], "part int, rank string, value string")
+    rows = rows.union(vtk_points(nodes).select(F.lit(1), F.format_string("%012d", "node_idx"), "value")).union(cells.select(F.lit(3), "rank", "value")).union(cells.select(F.lit(5), "rank", F.col("cell_type").cast("string")))
+    rows.coalesce(1).sortWithinPartitions("part", "rank").select("value").write.mode("overwrite").text(path)
+
+
 def energy_flow_csv(edges: DataFrame, path: str) -> None:
     write_csv(edges.select("src", "dst", "impulse", "work", "peak_force"), path, 6, order=("src", "dst"))
 

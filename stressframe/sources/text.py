@@ -190,3 +190,16 @@ def sidecars(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     kind = F.coalesce("kind", F.when(F.exists("cells", lambda c: c["roll"].isNotNull()), "sphere").otherwise("impact"))
     return df.select("file", kind.alias("kind"), F.inline("cells"))
+
+
+def vtk_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(node_idx, x, y, z of the points; elem_idx, cell_type, node_ids of the cells) of a legacy VTK text grid with a point or a cell in each line."""
+    rows = lines(spark, path)
+    head = F.regexp_extract("value", "^(POINTS|CELLS|CELL_TYPES|POINT_DATA|CELL_DATA)", 1)
+    w = Window.partitionBy("file").orderBy("n")
+    known = rows.withColumn("head", F.nullif(head, F.lit(""))).withColumns({"part": F.last("head", True).over(w), "start": F.last(F.when(F.col("head").isNotNull(), F.col("n")), True).over(w)})
+    body = known.where("head is null and trim(value) <> ''").select("file", "part", (F.col("n") - F.col("start") - 1).alias("i"), F.split(F.trim("value"), r"\s+").alias("f"))
+    points = body.where("part = 'POINTS'").select(F.col("i").alias("node_idx"), *(number(F.get("f", F.lit(k))).alias(c) for k, c in enumerate("xyz")))
+    types = body.where("part = 'CELL_TYPES'").select("file", "i", F.get("f", F.lit(0)).cast("int").alias("cell_type"))
+    cells = body.where("part = 'CELLS'").join(types, ["file", "i"])
+    return points, cells.select(F.col("i").alias("elem_idx"), "cell_type", F.transform(F.slice("f", 2, F.size("f") - 1), lambda v: v.cast("int")).alias("node_ids"))
