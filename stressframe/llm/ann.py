@@ -272,21 +272,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, expected: float =
     def scan(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         known, out = held.value, []
         if len(queries) and len(entries):
+            entries = entries.sort_values("cell", kind="stable")
             x = _matrix(entries["v"])
             codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(entries), -1)
-            names, cell = np.unique(entries["cell"].to_numpy(), return_inverse=True)
+            names, starts = np.unique(entries["cell"].to_numpy(), return_index=True)
+            stops = np.append(starts[1:], len(entries))
             kept = min(len(entries), max(scanned, k + 1))
             step = max(1, min(256, (1 << 23) // len(entries)))
             for start in range(0, len(queries), step):
                 q = _matrix(queries["v"].iloc[start : start + step])
                 tables = paired_tables(_padded(q, known.width).reshape(len(q), -1, known.width).astype(np.float32), known.code)
-                about = np.full((len(q), len(names)), -np.inf, np.float32)
-                for i, own in enumerate(queries["cells"].iloc[start : start + step]):
-                    own = np.flatnonzero(np.isin(names, own))
-                    about[i, own] = known.cells[names[own]] @ q[i]
-                near = about[:, cell]
-                for j in range(codes.shape[1]):
-                    near += tables[:, j].take(codes[:, j], axis=1)
+                read = np.stack([np.isin(names, own) for own in queries["cells"].iloc[start : start + step]])
+                about = (q @ known.cells[names].T.astype(float)).astype(np.float32)
+                near = np.full((len(q), len(entries)), -np.inf, np.float32)
+                for c, (low, high) in enumerate(zip(starts, stops, strict=True)):  # only those who read the cell
+                    own = np.flatnonzero(read[:, c])
+                    if len(own):
+                        part = np.repeat(about[own, c : c + 1], high - low, axis=1)
+                        mine = tables if len(own) == len(q) else tables[own]
+                        for j in range(codes.shape[1]):
+                            part += mine[:, j].take(codes[low:high, j], axis=1)
+                        near[own, low:high] = part
                 best = np.argpartition(-near, kept - 1, axis=1)[:, :kept]
                 exact = np.stack([x[b] @ v for b, v in zip(best, q, strict=True)])
                 exact[np.take_along_axis(near, best, 1) == -np.inf] = -np.inf
