@@ -100,6 +100,14 @@ def kpis(raw: DataFrame, aligned: DataFrame, metric: str, base_rev: int) -> Data
     return out.select("rev", "true_peak", F.when(F.col("__b") != 0, F.try_divide(F.col("true_peak") - F.col("__b"), F.abs("__b")) * 100).alias("peak_delta_pct"), (F.coalesce("comparable", F.lit(0)) * 100.0 / F.col("cells")).alias("comparable_pct"))
 
 
+def peak_damping(raw: DataFrame, aligned: DataFrame, metric: str) -> DataFrame:
+    """Of each revision: the peak before resampling, the largest resampled value, and by how much percent of the peak that is off; NULL without either, or with a peak of 0."""
+    peak = raw.groupBy("rev").agg(F.max(metric).alias("true_peak"))
+    other = aligned.groupBy("rev").agg(F.max(metric).alias("resampled_peak"))
+    off = F.when(F.col("true_peak") != 0, F.try_divide(F.col("resampled_peak") - F.col("true_peak"), F.abs("true_peak")) * 100)
+    return peak.join(other, "rev", "left").withColumn("peak_damping_pct", off)
+
+
 def drop_small(cells: DataFrame, value: str, share: float = 0.01, least: float = 0.3) -> DataFrame:
     """Without values up to a share of the largest, if that many of all would go."""
     top = cells.agg(F.max(F.abs(value)).alias("__m"))

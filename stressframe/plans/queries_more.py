@@ -463,6 +463,13 @@ def findings_difference_all(s, d):
     return C.findings_diff(e.where("ts < timestamp_ntz'2024-01-08'"), e.where("ts >= timestamp_ntz'2024-01-04'"))
 
 
+@query(f"WITH {T.CELLS}, p AS (SELECT rev, max(g) AS a FROM cells GROUP BY 1), r AS (SELECT rev, max(v) AS b FROM (SELECT rev, category, avg(g) AS v FROM cells GROUP BY 1, 2) GROUP BY 1) SELECT rev, round(a, 4) AS true_peak, round(b, 4) AS resampled_peak, round((b - a) / abs(a) * 100, 4) AS peak_damping_pct FROM p LEFT JOIN r USING (rev)")
+def peak_damping_of_resampling(s, d):
+    """Resampled here to the means of categories."""
+    raw = T.cells(s, d)
+    return rounded(C.peak_damping(raw, raw.groupBy("rev", "category").agg(F.avg("g").alias("g")), "g"), 4)
+
+
 @query(f"WITH {T.CELLS} SELECT rev, key, 'order' AS fault FROM cells WHERE g < s3 * 60")
 def order_faults(s, d):
     return C.order_faults(T.cells(s, d).withColumn("low", F.col("s3") * 60), "g", "low")

@@ -194,6 +194,13 @@ def test_job_list_from_the_command_line(spark, tmp_path, capsys):
     assert [r["effective_plastic_strain_max"] for r in got] == [4.0, 5.0, 6.0] and "parts_all" in capsys.readouterr().out
 
 
+def test_templates_of_a_folder(tmp_path):
+    saved = templates.Template("critical_zones", templates.TEMPLATES["critical_zones"].answer, "stress", {"limit": 90.0})
+    (tmp_path / "hot.json").write_text(templates.save(saved))
+    assert templates.load_folder(str(tmp_path)) == ["hot"] and templates.TEMPLATES["hot"].parameters == {"quantity": "von_mises", "limit": 90.0}
+    del templates.TEMPLATES["hot"]
+
+
 def test_output_specification_checks_and_writes(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, 0, 0.0, 1.23456789, 2.0)], "element_id int, part_id int, state_idx int, time double, s double, d double")
     spec = output.OutputSpec(metadata={"by": "test"}).with_fields("s").with_unit("s", "MPa", "Pa").as_form("json")
