@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import materialize
 from .quantile import order_statistics
 
 
@@ -119,6 +120,7 @@ def leave_one_out(points: DataFrame, key: str, value: str, power: float = 2.0, b
 
 def pareto(df: DataFrame, c: str, item: str = "part_id") -> DataFrame:
     """Severity (mean of what is over the global upper quartile) against coverage (its share) of each item; front marks those that no other beats in both."""
+    df = materialize(df)  # read several times
     over = F.col(c) > F.lit(order_statistics(df, c, [0.75])[0]).cast("double")
     out = df.groupBy(item).agg(F.avg(F.when(over, F.col(c))).alias("severity"), F.avg(over.cast("double")).alias("coverage")).where("severity is not null")
     ahead = Window.orderBy(F.desc("coverage"), F.desc("severity"))  # a row for each item
@@ -152,6 +154,7 @@ def composite_damage(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def drill_down(df: DataFrame, yields: DataFrame) -> DataFrame:
     """Of each part: largest and mean acceleration, largest stress and displacement, the position of the largest acceleration (ties: the first), positions at or over the upper quartile of all, and the yield where it is known."""
+    df = materialize(df)  # read several times
     quartile = order_statistics(df, "peak_g", [0.75])[0] or 0.0
     over = (F.col("peak_g") >= quartile) & F.lit(quartile > 0)
     out = df.groupBy("part_id").agg(
@@ -171,6 +174,7 @@ def boundary_effect(df: DataFrame, c: str, margin: float = 0.15) -> DataFrame:
 
 def worst_combinations(df: DataFrame, columns: dict[str, float], top: int = 25) -> DataFrame:
     """The ``top`` rows by a weighted sum of metrics over their 95th percentiles; a feature of reports."""
+    df = materialize(df)  # read several times
     high = {c: F.lit(order_statistics(df, c, [0.95])[0]).cast("double") for c in columns}
     score = sum((F.coalesce(F.try_divide(F.col(c), high[c]) * w, F.lit(0.0)) for c, w in columns.items()), F.lit(0.0))
     return df.withColumn("score", score).orderBy(F.desc("score"), *[c for c in ("face", "pos_id", "part_id") if c in df.columns]).limit(top)
