@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extraction, language_id, license_scan, mixing, near_dedup, packing, quality_rules, substring_dedup, url_filter
+from . import ann, filter_audit, html_extraction, language_id, license_scan, mixing, near_dedup, packing, quality_rules, spelling, substring_dedup, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -75,4 +75,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_best_fit_packing, op4_suffix_array_dedup, op5_license_scan, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.SQL
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling_variants"] = spelling.SQL
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_best_fit_packing, op4_suffix_array_dedup, op5_license_scan, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours, op12_filter_audit, op13_spelling_variants)}
