@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, filter_audit, html_extraction, language_id, license_scan, mixing, near_dedup, packing, quality_rules, spelling, substring_dedup, url_filter
-from .common import table
+from . import ann, filter_audit, html_extraction, language_id, license_scan, mixing, near_dedup, packing, quality_rules, spelling, substring_dedup, url_filter, warc
+from .common import delete_folder, shared_dir, table
 
 ORACLES: dict[str, str] = {}
 
@@ -75,6 +76,17 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives go when they have been read."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    found = warc.round_trip(table(spark, sf_dir, "pages"), path)
+    delete_folder(spark, path)
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+ORACLES["op11_warc_archives"] = warc.SQL
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,4 +101,4 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_spelling_variants"] = spelling.SQL
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_best_fit_packing, op4_suffix_array_dedup, op5_license_scan, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours, op12_filter_audit, op13_spelling_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_best_fit_packing, op4_suffix_array_dedup, op5_license_scan, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_html_extraction, op10_nearest_neighbours, op11_warc_archives, op12_filter_audit, op13_spelling_variants)}
