@@ -24,92 +24,124 @@ def _lines(s: SparkSession, *lines: str) -> DataFrame:
     return s.createDataFrame(list(enumerate(lines, -1_000_000)), "n long, value string")
 
 
-# Result families
+# Result families: the suppliers are nodes, the parts solids and the nations beams; a state for each month of lineitem, a file for each year
 
-NODES, SOLIDS, BEAMS, STATES = 18, 4, 3, 5
+MONTH = "((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1)"
+#: Words of a solid, of a beam, and global ones, from the rows of a month.
+SOLID_WORDS = ("max(l_quantity)", "max(l_extendedprice)", "min(l_extendedprice)", "max(l_discount)", "min(l_discount)", "max(l_tax)", "count(*)")
+BEAM_WORDS = ("max(l_extendedprice)", "min(l_extendedprice)", "max(l_quantity)", "min(l_quantity)", "max(l_tax)", "count(*)")
+GLOBAL_WORDS = ("count(*)", "max(l_quantity)", "max(l_extendedprice)", "min(l_extendedprice)", "max(l_discount)", "max(l_tax)")
 
 
-def _family(s: SparkSession, order: str = "<", size: int = 4) -> str:
-    """Four solids in a row, three beams, two files of states and one beyond a gap; by whole numbers, so that any word type holds them."""
+def _family(s: SparkSession, d: str, order: str = "<", size: int = 8, states_per_file: int = 12) -> str:
+    """The family of the tables; absolute counts and doubles stay exact in words of eight bytes."""
     base = f"{new_path(s)}/result"
-    places = np.array([[i % 5 if i < 10 else i % 5, (i // 5) % 2, i // 10] if i < 20 else [0, 0, 0] for i in range(20)], float)[:NODES]
-    solids = np.array([[*(1 + np.array([i, i + 1, i + 6, i + 5, i + 10, i + 11, i + 16, i + 15]) % NODES), 1 + i % 2] for i in range(SOLIDS)])
-    beams = np.array([[1 + i, 2 + i, 0, 0, 0, 7 + i % 2] for i in range(BEAMS)])
-    ids = binary.pack_ids({"node": 1000 + np.arange(NODES), "SOLID": 500 + np.arange(SOLIDS), "BEAM": 900 + np.arange(BEAMS)})
-    counters = {"iu": 1, "iv": 1, "ia": 1, "nglbv": 6, "nv3d": 7, "nv1d": 6}
-    rows = []
-    for k in range(STATES):
-        nodal = [(places + k).ravel(), np.arange(3 * NODES) + 10 * k, np.arange(3 * NODES) * 2 - k]
-        rows.append(np.concatenate([[k * 0.5], np.arange(6) + k, *nodal, np.arange(7 * SOLIDS) * 1.0 + 100 * k, np.arange(6 * BEAMS) * 3.0 - k]))
-    mesh = binary.pack_mesh("round trip", counters, places, {"SOLID": solids, "BEAM": beams}, order, size, ids=ids)
-    pack = lambda some: binary.pack_states(some, order, size)
-    binary.write_family(s, base, mesh, [pack(rows[:2]), pack(rows[2:])])
-    binary.write_family(s, base + "04", pack(rows), [])  # beyond a gap
+    item = T.read(s, d, "lineitem").withColumn("state_idx", F.expr(MONTH).cast("int"))
+    supplier, points = T.read(s, d, "supplier"), T.points(s, d)
+    nodes = points.select(F.col("point_id").cast("int").alias("node_idx"), (F.col("point_id") + 1000).cast("int").alias("node_id"), "x", "y", "z")
+    count = supplier.agg((F.max("s_suppkey") + 1).cast("int").alias("n"))
+    corner = lambda i, k: F.pmod(i + k, F.col("n")).cast("int")
+    part, nation = T.read(s, d, "part").crossJoin(F.broadcast(count)), T.read(s, d, "nation").crossJoin(F.broadcast(count))  # one row
+    solids = part.select(F.lit("SOLID").alias("etype"), F.col("p_partkey").cast("int").alias("elem_idx"), (F.col("p_partkey") + 500).cast("int").alias("elem_id"), F.col("p_size").alias("material_id"), F.array(*(corner(F.col("p_partkey"), k) for k in (0, 1, 6, 5, 10, 11, 16, 15))).alias("node_ids"))
+    beams = nation.select(F.lit("BEAM"), "n_nationkey", F.col("n_nationkey") + 900, F.col("n_regionkey") + 7, F.array(corner(F.col("n_nationkey"), 0), corner(F.col("n_nationkey"), 1)))
+    words = lambda some: F.array(*(F.expr(w).cast("double") for w in some))
+    states = item.groupBy("state_idx").agg(words(GLOBAL_WORDS).alias("globals")).withColumn("time", (F.col("state_idx") + 1) * F.lit(0.001))
+    moved = nodes.crossJoin(F.broadcast(states.select("state_idx"))).select("state_idx", "node_idx", *((F.col(c) + F.col("state_idx") * k).alias(c) for c, k in (("x", 0.5), ("y", 0.25), ("z", -0.125))), *((F.col("node_idx") * k + F.col("state_idx")).cast("double").alias(c) for k, c in enumerate(("vx", "vy", "vz", "ax", "ay", "az"), 1)))  # the months are few
+    by_part = item.groupBy("state_idx", F.col("l_partkey").cast("int").alias("elem_idx")).agg(words(SOLID_WORDS).alias("words"))
+    by_nation = item.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("state_idx", F.col("s_nationkey").alias("elem_idx")).agg(words(BEAM_WORDS).alias("words"))
+    binary.write_family(base, "lineitem by months", nodes, solids.union(beams), states, moved, {"SOLID": by_part, "BEAM": by_nation}, order, size, states_per_file)
     return base
 
 
-@query("SELECT * FROM (VALUES ('round trip', 4, 18, 4, 3, 6, 7, 6, 53), ('round trip', 8, 18, 4, 3, 6, 7, 6, 53)) t(title, word, nodes, solids, beams, globals, solid_words, beam_words, ids)")
+def _words(some: tuple[str, ...], by: str, source: str) -> str:
+    return f"SELECT {MONTH}::INTEGER AS k, {by}::INTEGER AS e, {', '.join(f'{w}::DOUBLE AS w{i}' for i, w in enumerate(some))} FROM {source} GROUP BY 1, 2"
+
+
+FAMILY = f"""months AS (SELECT DISTINCT {MONTH}::INTEGER AS k FROM lineitem), every AS (SELECT unnest(range(max(k) + 1))::INTEGER AS k FROM months), size AS (SELECT max(s_suppkey) + 1 AS n FROM supplier),
+sw AS ({_words(SOLID_WORDS, "l_partkey", "lineitem")}), bw AS ({_words(BEAM_WORDS, "s_nationkey", "lineitem JOIN supplier ON l_suppkey = s_suppkey")}), gw AS ({_words(GLOBAL_WORDS, "0", "lineitem")})"""
+#: A file, a place in it and a time for each state; what no row names is zero.
+PLACE = "(k // 12 + 1)::INTEGER AS part, (k % 12)::INTEGER AS place, CASE WHEN k IN (SELECT k FROM months) THEN (k + 1) * 0.001::DOUBLE ELSE 0 END AS time"
+
+
+@query(f"""WITH {FAMILY}, c AS (SELECT (SELECT n FROM size) AS nodes, (SELECT max(p_partkey) + 1 FROM part) AS solids, (SELECT max(n_nationkey) + 1 FROM nation) AS beams)
+SELECT 'lineitem by months' AS title, word, nodes::INTEGER AS nodes, solids::INTEGER AS solids, beams::INTEGER AS beams, 6 AS globals, 7 AS solid_words, 6 AS beam_words, (10 + nodes + solids + beams)::INTEGER AS ids FROM c, (VALUES (4), (8)) t(word)""")
 def result_headers(s, d):
+    """The headers of two families, with words of four bytes in one order and of eight in the other."""
     rows = []
     for order, size in (("<", 4), (">", 8)):
-        at = binary.layout(s, _family(s, order, size))
-        rows.append((at.title, at.size, *(at.n[k] for k in ("numnp", "nel8", "nel2", "nglbv", "nv3d", "nv1d"))))
-    return s.createDataFrame(rows, "title string, word int, nodes int, solids int, beams int, globals int, solid_words int, beam_words int").withColumn("ids", F.lit(10 + NODES + SOLIDS + BEAMS) + 18)
+        at = binary.layout(s, _family(s, d, order, size))
+        rows.append((at.title, at.size, *(at.n[k] for k in ("numnp", "nel8", "nel2", "nglbv", "nv3d", "nv1d", "narbs"))))
+    return s.createDataFrame(rows, "title string, word int, nodes int, solids int, beams int, globals int, solid_words int, beam_words int, ids int")
 
 
-@query("SELECT * FROM (VALUES (0, 'result'), (1, 'result01'), (2, 'result02')) t(part, name)")
+@query(f"WITH {FAMILY} SELECT 0 AS part, 'result' AS name UNION ALL SELECT DISTINCT (k // 12 + 1)::INTEGER, 'result' || lpad((k // 12 + 1)::VARCHAR, 2, '0') FROM every")
 def result_family_files(s, d):
-    return binary.family(s, _family(s)).select("part", F.regexp_extract("path", "[^/]*$", 0).alias("name"))
+    return binary.family(s, _family(s, d)).select("part", F.regexp_extract("path", "[^/]*$", 0).alias("name"))
 
 
-@query("SELECT i::INTEGER AS node_idx, (1000 + i)::INTEGER AS node_id, (i % 5)::DOUBLE AS x, ((i // 5) % 2)::DOUBLE AS y, (i // 10)::DOUBLE AS z FROM range(18) t(i)")
+@query(f"WITH {T.POINTS} SELECT point_id::INTEGER AS node_idx, (1000 + point_id)::INTEGER AS node_id, x, y, z FROM pts")
 def result_nodes(s, d):
-    return binary.nodes(s, _family(s))
+    return binary.nodes(s, _family(s, d), 1 << 10)
 
 
-@query("""SELECT 'SOLID' AS etype, i::INTEGER AS elem_idx, (500 + i)::INTEGER AS elem_id, (1 + i % 2)::INTEGER AS part_id, array_to_string([i % 18, (i+1) % 18, (i+6) % 18, (i+5) % 18, (i+10) % 18, (i+11) % 18, (i+16) % 18, (i+15) % 18], ' ') AS nodes FROM range(4) t(i)
-  UNION ALL SELECT 'BEAM', i, 900 + i, 7 + i % 2, i || ' ' || (i + 1) FROM range(3) t(i)""")
+@query(f"""WITH {FAMILY} SELECT 'SOLID' AS etype, p_partkey::INTEGER AS elem_idx, (500 + p_partkey)::INTEGER AS elem_id, p_size AS part_id, array_to_string(list_transform([0, 1, 6, 5, 10, 11, 16, 15], lambda j: (p_partkey + j) % n), ' ') AS nodes FROM part, size
+  UNION ALL SELECT 'BEAM', n_nationkey, 900 + n_nationkey, 7 + n_regionkey, (n_nationkey % n) || ' ' || ((n_nationkey + 1) % n) FROM nation, size""")
 def result_elements(s, d):
-    return binary.elements(s, _family(s)).select("etype", "elem_idx", "elem_id", "part_id", F.array_join(F.transform("node_ids", lambda i: i.cast("string")), " ").alias("nodes"))
+    return binary.elements(s, _family(s, d), 1 << 14).select("etype", "elem_idx", "elem_id", "part_id", F.array_join(F.transform("node_ids", lambda i: i.cast("string")), " ").alias("nodes"))
 
 
-@query("SELECT (CASE WHEN k < 2 THEN 1 ELSE 2 END)::INTEGER AS part, (CASE WHEN k < 2 THEN k ELSE k - 2 END)::INTEGER AS place, k * 0.5::DOUBLE AS time FROM range(5) t(k)")
+@query(f"WITH {FAMILY} SELECT {PLACE} FROM every")
 def result_state_times(s, d):
-    return binary.times(s, _family(s, ">", 4))
+    return binary.times(s, _family(s, d, ">"))
 
 
-@query("""SELECT k * 0.5::DOUBLE AS time, i::INTEGER AS node_idx, (i % 5 + k)::DOUBLE AS x, ((i // 5) % 2 + k)::DOUBLE AS y, (i // 10 + k)::DOUBLE AS z, (3*i + 10*k)::DOUBLE AS vx, (3*i + 1 + 10*k)::DOUBLE AS vy, (3*i + 2 + 10*k)::DOUBLE AS vz, (6*i - k)::DOUBLE AS ax, (6*i + 2 - k)::DOUBLE AS ay, (6*i + 4 - k)::DOUBLE AS az FROM range(5) a(k), range(18) b(i)""")
+@query(f"""WITH {T.POINTS}, {FAMILY} SELECT (k + 1) * 0.001::DOUBLE AS time, point_id::INTEGER AS node_idx, x + k * 0.5::DOUBLE AS x, y + k * 0.25::DOUBLE AS y, z - k * 0.125::DOUBLE AS z,
+  (point_id + k)::DOUBLE AS vx, (point_id * 2 + k)::DOUBLE AS vy, (point_id * 3 + k)::DOUBLE AS vz, (point_id * 4 + k)::DOUBLE AS ax, (point_id * 5 + k)::DOUBLE AS ay, (point_id * 6 + k)::DOUBLE AS az FROM months, pts""")
 def result_node_states(s, d):
-    return binary.node_states(s, _family(s)).drop("part", "state")
+    return binary.node_states(s, _family(s, d), span=1 << 12).where("time > 0").drop("part", "state")
 
 
-@query("SELECT k * 0.5::DOUBLE AS time, i::INTEGER AS i, (i + k)::DOUBLE AS value FROM range(5) a(k), range(6) b(i)")
+@query(f"WITH {FAMILY} SELECT {PLACE.replace('AS place', 'AS state')}, i::INTEGER AS i, coalesce(CASE i {' '.join(f'WHEN {i} THEN w{i}' for i in range(6))} END, 0) AS value FROM every LEFT JOIN gw USING (k), range(6) t(i)")
 def result_global_states(s, d):
-    return binary.global_states(s, _family(s)).select("time", "i", "value")
+    return binary.global_states(s, _family(s, d))
 
 
-@query("""SELECT 'SOLID' AS etype, k * 0.5::DOUBLE AS time, e::INTEGER AS elem_idx, (7*e + 100*k)::DOUBLE AS first, (7*e + 6 + 100*k)::DOUBLE AS last FROM range(5) a(k), range(4) b(e) UNION ALL SELECT 'BEAM', k * 0.5::DOUBLE, e, 18*e - k, 18*e + 15 - k FROM range(5) a(k), range(3) b(e)""")
+@query(f"""WITH {FAMILY}, every_part AS (SELECT unnest(range((SELECT max(p_partkey) + 1 FROM part)))::INTEGER AS e), every_nation AS (SELECT unnest(range((SELECT max(n_nationkey) + 1 FROM nation)))::INTEGER AS e)
+  SELECT 'SOLID' AS etype, {PLACE}, e AS elem_idx, {', '.join(f'coalesce(w{i}, 0) AS w{i}' for i in range(7))} FROM every CROSS JOIN every_part LEFT JOIN sw USING (k, e)
+  UNION ALL SELECT 'BEAM', {PLACE}, e, {', '.join(f'coalesce(w{i}, 0)' for i in range(6))}, NULL FROM every CROSS JOIN every_nation LEFT JOIN bw USING (k, e)""")
 def result_element_states(s, d):
-    base, out = _family(s, "<", 8), None
+    """lineitem by part, nation and month, written as a family and read back by ranges of states and elements."""
+    base, out = _family(s, d), None
     for kind in ("SOLID", "BEAM"):
-        one = binary.element_states(s, base, kind).select(F.lit(kind).alias("etype"), "time", "elem_idx", F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last"))
+        rows = binary.element_states(s, base, kind, span=1 << 16)
+        one = rows.select(F.lit(kind).alias("etype"), "part", "place", "time", "elem_idx", *(F.get("words", F.lit(i)).alias(f"w{i}") for i in range(7)))
         out = one if out is None else out.union(one)
     return out
 
 
-@query("""WITH n AS (SELECT k, i, (i % 5 + k)::DOUBLE AS x FROM range(5) a(k), range(18) b(i)) SELECT (i % 3)::INTEGER AS part_id, k::INTEGER AS state_idx, k * 0.5::DOUBLE AS time, round(avg(k::DOUBLE), 6) AS mean_x, round(max(sqrt(3.0 * k * k)), 6) AS max_displacement, round(CASE WHEN k > 0 THEN 2.0 ELSE 0 END, 6) AS velocity_mean_x FROM n GROUP BY k, i % 3""")
+@query(f"WITH {FAMILY} SELECT {PLACE}, e AS elem_idx, w1 AS price, w6 AS rows FROM every JOIN sw USING (k) WHERE k // 12 IN (1, 3) AND k % 12 < 6")
+def result_element_words_of_some_states(s, d):
+    """Two words of each solid, of the first half of two files: other ranges are no tasks, other words do not leave them."""
+    rows = binary.element_states(s, _family(s, d), "SOLID", (1, 6)).where("part in (2, 4) and place < 6")
+    return rows.select("part", "place", "time", "elem_idx", F.col("words")[0].alias("price"), F.col("words")[1].alias("rows")).where("rows > 0")
+
+
+@query(f"""WITH {T.POINTS}, {FAMILY} SELECT s_nationkey AS part_id, k AS state_idx, (k + 1) * 0.001::DOUBLE AS time, round(avg(k * 0.5::DOUBLE), 6) AS mean_x, round(max(sqrt(k * 0.5::DOUBLE * (k * 0.5::DOUBLE) + k * 0.25::DOUBLE * (k * 0.25::DOUBLE) + k * 0.125::DOUBLE * (k * 0.125::DOUBLE))), 6) AS max_displacement FROM months, supplier GROUP BY 1, 2""")
 def part_motion_of_a_result(s, d):
-    base = _family(s)
+    """Displacement of the suppliers of each nation, from the places alone: velocities are not read."""
+    base = _family(s, d)
     still = binary.nodes(s, base).select("node_idx", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"))
-    rows = binary.node_states(s, base).join(still, "node_idx").withColumnRenamed("node_idx", "node_id").withColumn("state_idx", (F.col("time") * 2).cast("int"))
-    parts = still.select(F.col("node_idx").alias("node_id"), (F.col("node_idx") % 3).cast("int").alias("part_id"))
-    return rounded(P.motion(rows, parts).select("part_id", "state_idx", "time", "mean_x", "max_displacement", "velocity_mean_x"))
+    rows = binary.node_states(s, base, ("place",)).where("time > 0")
+    rows = rows.join(still, "node_idx").withColumn("state_idx", (F.col("part") - 1) * 12 + F.col("state")).drop("state").withColumnRenamed("node_idx", "node_id")
+    parts = T.read(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("node_id"), F.col("s_nationkey").alias("part_id"))
+    return rounded(P.motion(rows.drop("part"), parts).select("part_id", "state_idx", "time", "mean_x", "max_displacement"))
 
 
-@query("""SELECT 'point' AS kind, i::INTEGER AS i, (i % 5)::VARCHAR || ' ' || ((i // 5) % 2)::VARCHAR || ' ' || (i // 10)::VARCHAR AS value FROM range(18) t(i) UNION ALL SELECT 'cell 3', i, i || ' ' || (i + 1) FROM range(3) t(i)
-  UNION ALL SELECT 'cell 12', i + 3, array_to_string([i % 18, (i+1) % 18, (i+6) % 18, (i+5) % 18, (i+10) % 18, (i+11) % 18, (i+16) % 18, (i+15) % 18], ' ') FROM range(4) t(i)""")
+@query(f"""WITH {T.POINTS}, {FAMILY}, b AS (SELECT max(n_nationkey) + 1 AS beams FROM nation) SELECT 'point' AS kind, point_id::INTEGER AS i, x::INTEGER || ' ' || y::INTEGER || ' ' || z::INTEGER AS value FROM pts
+  UNION ALL SELECT 'cell 3', n_nationkey, (n_nationkey % n) || ' ' || ((n_nationkey + 1) % n) FROM nation, size
+  UNION ALL SELECT 'cell 12', p_partkey + beams, array_to_string(list_transform([0, 1, 6, 5, 10, 11, 16, 15], lambda j: (p_partkey + j) % n), ' ') FROM part, size, b""")
 def result_to_vtk_and_back(s, d):
-    base, path = _family(s), new_path(s)
+    base, path = _family(s, d), new_path(s)
     sinks.write_vtk(binary.nodes(s, base), binary.elements(s, base), path)
     points, cells = text.vtk_grid(s, path)
     shown = F.concat_ws(" ", *(F.col(c).cast("int").cast("string") for c in "xyz"))
@@ -117,38 +149,55 @@ def result_to_vtk_and_back(s, d):
     return points.select(F.lit("point").alias("kind"), F.col("node_idx").alias("i"), shown.alias("value")).union(cells.select(named, "elem_idx", F.array_join(F.transform("node_ids", lambda v: v.cast("string")), " ")))
 
 
-# Binary histories
+# Binary histories: events as times, a file for each thousand; a file begins again with the last time of the one before, which had other values
+
+TIMES_OF_A_FILE = 1000
+#: Branches and their records: (name, form, values of a time); then what stays, for each file.
+BRANCHES = {
+    "glstat": [("kinetic_energy", "f8", "v"), ("internal_energy", "f8", "v / 2"), ("total_energy", "f8", "v * 2")],
+    "rcforc": [(f"{c}_force", "f8", f"v + {j}, v + {2 * j}, v + {3 * j}") for j, c in enumerate("xyz", 1)],
+    "matsum": [("kinetic_energy", "f8", "v, -v"), ("internal_energy", "f8", "v + 1, v + 2")],
+    "sleout": [("total_energy", "f8", "v * 4, v * 8"), ("friction_energy", "f8", "v / 4, v / 8")],
+}
+STAYS = {"glstat": [("title", "i1", "97, 32, 114, 117, 110")], "rcforc": [("ids", "i4", "7, 7, 9"), ("side", "i4", "0, 1, 0")], "matsum": [("ids", "i8", "1, 2")], "sleout": [("ids", "i4", "3, 4"), ("legend", "i1", "100, 111, 111, 114, 32, 32, 112, 105, 108, 108, 97, 114")]}
+
+
+def _history(s: SparkSession, d: str, branch: str, little: bool = True) -> DataFrame:
+    """The rows of a branch of a history written from events."""
+    i = F.col("event_id")
+    e = T.read(s, d, "events").select(i, F.col("value").alias("v"), F.floor(i / TIMES_OF_A_FILE).cast("int").alias("f"))
+    before = e.where((i % TIMES_OF_A_FILE == 0) & (i > 0)).select("event_id", (F.col("v") - 1).alias("v"), (F.col("f") - 1).alias("f"))
+    record = lambda folder, r: F.struct(folder.alias("folder"), F.lit(r[0]).alias("name"), F.lit(r[1]).alias("form"), F.expr(f"transform(array({r[2]}), x -> cast(x as double))").alias("values"))
+    state = F.format_string("d%06d", i - F.col("f") * TIMES_OF_A_FILE + 1)
+    moving = [record(F.concat(F.lit(f"/{b}/"), state), r) for b, own in BRANCHES.items() for r in [("time", "f8", "event_id * 0.5"), *own]]
+    still = [record(F.lit(f"/{b}/metadata"), r) for b, own in STAYS.items() for r in own]
+    rows = e.union(before).select("f", "event_id", F.posexplode(F.array(*moving)).alias("k", "r")).union(e.select("f").distinct().select("f", F.lit(-1), F.posexplode(F.array(*still))))
+    root = new_path(s)
+    history.write(rows.select(F.format_string("binout%04d", "f").alias("file"), (F.col("event_id") * 100 + F.col("k")).alias("at"), "r.*"), root, little)
+    return history.read(s, f"{root}/binout*", [branch])
+
 
-def _history(s: SparkSession, little: bool = True) -> DataFrame:
-    """Two files; the second begins with the last time of the first, with other values, and breaks off within a record."""
-    root, k = new_path(s), np.arange(3)
-    files = []
-    for f in range(2):
-        folders = [("/glstat/metadata", [("title", np.frombuffer(b"a run", np.int8))]), ("/rcforc/metadata", [("ids", np.array([7, 7, 9], np.int32)), ("side", np.array([0, 1, 0], np.int32))]), ("/matsum/metadata", [("ids", np.array([1, 2], np.int64))])]
-        for i in range(4 * f - f, 4 * f - f + 4):
-            v = i * 10.0 + f
-            time = ("time", np.array([i * 0.5], np.float64))
-            folders += [(f"/glstat/d{i + 1:06d}", [time, ("kinetic_energy", np.array([v])), ("internal_energy", np.array([v / 2])), ("total_energy", np.array([v * 2], np.float32))])]
-            folders += [(f"/rcforc/d{i + 1:06d}", [time, *((f"{c}_force", (v + k * j).astype(np.float32)) for j, c in enumerate("xyz", 1))]), (f"../../matsum/d{i + 1:06d}", [time, ("kinetic_energy", np.array([v, -v])), ("internal_energy", np.array([v + 1, v + 2]))])]
-        files.append(history.pack(folders, little))
-    binary.write_family(s, f"{root}/binout0000", files[0], [])
-    binary.write_family(s, f"{root}/binout0001", files[1] + files[1][8:60], [])
-    return history.read(s, f"{root}/binout*")
+HISTORY = f"""h0 AS (SELECT event_id, value AS v, event_id // {TIMES_OF_A_FILE} AS f FROM events), h AS (SELECT * FROM h0 UNION ALL SELECT event_id, v - 1, f - 1 FROM h0 WHERE event_id % {TIMES_OF_A_FILE} = 0 AND event_id > 0)"""
 
 
-@query("SELECT i * 0.5::DOUBLE AS t, v AS ke, v / 2 AS ie, NULL::DOUBLE AS hourglass, NULL::DOUBLE AS sliding, v * 2 AS total FROM (SELECT i, (i * 10 + CASE WHEN i >= 3 THEN 1 ELSE 0 END)::DOUBLE AS v FROM range(7) t(i))")
+@query("SELECT event_id * 0.5::DOUBLE AS t, value AS ke, value / 2 AS ie, NULL::DOUBLE AS hourglass, NULL::DOUBLE AS sliding, value * 2 AS total FROM events")
 def history_energies(s, d):
-    return history.energies(_history(s))
+    return history.energies(_history(s, d, "glstat"))
 
 
-@query("SELECT [7, 7, 9][k + 1]::INTEGER AS interface_id, [0, 1, 0][k + 1]::INTEGER AS side, i * 0.5::DOUBLE AS t, (i * 10 + f + k)::DOUBLE AS fx, (i * 10 + f + 2 * k)::DOUBLE AS fy, (i * 10 + f + 3 * k)::DOUBLE AS fz FROM range(2) a(f), range(7) b(i), range(3) c(k) WHERE i BETWEEN 3 * f AND 3 * f + 3")
+@query(f"WITH {HISTORY} SELECT [7, 7, 9][k]::INTEGER AS interface_id, [0, 1, 0][k]::INTEGER AS side, event_id * 0.5::DOUBLE AS t, v + k AS fx, v + 2 * k AS fy, v + 3 * k AS fz FROM h, range(1, 4) c(k)")
 def history_contact_forces(s, d):
-    return history.contact_forces(_history(s, False))
+    return history.contact_forces(_history(s, d, "rcforc", False))
 
 
-@query("SELECT (k + 1)::INTEGER AS part_id, i * 0.5::DOUBLE AS t, CASE k WHEN 0 THEN 1 ELSE -1 END * (i * 10 + f)::DOUBLE AS ke, (i * 10 + f + k + 1)::DOUBLE AS ie FROM range(2) a(f), range(7) b(i), range(2) c(k) WHERE i BETWEEN 3 * f AND 3 * f + 3")
+@query(f"WITH {HISTORY} SELECT k::INTEGER AS part_id, event_id * 0.5::DOUBLE AS t, CASE k WHEN 1 THEN v ELSE -v END AS ke, v + k AS ie FROM h, range(1, 3) c(k)")
 def history_part_energies(s, d):
-    return history.part_energies(_history(s))
+    return history.part_energies(_history(s, d, "matsum"))
+
+
+@query(f"WITH {HISTORY} SELECT (k + 2)::INTEGER AS interface_id, ['door', 'pillar'][k] AS name, event_id * 0.5::DOUBLE AS t, v * 4 * k AS total_energy, v / (4 * k) AS friction_energy FROM h, range(1, 3) c(k)")
+def history_sliding_energies(s, d):
+    return history.sliding_energies(_history(s, d, "sleout"))
 
 
 # Keyword decks

@@ -2,67 +2,97 @@
 
 A file has an eight-byte head (sizes of the fields of a record, byte order), then records:
 length, command, and for data a type, a name and values. A folder record sets where the
-following data belong: /branch/metadata for what stays, /branch/dNNNNNN for each time. Files
-are read by Spark's binary reader, a task for each; a history of several files is their union.
+following data belong: /branch/metadata for what stays, /branch/dNNNNNN for each time. A file
+can only be walked from its start, so a task takes a file and passes over the values of
+branches that are not asked for; a history of several files is their union.
 """
 
 from __future__ import annotations
 
 import posixpath
 from collections.abc import Iterator, Sequence
+from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import streams
+from .binary import store
+
 #: Commands of records, and types by number.
 FOLDER, DATA = 2, 3
 TYPES = {1: "i1", 2: "i2", 3: "i4", 4: "i8", 5: "u1", 6: "u2", 7: "u4", 8: "u8", 9: "f4", 10: "f8"}
+#: Rows of a batch, and values after which one is handed on.
+ROWS, VALUES = 1000, 1 << 20
+#: Most bytes of a folder record.
+FOLDER_BYTES = 1 << 16
 
 
-def records(raw: bytes) -> Iterator[tuple[str, str, np.ndarray]]:
-    """(folder, name, values) of every data record, in order; whatever else a file holds is passed over. A file that breaks off gives what is whole."""
-    if len(raw) < 8:
+def records(read, size: int, branches: Sequence[str] = ()) -> Iterator[tuple[str, str, np.ndarray]]:
+    """(folder, name, values) of every data record, in order, by reads ``read(place, length)``; whatever else a file holds is passed over, and so are records of other branches. A file that breaks off gives what is whole."""
+    if size < 8:
         return
-    at, size, _, command, kind, little = raw[:6]
-    order, folder = "<" if little else ">", "/"
-    number = lambda a, n: int.from_bytes(raw[a : a + n], "little" if little else "big")
-    while at + size + command <= len(raw):
-        length, what, body = number(at, size), number(at + size, command), at + size + command
-        if length < size + command or at + length > len(raw):
+    head = read(0, 8)
+    at, width, _, command, kind, little = head[:6]
+    order, folder, wanted = "<" if little else ">", "/", not branches
+    number = lambda raw: int.from_bytes(raw, "little" if little else "big")
+    while at + width + command <= size:
+        top = read(at, width + command + kind + 1 + 255)
+        length, what, body = number(top[:width]), number(top[width : width + command]), width + command
+        if length < body or at + length > size:
             return
-        if what == FOLDER:
-            folder = posixpath.normpath(posixpath.join(folder, raw[body : at + length].decode("latin-1").rstrip("\0")))
-        elif what == DATA:
+        if what == FOLDER and length - body <= FOLDER_BYTES:
+            folder = posixpath.normpath(posixpath.join(folder, read(at + body, length - body).decode("latin-1").rstrip("\0")))
+            wanted = not branches or "/".join(folder.strip("/").split("/")[:-1]) in branches
+        elif what == DATA and wanted and length > body + kind:
             name_at = body + kind + 1
-            start = name_at + raw[body + kind]
-            form = TYPES.get(number(body, kind))
-            if form and start <= at + length:
-                width = int(form[1])
-                count = (at + length - start) // width
-                yield folder, raw[name_at:start].decode("latin-1"), np.frombuffer(raw, order + form, count, start)
+            start = name_at + top[body + kind]
+            form = TYPES.get(number(top[body : body + kind]))
+            if form and start <= length:
+                raw = read(at + start, (length - start) // int(form[1]) * int(form[1]))
+                yield folder, top[name_at:start].decode("latin-1"), np.frombuffer(raw, order + form)
         at += length
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, branch, state ('metadata' or dNNNNNN), name, values of every record of the files of ``path``; text is an array of bytes."""
+class _Chunks:
+    """Reads of a file by chunks of a megabyte."""
+
+    def __init__(self, file):
+        self.file, self.start, self.held = file, 0, b""
+
+    def __call__(self, place: int, length: int) -> bytes:
+        if place < self.start or place + length > self.start + len(self.held):
+            self.start, self.held = place, self.file.read_at(max(length, 1 << 20), place)
+        return self.held[place - self.start : place - self.start + length]
+
+
+_READ = pa.schema([("file", pa.string()), ("branch", pa.string()), ("state", pa.string()), ("name", pa.string()), ("values", pa.list_(pa.float64()))])
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, raw in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                for folder, name, values in records(bytes(raw)):
-                    parts = folder.strip("/").split("/")
-                    rows.append((file, "/".join(parts[:-1]), parts[-1], name, values.astype(float)))
-                    if len(rows) == 1000:
-                        yield pd.DataFrame(rows, columns=["file", "branch", "state", "name", "values"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file", "branch", "state", "name", "values"])
+def read(spark: SparkSession, path: str, branches: Sequence[str] = ()) -> DataFrame:
+    """file, branch, state ('metadata' or dNNNNNN), name, values of every record (of ``branches``, if any) of the files of ``path``; text is an array of bytes."""
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, branch string, state string, name string, values array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                files, at = store(path)
+                with files.open_input_file(at) as file:
+                    rows, held = [], 0
+                    for folder, name, values in records(_Chunks(file), file.size(), branches):
+                        parts = folder.strip("/").split("/")
+                        rows.append({"file": path, "branch": "/".join(parts[:-1]), "state": parts[-1], "name": name, "values": values.astype(float)})
+                        held += len(values)
+                        if len(rows) == ROWS or held > VALUES:
+                            yield pa.RecordBatch.from_pylist(rows, _READ)
+                            rows, held = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, _READ)
+
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.repartition(max(1, len(listed.inputFiles())), "path").mapInArrow(run, "file string, branch string, state string, name string, values array<double>")
 
 
 def _states(rows: DataFrame, branch: str, names: Sequence[str]) -> DataFrame:
@@ -106,19 +136,65 @@ def part_energies(rows: DataFrame) -> DataFrame:
     return _each(_states(rows, "matsum", ["kinetic_energy", "internal_energy"]), _metadata(rows, "matsum", ["ids"]), columns)
 
 
-def pack(folders: Sequence[tuple[str, Sequence[tuple[str, np.ndarray]]]], little: bool = True) -> bytes:
-    """Bytes of a file of (folder, (name, values) ...)."""
-    numbers = {v: k for k, v in TYPES.items()}
-    out = [bytes([8, 8, 8, 1, 1, int(little), 0, 0])]
-    order = "little" if little else "big"
+def _names(ids: str, legend: str) -> Column:
+    """The name of place i: an equal share of the legend's bytes, without blanks."""
+    share = F.floor(F.size(legend) / F.size(ids)).cast("int")
+    letters = F.transform(F.slice(legend, F.col("i") * share + 1, share), lambda b: F.char(b.cast("int")))
+    return F.when(share > 0, F.trim(F.regexp_replace(F.array_join(letters, ""), "\\x00", " ")))
+
+
+def sliding_energies(rows: DataFrame) -> DataFrame:
+    """interface_id, name, t, total_energy, friction_energy of the branch sleout; Interface_<id> where the legend has no name."""
+    at = lambda n: F.get(n, F.col("i"))
+    number = at("__ids").cast("int")
+    columns = {"interface_id": number, "name": F.coalesce(_names("__ids", "__legend"), F.concat(F.lit("Interface_"), number.cast("string"))), "total_energy": at("total_energy"), "friction_energy": at("friction_energy")}
+    return _each(_states(rows, "sleout", ["total_energy", "friction_energy"]), _metadata(rows, "sleout", ["ids", "legend"]), columns)
+
 
-    def record(command: int, body: bytes) -> None:
-        out.append((9 + len(body)).to_bytes(8, order) + bytes([command]) + body)
+def _record(command: int, body: bytes, order: str) -> bytes:
+    return (9 + len(body)).to_bytes(8, order) + bytes([command]) + body
 
+
+def _data(name: str, values: np.ndarray, form: str, little: bool) -> bytes:
+    kind = next(k for k, v in TYPES.items() if v == form)
+    return _record(DATA, bytes([kind, len(name)]) + name.encode("latin-1") + np.asarray(values).astype(("<" if little else ">") + form).tobytes(), "little" if little else "big")
+
+
+def _head(little: bool) -> bytes:
+    return bytes([8, 8, 8, 1, 1, int(little), 0, 0])
+
+
+def write(rows: DataFrame, folder: str, little: bool = True) -> None:
+    """Write files from rows: file, at (the order within the file), folder, name, form (f8, i4, ...), values.
+
+    A task sorts and streams the files it has; a folder is written where it changes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, place, order = None, None, "little" if little else "big"
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                raw = b""
+                if r["file"] != current:
+                    raw, current, place = _head(little), r["file"], None
+                if r["folder"] != place:
+                    place = r["folder"]
+                    raw += _record(FOLDER, place.encode("latin-1"), order)
+                out.append({"file": current, "data": raw + _data(r["name"], r["values"], r["form"], little)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("file", pa.string()), ("data", pa.binary())]))
+
+    count = rows.select(F.approx_count_distinct("file")).first()[0]
+    dealt = rows.repartition(max(1, ceil(count)), "file").sortWithinPartitions("file", "at")
+    streams.write(dealt.select("file", "folder", "name", "form", "values").mapInArrow(run, streams.ROWS), folder)
+
+
+def pack(folders: Sequence[tuple[str, Sequence[tuple[str, np.ndarray]]]], little: bool = True) -> bytes:
+    """Bytes of a small file of (folder, (name, values) ...)."""
+    out = [_head(little)]
     for folder, data in folders:
-        record(FOLDER, folder.encode("latin-1"))
+        out.append(_record(FOLDER, folder.encode("latin-1"), "little" if little else "big"))
         for name, values in data:
             values = np.asarray(values)
-            form = f"{values.dtype.kind}{values.dtype.itemsize}"
-            record(DATA, bytes([numbers[form], len(name)]) + name.encode("latin-1") + values.astype(("<" if little else ">") + form).tobytes())
+            out.append(_data(name, values, f"{values.dtype.kind}{values.dtype.itemsize}", little))
     return b"".join(out)
