@@ -14,12 +14,24 @@ from .storage import new_path
 
 
 def _text(rows: DataFrame, name: str = "") -> str:
-    """Write value lines in order of n as one file of a new folder, or of the folder ``name``."""
+    """Write values (a line, or the lines of a card) in order of n as files of a new folder, or of the folder ``name``; a value is never cut."""
+    path = name or new_path(rows.sparkSession)
+    rows.repartitionByRange("n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    return path
+
+
+def _one_file(rows: DataFrame, name: str = "") -> str:
+    """Write the few lines of a log or of a deck's head as one file."""
     path = name or new_path(rows.sparkSession)
     rows.coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
     return path
 
 
+def _cards(rows: DataFrame, n: Column, *of: Column) -> DataFrame:
+    """n and value: the lines of a card in one value."""
+    return rows.select(n.cast("long").alias("n"), F.array_join(F.concat(*of), "\n").alias("value"))
+
+
 def _lines(s: SparkSession, *lines: str) -> DataFrame:
     return s.createDataFrame(list(enumerate(lines, -1_000_000)), "n long, value string")
 
@@ -227,9 +239,11 @@ def deck_includes(s, d):
     """A deck that includes two others, one of which includes the first again."""
     root, nodes = new_path(s), T.nodes(s, d)
     line = lambda i, x: F.concat_ws(",", i.cast("string"), F.format_string("%.9f", x), F.lit("0"), F.lit("0"))
-    _text(nodes.where("node_id % 3 = 0").select(F.col("node_id").cast("long").alias("n"), line(F.col("node_id"), F.col("x")).alias("value")).union(_lines(s, "*NODE")), f"{root}/a.k")
-    _text(nodes.where("node_id % 4 = 0").select(F.col("node_id").cast("long").alias("n"), line(F.col("node_id") + 5000, F.col("y")).alias("value")).union(_lines(s, "*INCLUDE", "a.k", "*NODE")), f"{root}/b.k")
-    _text(_lines(s, "*KEYWORD", "$ a comment", "*INCLUDE", "a.k", "*INCLUDE", "b.k", "*NODE", "99,1.5,0,0", "*END", "*NODE", "98,0,0,0"), f"{root}/main.k")
+    a = nodes.where("node_id % 3 = 0").select("node_id", line(F.col("node_id"), F.col("x")).alias("value"))
+    b = nodes.where("node_id % 4 = 0").select("node_id", line(F.col("node_id") + 5000, F.col("y")).alias("value"))
+    sinks.write_deck(a, "*NODE", f"{root}/a.k")
+    sinks.write_deck(b, "*INCLUDE\na.k\n*NODE", f"{root}/b.k")
+    _one_file(_lines(s, "*KEYWORD", "$ a comment", "*INCLUDE", "a.k", "*INCLUDE", "b.k", "*NODE", "99,1.5,0,0", "*END", "*NODE", "98,0,0,0"), f"{root}/main.k")
     return rounded(text.keyword_nodes(s, text.included(s, f"{root}/main.k")).select("node_id", "x"))
 
 
@@ -239,9 +253,9 @@ def deck_sets(s, d):
     rows = T.read(s, d, "supplier").where("s_suppkey > 0")
     own = rows.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.col("s_suppkey").cast("int"))).alias("ids"))  # suppliers of a nation are a set
     eight = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / 8).cast("int")), lambda k: F.array_join(F.transform(F.slice("ids", k * 8 + 1, 8), lambda i: F.lpad(i.cast("string"), 10, " ")), ""))
-    lines = own.select((F.col("s_nationkey") * 1_000_000).cast("long").alias("at"), F.posexplode(F.concat(F.array(F.lit("*SET_PART_LIST"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 10, " ")), eight)).alias("i", "value"))
-    fixed = _lines(s, "*SET_NODE_LIST_GENERATE_TITLE", "a title", "900", "3,5,9,10", "*SET_SEGMENT", "901", "1,2,3,4", "5,6,7", "*SET_SHELL_COLUMN", "902", "8,0.5", "9,0.5", "*SET_NODE_GENERAL", "903", "NODE,5,6", "BOX,1", "*SET_NODE_ADD", "904", "900,903")
-    path = _text(lines.select((F.col("at") + F.col("i")).alias("n"), "value").union(fixed))
+    lines = _cards(own, F.col("s_nationkey"), F.array(F.lit("*SET_PART_LIST"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 10, " ")), eight)
+    fixed = "\n".join(["*SET_NODE_LIST_GENERATE_TITLE", "a title", "900", "3,5,9,10", "*SET_SEGMENT", "901", "1,2,3,4", "5,6,7", "*SET_SHELL_COLUMN", "902", "8,0.5", "9,0.5", "*SET_NODE_GENERAL", "903", "NODE,5,6", "BOX,1", "*SET_NODE_ADD", "904", "900,903"])
+    path = _text(lines.union(_lines(s, fixed)))
     return text.keyword_sets(s, path).select("kind", "set_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), F.size("segments").alias("segments"), "warning")
 
 
@@ -249,8 +263,7 @@ def deck_sets(s, d):
 def deck_parts(s, d):
     p = T.read(s, d, "part").where("p_partkey > 0")
     numbers = F.format_string("%10d%10d%10d", F.col("p_partkey"), F.col("p_size") + 1, F.col("p_size") % 7 + 1)
-    lines = p.select("p_partkey", F.posexplode(F.array(F.lit("*PART"), F.col("p_name"), numbers)).alias("i", "value"))
-    return text.keyword_parts(s, _text(lines.select((F.col("p_partkey") * 10 + F.col("i")).alias("n"), "value")))
+    return text.keyword_parts(s, _text(_cards(p, F.col("p_partkey"), F.array(F.lit("*PART"), F.col("p_name"), numbers))))
 
 
 @query("SELECT n_nationkey + 1 AS material_id, '*MAT_ELASTIC' || CASE WHEN n_nationkey % 2 = 0 THEN '_TITLE' ELSE '' END AS card, (n_nationkey + 1) * 0.5::DOUBLE AS density, 1500.0::DOUBLE AS modulus, 0.25::DOUBLE AS ratio FROM nation")
@@ -259,15 +272,29 @@ def deck_materials(s, d):
     head = F.array(F.concat(F.lit("*MAT_ELASTIC"), F.when(k % 2 == 0, "_TITLE").otherwise("")))
     title = F.when(k % 2 == 0, F.array(F.col("n_name"))).otherwise(F.array().cast("array<string>"))
     body = F.array(F.concat(F.format_string("%10d%10.3f", k + 1, (k + 1) * 0.5), F.lit("  1.5D+03 2.50e-01")))
-    lines = T.read(s, d, "nation").select("n_nationkey", F.posexplode(F.concat(head, title, body)).alias("i", "value"))
-    return text.keyword_materials(s, _text(lines.select((k * 10 + F.col("i")).cast("long").alias("n"), "value"))).select("material_id", "card", "density", "modulus", "ratio")
+    path = _text(_cards(T.read(s, d, "nation"), k, head, title, body))
+    return text.keyword_materials(s, path).select("material_id", "card", "density", "modulus", "ratio")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 3, 5), (1, 1, 2, 7), (1, 1, 2, 8), (2, 0, 4, 2), (2, 0, 4, 3), (2, 1, 0, 4)) t(interface, side, kind, part_id)")
+@query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), own AS (SELECT DISTINCT unnest([s_suppkey, s_suppkey + 1]) AS node, s_nationkey AS part FROM supplier),
+sided AS (SELECT k, 0 AS side, 3 AS kind, k + 1 AS part_id FROM n UNION ALL SELECT a.k, 1, 2, b.k + 1 FROM n a JOIN n b ON a.r = b.r
+  UNION SELECT 1000 + k, 0, 4, own.part FROM n JOIN supplier ON s_nationkey = k JOIN own ON own.node = s_suppkey WHERE s_suppkey > 0 UNION SELECT 1000 + k, 1, 0, own.part FROM n JOIN own ON own.node IN (k, k + 1, k + 2, k + 3) WHERE own.node > 0),
+ranked AS (SELECT k, dense_rank() OVER (ORDER BY k) AS i FROM (SELECT k FROM n UNION SELECT 1000 + k FROM n))
+SELECT i::INTEGER AS interface, side::INTEGER AS side, kind::INTEGER AS kind, part_id::INTEGER AS part_id FROM ranked JOIN sided USING (k)""")
 def deck_contacts(s, d):
-    """Sides that are a part, a set of parts, of nodes and of segments."""
-    path = _text(_lines(s, "*CONTACT_AUTOMATIC_SURFACE_TO_SURFACE", "5,20,3,2", "0,0", "*CONTACT_TIED_TITLE", "a title", "30,40,4,0", "*SET_PART_LIST", "20", "7,8", "*SET_NODE_LIST", "30", "101,102", "*SET_SEGMENT", "40", "103,104,105,106"))
-    elements = s.createDataFrame([(2, [101, 109]), (3, [102, 108]), (4, [103, 104, 105, 106]), (9, [120])], "part_id int, node_ids array<int>")
+    """A contact of each nation's part with the parts of its region, and one of its suppliers as nodes with a segment."""
+    k, nation = F.col("n_nationkey"), T.read(s, d, "nation")
+    line = lambda *of: F.array(F.concat_ws(",", *(c.cast("string") for c in of)))
+    zero = F.lit(0)
+    surfaces = _cards(nation, k, F.array(F.lit("*CONTACT_AUTOMATIC_SURFACE_TO_SURFACE")), line(k + 1, F.col("n_regionkey") + 20, F.lit(3), F.lit(2)), line(zero, zero))
+    tied = _cards(nation, k + 1000, F.array(F.lit("*CONTACT_TIED_TITLE"), F.lit("a title")), line(k + 100, k + 200, F.lit(4), zero))
+    region = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(k + 1)).alias("ids"))
+    parts = _cards(region, F.col("n_regionkey") + 2000, F.array(F.lit("*SET_PART_COLUMN")), line(F.col("n_regionkey") + 20), F.transform("ids", lambda i: i.cast("string")))
+    held = T.read(s, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("ids"))
+    nodes = _cards(held, F.col("s_nationkey") + 3000, F.array(F.lit("*SET_NODE_COLUMN")), line(F.col("s_nationkey") + 100), F.transform("ids", lambda i: i.cast("string")))
+    segments = _cards(nation, k + 4000, F.array(F.lit("*SET_SEGMENT")), line(k + 200), line(k, k + 1, k + 2, k + 3))
+    path = _text(surfaces.union(tied).union(parts).union(nodes).union(segments))
+    elements = T.read(s, d, "supplier").select(F.col("s_nationkey").alias("part_id"), F.array(F.col("s_suppkey").cast("int"), (F.col("s_suppkey") + 1).cast("int")).alias("node_ids"))
     return text.contact_sides(s, path, text.keyword_sets(s, path), elements)
 
 
@@ -307,7 +334,7 @@ def vtk_lines(s, d):
 def energy_log(s, d):
     k = F.col("n_nationkey")
     block = F.array(F.lit(" dt of cycle 1 is controlled by shell 3"), *(F.format_string(" %s%.5E", F.lit(name), v.cast("double")) for name, v in (("time...........................   ", k * 0.001), ("kinetic energy................   ", k * 2), ("internal energy...............   ", k + 1), ("hourglass energy .............   ", F.lit(0.5)), ("total energy..................   ", k * 3 + 1.5))))
-    path = _text(T.read(s, d, "nation").select("n_nationkey", F.posexplode(block).alias("i", "value")).select((k * 10 + F.col("i")).cast("long").alias("n"), "value"))
+    path = _text(_cards(T.read(s, d, "nation"), k, block))
     return text.energy_log(s, path).select("t", "ke", "ie", "hourglass", "total")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stressframe.sources import binary, history
+from stressframe.sources import binary, history, text
 
 
 def at_of(**n):
@@ -96,3 +96,54 @@ def test_history_that_breaks_off(spark, tmp_path, little):
     assert sorted((r["t"], r["ke"]) for r in history.energies(rows).collect()) == [(0, 5), (1, 7)]
     assert {r["branch"] for r in rows.select("branch").distinct().collect()} == {"glstat", "other"}
     assert history.read(spark, f"{tmp_path}/binout*", ["other"]).select(F.col("values")[0]).first()[0] == 9.0
+
+
+def deck_text(rng):
+    """Cards of many lines, comments, blank lines, an end in the middle of a file."""
+    out = ["*KEYWORD", "$ a comment"]
+    for k in range(40):
+        out += [["*NODE", "*node", "*SET_NODE_LIST", "*PART", "*ELEMENT_SHELL"][k % 5]] + ([str(k)] if k % 5 == 2 else [])
+        for j in range(rng.randint(0, 25)):
+            out += ["$ between"] * rng.randint(0, 1) + [f"{100 * k + j + 1},{j},{k},1.5,{j + 2},{j + 3}"]
+    return out
+
+
+@pytest.mark.parametrize("size", [40, 300, 1 << 20])
+def test_deck_in_many_splits(spark, tmp_path, size):
+    """Lines and cards are the same however files are split; a card goes on over splits, and nothing counts behind the end."""
+    rng = __import__("random").Random(3)
+    decks = {"a.k": deck_text(rng), "b.k": [*deck_text(rng), "*END", "*NODE", "9,9,9,9"], "c.k": ["no card", "*NODE"], "d.k": []}
+    want_lines, want_cards = [], []
+    for name, rows in decks.items():
+        (tmp_path / name).write_text("\r\n".join(rows) + "\n" if rows else "")
+        card, heads, i = None, 0, 0
+        for n, row in enumerate(rows):
+            want_lines.append((name, n, row))
+            if row.startswith("$"):
+                continue
+            if row.startswith("*"):
+                card, heads, i = row.upper(), heads + 1, 0
+                if card == "*END":
+                    break
+            elif card:
+                want_cards.append((name, heads, card, i, row))
+                i += 1
+        want_lines += [(name, n, row) for n, row in enumerate(rows) if (name, n, row) not in want_lines]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        paths = [f"{tmp_path}/{name}" for name in decks]
+        base = F.regexp_extract("file", "[^/]*$", 0).alias("file")
+        got = sorted((r["file"], r["n"], r["value"]) for r in text.lines(spark, paths).select(base, "n", "value").collect())
+        assert got == sorted(want_lines)
+        rows = text.cards(spark, paths).select(base, "card", "card_n", "i", "value").collect()
+        heads = {key: k for name in decks for k, key in enumerate(sorted({(r["file"], r["card_n"]) for r in rows if r["file"] == name}))}
+        known = {}
+        for name, k, *_ in want_cards:
+            known.setdefault(name, []).append(k)
+        place = {(name, j): sorted(set(ks))[j] for name, ks in known.items() for j in range(len(set(ks)))}
+        assert sorted((r["file"], place[r["file"], heads[r["file"], r["card_n"]]], r["card"], r["i"], r["value"]) for r in rows) == sorted(want_cards)
+        assert (size > 40) or text.cards(spark, paths).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
