@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Below this second deviator invariant a stress counts as hydrostatic; shorter vectors have no direction.
@@ -190,3 +190,26 @@ def stress() -> Tensor:
 
 def strain() -> Tensor:
     return Tensor(*map(F.col, STRAIN))
+
+
+def with_principals(df: DataFrame, names: tuple[str, ...], p: str) -> DataFrame:
+    """``df`` and the largest and least principal values <p>1 and <p>3 and the second invariant <p>j2 of six columns, in steps, so that no expression is built into another many times."""
+    held = [F.col(f"`{c}`") for c in df.columns]
+    t = Tensor(*(F.col(c) for c in names))
+    df = df.select(*held, t.mean().alias("__m"))
+    d = Tensor(*(F.col(c) - F.col("__m") if c in names[:3] else F.col(c) for c in names))
+    df = df.select(*held, "__m", ((d.xx * d.xx + d.yy * d.yy + d.zz * d.zz) / 2 + d.xy * d.xy + d.yz * d.yz + d.zx * d.zx).alias(f"{p}j2"), d.i3().alias("__j3"))
+    m, j2 = F.col("__m"), F.col(f"{p}j2")
+    df = df.select(*held, "__m", f"{p}j2", (F.acos(clamp(F.try_divide(F.col("__j3") * (3 * math.sqrt(3) / 2), F.pow(j2, 1.5)), -1.0, 1.0)) / 3).alias("__angle"), (2 * F.sqrt(j2 / 3)).alias("__radius"))
+    at = lambda turn: F.when(j2 < TINY_J2, m).otherwise(m + F.col("__radius") * F.cos(F.col("__angle") + turn))
+    return df.select(*held, f"{p}j2", at(0.0).alias(f"{p}1"), at(2 * math.pi / 3).alias(f"{p}3"))
+
+
+def with_face_stress(df: DataFrame) -> DataFrame:
+    """``df`` and the normal and shear stress on the unit normal nx, ny, nz, in steps like ``with_principals``."""
+    held, n = [F.col(f"`{c}`") for c in df.columns], Vector(F.col("nx"), F.col("ny"), F.col("nz"))
+    t = stress().traction(n)
+    df = df.select(*held, t.x.alias("__tx"), t.y.alias("__ty"), t.z.alias("__tz"))
+    t = Vector(F.col("__tx"), F.col("__ty"), F.col("__tz"))
+    df = df.select(*held, t.dot(n).alias("normal"), t.dot(t).alias("__tt"))
+    return df.select(*held, "normal", F.when(F.col("normal").isNotNull(), F.sqrt(F.greatest(F.col("__tt") - F.col("normal") * F.col("normal"), F.lit(0.0)))).alias("shear"))

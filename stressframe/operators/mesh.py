@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.tensor import TINY_LENGTH, Vector, stress
+from ..functions.tensor import STRESS, TINY_LENGTH, Vector, with_face_stress, with_principals
+from .extremes import at_largest, with_extremes
 
 #: Fixed value: corners of the six faces of a hexahedron, outward.
 HEXA_FACES = ((0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7))
@@ -104,11 +105,10 @@ def surface_stress(faces: DataFrame, states: DataFrame, missing_as_zero: bool =
     both = faces.select("etype", "elem_idx", "elem_id", "nx", "ny", "nz", *(["surface"] if "surface" in faces.columns else [])).join(states, ["etype", "elem_idx"], kind)
     if missing_as_zero:
         both = both.fillna(0.0, ["sxx", "syy", "szz", "txy", "tyz", "tzx"])
-    s, n = stress(), Vector(F.col("nx"), F.col("ny"), F.col("nz"))
-    s1, _, s3 = s.principals()
-    ready = both.withColumns({"vm": s.von_mises(), "normal": s.normal(n), "shear": s.shear(n), "s1": s1, "s3": s3})
+    ready = with_face_stress(with_principals(both, STRESS, "s")).withColumn("vm", F.sqrt(3 * F.col("sj2")))
     by = [c for c in ("surface", "state_idx") if c in ready.columns]
-    return ready.groupBy(*by).agg(*(f(c).alias(f"{c}_{k}") for c in ("vm", "normal", "shear", "s1", "s3") for k, f in (("max", F.max), ("min", F.min), ("avg", F.avg))), F.max_by("elem_id", F.struct("vm", -F.col("elem_id"))).alias("max_element"))
+    told = with_extremes(ready, ["vm"], F.col("elem_id").cast("long"))
+    return told.groupBy(*by).agg(*(f(c).alias(f"{c}_{k}") for c in ("vm", "normal", "shear", "s1", "s3") for k, f in (("max", F.max), ("min", F.min), ("avg", F.avg))), at_largest("elem_id", "vm").alias("max_element"))
 
 
 def surface_strain(faces: DataFrame, states: DataFrame) -> DataFrame:

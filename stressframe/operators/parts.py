@@ -10,28 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tensor import STRAIN, STRESS, with_face_stress, with_principals
+from .extremes import at_largest, at_least, tie_of, with_extremes
 from .select import QUANTITIES
 
 
-def _ordered(c: str, ties: int | None) -> Column:
-    """The value by which extremes are told: rounded, where values alike to so many digits are to be ties."""
-    return F.col(c) if ties is None else F.round(c, ties)
-
-
-def _element_of(largest: bool, c: str, ties: int | None = None) -> Column:
-    v = _ordered(c, ties)
-    return F.max_by("element_id", F.when(F.col(c).isNotNull(), F.struct(v if largest else -v, -F.col("element_id"))))
+def _ready(df: DataFrame, columns: list[str], ties: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` ready for extremes of columns with their element, and by which column each is told: rounded, where values alike to ``ties`` digits are to be ties."""
+    by = {c: c if ties is None else f"__o_{c}" for c in columns}
+    if ties is not None:
+        df = df.withColumns({o: F.round(c, ties) for c, o in by.items()})
+    return with_extremes(df, list(by.values()), F.col("element_id").cast("long")), by
 
 
 def part_state_statistics(df: DataFrame, quantities: list[str], by: tuple[str, ...] = ("part_id", "state_idx"), ties: int | None = None) -> DataFrame:
-    """Wide: max, min, avg, rms and the elements of the extremes of each quantity, in one pass.
+    """Wide: max, min, avg, rms and the elements of the extremes of each quantity, in one pass by hashing; no rows are sorted.
 
     Of elements with the extreme value, to ``ties`` digits if that is given, the least counts.
     """
-    ready = df.select(*by, "element_id", "time", *(QUANTITIES[q]().alias(q) for q in quantities))
+    ready, told = _ready(df.select(*by, "element_id", "time", *(QUANTITIES[q]().alias(q) for q in quantities)), quantities, ties)
     columns = [F.min("time").alias("time")]
     for q in quantities:
-        columns += [F.max(q).alias(f"{q}_max"), F.min(q).alias(f"{q}_min"), F.avg(q).alias(f"{q}_avg"), F.sqrt(F.avg(F.col(q) * F.col(q))).alias(f"{q}_rms"), _element_of(True, q, ties).alias(f"{q}_max_element"), _element_of(False, q, ties).alias(f"{q}_min_element")]
+        columns += [F.max(q).alias(f"{q}_max"), F.min(q).alias(f"{q}_min"), F.avg(q).alias(f"{q}_avg"), F.sqrt(F.avg(F.col(q) * F.col(q))).alias(f"{q}_rms"), at_largest("element_id", told[q]).alias(f"{q}_max_element"), at_least("element_id", told[q]).alias(f"{q}_min_element")]
     return ready.groupBy(*by).agg(*columns)
 
 
@@ -45,9 +45,10 @@ def global_extremes(series: DataFrame, quantity: str) -> DataFrame:
 
 def peak_elements(df: DataFrame, quantity: str, ties: int | None = None) -> DataFrame:
     """The element of each part with the largest value at any state, to ``ties`` digits if that is given (ties: the first state, the least element)."""
-    ready = df.withColumn("__q", QUANTITIES[quantity]()).where(F.col("__q").isNotNull()).withColumn("__q", _ordered("__q", ties))
-    best = F.max_by(F.struct("__q", "element_id", "state_idx"), F.struct("__q", -F.col("state_idx"), -F.col("element_id")))
-    return ready.groupBy("part_id").agg(best.alias("b")).select("part_id", F.col("b.__q").alias("peak"), "b.element_id", "b.state_idx")
+    value = QUANTITIES[quantity]()
+    ready = df.select("part_id", "element_id", "state_idx", (value if ties is None else F.round(value, ties)).alias("peak")).where(F.col("peak").isNotNull())
+    told = with_extremes(ready, ["peak"], tie_of(F.col("state_idx"), F.col("element_id")))
+    return told.groupBy("part_id").agg(F.max("peak").alias("peak"), at_largest("element_id", "peak").alias("element_id"), at_largest("state_idx", "peak").alias("state_idx"))
 
 
 def peak_tensor_history(df: DataFrame, quantity: str) -> DataFrame:
@@ -73,32 +74,25 @@ def segment_parents(segments: DataFrame, solids: DataFrame, least_shared: int =
 
 def set_fields(df: DataFrame, members: DataFrame, fields: dict[str, bool]) -> DataFrame:
     """Of each set and field the per-state extreme and the state of its peak; a field that is False takes the least."""
-    inside = df.join(members, "part_id")
-    out = None
-    for name, largest in fields.items():
-        pick, order = (F.max, F.max_by) if largest else (F.min, F.min_by)
-        states = inside.groupBy("set_id", "state_idx").agg(pick(QUANTITIES[name]()).alias("value"))
-        tie = -F.col("state_idx") if largest else F.col("state_idx")
-        one = states.groupBy("set_id").agg(F.lit(name).alias("field"), pick("value").alias("peak"), order("state_idx", F.struct("value", tie)).alias("state_idx"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return all_set_fields(df, members, fields)
 
 
 def all_set_fields(df: DataFrame, members: DataFrame, fields: dict[str, bool]) -> DataFrame:
     """``set_fields`` in one pass: all fields' extremes of each set and state by one aggregation, then their peaks from these."""
     inside = df.join(members, "part_id").select("set_id", "state_idx", *(QUANTITIES[f]().alias(f) for f in fields))
     states = inside.groupBy("set_id", "state_idx").agg(*((F.max if largest else F.min)(f).alias(f) for f, largest in fields.items()))
-    long = states.select("set_id", "state_idx", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(1 if largest else -1).alias("sign")) for f, largest in fields.items()))))
-    best = F.max_by(F.struct("value", "state_idx"), F.when(F.col("value").isNotNull(), F.struct(F.col("value") * F.col("sign"), -F.col("state_idx"))))  # a row for each set, state and field
-    return long.groupBy("set_id", "field").agg(best.alias("b")).select("set_id", "field", F.col("b.value").alias("peak"), F.col("b.state_idx").alias("state_idx"))
+    long = states.select("set_id", "state_idx", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(largest).alias("largest")) for f, largest in fields.items()))))
+    told = with_extremes(long, ["value"], F.col("state_idx").cast("long"))
+    best = told.groupBy("set_id", "field", "largest").agg(F.max("value").alias("most"), F.min("value").alias("least"), at_largest("state_idx", "value").alias("at_most"), at_least("state_idx", "value").alias("at_least"))
+    return best.select("set_id", "field", F.when(F.col("largest"), F.col("most")).otherwise(F.col("least")).alias("peak"), F.when(F.col("largest"), F.col("at_most")).otherwise(F.col("at_least")).alias("state_idx"))
 
 
 def _direct(rows: DataFrame, fields: dict[str, Column], item: str) -> DataFrame:
     """Of each set, field and state the largest value and its item; peak marks the state of the largest (ties: the first)."""
     values = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()))
     each = rows.select("set_id", "state_idx", "time", item, F.inline(values)).where(F.col("value").isNotNull())
-    states = each.groupBy("set_id", "field", "state_idx").agg(F.min("time").alias("time"), F.max_by(F.struct("value", item), F.struct("value", -F.col(item))).alias("b"))
-    flat = states.select("set_id", "field", "state_idx", "time", F.col("b.value").alias("value"), F.col(f"b.{item}").alias(item))
+    told = with_extremes(each, ["value"], F.col(item).cast("long"))
+    flat = told.groupBy("set_id", "field", "state_idx").agg(F.min("time").alias("time"), F.max("value").alias("value"), at_largest(item, "value").alias(item))
     first = F.row_number().over(Window.partitionBy("set_id", "field").orderBy(F.desc("value"), "state_idx")) == 1  # a series of states
     return flat.withColumn("peak", first)
 
@@ -125,13 +119,41 @@ def single_pass(states: DataFrame, quantities: list[str], surfaces: DataFrame) -
     ready = states.select("part_id", "element_id", "state_idx", *(QUANTITIES[q]().alias(q) for q in quantities)).join(on, "element_id", "left")
     part = F.array(F.struct(F.lit("part").alias("kind"), F.col("part_id").cast("string").alias("target")))
     there = F.transform(F.coalesce("__on", F.array().cast("array<string>")), lambda name: F.struct(F.lit("surface").alias("kind"), name.alias("target")))
-    each = ready.select("element_id", "state_idx", *quantities, F.inline(F.concat(part, there)))
+    each, told = _ready(ready.select("element_id", "state_idx", *quantities, F.inline(F.concat(part, there))), quantities)
     columns = []
     for q in quantities:
-        columns += [F.max(q).alias(f"{q}_max"), F.min(q).alias(f"{q}_min"), F.avg(q).alias(f"{q}_avg"), _element_of(True, q).alias(f"{q}_max_element")]
+        columns += [F.max(q).alias(f"{q}_max"), F.min(q).alias(f"{q}_min"), F.avg(q).alias(f"{q}_avg"), at_largest("element_id", told[q]).alias(f"{q}_max_element")]
     return each.groupBy("kind", "target", "state_idx").agg(*columns)
 
 
+#: Quantities of the pass over parts and faces, and those of a face.
+SEVEN = ("von_mises", "principal_1", "principal_3", "effective_plastic_strain", "strain_principal_1", "strain_principal_3", "effective_strain")
+OF_FACE = ("von_mises", "principal_1", "principal_3", "normal_stress", "shear_stress")
+
+
+def parts_and_faces(states: DataFrame, faces: DataFrame, ties: int | None = None) -> DataFrame:
+    """One scan for both: kind (part or surface), target, state_idx, quantity, max, min, avg and the elements of the extremes.
+
+    ``faces``: surface, element_id and the unit normal nx, ny, nz; an element may have several
+    faces on a surface, and each counts. A part has the seven quantities of stress and strain,
+    a surface von Mises, S1, S3 and the normal and shear stress on its faces; a quantity that
+    is NULL in all rows gives none. Values are hashed in tasks first, and none are sorted.
+    """
+    on = faces.groupBy("element_id").agg(F.collect_list(F.struct("surface", "nx", "ny", "nz")).alias("__on"))  # six faces an element, by the surfaces that share them
+    ready = with_principals(with_principals(states.select("part_id", "element_id", "state_idx", *STRESS, "eps", *STRAIN), STRAIN, "e"), STRESS, "s")
+    ready = ready.select("part_id", "element_id", "state_idx", *STRESS, F.sqrt(3 * F.col("sj2")).alias("vm"), "s1", "s3", "eps", "e1", "e3", F.sqrt(F.col("ej2") * 4 / 3).alias("evm")).join(on, "element_id", "left")
+    none = F.lit(None).cast("double")
+    part = F.array(F.struct(F.lit("part").alias("kind"), F.col("part_id").cast("string").alias("target"), none.alias("nx"), none.alias("ny"), none.alias("nz")))
+    there = F.transform(F.coalesce("__on", F.array().cast(on.schema["__on"].dataType)), lambda f: F.struct(F.lit("surface").alias("kind"), f["surface"].alias("target"), f["nx"].alias("nx"), f["ny"].alias("ny"), f["nz"].alias("nz")))
+    each = ready.select("element_id", "state_idx", *STRESS, "vm", "s1", "s3", "eps", "e1", "e3", "evm", F.inline(F.concat(part, there)))
+    each = with_face_stress(each)
+    values = lambda names, columns: F.array(*(F.struct(F.lit(q).alias("quantity"), c.alias("value")) for q, c in zip(names, columns, strict=True)))
+    of_part, of_face = values(SEVEN, map(F.col, ("vm", "s1", "s3", "eps", "e1", "e3", "evm"))), values(OF_FACE, (F.col("vm"), F.col("s1"), F.col("s3"), F.col("normal"), F.col("shear")))
+    long = each.select("kind", "target", "state_idx", "element_id", F.inline(F.when(F.col("kind") == "part", of_part).otherwise(of_face))).where(F.col("value").isNotNull())
+    told, by = _ready(long, ["value"], ties)
+    return told.groupBy("kind", "target", "state_idx", "quantity").agg(F.max("value").alias("max"), F.min("value").alias("min"), F.avg("value").alias("avg"), at_largest("element_id", by["value"]).alias("max_element"), at_least("element_id", by["value"]).alias("min_element"))
+
+
 def progress(series: DataFrame, total_states: int) -> DataFrame:
     """How many of the states each part's history has, in percent."""
     return series.groupBy("part_id").agg(F.count_distinct("state_idx").alias("states")).withColumn("percent", F.col("states") * 100.0 / F.lit(total_states))
@@ -145,7 +167,8 @@ def beam_resultants(beams: DataFrame, names: tuple[str, ...] = ("axial", "shear_
     word = lambda i: F.get("words", F.lit(i))
     finite = {n: F.when(word(i).isNotNull() & ~F.isnan(word(i)) & (F.abs(word(i)) < float("inf")), word(i)) for i, n in enumerate(names)}
     rows = beams.select("part_id", "element_id", "state_idx", *(v.alias(n) for n, v in finite.items()))
-    kinds = lambda n: (("max", F.max(n)), ("max_element", _element_of(True, n)), ("min", F.min(n)), ("min_element", _element_of(False, n)))
+    rows, told = _ready(rows, list(names))
+    kinds = lambda n: (("max", F.max(n)), ("max_element", at_largest("element_id", told[n])), ("min", F.min(n)), ("min_element", at_least("element_id", told[n])))
     held = rows.groupBy("part_id", "state_idx").agg(*(v.alias(f"{n}_{k}") for n in names for k, v in kinds(n)))
     each = F.array(*(F.struct(F.lit(n).alias("component"), *(F.col(f"{n}_{k}").alias(k) for k in ("max", "max_element", "min", "min_element"))) for n in names))
     return held.select("part_id", "state_idx", F.inline(each)).where("max is not null")

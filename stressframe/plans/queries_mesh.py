@@ -54,6 +54,39 @@ def surface_stress_statistics(s, d):
     return rounded(M.surface_stress(up, states).select("state_idx", "vm_max", "vm_min", "vm_avg", "normal_max", "normal_min", "normal_avg"), 5)
 
 
+LODE = "acos(greatest(least({j3} * 1.5 * sqrt(3) / pow({j2}, 1.5), 1), -1)) / 3"
+SEVEN_SQL = ("von_mises", "principal_1", "principal_3", "effective_plastic_strain", "strain_principal_1", "strain_principal_3", "effective_strain")
+FACE_SQL = ("von_mises", "principal_1", "principal_3", "normal_stress", "shear_stress")
+
+
+def _principals(of: str, names: tuple[str, ...], source: str) -> str:
+    """A table with the largest and the least principal value of six columns, and their von Mises strain."""
+    xx, yy, zz, xy, yz, zx = names
+    return f"""{of}0 AS (SELECT *, ({xx} + {yy} + {zz}) / 3 AS {of}m FROM {source}),
+  {of}1 AS (SELECT *, (({xx}-{of}m)*({xx}-{of}m) + ({yy}-{of}m)*({yy}-{of}m) + ({zz}-{of}m)*({zz}-{of}m)) / 2 + {xy}*{xy} + {yz}*{yz} + {zx}*{zx} AS {of}j2, ({xx}-{of}m)*({yy}-{of}m)*({zz}-{of}m) + 2*{xy}*{yz}*{zx} - ({xx}-{of}m)*{yz}*{yz} - ({yy}-{of}m)*{zx}*{zx} - ({zz}-{of}m)*{xy}*{xy} AS {of}j3 FROM {of}0),
+  {of}2 AS (SELECT *, CASE WHEN {of}j2 < 1e-20 THEN 0 ELSE {LODE.format(j3=f"{of}j3", j2=f"{of}j2")} END AS {of}th, CASE WHEN {of}j2 < 1e-20 THEN 0 ELSE 2 * sqrt({of}j2 / 3) END AS {of}r FROM {of}1),
+  {of} AS (SELECT *, {of}m + {of}r * cos({of}th) AS {of}_1, {of}m + {of}r * cos({of}th + 2 * pi() / 3) AS {of}_3, sqrt(4 * {of}j2 / 3) AS {of}_vm FROM {of}2)"""
+
+
+@query(f"""WITH {GEO}, {T.ES}, st0 AS (SELECT *, syy / 100 AS exx, sxx / 50 AS eyy, szz / 10 AS ezz, txy / 8 AS exy, tyz / 25 AS eyz, tzx / 5 AS ezx FROM es), {_principals("s", ("sxx", "syy", "szz", "txy", "tyz", "tzx"), "st0")}, {_principals("e", ("exx", "eyy", "ezz", "exy", "eyz", "ezx"), "s")},
+  q AS (SELECT *, sqrt(3 * sj2) AS von_mises, s_1 AS principal_1, s_3 AS principal_3, eps AS effective_plastic_strain, e_1 AS strain_principal_1, e_3 AS strain_principal_3, e_vm AS effective_strain FROM e),
+  fs AS (SELECT 'top' AS surface, elem_id, nx, ny, nz FROM geo WHERE nz >= cos(radians(45)) - 1e-12 UNION ALL SELECT 'bottom', elem_id, nx, ny, nz FROM geo WHERE -nz >= cos(radians(45)) - 1e-12),
+  t AS (SELECT q.*, surface, sxx*nx + txy*ny + tzx*nz AS tx, txy*nx + syy*ny + tyz*nz AS ty, tzx*nx + tyz*ny + szz*nz AS tz, nx, ny, nz FROM q JOIN fs ON q.element_id = fs.elem_id),
+  n AS (SELECT *, tx*nx + ty*ny + tz*nz AS normal_stress, sqrt(greatest(tx*tx + ty*ty + tz*tz - (tx*nx + ty*ny + tz*nz) * (tx*nx + ty*ny + tz*nz), 0)) AS shear_stress FROM t),
+  u AS (SELECT 'part' AS kind, part_id::VARCHAR AS target, element_id, state_idx, unnest([{", ".join(f"'{c}'" for c in SEVEN_SQL)}]) AS quantity, unnest([{", ".join(SEVEN_SQL)}]) AS v FROM q
+    UNION ALL SELECT 'surface', surface, element_id, state_idx, unnest([{", ".join(f"'{c}'" for c in FACE_SQL)}]), unnest([{", ".join(FACE_SQL)}]) FROM n)
+  SELECT kind, target, state_idx, quantity, round(max(v), 4) AS max, round(min(v), 4) AS min, round(avg(v), 4) AS avg, arg_max(element_id, (round(v, 5), -element_id)) AS max_element, arg_min(element_id, (round(v, 5), element_id)) AS min_element FROM u GROUP BY 1, 2, 3, 4""")
+def parts_and_faces_in_one_pass(s, d):
+    """Stress and strain of parts, and stress on the faces that look up and down, from one scan of the states."""
+    geometry = _geometry(s, d)
+    faces = None
+    for name, way in (("top", 1.0), ("bottom", -1.0)):
+        one = M.facing(geometry, (0.0, 0.0, way), 45.0).select(F.lit(name).alias("surface"), F.col("elem_id").cast("long").alias("element_id"), "nx", "ny", "nz")
+        faces = one if faces is None else faces.union(one)
+    strains = {"exx": F.col("syy") / 100, "eyy": F.col("sxx") / 50, "ezz": F.col("szz") / 10, "exy": F.col("txy") / 8, "eyz": F.col("tyz") / 25, "ezx": F.col("tzx") / 5}
+    return rounded(P.parts_and_faces(T.element_states(s, d).withColumns(strains), faces, ties=5), 4)
+
+
 @query(f"WITH {T.SOLIDS} SELECT DISTINCT unnest(node_ids)::INTEGER AS node_id, part_id FROM solids")
 def node_part_mapping(s, d):
     return M.node_parts(T.solids(s, d))

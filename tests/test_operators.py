@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import struct
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from stressframe.__main__ import main
 from stressframe.functions import encode
 from stressframe.functions import tensor as T
-from stressframe.operators import contact, doe, graph, joins, mesh, output, quantile, series
+from stressframe.operators import contact, doe, extremes, graph, joins, mesh, output, quantile, series
 from stressframe.operators import joins as J
 from stressframe.operators import parts as P
 from stressframe.operators import results as R
@@ -356,3 +357,28 @@ def test_graphs_deeper_than_fifty_are_whole(spark):
     assert {r["id"]: round(r["cost"], 6) for r in graph.cheapest_paths(edges, source).collect()} == {i: float(i) for i in range(54)}
     with pytest.raises(RuntimeError):
         graph.cheapest_paths(edges, source, 5)
+
+
+def test_extremes_of_all_kinds_of_doubles(spark):
+    """Keys order as the bits of doubles do, subnormal and infinite ones too; ties go to the least id, and NULL is no extreme."""
+    rng = random.Random(1)
+    special = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf, math.nan]
+    powers = [f(math.ldexp(1, e)) for e in range(-1000, 1023, 7) for f in (float, lambda v: math.nextafter(v, 0), lambda v: math.nextafter(v, math.inf))]
+    values = special + powers + [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)]
+
+    def bits(v):
+        if v != v:
+            return (2047 << 52) + 1
+        b = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        return -b if v < 0 else b
+
+    rows = extremes.with_order_keys(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), ["v"]).collect()
+    assert all(r["__k_v"] == (None if r["v"] is None else bits(r["v"])) for r in rows)
+    groups = {g: [(rng.choice([-2.5, 3.25, 3.25, 7.0, -math.inf, None]), i) for i in rng.sample(range(1000), 6)] for g in range(200)}
+    df = spark.createDataFrame([(g, v, i) for g, rows in groups.items() for v, i in rows], "g int, v double, i long")
+    got = extremes.with_extremes(df, ["v"], F.col("i")).groupBy("g").agg(extremes.at_largest("i", "v").alias("a"), extremes.at_least("i", "v").alias("b")).collect()
+    for r in got:
+        own = [(v, i) for v, i in groups[r["g"]] if v is not None]
+        assert (r["a"], r["b"]) == ((min((-v, i) for v, i in own)[1], min(own)[1]) if own else (None, None))
+    with pytest.raises(Exception, match="out of the range"):
+        extremes.with_extremes(df.limit(1), ["v"], F.lit(-1).cast("long")).collect()
