@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -180,9 +182,29 @@ def worst_combinations(df: DataFrame, columns: dict[str, float], top: int = 25)
     return df.withColumn("score", score).orderBy(F.desc("score"), *[c for c in ("face", "pos_id", "part_id") if c in df.columns]).limit(top)
 
 
-def wave_speed(arrivals: DataFrame) -> DataFrame:
-    """Distance from the impact over the delay: run_id, part_id, r, t, t_impact."""
-    return arrivals.withColumn("speed", F.when(F.col("t") > F.col("t_impact"), F.try_divide(F.col("r"), F.col("t") - F.col("t_impact"))))
+#: Fixed value: apparent speeds over this (m/s) are of delays too short to tell.
+FASTEST = 12_000.0
+
+
+def wave_samples(peaks: DataFrame, runs: DataFrame, positions: DataFrame) -> DataFrame:
+    """pos_id, part_id, delay (s) and speed (m/s) of each part's peak behind the first contact.
+
+    peaks: pos_id, part_id, t_peak and the part's first place x, y, z (mm). runs: pos_id,
+    t_contact, the impactor's first z and behavior. positions: pos_id, x, y. Runs without
+    contact, peaks not behind it, parts at no distance and speeds over FASTEST are no samples.
+    """
+    place = positions.select("pos_id", F.col("x").alias("__x"), F.col("y").alias("__y"))
+    hit = runs.where("behavior is null or behavior <> 'no-contact'").select("pos_id", "t_contact", F.coalesce("z", F.lit(0.0)).alias("__z"))
+    both = peaks.join(hit, "pos_id").join(place, "pos_id").withColumn("delay", F.col("t_peak") - F.col("t_contact")).where("delay > 0")
+    r = F.sqrt((F.col("__x") - F.col("x")) ** 2 + (F.col("__y") - F.col("y")) ** 2 + (F.col("__z") - F.col("z")) ** 2)
+    speed = r / F.col("delay") / 1000
+    return both.select("pos_id", "part_id", "delay", speed.alias("speed")).where((F.col("speed") > 0) & (F.col("speed") <= FASTEST))
+
+
+def wave_speed(peaks: DataFrame, runs: DataFrame, positions: DataFrame) -> DataFrame:
+    """Apparent wave speed by part: mean, median and quartiles over the impacts, mean delay, samples. A part has a sample for each position at most."""
+    q = lambda share: F.percentile("speed", share)
+    return wave_samples(peaks, runs, positions).groupBy("part_id").agg(F.avg("speed").alias("mean"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.avg("delay").alias("mean_delay"), F.count("*").alias("samples"))
 
 
 def recommendations(parts: DataFrame) -> DataFrame:
@@ -270,7 +292,9 @@ def sphere_coverage(directions: DataFrame) -> DataFrame:
     other = directions.select(F.col("i").alias("__i"), F.col("roll").alias("__r"), F.col("pitch").alias("__p"))
     pairs = directions.join(F.broadcast(other), F.col("i") != F.col("__i"))  # counted above
     near = pairs.groupBy("i").agg(F.min(angular_distance(F.col("roll"), F.col("pitch"), F.col("__r"), F.col("__p"))).alias("a"))
-    return near.agg(F.avg("a").alias("mean_nearest"), F.max("a").alias("largest_gap"))
+    ideal = F.degrees(F.sqrt(F.lit(4 * math.pi) / F.count("*")))  # of as many directions, evenly
+    covered = F.when(F.avg("a") > 0, F.least((ideal / F.avg("a")) ** 2, F.lit(1.0))).otherwise(0.0)
+    return near.agg(F.avg("a").alias("mean_nearest"), F.max("a").alias("largest_gap"), covered.alias("coverage"))
 
 
 def sphere_findings(parts: DataFrame, g_limit: float = 1000.0) -> DataFrame:
@@ -281,6 +305,7 @@ def sphere_findings(parts: DataFrame, g_limit: float = 1000.0) -> DataFrame:
 
 
 def angle_category(name: Column) -> Column:
-    """face, edge or corner by how many of the letters' axes a direction's name has."""
-    n = F.length(F.regexp_replace(F.upper(name), "[^XYZFBLRTU]", ""))
-    return F.when(n == 1, "face").when(n == 2, "edge").when(n == 3, "corner").otherwise("other")
+    """The kind of a direction by the first letter of its name."""
+    kinds = {"F": "face", "E": "edge", "C": "corner", "P": "fibonacci"}  # fixed values
+    known = F.create_map(*(F.lit(v) for kv in kinds.items() for v in kv))
+    return F.coalesce(known[F.substring(name, 1, 1)], F.lit("unknown"))

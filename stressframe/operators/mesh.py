@@ -250,17 +250,56 @@ def solid_corners(solids: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.select("elem_id", "part_id", "node_ids", *(F.col("__p")[i].alias(f"p{i}") for i in range(8)))
 
 
+#: An aspect over which an element is stretched; a first volume or area under which no ratio is taken.
+HIGH_ASPECT, NO_SIZE = 5.0, 1e-20
+
+
+def _ratio(size: str) -> Column:
+    """The size over that of the element's first state."""
+    first = F.first(F.col(size)).over(Window.partitionBy("elem_id").orderBy("state_idx"))
+    return F.when(first > NO_SIZE, F.abs(F.col(size)) / first)
+
+
 def element_quality(solids: DataFrame) -> DataFrame:
-    """aspect, volume and scaled Jacobian of solids with corners p0 to p7, and the ratio to the volume at the first state."""
+    """aspect, volume, scaled Jacobian, volume_ratio to the first state and inverted of solids with corners p0 to p7.
+
+    Corners that are one node (by node_ids, or by their places where there are none) make a
+    solid with fewer: its volume is that of a tetrahedron of four, it has no Jacobian and no
+    ratio, and it is inverted where its volume is negative.
+    """
     p = [corner(i) for i in range(8)]
-    ready = solids.select("part_id", "elem_id", "state_idx", aspect(p).alias("aspect"), hexa_volume(p).alias("volume"), scaled_jacobian(p).alias("jacobian"))
-    first = Window.partitionBy("elem_id").orderBy("state_idx")
-    return ready.withColumn("volume_ratio", F.try_divide(F.col("volume"), F.first("volume").over(first)))
+    nodes = F.col("node_ids") if "node_ids" in solids.columns else F.array(*(F.col(f"p{i}") for i in range(8)))
+    ready = solids.select("part_id", "elem_id", "state_idx", (F.size(F.array_distinct(nodes)) == 8).alias("__full"), aspect(p).alias("aspect"), solid_volume(p, nodes).alias("volume"), scaled_jacobian(p).alias("jacobian"))
+    ready = ready.withColumn("jacobian", F.when(F.col("__full"), F.col("jacobian")))
+    inverted = F.coalesce(F.col("jacobian"), F.col("volume")) < 0
+    return ready.withColumn("volume_ratio", F.when(F.col("__full"), _ratio("volume"))).withColumn("inverted", F.coalesce(inverted, F.lit(False))).drop("__full")
+
+
+def quad_quality(shells: DataFrame) -> DataFrame:
+    """aspect, skewness, warpage, area and area_ratio to the first state of shells with corners p0 to p3 and node_ids.
+
+    A triangle (its last two nodes are one) has the aspect of three edges, and neither skewness
+    nor warpage; a collapsed shell has no aspect, and nothing else either.
+    """
+    p = [corner(i) for i in range(4)]
+    triangle = F.get("node_ids", F.lit(2)) == F.get("node_ids", F.lit(3))
+    e = _edges(((0, 1), (1, 2), (2, 0)), p)
+    three = F.when(F.least(*e) > NO_SIZE, F.greatest(*e) / F.least(*e))
+    half = (p[1] - p[0]).cross(p[2] - p[0]).length() / 2
+    ready = shells.select("part_id", "elem_id", "state_idx", triangle.alias("__t"), F.when(triangle, three).otherwise(aspect(p)).alias("aspect"), skewness(p).alias("skewness"), warpage(p).alias("warpage"), F.when(triangle, half).otherwise(quad_area()).alias("area"))
+    there = F.col("aspect").isNotNull()
+    told = ready.withColumns({c: F.when(there & ~F.col("__t"), F.col(c)) for c in ("skewness", "warpage")}).withColumn("area_ratio", F.when(there, _ratio("area")))
+    return told.drop("__t")
 
 
 def part_quality(quality: DataFrame) -> DataFrame:
-    """By part and state; NULL where nothing is defined."""
-    return quality.groupBy("part_id", "state_idx").agg(F.max("aspect").alias("max_aspect"), F.avg("aspect").alias("avg_aspect"), F.min("jacobian").alias("min_jacobian"), F.min("volume_ratio").alias("min_volume_ratio"), F.max("volume_ratio").alias("max_volume_ratio"), F.count_if(F.col("jacobian") <= 0).alias("n_negative_jacobian"), F.count_if(F.col("aspect") > 5).alias("n_high_aspect"))
+    """Solids by part and state; NULL where nothing is defined."""
+    return quality.groupBy("part_id", "state_idx").agg(F.max("aspect").alias("max_aspect"), F.avg("aspect").alias("avg_aspect"), F.min("jacobian").alias("min_jacobian"), F.min("volume_ratio").alias("min_volume_ratio"), F.max("volume_ratio").alias("max_volume_ratio"), F.count_if("inverted").alias("n_negative_jacobian"), F.count_if(F.col("aspect") > HIGH_ASPECT).alias("n_high_aspect"))
+
+
+def part_quads(quality: DataFrame) -> DataFrame:
+    """Shells by part and state."""
+    return quality.groupBy("part_id", "state_idx").agg(F.max("aspect").alias("max_aspect"), F.avg("aspect").alias("avg_aspect"), F.max("skewness").alias("max_skewness"), F.max("warpage").alias("max_warpage"), F.min("area_ratio").alias("min_area_ratio"), F.max("area_ratio").alias("max_area_ratio"), F.count_if(F.col("aspect") > HIGH_ASPECT).alias("n_high_aspect"))
 
 
 def nodal_average(elements: DataFrame, values: DataFrame, value: str) -> DataFrame:

@@ -7,48 +7,87 @@ at last up to FEW values, reach the driver.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
+from decimal import Decimal
 from math import floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .extremes import with_order_keys
+
 #: Parameters: bins of a histogram, and values of the last range at most.
 BINS, FEW = 1024, 20_000
 
 
 def order_statistics(df: DataFrame, c: str, shares: Sequence[float]) -> list[float | None]:
-    """The percentile of ``c`` at each share (0 to 1), linear between neighbours; None without values. Runs jobs at once."""
+    """The percentile of ``c`` at each share (0 to 1), linear between neighbours; None without values. Runs jobs at once.
+
+    NaN and NULL are no values. Infinite ones are counted apart, as they stand before and behind
+    all others. A bin in which the range would not shrink, as where values of all sizes are
+    mixed, is cut by the values' order of size instead of by their width.
+    """
     rows = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    finite = rows.where(F.abs("v") < float("inf"))
+    real = F.when(F.abs("v") < float("inf"), F.col("v"))
+    below, above, m, low, high = rows.agg(F.count_if(F.col("v") == float("-inf")), F.count_if(F.col("v") == float("inf")), F.count(real), F.min(real), F.max(real)).first()
+    n = below + m + above
     if not n:
         return [None] * len(shares)
     bins: dict[tuple, list] = {}
     values: dict[tuple, list[float]] = {}
 
-    def at(rank: int, low: float, high: float, before: int, m: int) -> float:
-        """The value of a rank that is in [low, high], which has m rows, with so many before them."""
-        if low == high:
-            return low
-        span = rows.where(F.col("v").between(low, high))
-        if m <= FEW:
-            if (low, high) not in values:
-                values[low, high] = sorted(r["v"] for r in span.collect())
-            return values[low, high][rank - before]
-        if (low, high) not in bins:
-            place = F.least(F.floor((F.col("v") - low) / (high - low) * BINS), F.lit(BINS - 1))
-            bins[low, high] = sorted(span.groupBy(place.alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect())
-        for _, k, a, b in bins[low, high]:
-            if rank < before + k:
-                return at(rank, a, b, before, k)
-            before += k
-        raise AssertionError("a rank beyond all rows")
+    def at(rank: int) -> float:
+        if rank < below:
+            return float("-inf")
+        if rank >= below + m:
+            return float("inf")
+        a, b, before, k = low, high, below, m
+        while a < b and k > FEW:
+            if (a, b) not in bins:
+                bins[a, b] = _bins(finite, a, b)
+            for size, start, end in bins[a, b]:
+                if rank < before + size:
+                    a, b, k = start, end, size
+                    break
+                before += size
+        if a == b:
+            return a
+        if (a, b) not in values:
+            values[a, b] = sorted(r["v"] for r in finite.where(F.col("v").between(a, b)).collect())
+        return values[a, b][rank - before]
 
     out: list[float | None] = []
     for share in shares:
         place = share * (n - 1)
         i = floor(place)
-        one = at(i, low, high, 0, n)
-        other = at(i + 1, low, high, 0, n) if place > i else one
-        out.append(one + (other - one) * (place - i))
+        one = at(i)
+        other = at(i + 1) if place > i else one
+        out.append(one if other == one else one + (other - one) * (place - i))
     return out
+
+
+def _bins(rows: DataFrame, low: float, high: float) -> list[tuple[int, float, float]]:
+    """(rows, least, largest) of each bin between two values, in order, by equal widths; if one bin keeps all but a few rows, by equal steps of the order of doubles."""
+    span = rows.where(F.col("v").between(low, high))
+    # halves, as the difference of two doubles may be infinite
+    place = F.least(F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * BINS), F.lit(BINS - 1))
+    found = _counts(span, place)
+    total = sum(r[0] for r in found)
+    if max(r[0] for r in found) <= total * 0.9:
+        return found
+    keyed = with_order_keys(span, ["v"])
+    first, last = _key(low), _key(high)
+    step = max(1, -(-(last - first) // BINS))
+    return _counts(keyed, F.floor((F.col("__k_v").cast("decimal(20,0)") - F.lit(Decimal(first))) / F.lit(Decimal(step))))
+
+
+def _counts(span: DataFrame, place: Column) -> list[tuple[int, float, float]]:
+    return [tuple(r)[1:] for r in sorted(span.groupBy(place.cast("long").alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect())]
+
+
+def _key(v: float) -> int:
+    """The place of a double in the order of all."""
+    bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+    return -bits if v < 0 else bits

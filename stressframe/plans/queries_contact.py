@@ -116,8 +116,13 @@ def contact_pair_profile(s, d):
     return rounded(K.contact_profile(edges, T.read(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("run_id"))))
 
 
-@query(f"""WITH {T.ENERGIES}, a AS (SELECT run_id, abs(arg_max(total, t) - arg_min(total, t)) / abs(arg_min(total, t)) * 100 AS drift_pct, max(abs(hourglass)) / max(abs(total)) * 100 AS hourglass_pct, max(abs(sliding)) / max(abs(total)) * 100 AS sliding_pct FROM energies GROUP BY 1)
-  SELECT run_id, round(drift_pct, 6) AS drift_pct, round(hourglass_pct, 6) AS hourglass_pct, round(sliding_pct, 6) AS sliding_pct, CASE WHEN drift_pct > 5 THEN 'fail' WHEN drift_pct > 2 THEN 'warn' ELSE 'ok' END AS drift_level, CASE WHEN hourglass_pct > 20 THEN 'fail' WHEN hourglass_pct > 10 THEN 'warn' ELSE 'ok' END AS hourglass_level, CASE WHEN sliding_pct > 10 THEN 'fail' WHEN sliding_pct > 5 THEN 'warn' ELSE 'ok' END AS sliding_level FROM a""")
+@query(f"""WITH {T.ENERGIES}, a AS (SELECT run_id, arg_min(ke, t) AS ke0, arg_max(ke, t) AS ke1, arg_min(total, t) AS te0, arg_max(total, t) AS te1, max(ke) AS hi, min(ke) AS lo, max(ie) AS ie, max(hourglass) AS hg, max(abs(sliding)) AS sl FROM energies GROUP BY 1),
+  b AS (SELECT *, coalesce((hi - lo) / nullif(CASE WHEN ke0 > 0 THEN ke0 ELSE hi END, 0) >= 0.005, false) AS impact_visible, ke0 > 0 AND ie >= 0.001 * ke0 AS internal_significant FROM a),
+  p AS (SELECT run_id, impact_visible, internal_significant, CASE WHEN impact_visible AND ke0 > 0 THEN round(greatest(100 * (ke0 - ke1) / ke0, 0), 2) END AS dissipated_pct, CASE WHEN te0 > 0 THEN round(abs(te1 - te0) / te0 * 100, 4) END AS drift_pct,
+    CASE WHEN ie > 0 THEN round(100 * hg / ie, 2) END AS hourglass_pct, CASE WHEN ke0 > 0 THEN round(100 * sl / ke0, 2) END AS sliding_pct FROM b),
+  l AS (SELECT *, CASE WHEN drift_pct >= 5 THEN 'fail' WHEN drift_pct >= 2 THEN 'warn' WHEN drift_pct IS NOT NULL THEN 'pass' END AS drift_level, CASE WHEN NOT internal_significant THEN NULL WHEN hourglass_pct >= 20 THEN 'fail' WHEN hourglass_pct >= 10 THEN 'warn' WHEN hourglass_pct IS NOT NULL THEN 'pass' END AS hourglass_level,
+    CASE WHEN sliding_pct >= 10 THEN 'fail' WHEN sliding_pct >= 5 THEN 'warn' WHEN sliding_pct IS NOT NULL THEN 'pass' END AS sliding_level FROM p)
+  SELECT *, CASE WHEN list_contains([drift_level, hourglass_level, sliding_level], 'fail') THEN 'fail' WHEN list_contains([drift_level, hourglass_level, sliding_level], 'warn') THEN 'warn' WHEN list_contains([drift_level, hourglass_level, sliding_level], 'pass') THEN 'pass' ELSE 'unknown' END AS verdict FROM l""")
 def energy_balance_audit(s, d):
     return rounded(S.energy_audit(T.energies(s, d)))
 
@@ -127,18 +132,30 @@ def energy_conservation_residual(s, d):
     return rounded(G.energy_residual(T.energies(s, d)))
 
 
-@query(f"""WITH {T.EV}, m AS (SELECT user_id, event_id AS t, value, value > 0.3 * max(value) OVER (PARTITION BY user_id) AS engaged FROM ev), o AS (SELECT user_id, min(t) AS t_start, max(t) AS t_end, count(*) AS n, arg_min(t, (-abs(value), t)) AS t_peak FROM m WHERE engaged GROUP BY 1), i AS (SELECT user_id, count(*) AS inside FROM m JOIN o USING (user_id) WHERE t BETWEEN t_start AND t_end GROUP BY 1)
-  SELECT user_id, t_start, t_end, t_end - t_start AS duration, round(n / inside, 6) AS density, t_peak - t_start AS to_peak FROM o JOIN i USING (user_id)""")
+@query(f"""WITH {SUMMARY}, r AS (SELECT run_id, t, pos_z, contact_engaged AS e FROM trajectories WHERE run_id NOT IN (SELECT run_id FROM classed WHERE behavior = 'no-contact')),
+  g AS (SELECT run_id, min(t) FILTER (e) AS t_start, max(t) FILTER (e) AS t_end, count(*) FILTER (e) AS contact_steps, count(*) AS n, arg_min(pos_z, t) FILTER (e) AS z0 FROM r GROUP BY 1),
+  k AS (SELECT run_id, arg_min(t, (-abs(pos_z - z0), t)) AS t_deep FROM r JOIN g USING (run_id) WHERE e GROUP BY 1)
+  SELECT run_id, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, round(t_end - t_start, 6) AS duration, contact_steps, round(contact_steps / n, 6) AS density, round(t_deep - t_start, 6) AS to_peak FROM g LEFT JOIN k USING (run_id)""")
 def contact_pulses(s, d):
-    e = T.event_series(s, d).select("user_id", F.col("event_id").alias("t"), "value")
-    top = e.groupBy("user_id").agg(F.max("value").alias("top"))
-    return rounded(S.pulses(e.join(top, "user_id").withColumn("engaged", F.col("value") > 0.3 * F.col("top")), "user_id", "t", "value"))
+    """Runs of the class without contact are left out."""
+    runs = T.trajectories(s, d).withColumnRenamed("contact_engaged", "engaged")
+    classes = K.behavior(_summary(s, d)).select("run_id", "behavior")
+    return rounded(S.pulses(runs, "run_id", "t", "pos_z", classes))
 
 
-@query(f"""WITH {T.EV}, r AS (SELECT user_id, event_id AS t, abs(value) AS a, lag(abs(value)) OVER w AS b, lead(abs(value)) OVER w AS c FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), p AS (SELECT user_id, t, a FROM r WHERE a > coalesce(b, -1) AND a >= coalesce(c, -1) AND a > 0), g AS (SELECT user_id, ln(lag(a) OVER (PARTITION BY user_id ORDER BY t) / a) AS d FROM p),
-  m AS (SELECT user_id, max(a) AS top, arg_min(t, (-a, t)) AS t_peak FROM r GROUP BY 1), l AS (SELECT user_id, max(t) - min(t_peak) AS recovery FROM r JOIN m USING (user_id) WHERE a > 0.1 * top GROUP BY 1), k AS (SELECT user_id, avg(d) AS decrement FROM g GROUP BY 1) SELECT user_id, recovery, round(decrement, 6) AS decrement FROM l LEFT JOIN k USING (user_id)""")
+MOTIONS = "mo AS (SELECT (user_id % 4)::INTEGER AS pos_id, (user_id // 4 % 40)::INTEGER AS part_id, event_id * 0.001::DOUBLE AS t, value AS acc FROM events)"
+
+
+@query(f"""WITH {MOTIONS}, pk AS (SELECT pos_id, part_id, max(acc) AS peak, count(*) AS n, arg_min(t, (-acc, t)) AS t0 FROM mo GROUP BY 1, 2), worst AS (SELECT pos_id FROM pk GROUP BY 1 ORDER BY sum(peak) DESC, pos_id LIMIT 1),
+  af AS (SELECT part_id, t, acc, peak, n, t0, acc - avg(acc) OVER (PARTITION BY part_id) AS c FROM mo JOIN pk USING (pos_id, part_id) JOIN worst USING (pos_id) WHERE t >= t0), sg AS (SELECT *, sign(c) <> lag(sign(c)) OVER (PARTITION BY part_id ORDER BY t) AS turn FROM af),
+  g AS (SELECT part_id, max(peak) AS peak, max(n) AS n, count(*) AS m, max(t0) AS t0, min(t) FILTER (acc <= 0.05 * peak) AS tl, max(t) AS t1, arg_max(acc, t) AS last, count(*) FILTER (turn) AS zc FROM sg GROUP BY 1),
+  q AS (SELECT *, n >= 8 AND m >= 6 AND peak > 0 AS ok, CASE WHEN tl > t0 THEN tl - t0 ELSE t1 - t0 END AS tau, CASE WHEN t1 > t0 AND zc >= 2 THEN 0.5 * zc / (t1 - t0) END AS f, CASE WHEN tl IS NOT NULL THEN 20 ELSE greatest(peak / greatest(last, 1e-30), 1 + 1e-9) END AS ratio FROM g)
+  SELECT (SELECT pos_id FROM worst) AS pos_id, part_id, CASE WHEN ok THEN round(tau, 6) END AS recovery, CASE WHEN ok AND f > 0 AND tau > 0 THEN round(greatest(least(ln(ratio) / (2 * pi() * f * tau), 1), 0), 6) END AS damping, CASE WHEN ok THEN zc ELSE 0 END AS sign_changes, ok AS has_data FROM q""")
 def recovery_and_damping(s, d):
-    return rounded(S.recovery(T.event_series(s, d).select("user_id", F.col("event_id").alias("t"), "value"), "user_id", "t", "value"))
+    """Parts at the position with the largest sum of peaks."""
+    u = F.col("user_id")
+    motions = T.read(s, d, "events").select((u % 4).cast("int").alias("pos_id"), (F.floor(u / 4) % 40).cast("int").alias("part_id"), (F.col("event_id") * 0.001).alias("t"), F.col("value").alias("acc"))
+    return rounded(S.recovery(motions))
 
 
 @query(f"""WITH {T.POINTS}, n AS (SELECT a.face, a.point_id, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))) AS dist FROM pts a JOIN pts b ON a.face = b.face AND a.point_id <> b.point_id GROUP BY 1, 2) SELECT face, round(quantile_cont(dist, 0.5), 6) AS spacing FROM n WHERE dist > 0 GROUP BY 1""")

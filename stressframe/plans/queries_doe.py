@@ -149,7 +149,7 @@ def principal_modes(s, d):
     return s.createDataFrame(rows, "mode int, metric string, weight double, share double")
 
 
-@query(f"""WITH {T.POINTS}, c AS (SELECT point_id AS i, x * 3 AS roll, y * 2 AS pitch FROM pts), n AS (SELECT a.i, min(degrees(acos(greatest(least(sin(radians(a.pitch))*sin(radians(b.pitch)) + cos(radians(a.pitch))*cos(radians(b.pitch))*cos(radians(a.roll - b.roll)), 1), -1)))) AS ang FROM c a JOIN c b ON a.i <> b.i GROUP BY 1) SELECT round(avg(ang), 4) AS mean_nearest, round(max(ang), 4) AS largest_gap FROM n""")
+@query(f"""WITH {T.POINTS}, c AS (SELECT point_id AS i, x * 3 AS roll, y * 2 AS pitch FROM pts), n AS (SELECT a.i, min(degrees(acos(greatest(least(sin(radians(a.pitch))*sin(radians(b.pitch)) + cos(radians(a.pitch))*cos(radians(b.pitch))*cos(radians(a.roll - b.roll)), 1), -1)))) AS ang FROM c a JOIN c b ON a.i <> b.i GROUP BY 1) SELECT round(avg(ang), 4) AS mean_nearest, round(max(ang), 4) AS largest_gap, round(least(pow(degrees(sqrt(4 * pi() / count(*))) / avg(ang), 2), 1), 4) AS coverage FROM n""")
 def sphere_coverage(s, d):
     c = T.points(s, d).select(F.col("point_id").alias("i"), (F.col("x") * 3).alias("roll"), (F.col("y") * 2).alias("pitch"))
     return rounded(D.sphere_coverage(c), 4)

@@ -155,6 +155,55 @@ def element_quality(s, d):
     return rounded(M.element_quality(corners).select("elem_id", "part_id", "aspect", "volume", "jacobian"), 5)
 
 
+def _degenerate(kind):
+    """Corners of a tetrahedron (the last is repeated), a pyramid (its top is) and a wedge, in place of eight."""
+    return {1: (0, 1, 2, 4, 4, 4, 4, 4), 2: (0, 1, 2, 3, 4, 4, 4, 4), 3: (0, 1, 2, 3, 4, 4, 7, 7)}.get(kind, tuple(range(8)))
+
+
+_DEG = " ".join(f"WHEN {k} THEN [{', '.join(f'node_ids[{i + 1}]' for i in _degenerate(k))}]" for k in (1, 2, 3))
+
+
+@query(f"""WITH {T.SOLIDS}, {T.NODES}, so AS (SELECT elem_id, part_id, CASE elem_idx % 5 {_DEG} WHEN 4 THEN list_reverse(node_ids) ELSE node_ids END AS node_ids FROM solids), e AS (SELECT elem_id, part_id, len(list_distinct(node_ids)) AS u, unnest(node_ids) AS node_id, unnest(range(1, 9)) AS i FROM so), p AS (SELECT elem_id, part_id, u, {CORNERS} FROM e JOIN nodes USING (node_id) GROUP BY 1, 2, 3),
+  q AS (SELECT elem_id, part_id, u, greatest({_E}) AS hi, least({_E}) AS lo, CASE WHEN u = 4 THEN {_tet(1, 2, 3, 4)} / 6 ELSE ({_V}) / 6 END AS volume, CASE WHEN u = 8 THEN least({_J}) END AS jacobian FROM p)
+  SELECT elem_id, part_id, round(CASE WHEN lo > hi * 1e-9 THEN hi / lo END, 5) AS aspect, round(volume, 5) AS volume, round(jacobian, 5) AS jacobian, CASE WHEN u = 8 THEN jacobian < 0 ELSE volume < 0 END AS inverted FROM q""")
+def degenerate_quality(s, d):
+    """Solids with fewer corners, and some turned over: volume by their own kind, a Jacobian only of eight corners."""
+    n = F.col("node_ids")
+    turn = F.col("elem_idx") % 5
+    shape = F.when(turn == 4, F.reverse(n))
+    for k in (1, 2, 3):
+        shape = shape.when(turn == k, F.array(*(n[i] for i in _degenerate(k))))
+    solids = T.solids(s, d).withColumn("node_ids", shape.otherwise(n))
+    return rounded(M.element_quality(M.solid_corners(solids, T.nodes(s, d)).withColumn("state_idx", F.lit(0))).select("elem_id", "part_id", "aspect", "volume", "jacobian", "inverted"), 5)
+
+
+def _angle(a, b, c):
+    """SQL of the angle in degrees at corner b of a quad in GEO."""
+    pos = lambda n: [f"{n}x", f"{n}y" if n != "b" else "by_", f"{n}z"]
+    u = [f"({x} - {y})" for x, y in zip(pos(a), pos(b), strict=True)]
+    v = [f"({x} - {y})" for x, y in zip(pos(c), pos(b), strict=True)]
+    dot = " + ".join(f"{x}*{y}" for x, y in zip(u, v, strict=True))
+    size = lambda w: "sqrt(" + " + ".join(f"{x}*{x}" for x in w) + ")"
+    return f"degrees(acos(greatest(least(({dot}) / ({size(u)} * {size(v)}), 1), -1)))"
+
+
+def _side(a, b):
+    pos = lambda n: [f"{n}x", f"{n}y" if n != "b" else "by_", f"{n}z"]
+    return "sqrt(" + " + ".join(f"({x} - {y})*({x} - {y})" for x, y in zip(pos(a), pos(b), strict=True)) + ")"
+
+
+_SIDES = ", ".join(_side(a, b) for a, b in ("ab", "bc", "cd", "da"))
+_SKEW = ", ".join(f"abs({_angle(*t)} - 90)" for t in ("dab", "abc", "bcd", "cda"))
+
+
+@query(f"""WITH {GEO}, q AS (SELECT part_id, elem_idx * 6 + row_number() OVER (PARTITION BY elem_idx ORDER BY nodes) - 1 AS elem_id, greatest({_SIDES}) / least({_SIDES}) AS aspect, greatest({_SKEW}) / 90 AS skewness FROM g1)
+  SELECT part_id, 0 AS state_idx, round(max(aspect), 5) AS max_aspect, round(avg(aspect), 5) AS avg_aspect, round(max(skewness), 5) AS max_skewness, count(*) FILTER (aspect > 5) AS n_high_aspect FROM q GROUP BY 1""")
+def shell_quality(s, d):
+    """Outer faces as shells of their parts."""
+    g = _geometry(s, d).select("part_id", F.xxhash64("elem_idx", "nodes").alias("elem_id"), F.lit(0).alias("state_idx"), F.col("nodes").alias("node_ids"), *(f"p{i}" for i in range(4)))
+    return rounded(M.part_quads(M.quad_quality(g)).select("part_id", "state_idx", "max_aspect", "avg_aspect", "max_skewness", "n_high_aspect"), 5)
+
+
 @query()
 def section_clip(s, d):
     """Polygons of the block at x = 4.5; tests compare them with the plane."""

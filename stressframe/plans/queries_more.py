@@ -418,15 +418,26 @@ def recommendations(s, d):
     return D.recommendations(found).select("part_id", "advice")
 
 
-@query("SELECT event_id, round(CASE WHEN value > 100 THEN (user_id + 1) / (value - 100) END, 6) AS speed FROM events")
+@query(f"""WITH {T.TRAJECTORIES}, ru AS (SELECT run_id AS pos_id, min(t) FILTER (contact_engaged) AS tc, arg_min(pos_z, t) AS z0, bool_or(contact_engaged) AS hit FROM trajectories GROUP BY 1),
+  pk AS (SELECT user_id AS pos_id, event_id % 6 AS part_id, arg_min(event_id * 0.001::DOUBLE, (-value, event_id)) AS tp FROM events GROUP BY 1, 2),
+  sa AS (SELECT part_id, tp - tc AS delay, sqrt(pow(pos_id % 7 * 400.0::DOUBLE - part_id * 300.0::DOUBLE, 2) + pow(pos_id % 5 * 800.0::DOUBLE - part_id * 200.0::DOUBLE, 2) + pow(z0 - part_id, 2)) / (tp - tc) / 1000 AS v FROM pk JOIN ru USING (pos_id) WHERE hit AND tp > tc)
+  SELECT part_id, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75, round(avg(delay), 6) AS mean_delay, count(*) AS samples FROM sa WHERE v > 0 AND v <= 12000 GROUP BY 1""")
 def wave_speeds(s, d):
-    rows = T.read(s, d, "events").select("event_id", (F.col("user_id") + 1.0).alias("r"), F.col("value").alias("t"), F.lit(100.0).alias("t_impact"))
-    return rounded(D.wave_speed(rows).select("event_id", "speed"))
+    """Of parts by runs that touch: the distance from the impact over the delay of the part's peak."""
+    tr, on = T.trajectories(s, d), F.col("contact_engaged")
+    runs = tr.groupBy(F.col("run_id").alias("pos_id")).agg(F.min(F.when(on, F.col("t"))).alias("t_contact"), F.min_by("pos_z", "t").alias("z"), F.when(F.bool_or(on), "contact").otherwise("no-contact").alias("behavior"))
+    pos, part = F.col("pos_id"), F.col("part_id")
+    e = T.read(s, d, "events").select(F.col("user_id").alias("pos_id"), (F.col("event_id") % 6).alias("part_id"), "event_id", "value")
+    peaks = e.groupBy("pos_id", "part_id").agg(F.min_by(F.col("event_id") * 0.001, F.struct(-F.col("value"), "event_id")).alias("t_peak")).select("*", (part * 300.0).alias("x"), (part * 200.0).alias("y"), part.cast("double").alias("z"))
+    positions = runs.select("pos_id", (pos % 7 * 400.0).alias("x"), (pos % 5 * 800.0).alias("y"))
+    return rounded(D.wave_speed(peaks, runs, positions))
 
 
-@query("SELECT name, kind FROM (VALUES ('F', 'face'), ('top', 'face'), ('FT', 'edge'), ('B-L', 'edge'), ('FTR', 'corner'), ('', 'other'), ('TBLR', 'other')) t(name, kind) WHERE name <> 'top'")
+@query("SELECT name, CASE substr(name, 1, 1) WHEN 'F' THEN 'face' WHEN 'E' THEN 'edge' WHEN 'C' THEN 'corner' WHEN 'P' THEN 'fibonacci' ELSE 'unknown' END AS kind FROM (SELECT upper(substr(p_name, 1 + (p_partkey % 3)::INTEGER)) || '_' || p_partkey AS name FROM part UNION ALL SELECT n_name FROM nation)")
 def angle_categories(s, d):
-    names = s.createDataFrame([("F",), ("FT",), ("B-L",), ("FTR",), ("",), ("TBLR",)], "name string")
+    """By the first letter of names made from those of parts and nations."""
+    part = T.read(s, d, "part").select(F.concat(F.upper(F.substring(F.col("p_name"), (1 + F.col("p_partkey") % 3).cast("int"), F.length("p_name"))), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"))
+    names = part.union(T.read(s, d, "nation").select("n_name"))
     return names.select("name", D.angle_category(F.col("name")).alias("kind"))
 
 

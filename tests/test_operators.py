@@ -123,7 +123,7 @@ def test_pulse_behavior_and_energy(spark):
     assert [got[k]["behavior"] for k in range(1, 6)] == ["bounce", "no-contact", "embed", "slide", "unknown"]
     assert got[1]["restitution"] == pytest.approx(math.sqrt(6 / 9)) and got[3]["depth"] == pytest.approx(0.4)
     audit = series.energy_audit(spark.createDataFrame([(1, 0.0, 1.0, 0.0, 0.0, 0.0, 10.0), (1, 1.0, 1.0, 0.0, 1.5, 0.0, 10.7)], "run_id int, t double, ke double, ie double, hourglass double, sliding double, total double")).first()
-    assert (audit["drift_level"], audit["hourglass_level"], audit["sliding_level"]) == ("fail", "warn", "ok")
+    assert (audit["drift_level"], audit["hourglass_level"], audit["sliding_level"], audit["verdict"]) == ("fail", None, "pass", "fail")
 
 
 def test_graph(spark):
@@ -382,3 +382,90 @@ def test_extremes_of_all_kinds_of_doubles(spark):
         assert (r["a"], r["b"]) == ((min((-v, i) for v, i in own)[1], min(own)[1]) if own else (None, None))
     with pytest.raises(Exception, match="out of the range"):
         extremes.with_extremes(df.limit(1), ["v"], F.lit(-1).cast("long")).collect()
+
+
+def test_energy_audit_by_hand(spark):
+    """Shares have bases of their own: first total, largest internal and first kinetic energy; gates where these are nothing."""
+    rows = [(1, 0.0, 100.0, 0.0, 0.0, 0.0, 100.0), (1, 1.0, 40.0, 50.0, 6.0, -7.0, 97.5), (1, 2.0, 30.0, 40.0, 2.0, 1.0, math.nan)]
+    rows += [(2, 0.0, 100.0, 0.01, 0.005, 0.0, 0.0), (2, 1.0, 99.8, 0.02, 0.01, 0.0, 5.0), (3, 0.0, 0.0, 0.0, None, None, 0.0)]
+    got = {r["run_id"]: r for r in series.energy_audit(spark.createDataFrame(rows, "run_id int, t double, ke double, ie double, hourglass double, sliding double, total double")).collect()}
+    one, two, three = got[1], got[2], got[3]
+    assert (one["dissipated_pct"], one["drift_pct"], one["hourglass_pct"], one["sliding_pct"]) == (70.0, 2.5, 12.0, 7.0)
+    assert (one["drift_level"], one["hourglass_level"], one["sliding_level"], one["verdict"], one["impact_visible"]) == ("warn", "warn", "warn", "warn", True)
+    assert (two["impact_visible"], two["dissipated_pct"], two["internal_significant"], two["hourglass_pct"], two["hourglass_level"], two["drift_pct"], two["verdict"]) == (False, None, False, 50.0, None, None, "pass")
+    assert (three["verdict"], three["sliding_pct"], three["hourglass_pct"]) == ("unknown", None, None)
+
+
+def test_pulses_by_hand(spark):
+    """Density over all samples, and the time to the deepest place while engaged."""
+    rows = [(1, t, z, e) for t, z, e in ((0.0, 9.0, False), (1.0, 5.0, True), (2.0, 3.0, True), (3.0, 1.0, False), (4.0, 4.0, True), (5.0, 9.0, False), (6.0, 9.0, False), (7.0, 9.0, False))] + [(2, 0.0, 1.0, False), (3, 0.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "run int, t double, z double, engaged boolean")
+    got = {r["run"]: r for r in series.pulses(df, "run", "t", "z").collect()}
+    assert set(got) == {1, 3} and (got[1]["duration"], got[1]["density"], got[1]["to_peak"], got[1]["contact_steps"]) == (3.0, 0.375, 1.0, 3)
+    named = spark.createDataFrame([(3, "no-contact"), (2, "bounce")], "run int, behavior string")
+    got = {r["run"]: r for r in series.pulses(df, "run", "t", "z", named).collect()}
+    assert set(got) == {1, 2} and (got[2]["duration"], got[2]["density"], got[2]["to_peak"]) == (None, 0.0, None)
+
+
+def test_recovery_by_hand(spark):
+    """The worst position by the sum of peaks; the first sample at or under 5 % of the peak; damping by the sign changes' frequency."""
+    a = [0, 1, 100, -20, 60, -10, 4, 30, 1, 0]
+    rows = [(1, 7, float(t), float(v)) for t, v in enumerate(a)] + [(1, 8, float(t), 1.0) for t in range(4)] + [(2, 7, float(t), 50.0) for t in range(10)]
+    got = {r["part_id"]: r for r in series.recovery(spark.createDataFrame(rows, "pos_id int, part_id int, t double, acc double")).collect()}
+    mean = sum(a[2:]) / 8
+    signs = [math.copysign(1, v - mean) for v in a[2:]]
+    turns = sum(x != y for x, y in zip(signs, signs[1:], strict=False))
+    assert set(got) == {7, 8} and got[7]["recovery"] == 1.0 and got[7]["sign_changes"] == turns and not got[8]["has_data"] and got[8]["recovery"] is None
+    assert got[7]["damping"] == pytest.approx(min(1.0, math.log(20) / (2 * math.pi * 0.5 * turns / 7 * 1.0)))
+    known = spark.createDataFrame([(7, 2.0)], "part_id int, frequency double")
+    assert {r["part_id"]: r["damping"] for r in series.recovery(spark.createDataFrame(rows, "pos_id int, part_id int, t double, acc double"), known).collect()}[7] == pytest.approx(math.log(20) / (4 * math.pi))
+
+
+def test_names_of_directions(spark):
+    names = spark.createDataFrame([("F1_Back",), ("E3_edge",), ("C2",), ("P0001",), ("f1",), ("",), (None,)], "n string")
+    assert [r["k"] for r in names.select(doe.angle_category(F.col("n")).alias("k")).collect()] == ["face", "edge", "corner", "fibonacci", "unknown", "unknown", "unknown"]
+
+
+def test_wave_speed_gates(spark):
+    """A speed by hand; no contact, a peak before it and a speed beyond the limit are no samples."""
+    peaks = spark.createDataFrame([(1, 5, 0.002, 3.0, 4.0, 0.0), (2, 5, 0.002, 0.0, 0.0, 0.0), (3, 5, 0.0005, 3.0, 4.0, 0.0), (4, 5, 0.001000001, 3.0, 400.0, 0.0)], "pos_id int, part_id int, t_peak double, x double, y double, z double")
+    runs = spark.createDataFrame([(1, 0.001, 0.0, "bounce"), (2, 0.001, 0.0, "no-contact"), (3, 0.001, 0.0, "bounce"), (4, 0.001, 0.0, "slide")], "pos_id int, t_contact double, z double, behavior string")
+    places = spark.createDataFrame([(i, 0.0, 0.0) for i in range(1, 5)], "pos_id int, x double, y double")
+    r = doe.wave_speed(peaks, runs, places).first()
+    assert (r["samples"], r["mean"], r["mean_delay"]) == (1, pytest.approx(5.0), pytest.approx(0.001))
+
+
+def test_quality_of_tetrahedra_and_shells(spark):
+    point = lambda v: F.struct(*(F.lit(float(c)).alias(n) for c, n in zip(v, "xyz")))
+    tet = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    for nodes, volume in (([0, 1, 2, 3, 3, 3, 3, 3], 1 / 6), ([1, 0, 2, 3, 3, 3, 3, 3], -1 / 6)):
+        q = mesh.element_quality(spark.range(1).select(F.lit(1).alias("part_id"), F.lit(1).alias("elem_id"), F.lit(0).alias("state_idx"), F.array(*map(F.lit, nodes)).alias("node_ids"), *(point(tet[k]).alias(f"p{i}") for i, k in enumerate(nodes))))
+        r = q.first()
+        assert r["volume"] == pytest.approx(volume) and r["jacobian"] is None and r["volume_ratio"] is None and r["inverted"] == (volume < 0)
+        assert mesh.part_quality(q).first()["n_negative_jacobian"] == (volume < 0)
+    quads = {"square": [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)], "bent": [(0, 0, 0), (1, 0, 0), (1, 1, 1), (0, 1, 0)], "triangle": [(0, 0, 0), (3, 0, 0), (0, 4, 0), (0, 4, 0)], "flat": [(0, 0, 0), (0, 0, 0), (1, 1, 0), (0, 1, 0)]}
+    rows = None
+    for name, p in quads.items():
+        ids = [0, 1, 2, 2] if name == "triangle" else [0, 1, 2, 3]
+        for state, size in ((0, 1.0), (1, 2.0)):
+            one = spark.range(1).select(F.lit(name).alias("part_id"), F.lit(name).alias("elem_id"), F.lit(state).alias("state_idx"), F.array(*map(F.lit, ids)).alias("node_ids"), *(point([c * size for c in v]).alias(f"p{i}") for i, v in enumerate(p)))
+            rows = one if rows is None else rows.union(one)
+    got = {(r["elem_id"], r["state_idx"]): r for r in mesh.quad_quality(rows).collect()}
+    assert (got["square", 1]["aspect"], got["square", 1]["skewness"], got["square", 1]["warpage"], got["square", 1]["area_ratio"]) == pytest.approx((1, 0, 0, 4), abs=1e-9)
+    assert got["bent", 0]["warpage"] == pytest.approx(60.0) and got["bent", 0]["skewness"] == pytest.approx(1 / 3)
+    assert (got["triangle", 0]["aspect"], got["triangle", 0]["skewness"], got["triangle", 0]["area"]) == (pytest.approx(5 / 3), None, pytest.approx(6))
+    assert got["flat", 0]["aspect"] is None and got["flat", 0]["area_ratio"] is None
+
+
+def test_percentiles_with_values_of_all_sizes(spark, monkeypatch):
+    """Infinite values, and values over all powers of two, end in a few rounds."""
+    monkeypatch.setattr(quantile, "FEW", 50)
+    rng = random.Random(5)
+    values = [math.inf] * 3 + [-math.inf] * 2 + [rng.choice([-1, 1]) * 2.0 ** rng.randint(-900, 900) for _ in range(3000)] + [1.5] * 500 + [math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    own = sorted(v for v in values if v is not None and v == v)
+    for share in (0.0, 0.0001, 0.25, 0.5, 0.61, 0.999, 1.0):
+        place = share * (len(own) - 1)
+        a, b = own[math.floor(place)], own[math.ceil(place)]
+        want = a if a == b else a + (b - a) * (place - math.floor(place))
+        assert quantile.order_statistics(df, "v", [share])[0] == pytest.approx(want)
