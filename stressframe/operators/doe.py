@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -207,10 +208,44 @@ def wave_speed(peaks: DataFrame, runs: DataFrame, positions: DataFrame) -> DataF
     return wave_samples(peaks, runs, positions).groupBy("part_id").agg(F.avg("speed").alias("mean"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.avg("delay").alias("mean_delay"), F.count("*").alias("samples"))
 
 
-def recommendations(parts: DataFrame) -> DataFrame:
-    """The first rule that holds for each part: safety, cov, share."""
-    rule = F.when(F.col("safety") < 1, "reinforce: peak is over the yield").when(F.col("safety") < 1.5, "review: little margin").when(F.col("cov") > 0.5, "check: strong dependence on position").when(F.col("share") > 0.25, "watch: large influenced area").otherwise("none")
-    return parts.withColumn("advice", rule)
+def _finite(c: str) -> Column:
+    return F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+
+
+#: Fixed values of the recommendations: percent of asymmetry that is told and that is critical, of absorption that is low and that is enough, shares of the yield that are told, warn and are critical, and how many deviations from the mean, of how many positions at least, are apart.
+ASYMMETRY, ABSORPTION, OF_YIELD, APART, POSITIONS = (15.0, 30.0), (30.0, 50.0), (0.6, 0.8, 1.0), 2.5, 4
+
+
+def recommendations(results: DataFrame, positions: DataFrame, quality: DataFrame | None = None, runs: DataFrame | None = None, yields: DataFrame | None = None) -> DataFrame:
+    """rule, severity, metric and subject of every rule that applies.
+
+    results: pos_id, part_id, peak_g, peak_stress. positions: pos_id, x. quality: impact_visible
+    and verdict of each run. runs: ke_retention and behavior. yields: part_id, yield_stress.
+    Each rule is an aggregation to a row; values that are not finite are passed over.
+    """
+    row = lambda df, rule, severity, metric, subject=F.lit(None): df.select(F.lit(rule).alias("rule"), severity.alias("severity"), metric.cast("double").alias("metric"), subject.cast("string").alias("subject"))
+    out = []
+    if quality is not None:
+        n = quality.agg(F.count_if(~F.col("impact_visible")).alias("unseen"), F.count_if(F.col("verdict") == "fail").alias("failed"))
+        out += [row(n.where(f"{c} > 0"), rule, F.lit("critical"), F.col(c)) for rule, c in (("runs without contact", "unseen"), ("energy balance fails", "failed"))]
+    real = results.select("pos_id", "part_id", _finite("peak_g").alias("g"), _finite("peak_stress").alias("s"))
+    worst = real.where("g is not null").groupBy().agg(F.max("g").alias("g"), F.min_by(F.struct("pos_id", "part_id"), F.struct(-F.col("g"), "pos_id", "part_id")).alias("at")).where("g is not null")
+    out.append(row(worst, "largest response", F.lit("critical"), F.round("g", 1), F.concat_ws("/", F.col("at.pos_id").cast("string"), F.col("at.part_id").cast("string"))))  # the largest is over any percentile
+    means = real.where("g is not null and pos_id is not null").groupBy("pos_id").agg(F.avg("g").alias("m"))
+    sides = means.join(positions.select("pos_id", _finite("x").alias("x")), "pos_id").agg(F.avg(F.when(F.col("x") < 0, F.col("m"))).alias("l"), F.avg(F.when(F.col("x") > 0, F.col("m"))).alias("r"))
+    asymmetry = sides.select(F.when(F.col("l") + F.col("r") > 0, F.abs(F.col("l") - F.col("r")) / ((F.col("l") + F.col("r")) / 2) * 100).alias("a")).where(F.col("a") > ASYMMETRY[0])
+    out.append(row(asymmetry, "asymmetry along x", F.when(F.col("a") < ASYMMETRY[1], "warning").otherwise("critical"), F.round("a", 1)))
+    if runs is not None:
+        taken = runs.where("behavior is null or behavior <> 'no-contact'").agg(((1 - F.avg(_finite("ke_retention"))) * 100).alias("a")).where("a is not null")
+        out.append(row(taken, "energy absorption", F.when(F.col("a") < ABSORPTION[0], "warning").otherwise("info"), F.round("a", 1), F.when(F.col("a") < ABSORPTION[1], "low").otherwise("enough")))
+    if yields is not None:
+        of = real.where("s is not null").join(yields.where("yield_stress > 0"), "part_id").groupBy("part_id").agg(F.max(F.col("s") / F.col("yield_stress")).alias("d"))
+        top = of.groupBy().agg(F.max("d").alias("d"), F.min_by("part_id", F.struct(-F.col("d"), "part_id")).alias("p")).where(F.col("d") >= OF_YIELD[0])
+        out.append(row(top, "share of the yield", F.when(F.col("d") >= OF_YIELD[2], "critical").when(F.col("d") >= OF_YIELD[1], "warning").otherwise("info"), F.round("d", 2), F.col("p")))
+    spread = means.agg(F.count("*").alias("n"), F.avg("m").alias("mu"), F.stddev_pop("m").alias("sd")).where((F.col("n") >= POSITIONS) & (F.col("sd") > 0))
+    apart = means.crossJoin(F.broadcast(spread)).agg(F.count_if(F.abs((F.col("m") - F.col("mu")) / F.col("sd")) > APART).alias("n")).where("n > 0")  # one row
+    out.append(row(apart, "positions apart", F.lit("warning"), F.col("n")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def safe_zone(df: DataFrame, c: str, limit: float) -> DataFrame:
@@ -218,6 +253,32 @@ def safe_zone(df: DataFrame, c: str, limit: float) -> DataFrame:
     return df.groupBy("face", "pos_id", "x", "y").agg(F.max(c).alias("worst")).where((F.col("worst") <= limit) & F.col("worst").isNotNull())
 
 
+def drop_zones(results: DataFrame, behavior: DataFrame | None = None, impactor: object = None) -> DataFrame:
+    """face, pos_id, status (safe, at-risk or no-contact), and metric, value and part of the worst violation at each position.
+
+    results: face, pos_id, part_id, peak_g, peak_stress, peak_disp; rows of the ``impactor`` are
+    left out. A value is a violation where it is over the mean of all accelerations, or the upper
+    quartile of all stresses or displacements; the worst is the largest as a share of its
+    threshold (ties: the least part, then in this order). Positions of runs without contact
+    (``behavior``: pos_id, behavior) are neither safe nor at risk. Without a finite value of
+    each metric there are no rows.
+    """
+    rows = results if impactor is None else results.where(~F.col("part_id").eqNullSafe(F.lit(impactor)))
+    metrics = ("peak_g", "peak_stress", "peak_disp")
+    real = materialize(rows.select("face", "pos_id", "part_id", *(_finite(c).alias(c) for c in metrics)))
+    limits = (real.agg(F.avg("peak_g")).first()[0], *(order_statistics(real, c, [0.75])[0] for c in metrics[1:]))
+    if None in limits:
+        return real.limit(0).select("face", "pos_id", F.lit("").alias("status"), F.lit("").alias("worst_metric"), F.col("peak_g").alias("worst_value"), F.col("part_id").alias("worst_part"))
+    share = lambda c, k: F.when(F.col(c) > limits[k], F.col(c) / limits[k] if limits[k] > 0 else F.col(c))
+    over = F.array(*(F.struct((-share(c, k)).alias("less"), F.col("part_id").alias("part"), F.lit(k).alias("k"), F.lit(c).alias("metric"), F.col(c).alias("value")) for k, c in enumerate(metrics)))
+    found = real.select("face", "pos_id", F.array_min(F.filter(over, lambda v: v["less"].isNotNull())).alias("v")).groupBy("face", "pos_id").agg(F.min("v").alias("v"))
+    names = behavior.where("behavior = 'no-contact'").select("pos_id", F.lit(True).alias("__none")).distinct() if behavior is not None else None
+    found = found.join(names, "pos_id", "left") if names is not None else found.withColumn("__none", F.lit(None).cast("boolean"))
+    none = F.coalesce("__none", F.lit(False))
+    status = F.when(none, "no-contact").when(F.col("v").isNull(), "safe").otherwise("at-risk")
+    return found.select("face", "pos_id", status.alias("status"), *(F.when(~none, F.col("v")[c]).alias(f"worst_{n}") for c, n in (("metric", "metric"), ("value", "value"), ("part", "part"))))
+
+
 def convex_hull(points: DataFrame, by: str) -> DataFrame:
     """Corners of the convex hull of each group's points, counter-clockwise, none of fewer than three points; a face's positions are few."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contact as K
+from ..operators import doe as D
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import series as S
@@ -175,3 +176,30 @@ def five_nearest_points(s, d):
 def ring_layout(s, d):
     found = T.read(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min(F.col("l_partkey") % 6).cast("int").alias("depth"))
     return rounded(G.ring_layout(found, 2.5))
+
+
+@query(f"""WITH {SUMMARY}, {T.DOE}, {T.ENERGIES}, yl AS (SELECT p_brand AS part_id, (20 + max(p_size)) * 1.0::DOUBLE AS ys FROM part GROUP BY 1),
+  au AS (SELECT run_id, arg_min(ke, t) AS ke0, max(ke) AS hi, min(ke) AS lo, arg_min(total, t) AS te0, arg_max(total, t) AS te1, max(ie) AS ie, max(hourglass) AS hg, max(abs(sliding)) AS sl FROM energies GROUP BY 1),
+  fa AS (SELECT (hi - lo) / (CASE WHEN ke0 > 0 THEN ke0 ELSE hi END) >= 0.005 AS seen, coalesce(round(abs(te1 - te0) / te0 * 100, 4) >= 5, false) OR coalesce(ie >= 0.001 * ke0 AND round(100 * hg / ie, 2) >= 20, false) OR coalesce(round(100 * sl / ke0, 2) >= 10, false) AS failed FROM au),
+  me AS (SELECT pos_id, avg(peak_g) AS m FROM doe GROUP BY 1), si AS (SELECT avg(m) FILTER (x < 0) AS l, avg(m) FILTER (x > 0) AS r FROM me JOIN (SELECT s_suppkey AS pos_id, (s_suppkey::DOUBLE * 37) % 101 - 50 AS x FROM supplier) USING (pos_id)), asy AS (SELECT abs(l - r) / ((l + r) / 2) * 100 AS a FROM si),
+  ab AS (SELECT (1 - avg(ke_retention)) * 100 AS a FROM classed WHERE behavior <> 'no-contact'), di AS (SELECT part_id, max(peak_stress / ys) AS d FROM doe JOIN yl USING (part_id) GROUP BY 1), dt AS (SELECT max(d) AS d, arg_min(part_id, (-d, part_id)) AS p FROM di),
+  sp AS (SELECT count(*) AS n, avg(m) AS mu, stddev_pop(m) AS sd FROM me), ap AS (SELECT count(*) FILTER (abs((m - mu) / sd) > 2.5) AS k, max(n) AS n FROM me, sp WHERE sd > 0)
+  SELECT 'runs without contact' AS rule, 'critical' AS severity, count(*)::DOUBLE AS metric, NULL::VARCHAR AS subject FROM fa WHERE NOT seen HAVING count(*) > 0 UNION ALL SELECT 'energy balance fails', 'critical', count(*), NULL FROM fa WHERE failed HAVING count(*) > 0
+  UNION ALL SELECT 'largest response', 'critical', round(max(peak_g), 1), arg_min(pos_id || '/' || part_id, (-peak_g, pos_id, part_id)) FROM doe HAVING count(*) > 0
+  UNION ALL SELECT 'asymmetry along x', CASE WHEN a < 30 THEN 'warning' ELSE 'critical' END, round(a, 1), NULL FROM asy WHERE a > 15
+  UNION ALL SELECT 'energy absorption', CASE WHEN a < 30 THEN 'warning' ELSE 'info' END, round(a, 1), CASE WHEN a < 50 THEN 'low' ELSE 'enough' END FROM ab WHERE a IS NOT NULL
+  UNION ALL SELECT 'share of the yield', CASE WHEN d >= 1 THEN 'critical' WHEN d >= 0.8 THEN 'warning' ELSE 'info' END, round(d, 2), p FROM dt WHERE d >= 0.6 UNION ALL SELECT 'positions apart', 'warning', k, NULL FROM ap WHERE k > 0 AND n >= 4""")
+def recommendations(s, d):
+    yields = T.read(s, d, "part").groupBy(F.col("p_brand").alias("part_id")).agg(((20 + F.max("p_size")) * F.lit(1.0)).alias("yield_stress"))
+    places = T.points(s, d).select(F.col("point_id").alias("pos_id"), "x")
+    return rounded(D.recommendations(T.doe(s, d), places, S.energy_audit(T.energies(s, d)), K.behavior(_summary(s, d)), yields))
+
+
+@query(f"""WITH {SUMMARY}, {T.DOE}, li AS (SELECT avg(peak_g) AS g, quantile_cont(peak_stress, 0.75) AS st, quantile_cont(peak_disp, 0.75) AS di FROM doe),
+  vi AS (SELECT face, pos_id, part_id, k, ['peak_g', 'peak_stress', 'peak_disp'][k + 1] AS metric, [peak_g, peak_stress, peak_disp][k + 1] AS v, [g, st, di][k + 1] AS lim FROM doe, li, range(3) t(k)),
+  wo AS (SELECT face, pos_id, arg_min({{'m': metric, 'v': v, 'p': part_id}}, (-v / lim, part_id, k)) AS w FROM vi WHERE v > lim GROUP BY 1, 2), po AS (SELECT DISTINCT face, pos_id FROM doe), nc AS (SELECT run_id FROM classed WHERE behavior = 'no-contact')
+  SELECT face, pos_id, CASE WHEN pos_id IN (SELECT run_id FROM nc) THEN 'no-contact' WHEN w IS NULL THEN 'safe' ELSE 'at-risk' END AS status, CASE WHEN pos_id NOT IN (SELECT run_id FROM nc) THEN w.m END AS worst_metric, CASE WHEN pos_id NOT IN (SELECT run_id FROM nc) THEN round(w.v, 6) END AS worst_value, CASE WHEN pos_id NOT IN (SELECT run_id FROM nc) THEN w.p END AS worst_part FROM po LEFT JOIN wo USING (face, pos_id)""")
+def drop_zones(s, d):
+    """Positions by three thresholds of their own; runs of the class without contact are no data."""
+    classes = K.behavior(_summary(s, d)).select(F.col("run_id").alias("pos_id"), "behavior")
+    return rounded(D.drop_zones(T.doe(s, d), classes))

@@ -412,12 +412,6 @@ def composite_damage(s, d):
     return rounded(D.composite_damage(T.doe(s, d), {"peak_g": 0.7, "peak_stress": 0.3}))
 
 
-@query(f"WITH {T.DOE}, p AS (SELECT part_id, 40 / max(peak_stress) AS safety, stddev_pop(peak_g) / avg(peak_g) AS cov, avg(CASE WHEN peak_g > 60000 THEN 1.0 ELSE 0.0 END) AS share FROM doe GROUP BY 1) SELECT part_id, CASE WHEN safety < 1 THEN 'reinforce: peak is over the yield' WHEN safety < 1.5 THEN 'review: little margin' WHEN cov > 0.5 THEN 'check: strong dependence on position' WHEN share > 0.25 THEN 'watch: large influenced area' ELSE 'none' END AS advice FROM p")
-def recommendations(s, d):
-    found = T.doe(s, d).groupBy("part_id").agg((40 / F.max("peak_stress")).alias("safety"), (F.stddev_pop("peak_g") / F.avg("peak_g")).alias("cov"), F.avg((F.col("peak_g") > 60000).cast("double")).alias("share"))
-    return D.recommendations(found).select("part_id", "advice")
-
-
 @query(f"""WITH {T.TRAJECTORIES}, ru AS (SELECT run_id AS pos_id, min(t) FILTER (contact_engaged) AS tc, arg_min(pos_z, t) AS z0, bool_or(contact_engaged) AS hit FROM trajectories GROUP BY 1),
   pk AS (SELECT user_id AS pos_id, event_id % 6 AS part_id, arg_min(event_id * 0.001::DOUBLE, (-value, event_id)) AS tp FROM events GROUP BY 1, 2),
   sa AS (SELECT part_id, tp - tc AS delay, sqrt(pow(pos_id % 7 * 400.0::DOUBLE - part_id * 300.0::DOUBLE, 2) + pow(pos_id % 5 * 800.0::DOUBLE - part_id * 200.0::DOUBLE, 2) + pow(z0 - part_id, 2)) / (tp - tc) / 1000 AS v FROM pk JOIN ru USING (pos_id) WHERE hit AND tp > tc)

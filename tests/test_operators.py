@@ -469,3 +469,22 @@ def test_percentiles_with_values_of_all_sizes(spark, monkeypatch):
         a, b = own[math.floor(place)], own[math.ceil(place)]
         want = a if a == b else a + (b - a) * (place - math.floor(place))
         assert quantile.order_statistics(df, "v", [share])[0] == pytest.approx(want)
+
+
+def test_drop_zones_and_recommendations_by_hand(spark):
+    rows = [("F", i, p, float(g), float(st), float(x)) for i, p, g, st, x in ((1, 1, 10, 10, 1), (1, 2, 20, 10, 1), (2, 1, 60, 10, 1), (2, 2, 10, 50, 9), (3, 1, 10, 10, 1), (4, 1, 10, 10, 1))] + [("F", 3, 9, 1e9, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "face string, pos_id int, part_id int, peak_g double, peak_stress double, peak_disp double")
+    kinds = spark.createDataFrame([(4, "no-contact"), (2, "bounce")], "pos_id int, behavior string")
+    got = {r["pos_id"]: r for r in doe.drop_zones(df, kinds, 9).collect()}
+    assert {i: r["status"] for i, r in got.items()} == {1: "safe", 2: "at-risk", 3: "safe", 4: "no-contact"}
+    assert (got[2]["worst_metric"], got[2]["worst_value"], got[2]["worst_part"]) == ("peak_disp", 9.0, 2)  # nine times the quartile, against 3 and 5
+    places = spark.createDataFrame([(1, -1.0), (2, 1.0), (3, -2.0), (4, 0.0)], "pos_id int, x double")
+    quality = spark.createDataFrame([(False, "fail"), (True, "pass"), (True, "fail")], "impact_visible boolean, verdict string")
+    runs = spark.createDataFrame([(0.8, "bounce"), (1.0, "no-contact"), (0.7, None)], "ke_retention double, behavior string")
+    yields = spark.createDataFrame([(1, 100.0), (2, 60.0)], "part_id int, yield_stress double")
+    found = {r["rule"]: (r["severity"], r["metric"], r["subject"]) for r in doe.recommendations(df.where("part_id < 9"), places, quality, runs, yields).collect()}
+    assert found == {
+        "runs without contact": ("critical", 1.0, None), "energy balance fails": ("critical", 2.0, None), "largest response": ("critical", 60.0, "2/1"), "asymmetry along x": ("critical", round(22.5 / 23.75 * 100, 1), None),
+        "energy absorption": ("warning", 25.0, "low"), "share of the yield": ("warning", 0.83, "2"),
+    }
+    assert {r["rule"] for r in doe.recommendations(df.limit(0), places).collect()} == set()
