@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -12,13 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import materialize
-from .quantile import order_statistics
+from .quantile import group_order_statistics, order_statistics
 
 
 def summary(df: DataFrame, c: str, by: tuple[str, ...]) -> DataFrame:
-    """n, max, percentiles, mean, population sd and its ratio to the mean."""
-    p = {q: F.percentile(c, q / 100) for q in (95, 50, 25)}
-    return df.groupBy(*by).agg(F.count(c).alias("n"), F.max(c).alias("max"), *(v.alias(f"p{q}") for q, v in p.items()), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.when(F.avg(c) != 0, F.try_divide(F.stddev_pop(c), F.avg(c))).alias("cov"))
+    """n, max, percentiles, mean, population sd and its ratio to the mean; percentiles of all groups by rounds, none held as a whole."""
+    plain = df.groupBy(*by).agg(F.count(c).alias("n"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.when(F.avg(c) != 0, F.try_divide(F.stddev_pop(c), F.avg(c))).alias("cov"))
+    at = group_order_statistics(df, by, c, [0.95, 0.5, 0.25]).drop("n").alias("q")
+    both = plain.alias("p").join(at, _same("p", "q", by), "left")
+    return both.select(*(F.col(f"p.{g}") for g in by), "p.n", "p.max", F.col("q.q0").alias("p95"), F.col("q.q1").alias("p50"), F.col("q.q2").alias("p25"), "p.mean", "p.sd", "p.cov")
+
+
+def _same(a: str, b: str, by: Sequence[str]) -> Column:
+    return reduce(and_, (F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in by))
 
 
 def severity(df: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -57,16 +65,16 @@ def robust_outliers(df: DataFrame, c: str, by: str, threshold: float = 3.5, leas
 
 def tukey(df: DataFrame, c: str, by: str, k: float = 1.5, least: int = 4) -> DataFrame:
     """Rows outside the fences of their group, if it has ``least`` values."""
-    q = df.groupBy(by).agg(F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3"), F.count(c).alias("__n")).where(F.col("__n") >= least)
+    q = group_order_statistics(df, [by], c, [0.25, 0.75]).where(F.col("n") >= least).select(by, F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     low, high = F.col("q1") - k * (F.col("q3") - F.col("q1")), F.col("q3") + k * (F.col("q3") - F.col("q1"))
-    return df.join(q, by).where((F.col(c) < low) | (F.col(c) > high)).withColumn("side", F.when(F.col(c) > high, "high").otherwise("low")).drop("__n")
+    return df.join(q, by).where((F.col(c) < low) | (F.col(c) > high)).withColumn("side", F.when(F.col(c) > high, "high").otherwise("low"))
 
 
 def anomalies(df: DataFrame, c: str, by: str, threshold: float = 3.5) -> DataFrame:
     """Robust z of every row from true medians, and whether it is over the threshold."""
-    med = df.groupBy(by).agg(F.percentile(c, 0.5).alias("median"))
-    away = df.join(med, by).withColumn("__a", F.abs(F.col(c) - F.col("median")))
-    mad = away.groupBy(by).agg(F.percentile("__a", 0.5).alias("mad"))
+    df = materialize(df)  # read several times
+    away = df.join(group_order_statistics(df, [by], c, [0.5]).select(by, F.col("q0").alias("median")), by).withColumn("__a", F.abs(F.col(c) - F.col("median")))
+    mad = group_order_statistics(away, [by], "__a", [0.5]).select(by, F.col("q0").alias("mad"))
     out = away.join(mad, by).withColumn("z", F.when(F.col("mad") > 0, F.try_divide(0.6745 * (F.col(c) - F.col("median")), F.col("mad"))))
     return out.withColumn("anomalous", F.coalesce(F.abs("z") > threshold, F.lit(False))).drop("__a")
 

@@ -10,11 +10,15 @@ from __future__ import annotations
 import struct
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
 from math import floor
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..plans.storage import materialize, release
 from .extremes import with_order_keys
 
 #: Parameters: bins of a histogram, and values of the last range at most.
@@ -91,3 +95,61 @@ def _key(v: float) -> int:
     """The place of a double in the order of all."""
     bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
     return -bits if v < 0 else bits
+
+
+#: Bits of a value's place in order that are told apart before each round of ``group_order_statistics``.
+SHIFTS = (64, 54, 44, 34, 24, 14, 0)
+
+
+def group_order_statistics(df: DataFrame, by: Sequence[str], c: str, shares: Sequence[float], few: int = FEW) -> DataFrame:
+    """``by``, n and q0, q1, ...: the percentiles of ``c`` of all groups together, linear between neighbours. Runs jobs at once.
+
+    Ranks are narrowed down by the leading bits of values in their order, ten a round: rows
+    that share the bits found so far with a wanted rank of their group are counted by the next
+    ones, in tasks first. A rank leaves the rounds when ``few`` rows are left beside it, and
+    is found among these; so no group is held or sorted as a whole, however large. NaN and
+    NULL are no values; infinite ones are.
+    """
+    by = list(by)
+    value = F.col(c).cast("double")
+    rows = materialize(with_order_keys(df.select(*by, value.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")), ["__v"]).withColumnRenamed("__k___v", "__k"))
+    counts = materialize(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    place = F.col("share") * (F.col("n") - 1)
+    wanted = counts.select(*by, "n", F.posexplode(F.array(*(F.lit(float(x)) for x in shares))).alias("i", "share")).select(*by, "n", "i", place.alias("place"))
+    ranks = wanted.select(*by, "n", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).distinct()
+    open_ = materialize(ranks.select(*by, "rank", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), F.col("n").alias("size")))
+    same = lambda a, b, more=(): reduce(and_, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in by] + list(more))
+    prefix = lambda shift: F.lit(0).cast("long") if shift == 64 else F.shiftright(F.col("__k"), shift)
+    found, tables = [], [rows, counts, open_]
+    for k, shift in enumerate(SHIFTS):
+        last = k == len(SHIFTS) - 1
+        near = open_ if last else open_.where(F.col("size") <= few)
+        inside = rows.withColumn("prefix", prefix(shift)).alias("r").join(near.select(*by, "prefix").distinct().alias("o"), same("r", "o", [F.col("r.prefix") == F.col("o.prefix")]), "left_semi")
+        if last:  # all rows of a prefix are one value
+            held = inside.groupBy(*by, "prefix").agg(F.min("__v").alias("value")).alias("h")
+            found.append(near.alias("o").join(held, same("o", "h", [F.col("o.prefix") == F.col("h.prefix")])).select(*(F.col(f"o.{g}") for g in by), F.col("o.rank"), F.col("h.value")))
+            break
+        order = F.row_number().over(Window.partitionBy(*by, "prefix").orderBy("__k")) - 1  # few rows each
+        held = inside.select(*by, "prefix", F.col("__v").alias("value"), order.alias("at")).alias("h")
+        found.append(near.alias("o").join(held, same("o", "h", [F.col("o.prefix") == F.col("h.prefix"), F.col("o.rank") - F.col("o.before") == F.col("h.at")])).select(*(F.col(f"o.{g}") for g in by), F.col("o.rank"), F.col("h.value")))
+        rest = open_.where(F.col("size") > few)
+        if not rest.take(1):
+            break
+        ranges = rest.select(*by, "prefix").distinct().alias("o")
+        parts = rows.withColumn("prefix", prefix(shift)).alias("r").join(ranges, same("r", "o", [F.col("r.prefix") == F.col("o.prefix")]), "left_semi").groupBy(*by, "prefix", F.shiftright(F.col("__k"), SHIFTS[k + 1]).alias("next")).agg(F.count("*").alias("m"))
+        upto = F.sum("m").over(Window.partitionBy(*by, "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, -1))  # a row for each of the next bits
+        bins = parts.withColumn("upto", F.coalesce(upto, F.lit(0))).alias("b")
+        rank = F.col("o.rank") - F.col("o.before")
+        met = rest.alias("o").join(bins, same("o", "b", [F.col("o.prefix") == F.col("b.prefix"), rank >= F.col("b.upto"), rank < F.col("b.upto") + F.col("b.m")]))
+        open_ = materialize(met.select(*(F.col(f"o.{g}") for g in by), F.col("o.rank"), F.col("b.next").alias("prefix"), (F.col("o.before") + F.col("b.upto")).alias("before"), F.col("b.m").alias("size")))
+        tables.append(open_)
+    values = materialize(reduce(DataFrame.union, found))
+    w = wanted.alias("w")
+    for name, end in (("a", F.floor("place")), ("b", F.ceil("place"))):
+        v = values.withColumnRenamed("value", name).alias("v")
+        w = w.withColumn("__rank", end).alias("w").join(v, same("w", "v", [F.col("w.__rank") == F.col("v.rank")])).select(*(F.col(f"w.{g}") for g in by), *(F.col(f"w.{x}") for x in ("n", "i", "place")), *([F.col("w.a")] if name == "b" else []), F.col(f"v.{name}")).alias("w")
+    at = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place")))
+    out = materialize(w.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("i") == j, at)).alias(f"q{j}") for j in range(len(shares)))))
+    release(*tables, values)
+    return out
+

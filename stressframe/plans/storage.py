@@ -36,4 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` gave, when nothing is to read them any more."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
