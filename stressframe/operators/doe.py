@@ -352,20 +352,6 @@ def principal_components(df: DataFrame, columns: list[str], k: int = 3) -> tuple
     return modes, values[::-1][:k] / max(values.sum(), 1e-300)
 
 
-def sphere_coverage(directions: DataFrame) -> DataFrame:
-    """Mean and largest angle of each direction to its nearest other; over DIRECTIONS of them is an error."""
-    from .joins import DIRECTIONS, angular_distance
-
-    if directions.count() > DIRECTIONS:
-        raise ValueError(f"over {DIRECTIONS} directions to compare with")
-    other = directions.select(F.col("i").alias("__i"), F.col("roll").alias("__r"), F.col("pitch").alias("__p"))
-    pairs = directions.join(F.broadcast(other), F.col("i") != F.col("__i"))  # counted above
-    near = pairs.groupBy("i").agg(F.min(angular_distance(F.col("roll"), F.col("pitch"), F.col("__r"), F.col("__p"))).alias("a"))
-    ideal = F.degrees(F.sqrt(F.lit(4 * math.pi) / F.count("*")))  # of as many directions, evenly
-    covered = F.when(F.avg("a") > 0, F.least((ideal / F.avg("a")) ** 2, F.lit(1.0))).otherwise(0.0)
-    return near.agg(F.avg("a").alias("mean_nearest"), F.max("a").alias("largest_gap"), covered.alias("coverage"))
-
-
 def sphere_findings(parts: DataFrame, g_limit: float = 1000.0) -> DataFrame:
     """severity and finding of each part: peak_stress, yield_stress, peak_g."""
     sf = F.try_divide(F.col("yield_stress"), F.col("peak_stress"))

@@ -125,10 +125,6 @@ def idw(targets: DataFrame, samples: DataFrame, key: str, value: str, k: int = 4
     return weighted(k_nearest(targets, known, key, [], k), key, value, power)
 
 
-#: Rows up to which a counted set of directions is broadcast.
-DIRECTIONS = 10_000
-
-
 def mirror_pairs(points: DataFrame, key: str, axis: str = "x", digits: int = 4) -> DataFrame:
     """Pairs of points that mirror each other in an axis, each once."""
     sx, sy = (-1, 1) if axis == "x" else (1, -1)
@@ -138,33 +134,13 @@ def mirror_pairs(points: DataFrame, key: str, axis: str = "x", digits: int = 4)
     return a.join(b, ["__x", "__y"]).where("a < b").select("a", "b")
 
 
-def angular_distance(roll_a: Column, pitch_a: Column, roll_b: Column, pitch_b: Column) -> Column:
-    """Degrees between two directions given by two angles in degrees."""
-    r = F.radians
-    cosine = F.sin(r(pitch_a)) * F.sin(r(pitch_b)) + F.cos(r(pitch_a)) * F.cos(r(pitch_b)) * F.cos(r(roll_a - roll_b))
-    return F.degrees(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))))
-
-
-def on_sphere(roll: Column, pitch: Column) -> list[Column]:
-    """x, y, z of a direction."""
-    r = F.radians
-    return [F.cos(r(pitch)) * F.cos(r(roll)), F.cos(r(pitch)) * F.sin(r(roll)), F.sin(r(pitch))]
-
-
 def angular_nearest(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The nearest direction of ``right`` for each of ``left``: roll, pitch. ``right`` is a set of directions to compare with; over DIRECTIONS of them is an error."""
-    if right.count() > DIRECTIONS:
-        raise ValueError(f"over {DIRECTIONS} directions to compare with")
-    other = right.select(F.col(key).alias("nearest"), F.col("roll").alias("__r"), F.col("pitch").alias("__p"))
-    pairs = left.crossJoin(F.broadcast(other)).withColumn("__d", angular_distance(F.col("roll"), F.col("pitch"), F.col("__r"), F.col("__p")))  # counted above
-    return pairs.groupBy(*left.columns).agg(F.min_by("nearest", F.struct("__d", "nearest")).alias("nearest"), F.min("__d").alias("angle"))
-
-
-def fibonacci_sphere(spark, n: int) -> DataFrame:
-    """n directions spread evenly over the sphere: i, roll, pitch in degrees."""
-    golden = (1 + 5**0.5) / 2
-    i = F.col("id")
-    return spark.range(n).select(i.alias("i"), (F.pmod(i * (360.0 / golden), F.lit(360.0)) - 180).alias("roll"), F.degrees(F.asin(1 - (2 * i + 1) / n)).alias("pitch"))
+    """The nearest direction of ``right`` for each of ``left`` (roll is the latitude, pitch the longitude), and the angle to it; NULL for a direction that is missing."""
+    from .sphere import nearest
+
+    rows = materialize(left.withColumn("__row", F.monotonically_increasing_id()))
+    near = nearest(rows, "__row", right, key, 1).select("__row", F.col("other").alias("nearest"), "angle")
+    return rows.join(near, "__row", "left").drop("__row")
 
 
 def align_exact(cells: DataFrame, base_rev: int) -> DataFrame:

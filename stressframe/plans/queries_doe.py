@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import doe as D
+from ..operators import sphere as Sp
 from . import tables as T
 from .registry import query, rounded
 
@@ -149,10 +150,27 @@ def principal_modes(s, d):
     return s.createDataFrame(rows, "mode int, metric string, weight double, share double")
 
 
-@query(f"""WITH {T.POINTS}, c AS (SELECT point_id AS i, x * 3 AS roll, y * 2 AS pitch FROM pts), n AS (SELECT a.i, min(degrees(acos(greatest(least(sin(radians(a.pitch))*sin(radians(b.pitch)) + cos(radians(a.pitch))*cos(radians(b.pitch))*cos(radians(a.roll - b.roll)), 1), -1)))) AS ang FROM c a JOIN c b ON a.i <> b.i GROUP BY 1) SELECT round(avg(ang), 4) AS mean_nearest, round(max(ang), 4) AS largest_gap, round(least(pow(degrees(sqrt(4 * pi() / count(*))) / avg(ang), 2), 1), 4) AS coverage FROM n""")
+#: Directions of suppliers: a latitude and a longitude; and the cosine of the angle between two.
+WAYS = f"{T.POINTS}, c AS (SELECT point_id AS i, y * 2 AS roll, x * 3 AS pitch, value, face FROM pts)"
+COSINE = "greatest(least(cos(radians(a.roll))*cos(radians(a.pitch))*cos(radians(b.roll))*cos(radians(b.pitch)) + cos(radians(a.roll))*sin(radians(a.pitch))*cos(radians(b.roll))*sin(radians(b.pitch)) + sin(radians(a.roll))*sin(radians(b.roll)), 1), -1)"
+
+
+def _ways(s, d):
+    return T.points(s, d).select(F.col("point_id").alias("i"), (F.col("y") * 2).alias("roll"), (F.col("x") * 3).alias("pitch"), "value", "face")
+
+
+@query(f"WITH {WAYS}, n AS (SELECT a.i, min(degrees(acos({COSINE}))) AS ang FROM c a JOIN c b ON a.i <> b.i GROUP BY 1) SELECT round(avg(ang), 4) AS mean_nearest, round(max(ang), 4) AS largest_gap, round(least(pow(degrees(sqrt(4 * pi() / count(*))) / avg(ang), 2), 1), 4) AS coverage FROM n")
 def sphere_coverage(s, d):
-    c = T.points(s, d).select(F.col("point_id").alias("i"), (F.col("x") * 3).alias("roll"), (F.col("y") * 2).alias("pitch"))
-    return rounded(D.sphere_coverage(c), 4)
+    return rounded(Sp.coverage(_ways(s, d)), 4)
+
+
+@query(f"""WITH {WAYS}, n AS (SELECT count(*) AS n FROM c), g0 AS (SELECT i, degrees(asin(1 - (2 * i + 1) / n)) AS roll, (i * degrees(pi() * (3 - sqrt(5)))) % 360 AS turn FROM n, range((SELECT n FROM n)) t(i)), g AS (SELECT i, round(roll, 6) AS roll, round(CASE WHEN turn > 180 THEN turn - 360 ELSE turn END, 6) AS pitch FROM g0),
+  p AS (SELECT a.i, b.i AS other, b.value, degrees(acos({COSINE})) AS ang FROM g a, c b), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(ang, 9), other) AS k FROM p)
+  SELECT i, CASE WHEN min(ang) <= 0.001 THEN 'exact' ELSE 'idw' END AS source, CASE WHEN min(ang) <= 0.001 THEN 0 ELSE round(round(min(ang), 6), 4) END AS offset_deg, round(CASE WHEN min(ang) <= 0.001 THEN max(value) FILTER (k = 1) ELSE sum(value / pow(greatest(ang, 1e-9), 2)) / sum(1 / pow(greatest(ang, 1e-9), 2)) END, 4) AS value FROM r WHERE k <= 4 GROUP BY 1""")
+def even_grid_interpolation(s, d):
+    """Values of suppliers as directions, on an even grid of as many."""
+    ways = _ways(s, d)
+    return rounded(Sp.interpolate(Sp.even_grid(s, ways.count()), "i", ways, "i", "value").withColumnRenamed("offset", "offset_deg"), 4)
 
 
 @query(f"{RISK}, g AS (SELECT part_id, max(peak_g) AS peak_g FROM doe GROUP BY 1) SELECT part_id, CASE WHEN yield_stress / peak_stress < 1 THEN 'critical' WHEN yield_stress / peak_stress < 1.5 OR peak_g > 90000 THEN 'warning' ELSE 'info' END AS severity FROM p LEFT JOIN y USING (part_id) JOIN g USING (part_id)")

@@ -73,11 +73,12 @@ def mirror_pairs(s, d):
     return J.mirror_pairs(p, "point_id", "x")
 
 
-@query(f"""WITH {T.POINTS}, c AS (SELECT point_id, x * 3 AS roll, y * 2 AS pitch FROM pts), a(name, r, p) AS (VALUES ('front', 0.0::DOUBLE, 0.0::DOUBLE), ('right', 90.0, 0.0), ('back', 180.0, 0.0), ('left', -90.0, 0.0), ('top', 0.0, 90.0), ('bottom', 0.0, -90.0)),
-  q AS (SELECT point_id, name, degrees(acos(greatest(least(sin(radians(pitch))*sin(radians(p)) + cos(radians(pitch))*cos(radians(p))*cos(radians(roll - r)), 1), -1))) AS ang FROM c JOIN a ON true) SELECT point_id, arg_min(name, (round(ang, 9), name)) AS nearest, round(min(ang), 4) AS angle FROM q GROUP BY 1""")
+@query(f"""WITH {T.POINTS}, c AS (SELECT point_id, y * 2 AS roll, x * 3 AS pitch FROM pts), a(name, r, p) AS (VALUES ('front', 0.0::DOUBLE, 0.0::DOUBLE), ('right', 0.0, 90.0), ('back', 0.0, 180.0), ('left', 0.0, -90.0), ('top', 90.0, 0.0), ('bottom', -90.0, 0.0)),
+  q AS (SELECT point_id, name, degrees(acos(greatest(least(cos(radians(roll))*cos(radians(pitch))*cos(radians(r))*cos(radians(p)) + cos(radians(roll))*sin(radians(pitch))*cos(radians(r))*sin(radians(p)) + sin(radians(roll))*sin(radians(r)), 1), -1))) AS ang FROM c JOIN a ON true) SELECT point_id, arg_min(name, (round(ang, 9), name)) AS nearest, round(min(ang), 4) AS angle FROM q GROUP BY 1""")
 def angular_nearest(s, d):
-    c = T.points(s, d).select("point_id", (F.col("x") * 3).alias("roll"), (F.col("y") * 2).alias("pitch"))
-    a = s.createDataFrame([("front", 0.0, 0.0), ("right", 90.0, 0.0), ("back", 180.0, 0.0), ("left", -90.0, 0.0), ("top", 0.0, 90.0), ("bottom", 0.0, -90.0)], "name string, roll double, pitch double")
+    """Roll is the latitude and pitch the longitude of a direction."""
+    c = T.points(s, d).select("point_id", (F.col("y") * 2).alias("roll"), (F.col("x") * 3).alias("pitch"))
+    a = s.createDataFrame([("front", 0.0, 0.0), ("right", 0.0, 90.0), ("back", 0.0, 180.0), ("left", 0.0, -90.0), ("top", 90.0, 0.0), ("bottom", -90.0, 0.0)], "name string, roll double, pitch double")
     return rounded(J.angular_nearest(c, a, "name").select("point_id", "nearest", "angle"), 4)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stressframe.__main__ import main
 from stressframe.functions import encode
 from stressframe.functions import tensor as T
-from stressframe.operators import contact, doe, extremes, graph, joins, mesh, output, quantile, series
+from stressframe.operators import contact, doe, extremes, graph, joins, mesh, output, quantile, series, sphere
 from stressframe.operators import joins as J
 from stressframe.operators import parts as P
 from stressframe.operators import results as R
@@ -224,10 +224,42 @@ def test_hull_components_and_clusters(spark):
     assert doe.correlation_clusters([("a", "b", 0.9), ("b", "c", 0.8), ("d", "e", 0.75), ("a", "d", 0.1)]) == [{"a", "b", "c"}, {"d", "e"}]
 
 
-def test_fibonacci_directions(spark):
-    d = J.fibonacci_sphere(spark, 200)
-    r = doe.sphere_coverage(d).first()
-    assert 5 < r["mean_nearest"] < 20
+def _vector(roll, pitch):
+    r, p = math.radians(roll), math.radians(pitch)
+    return math.cos(r) * math.cos(p), math.cos(r) * math.sin(p), math.sin(r)
+
+
+def test_even_directions(spark):
+    """Latitudes and golden angles by hand; an even grid covers the sphere, a cluster does not."""
+    grid = sphere.even_grid(spark, 200)
+    rows = {r["i"]: (r["roll"], r["pitch"]) for r in grid.collect()}
+    ga = math.pi * (3 - math.sqrt(5))
+    for i in (0, 1, 2, 57, 199):
+        assert rows[i] == pytest.approx((math.degrees(math.asin(1 - (2 * i + 1) / 200)), math.degrees(math.atan2(math.sin(ga * i), math.cos(ga * i)))), abs=1e-5)
+    r = sphere.coverage(grid).first()
+    assert 5 < r["mean_nearest"] < 20 and r["coverage"] == 1.0
+    assert sphere.coverage(spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 179.0)], "i int, roll double, pitch double")).first()["coverage"] == pytest.approx((math.degrees(math.sqrt(2 * math.pi)) / 179) ** 2)
+
+
+def test_nearest_directions_match_brute_force(spark):
+    """A dense cluster, poles, repeated directions and lone ones; no pair of tables is multiplied."""
+    rng = random.Random(6)
+    samples = [(i, rng.gauss(80, 1), rng.gauss(0, 5)) for i in range(150)] + [(200 + i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(60)] + [(300, 90.0, 0.0), (301, -90.0, 77.0)] + [(400 + i, 10.0, 20.0) for i in range(6)]
+    targets = [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(60)] + [(100, 10.0, 20.0), (101, 89.9, -180.0)]
+    s = spark.createDataFrame([(*x, float(x[0])) for x in samples] + [(999, None, 0.0, 1.0)], "j int, roll double, pitch double, v double")
+    t = spark.createDataFrame([*targets, (998, None, 1.0)], "i int, roll double, pitch double")
+    got = {}
+    for r in sphere.nearest(t, "i", s, "j", 4, ["v"]).collect():
+        got.setdefault(r["i"], []).append((r["rank"], r["other"], r["angle"], r["v"]))
+    assert set(got) == {i for i, *_ in targets}
+    for i, roll, pitch in targets:
+        a = _vector(roll, pitch)
+        want = sorted((round(math.degrees(math.acos(max(-1.0, min(1.0, sum(x * y for x, y in zip(a, _vector(p, q), strict=True)))))), 6), j) for j, p, q in samples)[:4]
+        have = sorted(got[i])
+        assert [round(h[2], 5) for h in have] == pytest.approx([w[0] for w in want], abs=2e-5) and all(h[3] == h[1] for h in have)
+    assert sphere.nearest(t, "i", s.limit(0), "j", 4).count() == 0
+    found = {r["i"]: r for r in sphere.interpolate(t, "i", s, "j", "v").collect()}
+    assert (found[100]["source"], found[100]["v"], found[100]["offset"]) == ("exact", 400.0, 0.0)
 
 
 def test_segment_parents(spark):
