@@ -48,14 +48,13 @@ def weighted_centroid(df: DataFrame, weight: str, by: tuple[str, ...]) -> DataFr
 
 
 def upper_median(df: DataFrame, c: str, by: str, name: str) -> DataFrame:
-    """The middle value of each group, the upper of two, and the size of the group (n): by rank, so no group is held at once."""
-    w = Window.partitionBy(by)
-    ranked = df.where(F.col(c).isNotNull()).select(by, F.col(c).alias(name), (F.row_number().over(w.orderBy(c)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
-    return ranked.where(F.col("__i") == F.floor(F.col("__n") / 2)).select(by, name, "__n")
+    """The middle value of each group, the upper of two, and the size of the group (__n): by rounds, so no group is held or sorted at once."""
+    return group_order_statistics(df, [by], c, [None]).select(by, F.col("q0").alias(name), F.col("n").alias("__n"))
 
 
 def robust_outliers(df: DataFrame, c: str, by: str, threshold: float = 3.5, least: int = 8, most: int = 10) -> DataFrame:
     """Rows whose robust z is over the threshold, the ``most`` largest of each group of ``least`` or more; a feature of reports."""
+    df = materialize(df)  # read several times
     med = upper_median(df, c, by, "median").where(F.col("__n") >= least)
     away = df.join(med, by).withColumn("__a", F.abs(F.col(c) - F.col("median")))
     mad = upper_median(away, "__a", by, "mad").drop("__n")

@@ -101,8 +101,8 @@ def _key(v: float) -> int:
 SHIFTS = (64, 54, 44, 34, 24, 14, 0)
 
 
-def group_order_statistics(df: DataFrame, by: Sequence[str], c: str, shares: Sequence[float], few: int = FEW) -> DataFrame:
-    """``by``, n and q0, q1, ...: the percentiles of ``c`` of all groups together, linear between neighbours. Runs jobs at once.
+def group_order_statistics(df: DataFrame, by: Sequence[str], c: str, shares: Sequence[float | None], few: int = FEW) -> DataFrame:
+    """``by``, n and q0, q1, ...: the percentiles of ``c`` of all groups together, linear between neighbours; a share of None is the middle value, the upper of two. Runs jobs at once.
 
     Ranks are narrowed down by the leading bits of values in their order, ten a round: rows
     that share the bits found so far with a wanted rank of their group are counted by the next
@@ -114,8 +114,8 @@ def group_order_statistics(df: DataFrame, by: Sequence[str], c: str, shares: Seq
     value = F.col(c).cast("double")
     rows = materialize(with_order_keys(df.select(*by, value.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")), ["__v"]).withColumnRenamed("__k___v", "__k"))
     counts = materialize(rows.groupBy(*by).agg(F.count("*").alias("n")))
-    place = F.col("share") * (F.col("n") - 1)
-    wanted = counts.select(*by, "n", F.posexplode(F.array(*(F.lit(float(x)) for x in shares))).alias("i", "share")).select(*by, "n", "i", place.alias("place"))
+    place = F.when(F.col("share").isNull(), F.floor(F.col("n") / 2)).otherwise(F.col("share") * (F.col("n") - 1))
+    wanted = counts.select(*by, "n", F.posexplode(F.array(*(F.lit(None if x is None else float(x)).cast("double") for x in shares))).alias("i", "share")).select(*by, "n", "i", place.alias("place"))
     ranks = wanted.select(*by, "n", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).distinct()
     open_ = materialize(ranks.select(*by, "rank", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), F.col("n").alias("size")))
     same = lambda a, b, more=(): reduce(and_, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in by] + list(more))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,19 +244,42 @@ def template_answers(s, d):
     return history.union(zones)
 
 
-@query("SELECT * FROM (VALUES ('all', 10), ('max_*', 2), ('stress', 3), ('none', 0)) t(asked, found)")
+@query(f"""WITH {T.ES}, vm AS (SELECT *, {T.VM} AS v FROM es), n AS (SELECT count(DISTINCT (part_id, state_idx)) AS k FROM es) SELECT 'max_*' AS asked, t AS template, k AS answers FROM n, (VALUES ('max_stress_history'), ('max_strain_history')) x(t)
+  UNION ALL SELECT 'stress', 'max_stress_history', k FROM n UNION ALL SELECT 'stress', 'critical_zones', count(*) FROM vm WHERE v > 500 UNION ALL SELECT 'stress', 'part_comparison', count(DISTINCT part_id) FROM es WHERE part_id IN (1, 2)""")
 def template_search(s, d):
+    """What is found by pattern and by category, each asked of the element states."""
+    e = T.element_states(s, d)
     own = {n for n in templates.TEMPLATES if n == templates.TEMPLATES[n].name}
-    found = {"all": templates.search(), "max_*": templates.search("max_*"), "stress": templates.search("*", "stress"), "none": templates.search("nothing*")}
-    return s.createDataFrame([(k, len(own & set(v))) for k, v in found.items()], "asked string, found int")
-
-
-@query("SELECT * FROM (VALUES ('threads', '8'), ('output.form', 'json'), ('output.digits', '3'), ('name', 'x')) t(setting, value)")
+    found = {"max_*": templates.search("max_*"), "stress": templates.search("*", "stress"), "none": templates.search("nothing*")}
+    rows = [templates.TEMPLATES[n].run(e).agg(F.lit(asked).alias("asked"), F.lit(n).alias("template"), F.count("*").alias("answers")) for asked, names in found.items() for n in names if n in own]
+    return reduce(DataFrame.union, rows)
+
+
+@query(f"""WITH {T.ES}, vm AS (SELECT *, {T.VM} AS v FROM es), ps AS (SELECT part_id, state_idx, max(v) AS v, max(eps) AS e FROM vm GROUP BY 1, 2), {T.ENERGIES}, {T.FORCES}, la AS (SELECT * FROM vm WHERE state_idx = (SELECT max(state_idx) FROM vm))
+  SELECT 'max_stress_history' AS template, count(*) AS answers, round(sum(v), 4) AS total FROM ps UNION ALL SELECT 'max_strain_history', count(*), round(sum(e), 4) FROM ps UNION ALL SELECT 'final_state', count(*), round(sum(v), 4) FROM la UNION ALL SELECT 'critical_zones', count(*), round(sum(v), 4) FROM vm WHERE v > 60
+  UNION ALL SELECT 'element_history', count(DISTINCT element_id), count(*) FROM es WHERE element_id = 3 UNION ALL SELECT 'part_comparison', count(*), round(sum(v), 4) FROM (SELECT part_id, max(v) AS v FROM vm WHERE part_id IN (1, 2) GROUP BY 1)
+  UNION ALL SELECT 'displacement_envelope', count(*), round(sum(m), 4) FROM (SELECT state_idx, max(sqrt(sxx*sxx + (syy-sxx)*(syy-sxx) + szz*szz)) AS m FROM es GROUP BY 1) UNION ALL SELECT 'energy_balance', count(DISTINCT run_id), NULL FROM energies UNION ALL SELECT 'contact_force', count(DISTINCT (run_id, interface_id)), NULL FROM forces
+  UNION ALL SELECT 'failure', count(*), round(sum(eps), 4) FROM es WHERE eps > 0.005""")
+def every_template(s, d):
+    """All ten templates on the tables that they ask."""
+    e, run = T.element_states(s, d), lambda name, data, **given: templates.TEMPLATES[name].run(data, **given)
+    placed = e.select("*", F.col("sxx").alias("x"), F.col("syy").alias("y"), F.col("szz").alias("z"), F.lit(0.0).alias("x0"), F.col("sxx").alias("y0"), F.lit(0.0).alias("z0"))
+    none = F.lit(None).cast("double")
+    asked = [
+        ("max_stress_history", run("max_stress_history", e), F.sum("von_mises_max")), ("max_strain_history", run("max_strain_history", e), F.sum("effective_plastic_strain_max")), ("final_state", run("final_state", e), F.sum("von_mises")),
+        ("critical_zones", run("critical_zones", e, limit=60.0), F.sum("von_mises")), ("element_history", run("element_history", e, element_id=3), F.sum(F.size("series")).cast("double")), ("part_comparison", run("part_comparison", e), F.sum("global_max")),
+        ("displacement_envelope", run("displacement_envelope", placed), F.sum("max")), ("energy_balance", run("energy_balance", T.energies(s, d)), F.max(none)), ("contact_force", run("contact_force", T.forces(s, d)), F.max(none)),
+        ("failure", run("failure", e, limit=0.005), F.sum("effective_plastic_strain")),
+    ]
+    return rounded(reduce(DataFrame.union, (df.agg(F.lit(name).alias("template"), F.count("*").alias("answers"), total.alias("total")) for name, df, total in asked)), 4)
+
+
+@query(f"WITH {T.ES} SELECT {KEY}, state_idx, sxx FROM es WHERE state_idx BETWEEN 40 AND 60 AND sxx > 45")
 def merged_settings(s, d):
-    base = {"threads": 1, "output": {"form": "csv", "digits": 6}, "name": "x"}
-    found = templates.merged(base, {"output": {"digits": 3}}, templates.from_environment({"STRESSFRAME_THREADS": "8", "STRESSFRAME_OUTPUT__FORM": "json", "OTHER": "1"}))
-    flat = {"threads": found["threads"], "output.form": found["output"]["form"], "output.digits": found["output"]["digits"], "name": found["name"]}
-    return s.createDataFrame([(k, str(v)) for k, v in flat.items()], "setting string, value string")
+    """A question whose limits come from defaults, a file and the environment, later ones first."""
+    base = {"states": {"first": 40, "last": 50}, "limit": 30.0}
+    found = templates.merged(base, {"limit": 45.0}, templates.from_environment({"STRESSFRAME_STATES__LAST": "60", "OTHER": "1"}))
+    return T.element_states(s, d).where(F.col("state_idx").between(found["states"]["first"], found["states"]["last"]) & (F.col("sxx") > found["limit"])).select("row_id", "row_line", "part_id", "element_id", "state_idx", "sxx")
 
 
 @query(f"WITH {EX} SELECT 'parts_all' AS job, part_id AS target, state_idx, round(max(eps), 6) AS value FROM ex GROUP BY 2, 3 UNION ALL SELECT 'sets', part_id % 5, arg_max(state_idx, (v, -state_idx)), max(v) FROM (SELECT part_id % 5 AS part_id, state_idx, max(syy) AS v FROM ex GROUP BY 1, 2) GROUP BY part_id UNION ALL SELECT 'beams', part_id, state_idx, max(sxx) FROM ex GROUP BY 2, 3")

@@ -16,7 +16,7 @@ from ..operators import results as R
 from ..operators import series as S
 from ..operators.contact import contact_metrics
 from ..operators.query import Query
-from ..operators.select import Parts, Quantities, States, Values
+from ..operators.select import QUANTITIES, Parts, States, Values
 
 
 @dataclass
@@ -55,6 +55,11 @@ def _compare(data: DataFrame, part_ids: tuple, quantity: str) -> DataFrame:
     return P.global_extremes(P.part_state_statistics(Parts.by_id(*part_ids).apply(data), [quantity]), quantity)
 
 
+def _envelope(data: DataFrame, quantity: str) -> DataFrame:
+    """By its own name: a group of that name has several quantities."""
+    return R.spatial_max(data.withColumn("__q", QUANTITIES[quantity]()), "__q")
+
+
 TEMPLATES: dict[str, Template] = {
     t.name: t
     for t in (
@@ -64,7 +69,7 @@ TEMPLATES: dict[str, Template] = {
         Template("critical_zones", _critical, "stress", {"quantity": "von_mises", "limit": 500.0}),
         Template("element_history", _element, "history", {"element_id": 1, "quantity": "von_mises"}),
         Template("part_comparison", _compare, "stress", {"part_ids": (1, 2), "quantity": "von_mises"}),
-        Template("displacement_envelope", lambda data, quantity: R.spatial_max(data.withColumn("__q", Quantities([quantity]).columns()[0]), "__q"), "motion", {"quantity": "displacement"}),
+        Template("displacement_envelope", _envelope, "motion", {"quantity": "displacement"}),
         Template("energy_balance", S.energy_audit, "energy"),
         Template("contact_force", contact_metrics, "contact"),
         Template("failure", _critical, "strain", {"quantity": "effective_plastic_strain", "limit": 0.3}),

@@ -528,13 +528,13 @@ def test_percentiles_of_groups(spark, few):
     rng = random.Random(9)
     groups = {"a": [rng.gauss(0, 1e3) for _ in range(900)], "b": [5.0] * 60 + [7.0] * 61, "c": [1.25], "d": [math.inf, -math.inf, 0.0, -0.0, 1e-300], None: [rng.random() for _ in range(40)], "e": [None, math.nan]}
     df = spark.createDataFrame([(g, v, 1) for g, vs in groups.items() for v in vs], "g string, v double, n int").repartition(3)
-    shares = [0.95, 0.5, 0.25, 0.0, 1.0]
+    shares = [0.95, 0.5, 0.25, 0.0, 1.0, None]
     got = {r["g"]: r for r in quantile.group_order_statistics(df, ["g"], "v", shares, few).collect()}
     assert set(got) == set(groups) - {"e"}
     for g, r in got.items():
         own = sorted(groups[g])
         assert r["n"] == len(own)
         for j, share in enumerate(shares):
-            place = share * (len(own) - 1)
+            place = len(own) // 2 if share is None else share * (len(own) - 1)
             a, b = own[math.floor(place)], own[math.ceil(place)]
             assert r[f"q{j}"] == pytest.approx(a if a == b else a + (b - a) * (place - math.floor(place)))
