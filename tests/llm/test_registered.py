@@ -26,6 +26,7 @@ def test_query_equals_sql(spark, sf, name):
     assert sorted(got.columns) == names
 
     def rows(frame):
-        return sorted(map(str, frame[names].astype(str).itertuples(index=False)))
+        plain = frame[names].astype(object)
+        return sorted(str([int(v) if isinstance(v, float) and v.is_integer() else v for v in r]) for r in plain.where(plain.notna(), None).itertuples(index=False))
 
     assert rows(got) == rows(want)
