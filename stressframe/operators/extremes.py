@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Bits of the tie-break; of these, of an element behind a state.
 BITS, ELEMENT_BITS = 62, 40
 _INFINITE = 2047 << 52
+#: Columns up to which extremes are hashed. A decimal costs more than a share of a sort, so beyond them rows are sorted once for all.
+HASHED = 2
 
 
 def with_order_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -54,8 +56,11 @@ def _number(n: int) -> Column:
 
 
 def with_extremes(df: DataFrame, columns: Sequence[str], tie: Column) -> DataFrame:
-    """``df`` and, for each column, ``__max_<column>`` and ``__min_<column>``: decimals that are largest for the largest and for the least value, and of equal ones for the least ``tie`` (0 to 2^62 - 1)."""
+    """``df`` and, for each column, ``__max_<column>`` and ``__min_<column>``, which are largest for the largest and for the least value, and of equal ones for the least ``tie`` (0 to 2^62 - 1)."""
     held = [F.col(f"`{c}`") for c in df.columns]
+    if len(set(columns)) > HASHED:
+        of = lambda c, v: F.when(F.col(f"`{c}`").isNotNull(), F.struct(v, -tie))
+        return df.select(*held, *(x for c in dict.fromkeys(columns) for x in (of(c, F.col(f"`{c}`")).alias(f"__max_{c}"), of(c, -F.col(f"`{c}`")).alias(f"__min_{c}"))))
     whole = F.when((tie >= 0) & (tie < F.lit(1 << BITS)), tie).otherwise(F.raise_error(F.lit("an id is out of the range of tie-breaks")).cast("long"))
     keyed = with_order_keys(df.select(*held, (F.lit((1 << BITS) - 1) - whole).cast("decimal(19,0)").alias("__tie")), columns)
     name = lambda c, sign: "__max_" + c if sign > 0 else "__min_" + c

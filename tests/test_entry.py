@@ -23,6 +23,6 @@ def test_other_tests_pass_without_llm(tmp_path):
     shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     env = {**os.environ, "PYTHONPATH": os.pathsep.join(filter(None, [str(tmp_path), *sys.path, os.environ.get("PYTHONPATH", "")]))}
-    for args in (["tests", "--collect-only"], ["tests/test_plans.py", "tests/test_operators.py", "-k", "pushed or columns or graph or extremes or statistics or binary"]):
+    for args in (["tests", "--collect-only"], ["tests/test_plans.py", "tests/test_operators.py", "-k", "pushed or columns or graph or doubles or percentile_filters"]):
         said = subprocess.run([sys.executable, "-m", "pytest", *args, "-q", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
         assert said.returncode == 0, said.stdout[-2000:]
