@@ -377,7 +377,7 @@ def run_terminations(s, d):
 def run_folders(s, d):
     root = new_path(s)
     for r in range(T.read(s, d, "region").count()):
-        binary.write_bytes(f"{root}/run_{r}/d3plot", b"x" * (r + 1), [])
+        binary.write_bytes(f"{root}/run_{r}/resultplot", b"x" * (r + 1), [])
     return text.runs(s, root).select("run", "has_results")
 
 
