@@ -224,6 +224,39 @@ def test_neighbours_in_clusters_and_a_dense_cell(spark, monkeypatch, bundle):
     assert sum(len(set(got[q]) & {j for _, j in want[q]}) for q in want) >= 0.95 * 10 * len(want)
 
 
+def _kinds(n, d, rng):
+    """Rows that no forecast of even scatter fits."""
+    normal, centres = rng.normal(size=(n, d)), rng.normal(size=(60, d))
+    yield "few directions", rng.normal(size=(n, 3)) @ rng.normal(size=(3, d))
+    yield "directions of falling spread", normal / np.arange(1, d + 1) ** 1.5
+    yield "clusters of many lengths", centres[rng.integers(0, 60, n)] * rng.lognormal(0, 1, (n, 1)) + 0.3 * normal
+    yield "mostly zeros", (rng.random((n, d)) < 0.15) * rng.random((n, d))
+    yield "far from the origin", normal + 1e5
+    yield "beyond squares of floats", normal * 1e30
+    yield "below squares of floats", normal * 1e-30
+
+
+@pytest.mark.parametrize("kind", range(7))
+def test_neighbours_in_rows_of_other_kinds(spark, monkeypatch, kind):
+    """Recall is measured by the search itself, so it holds whatever the vectors are like; each query has all its rows."""
+    monkeypatch.setattr(ann, "BUNDLE", 1024)
+    name, x = list(_kinds(3000, 24, np.random.default_rng(8)))[kind]
+    rows = [(i, v) for i, v in enumerate(x.tolist()) if any(v)]
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), 20 * np.arange(len(s))] = -np.inf
+    want = {20 * i: set(np.argsort(-r, kind="stable")[:20].tolist()) for i, r in enumerate(s) if x[20 * i].any()}
+    got = ranked(spark, rows, 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(set(got[q]) & want[q]) for q in want) >= 0.95 * 20 * len(want), name
+
+
+def test_neighbours_with_many_ties(spark):
+    """950 different vectors at one score: the smaller ids win."""
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, *rng.normal(size=2).tolist()]) for i in range(1, 951)]
+    assert ranked(spark, rows)[0] == [1, 2, 3, 4, 5]
+
+
 def test_cells_foretold():
     """In clustered vectors few cells hold the nearest; without structure the share foretold is read."""
     rng = np.random.default_rng(7)
