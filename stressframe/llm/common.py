@@ -51,6 +51,24 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+#: Bytes that are handed to Python at once about, where by default 10,000 rows go together, however long; rows that a Parquet reader holds at once.
+BATCH_BYTES, READ_ROWS = 4 << 20, 1024
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans run inside read and hand on texts in small batches, so these take little memory of the JVM and of Python."""
+    before = {k: spark.conf.get(k, None) for k in _BATCHES}
+    for k, v in _BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _path(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -64,7 +82,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/part-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark), small_batches(spark):
         df.write.parquet(path)
     files, at = _path(spark, path)
     files.deleteOnExit(at)

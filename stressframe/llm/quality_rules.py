@@ -173,8 +173,13 @@ def measured_distances(found: DataFrame) -> DataFrame:
         lang = [None if pd.isna(x) else x for x in lang]
         if not len(lang):
             return pd.DataFrame({"character": pd.Series(dtype=float), "word": pd.Series(dtype=float)})
-        return pd.DataFrame({name: _from_own(held.value, lang, np.stack(list(counts)), i) for i, (name, counts) in enumerate((("character", characters), ("word", words)))})
+        out = []
+        for at in range(0, len(lang), 1024):  # histograms are wide, and a distance takes several copies of them
+            some = slice(at, at + 1024)
+            out.append(pd.DataFrame({name: _from_own(held.value, lang[some], np.stack(counts.to_numpy()[some]), i) for i, (name, counts) in enumerate((("character", characters), ("word", words)))}))
+        return pd.concat(out, ignore_index=True)
 
+    far = far.asNondeterministic()  # else filters repeat it, and a task then takes a second Python worker
     each = found.withColumn("__far", far("__lang", "characters", "words")).withColumn("__n", F.aggregate("words", F.lit(0).cast("long"), lambda a, v: a + v))
     size = F.aggregate("characters", F.lit(0).cast("long"), lambda a, v: a + v)
     at = lambda c, ok: F.when(ok & ~F.isnan(c), c)

@@ -3,7 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
-from stressframe.llm import substring_dedup
+import pyarrow as pa
+from pyspark.sql import functions as F
+from stressframe.llm import common, quality_rules, substring_dedup
 from tests_llm_helpers import brute_classes, brute_windows
 
 
@@ -51,3 +53,23 @@ def test_stages_on_odd_input(spark, sf):
         else:
             assert set(ids) == {r[0] for r in rows}
         assert stage(spark, df.limit(0), sf).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Memory of a task is bounded by bytes, not by rows: 4000 long texts don't go together, and none is lost."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    texts = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    rows = common.materialize(texts.mapInArrow(seen, "n long, size long")).collect()
+    assert sum(r["n"] for r in rows) == 4000 and max(r["size"] for r in rows) < 2 * common.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_a_task_of_quality_rules_takes_one_python_worker(spark, sf):
+    """The distances are computed once in the last plan, though the filter and the columns both use them."""
+    kept = quality_rules.keep(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
