@@ -61,7 +61,7 @@ def _family(s: SparkSession, d: str, order: str = "<", size: int = 8, states_per
     moved = nodes.crossJoin(F.broadcast(states.select("state_idx"))).select("state_idx", "node_idx", *((F.col(c) + F.col("state_idx") * k).alias(c) for c, k in (("x", 0.5), ("y", 0.25), ("z", -0.125))), *((F.col("node_idx") * k + F.col("state_idx")).cast("double").alias(c) for k, c in enumerate(("vx", "vy", "vz", "ax", "ay", "az"), 1)))  # the months are few
     by_part = item.groupBy("state_idx", F.col("l_partkey").cast("int").alias("elem_idx")).agg(words(SOLID_WORDS).alias("words"))
     by_nation = item.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("state_idx", F.col("s_nationkey").alias("elem_idx")).agg(words(BEAM_WORDS).alias("words"))
-    binary.write_family(base, "lineitem by months", nodes, solids.union(beams), states, moved, {"SOLID": by_part, "BEAM": by_nation}, order, size, states_per_file)
+    binary.write_family(base, "lineitem by months", nodes, solids.union(beams), states, moved, {"SOLID": by_part, "BEAM": by_nation}, order, size, states_per_file, widths={"SOLID": len(SOLID_WORDS), "BEAM": len(BEAM_WORDS)})
     return base
 
 

@@ -35,6 +35,10 @@ WIDTH = {"SOLID": "nv3d", "THICK_SHELL": "nv3dt", "BEAM": "nv1d", "SHELL": "nv2d
 TEMPERATURES = {1: 1, 2: 3, 3: 3}
 #: Bytes of a range, and rows of a batch.
 SPAN, ROWS = 32 << 20, 1 << 15
+#: Ranges that a smaller span may make; beyond them ranges grow, up to SPAN, as a task for each few thousand bytes would take longer than all reading.
+RANGES = 256
+#: Most words between two rows that are written at once with them.
+GAP = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -233,24 +237,31 @@ class FamilyReader(DataSourceReader):
             return at.n["numnp"], 3 * max(1, len(self.fields))
         return 1, 1 + at.n["nglbv"] if self.content == "globals" else 1
 
+    def _span(self, size: int) -> int:
+        """Bytes of a range, where so many are read in all."""
+        return max(self.span, min(SPAN, size // RANGES))
+
     def partitions(self) -> Sequence[Range]:
         at, out = self.at, []
         if self.content in ("nodes", "elements"):
             kinds = [("NODE", at.n["numnp"], 3)] if self.content == "nodes" else [(k, at.count(k), CARD[k]) for k in CLASSES]
+            span = self._span(sum(count * words * at.size for _, count, words in kinds))
             for kind, count, words in kinds:
-                step = max(1, self.span // (words * at.size))
+                step = max(1, span // (words * at.size))
                 out += [Range(kind, 0, 0, 0, 0, low, min(count, low + step)) for low in range(0, count, step)]
             return out or [Range("NODE" if self.content == "nodes" else "SOLID", 0, 0, 0, 0, 0, 0)]
         things, words = self._things()
         each = max(1, things * words * at.size)
-        states, step = max(1, self.span // each), max(1, self.span // (words * at.size)) if words else things
+        asked = []
+        for path, part, size in _files(self.base):
+            if self._wanted("part", part):
+                start, n = self._states(path, part, size)
+                asked.append((path, part, start, [k for k in range(n) if self._wanted("place", k)]))
+        span = self._span(sum(len(places) for *_, places in asked) * each)
+        states, step = max(1, span // each), max(1, span // (words * at.size)) if words else things
         if self.content == "times":
             states = 4096  # reads of a word each
-        for path, part, size in _files(self.base):
-            if not self._wanted("part", part):
-                continue
-            start, n = self._states(path, part, size)
-            places = [k for k in range(n) if self._wanted("place", k)]
+        for path, part, start, places in asked:
             runs = np.split(places, np.flatnonzero(np.diff(places) != 1) + 1) if places else []
             for run in runs:
                 for first in range(int(run[0]), int(run[-1]) + 1, states):
@@ -371,7 +382,9 @@ class FamilyWriter(DataSourceArrowWriter):
             words, whole = batch.column("words"), batch.column("whole").to_numpy(zero_copy_only=False)
             sizes = np.asarray(words.value_lengths())
             values, ends = np.asarray(words.flatten()), np.concatenate([[0], np.cumsum(sizes)])
-            breaks = np.flatnonzero((file[1:] != file[:-1]) | (whole[1:] != whole[:-1]) | (start[1:] != start[:-1] + sizes[:-1])) + 1
+            gap = start[1:] - (start[:-1] + sizes[:-1])
+            breaks = np.flatnonzero((file[1:] != file[:-1]) | (whole[1:] != whole[:-1]) | (gap < 0) | (gap > GAP)) + 1
+            place = np.repeat(start - ends[:-1], sizes) + np.arange(len(values))  # the word of each value
             for a, b in zip([0, *breaks], [*breaks, len(file)], strict=True):
                 if a == b:
                     continue
@@ -386,7 +399,8 @@ class FamilyWriter(DataSourceArrowWriter):
                 if start[a] < at:
                     raise ValueError(f"file {current}: two rows at word {start[a]}")
                 self._zeros(out, start[a] - at)
-                run = values[ends[a] : ends[b]]
+                run = np.zeros(int(start[b - 1] + sizes[b - 1] - start[a]))
+                run[place[ends[a] : ends[b]] - start[a]] = values[ends[a] : ends[b]]
                 out.write(np.asarray(run, f"{self.order}{'i' if whole[a] else 'f'}{self.size}").tobytes())
                 at = int(start[a]) + len(run)
         self._finish(out, at, current)
@@ -494,21 +508,22 @@ def _counted(nodes: DataFrame, elements: DataFrame) -> dict:
     return {"numnp": nodes.agg(F.coalesce(F.max("node_idx") + 1, F.lit(0))).first()[0], **{COUNT[k]: found.get(k, 0) for k in CLASSES}}
 
 
-def write_family(base: str, title: str, nodes: DataFrame, elements: DataFrame, states: DataFrame, node_states: DataFrame | None = None, element_states: dict[str, DataFrame] | None = None, order: str = "<", size: int = 4, states_per_file: int = 100, with_ids: bool = True) -> Layout:
+def write_family(base: str, title: str, nodes: DataFrame, elements: DataFrame, states: DataFrame, node_states: DataFrame | None = None, element_states: dict[str, DataFrame] | None = None, order: str = "<", size: int = 4, states_per_file: int = 100, with_ids: bool = True, widths: dict[str, int] | None = None) -> Layout:
     """Write a family from tables, and return its layout.
 
     nodes: node_idx, node_id, x, y, z. elements: etype, elem_idx, elem_id, material_id, node_ids.
     states: state_idx (0, 1, ...), time, globals (an array of one length). node_states:
     state_idx, node_idx and the columns of place, velocity and acceleration that it has.
-    element_states: state_idx, elem_idx, words (of one length) by class. What no row names is
-    zero; a node, element or state named twice is an error. Rows are sorted by their place,
-    a task for each file; nothing but counters reaches the driver.
+    element_states: state_idx, elem_idx, words (of one length, counted by a pass over the rows
+    where ``widths`` does not tell it) by class. What no row names is zero; a node, element
+    or state named twice is an error. Rows are sorted by their place, a task for each file;
+    nothing but counters reaches the driver.
     """
     spark, element_states = nodes.sparkSession, element_states or {}
     n = dict.fromkeys(HEADER, 0) | {"ndim": 4} | _counted(nodes, elements)
     last, n["nglbv"] = states.agg(F.max("state_idx"), F.coalesce(F.max(F.size("globals")), F.lit(0))).first()
     for kind, rows in element_states.items():
-        n[WIDTH[kind]] = rows.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
+        n[WIDTH[kind]] = widths[kind] if widths and kind in widths else rows.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     for flag, name in (("iu", "place"), ("iv", "velocity"), ("ia", "acceleration")):
         n[flag] = int(node_states is not None and set(NODAL[name]) <= set(node_states.columns))
     total = n["numnp"] + sum(n[COUNT[k]] for k in CLASSES)
@@ -544,14 +559,15 @@ def write_family(base: str, title: str, nodes: DataFrame, elements: DataFrame, s
             placed.append(node_states.select(row(file, begin + start + words * F.col("node_idx").cast("long"), F.array(*NODAL[name]))))
     for kind, rows in element_states.items():
         start, width = at.values_at(kind)
-        placed.append(rows.select(row(file, begin + start + width * F.col("elem_idx").cast("long"), F.col("words"))))
+        words = F.when(F.size("words") <= width, F.col("words")).otherwise(F.raise_error(F.lit(f"{kind}: more than {width} words")))
+        placed.append(rows.select(row(file, begin + start + width * F.col("elem_idx").cast("long"), words)))
     lengths = {0: at.mesh_words, **{k: c * at.state_words for k, c in enumerate(held, 1)}}
     rows = spark.createDataFrame([(k, end, [], False) for k, end in lengths.items()], PLACED)  # so that a file of no rows is there too
     for more in placed:
         rows = rows.union(more)
     spark.dataSource.register(ResultFamily)
     options = {"path": base, "order": order, "size": str(size), "head": header(at).hex(), "lengths": ",".join(f"{k}:{v}" for k, v in lengths.items()), "job": uuid.uuid4().hex}
-    dealt = rows.repartition(len(lengths), "file").sortWithinPartitions("file", "at")
+    dealt = rows.repartitionById(len(lengths), F.col("file")).sortWithinPartitions("file", "at")
     dealt.write.format("result_family").options(**options).mode("append").save()
     return replace(at)
 

@@ -62,6 +62,33 @@ def test_filters_and_ranges_make_the_tasks(spark, tmp_path):
     assert rows.where("part = 9").count() == 0
 
 
+def test_small_spans_of_a_large_family_make_few_tasks(spark, tmp_path):
+    """Ranges of a few bytes grow until there are some hundred tasks, and all is read."""
+    base = f"{tmp_path}/res"
+    mesh = binary.pack_mesh("many", {"nv1d": 1, "iu": 1}, np.zeros((3000, 3)), {"BEAM": np.array([[1, 2, 0, 0, 0, 1]] * 2000)})
+    states = [np.arange(9000 + 2001) + 7.0 * k for k in range(30)]
+    binary.write_bytes(base, mesh, [binary.pack_states(states[:20]), binary.pack_states(states[20:])])
+    rows, motion = binary.element_states(spark, base, "BEAM", span=16), binary.node_states(spark, base, ("place",), 16)
+    assert all(df.rdd.getNumPartitions() <= 2 * binary.RANGES for df in (rows, motion, binary.nodes(spark, base, 16), binary.elements(spark, base, 16)))
+    assert rows.agg(F.count("*"), F.sum(F.col("words")[0])).first()[:] == (60_000, float(sum(s[9001:].sum() for s in states)))
+    assert motion.agg(F.count("*"), F.sum(F.col("x") + F.col("y") + F.col("z"))).first()[:] == (90_000, float(sum(s[1:9001].sum() for s in states)))
+
+
+def test_writer_scatters_rows_with_gaps(spark, tmp_path):
+    """Rows between which nothing, little or much stands are where they belong, and all else is zero."""
+    places = [0, 1, 2, 5, 6, 900, 901, 2900, 2999]
+    nodes = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0)], "node_idx int, node_id int, x double, y double, z double")
+    elements = spark.createDataFrame([("BEAM", 2999, 7, 3, [0, 0])], "etype string, elem_idx int, elem_id int, material_id int, node_ids array<int>")
+    states = spark.createDataFrame([(k, k + 0.5, [1.0]) for k in range(3)], "state_idx int, time double, globals array<double>")
+    words = spark.createDataFrame([(k, e, [e + 1.0, k + 1.0]) for k in range(3) for e in places], "state_idx int, elem_idx int, words array<double>")
+    base = f"file://{tmp_path}/a/res"
+    binary.write_family(base, "x", nodes, elements, states, None, {"BEAM": words}, "<", 8, 2, widths={"BEAM": 2})
+    got = [(r["part"] * 2 - 2 + r["place"], r["elem_idx"], r["words"]) for r in binary.element_states(spark, base, "BEAM").collect()]
+    assert sorted(got) == [(k, e, [e + 1.0, k + 1.0] if e in places else [0.0, 0.0]) for k in range(3) for e in range(3000)]
+    with pytest.raises(Exception, match="more than 1 words"):
+        binary.write_family(f"file://{tmp_path}/b/res", "x", nodes, elements, states, None, {"BEAM": words}, "<", 8, 2, widths={"BEAM": 1})
+
+
 def test_writer_fills_with_zeros_and_refuses_doubles(spark, tmp_path):
     nodes = spark.createDataFrame([(0, 7, 1.0, 2.0, 3.0), (2, 9, 4.0, 5.0, 6.0)], "node_idx int, node_id int, x double, y double, z double")
     elements = spark.createDataFrame([("SHELL", 1, 5, 3, [0, 1, 2, 2])], "etype string, elem_idx int, elem_id int, material_id int, node_ids array<int>")
