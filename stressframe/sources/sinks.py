@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,19 +70,29 @@ def _card(width: int, c: str, kind: str) -> Column:
     return F.format_string(f"%{width}{kind}", F.col(c))
 
 
+def _numbers(width: int, digits: int, *columns: Column) -> Column:
+    """Numbers side by side as C prints them, from their exact values: Java rounds the shortest decimal, which makes 100.05 (a little less in binary) 1.001e+02."""
+    form, none = f"%{width}.{digits}e", "null".rjust(width)
+
+    def shown(*of: pa.Array) -> pa.Array:
+        return pa.array(["".join(none if v is None else form % v for v in row) for row in zip(*(a.to_pylist() for a in of), strict=True)], pa.string())
+
+    return F.arrow_udf(shown, "string")(*(c.cast("double") for c in columns))
+
+
 def keyword_nodes(nodes: DataFrame) -> DataFrame:
     """value: *NODE lines of places, eight and sixteen columns wide."""
-    return nodes.select("node_id", F.concat(_card(8, "node_id", "d"), *(F.format_string("%16.8e", F.col(c)) for c in "xyz")).alias("value"))
+    return nodes.select("node_id", F.concat(_card(8, "node_id", "d"), _numbers(16, 8, *map(F.col, "xyz"))).alias("value"))
 
 
 def keyword_velocities(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node_id", F.concat(_card(10, "node_id", "d"), *(F.format_string("%10.3e", F.col(c)) for c in ("vx", "vy", "vz"))).alias("value"))
+    return nodes.select("node_id", F.concat(_card(10, "node_id", "d"), _numbers(10, 3, *map(F.col, ("vx", "vy", "vz")))).alias("value"))
 
 
 def keyword_stresses(states: DataFrame) -> DataFrame:
     """Initial stresses of solids: a line of the element, then six components and the plastic strain."""
     head = F.format_string("%10d%10d", F.col("element_id"), F.lit(1))
-    body = F.concat(*(F.format_string("%10.3e", F.col(c)) for c in ("sxx", "syy", "szz", "txy", "tyz", "tzx", "eps")))
+    body = _numbers(10, 3, *map(F.col, ("sxx", "syy", "szz", "txy", "tyz", "tzx", "eps")))
     return states.select(F.col("element_id").alias("node_id"), F.concat(head, F.lit("\n"), body).alias("value"))
 
 
@@ -99,7 +110,7 @@ def keyword_deformed(nodes: DataFrame, scale: float = 1.0) -> DataFrame:
 
 def keyword_displacements(nodes: DataFrame) -> DataFrame:
     """value: lines of displacements, eight and sixteen columns wide."""
-    return nodes.select("node_id", F.concat(_card(8, "node_id", "d"), *(F.format_string("%16.8e", F.col(c) - F.col(f"{c}0")) for c in "xyz")).alias("value"))
+    return nodes.select("node_id", F.concat(_card(8, "node_id", "d"), _numbers(16, 8, *(F.col(c) - F.col(f"{c}0") for c in "xyz"))).alias("value"))
 
 
 def vtk_points(nodes: DataFrame) -> DataFrame:

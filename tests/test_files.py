@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stressframe.sources import binary, history, text
+from stressframe.sources import binary, history, sinks, text
 
 
 def at_of(**n):
@@ -125,6 +125,12 @@ def test_history_that_breaks_off(spark, tmp_path, little):
     assert history.read(spark, f"{tmp_path}/binout*", ["other"]).select(F.col("values")[0]).first()[0] == 9.0
 
 
+def test_numbers_of_cards_are_rounded_by_their_exact_values(spark):
+    """100.05 is a little less in binary and 0.10005 a little more; 1000.5 and 1001.5 are exact halves, which go to the even one."""
+    rows = spark.createDataFrame([(1, 100.05, 0.10005, -1000.5), (2, 1001.5, None, 0.0)], "node_id int, vx double, vy double, vz double")
+    assert [r["value"] for r in sinks.keyword_velocities(rows).orderBy("node_id").collect()] == ["         1 1.000e+02" + " 1.001e-01" + "-1.000e+03", "         2 1.002e+03" + "      null" + " 0.000e+00"]
+
+
 def deck_text(rng):
     """Cards of many lines, comments, blank lines, an end in the middle of a file."""
     out = ["*KEYWORD", "$ a comment"]
