@@ -116,16 +116,47 @@ def idw_surface(points: DataFrame, value: str, size: int = 31, power: float = 2.
     return pairs.groupBy("i", "j").agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
 
 
+#: Places of a block, of which a task meets two.
+BLOCK = 4096
+
+
 def leave_one_out(points: DataFrame, key: str, value: str, power: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """IDW estimate of each point from the other points of its group, such as a face, of which a test has a few hundred."""
+    """IDW estimate of each point from the other points of its group, such as a face.
+
+    Points at one place are summed first: all pairs of places are met, in blocks, and a point
+    takes itself out of its own place. Points of which that would not be exact (a key in
+    several rows, a place with values that are not finite) meet all other points one by one.
+    """
+    points = points.select(*by, key, "x", "y", value).dropna(subset=[*by, key])
+    place, v = [*by, "x", "y"], F.col(value).cast("double")
+    weight = lambda x, y: 1 / F.pow(F.greatest((F.col("x") - F.col(x)) ** 2 + (F.col("y") - F.col(y)) ** 2, F.lit(1e-18)), F.lit(power / 2))
+    places = materialize(points.groupBy(*place).agg(F.count("*").alias("__n"), F.count(value).alias("__held"), F.sum(v).alias("__s"))).withColumn("__odd", ~F.coalesce(F.abs("__s") < float("inf"), F.col("__held") == 0))
+    blocks = -(-(places.groupBy(*by).count().agg(F.max("count")).first()[0] or 1) // BLOCK)
+    each, block = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int")
+    one = places.select(*place, block.alias("__i"), F.explode(each).alias("__j")).repartition(min(blocks * blocks, 4096), "__i", "__j")
+    two = places.select(*by, F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("__n"), F.col("__s"), block.alias("__j"), F.explode(each).alias("__i"))
+    pairs = one.join(two, [*by, "__i", "__j"]).where(~(F.col("x").eqNullSafe(F.col("__x")) & F.col("y").eqNullSafe(F.col("__y")))).withColumn("__w", weight("__x", "__y"))
+    others = pairs.groupBy(*place).agg(F.sum(F.col("__w") * F.col("__s")).alias("__a"), F.sum(F.col("__w") * F.col("__n")).alias("__b"))
+    alike = lambda names: [F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in names]
+    known = places.alias("p").join(others.alias("o"), alike(place), "left").select(*(f"p.{c}" for c in [*place, "__n", "__held", "__s", "__odd"]), "__a", "__b")
+    repeated = points.groupBy(*by, key).count().where("count > 1").select(*by, key, F.lit(True).alias("__again"))
+    ready = points.join(repeated, [*by, key], "left").alias("p").join(known.alias("o"), alike(place)).select(*(f"p.{c}" for c in [*by, key, "x", "y", value]), "__again", "__n", "__held", "__s", "__odd", "__a", "__b")
+    plain = ~F.coalesce("__again", "__odd")
+    there = F.col("__held") > F.when(F.col(value).isNotNull(), 1).otherwise(0)  # values of others at the same place
+    own = weight("x", "y")
+    near = F.when(there, own * (F.col("__s") - F.coalesce(v, F.lit(0.0))))
+    above = F.coalesce(F.col("__a") + near, "__a", near)
+    below = F.coalesce("__b", F.lit(0.0)) + own * (F.col("__n") - 1)
+    exact = ready.where(plain & ((F.col("__n") > 1) | F.col("__b").isNotNull())).select(*by, key, value, (above / below).alias("estimate"))
+    if not repeated.limit(1).count() and not places.where("__odd").limit(1).count():
+        return exact
     other = points.select(*(F.col(b).alias(f"__{b}") for b in by), F.col(key).alias("__k"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(value).alias("__v"))
     same = F.col(key) != F.col("__k")
     for b in by:
         same &= F.col(b) == F.col(f"__{b}")
-    pairs = points.join(other, same)
-    d2 = (F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2
-    w = 1 / F.pow(F.greatest(d2, F.lit(1e-18)), F.lit(power / 2))
-    return pairs.groupBy(*by, key, value).agg((F.sum(w * F.col("__v")) / F.sum(w)).alias("estimate"))
+    w = weight("__x", "__y")
+    single = ready.where(~plain).join(other, same).groupBy(*by, key, value).agg((F.sum(w * F.col("__v")) / F.sum(w)).alias("estimate"))
+    return exact.union(single)
 
 
 def pareto(df: DataFrame, c: str, item: str = "part_id") -> DataFrame:
