@@ -41,8 +41,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a path, when nothing is to read it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialize`` gave, when nothing is to read them any more."""
     for df in tables:
-        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        discard(df.sparkSession, df._stored_at)

@@ -180,3 +180,21 @@ def test_deck_in_many_splits(spark, tmp_path, size):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_headers_leave_no_families(spark, sf, monkeypatch):
+    """A family of which the header has been read is deleted before the next is written."""
+    from pathlib import Path
+
+    from stressframe.plans import queries_files, registry
+
+    written, there, write = [], [], queries_files._family
+
+    def family(*of):
+        there.append([Path(base.removeprefix("file://")).exists() for base in written])
+        written.append(write(*of))
+        return written[-1]
+
+    monkeypatch.setattr(queries_files, "_family", family)
+    assert registry.QUERIES["result_headers"](spark, sf).count() == 2 and there == [[], [False]]
+    assert not [base for base in written if Path(base.removeprefix("file://")).parent.exists()]
