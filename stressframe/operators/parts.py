@@ -132,26 +132,30 @@ OF_FACE = ("von_mises", "principal_1", "principal_3", "normal_stress", "shear_st
 
 
 def parts_and_faces(states: DataFrame, faces: DataFrame, ties: int | None = None) -> DataFrame:
-    """One scan for both: kind (part or surface), target, state_idx, quantity, max, min, avg and the elements of the extremes.
+    """Both by one rule: kind (part or surface), target, state_idx, quantity, max, min, avg and the elements of the extremes.
 
     ``faces``: surface, element_id and the unit normal nx, ny, nz; an element may have several
     faces on a surface, and each counts. A part has the seven quantities of stress and strain,
     a surface von Mises, S1, S3 and the normal and shear stress on its faces; a quantity that
-    is NULL in all rows gives none. Values are hashed in tasks first, and none are sorted.
+    is NULL in all rows gives none. Parts are many and have few rows a state, so the rows
+    themselves are dealt by part and state, once, and quantities are made behind that; the rows
+    of surfaces, which are few, are hashed in tasks first. None are sorted.
     """
-    on = faces.groupBy("element_id").agg(F.collect_list(F.struct("surface", "nx", "ny", "nz")).alias("__on"))  # six faces an element, by the surfaces that share them
-    ready = with_principals(with_principals(states.select("part_id", "element_id", "state_idx", *STRESS, "eps", *STRAIN), STRAIN, "e"), STRESS, "s")
-    ready = ready.select("part_id", "element_id", "state_idx", *STRESS, F.sqrt(3 * F.col("sj2")).alias("vm"), "s1", "s3", "eps", "e1", "e3", F.sqrt(F.col("ej2") * 4 / 3).alias("evm")).join(on, "element_id", "left")
-    none = F.lit(None).cast("double")
-    part = F.array(F.struct(F.lit("part").alias("kind"), F.col("part_id").cast("string").alias("target"), none.alias("nx"), none.alias("ny"), none.alias("nz")))
-    there = F.transform(F.coalesce("__on", F.array().cast(on.schema["__on"].dataType)), lambda f: F.struct(F.lit("surface").alias("kind"), f["surface"].alias("target"), f["nx"].alias("nx"), f["ny"].alias("ny"), f["nz"].alias("nz")))
-    each = ready.select("element_id", "state_idx", *STRESS, "vm", "s1", "s3", "eps", "e1", "e3", "evm", F.inline(F.concat(part, there)))
-    each = with_face_stress(each)
-    values = lambda names, columns: F.array(*(F.struct(F.lit(q).alias("quantity"), c.alias("value")) for q, c in zip(names, columns, strict=True)))
-    of_part, of_face = values(SEVEN, map(F.col, ("vm", "s1", "s3", "eps", "e1", "e3", "evm"))), values(OF_FACE, (F.col("vm"), F.col("s1"), F.col("s3"), F.col("normal"), F.col("shear")))
-    long = each.select("kind", "target", "state_idx", "element_id", F.inline(F.when(F.col("kind") == "part", of_part).otherwise(of_face))).where(F.col("value").isNotNull())
-    told, by = _ready(long, ["value"], ties)
-    return told.groupBy("kind", "target", "state_idx", "quantity").agg(F.max("value").alias("max"), F.min("value").alias("min"), F.avg("value").alias("avg"), at_largest("element_id", by["value"]).alias("max_element"), at_least("element_id", by["value"]).alias("min_element"))
+    rows = states.select("part_id", "element_id", "state_idx", *STRESS, "eps", *STRAIN)
+    values = lambda names, *columns: F.inline(F.array(*(F.struct(F.lit(q).alias("quantity"), F.col(c).alias("value")) for q, c in zip(names, columns, strict=True))))
+
+    def found(long: DataFrame, kind: str, target: str) -> DataFrame:
+        told, by = _ready(long.where(F.col("value").isNotNull()), ["value"], ties)
+        held = told.groupBy(target, "state_idx", "quantity").agg(F.max("value").alias("max"), F.min("value").alias("min"), F.avg("value").alias("avg"), at_largest("element_id", by["value"]).alias("max_element"), at_least("element_id", by["value"]).alias("min_element"))
+        return held.select(F.lit(kind).alias("kind"), F.col(target).cast("string").alias("target"), "state_idx", "quantity", "max", "min", "avg", "max_element", "min_element")
+
+    of_part = with_principals(with_principals(rows.repartition("part_id", "state_idx"), STRAIN, "e"), STRESS, "s")
+    of_part = of_part.select("part_id", "element_id", "state_idx", F.sqrt(3 * F.col("sj2")).alias("vm"), "s1", "s3", "eps", "e1", "e3", F.sqrt(F.col("ej2") * 4 / 3).alias("evm"))
+    of_part = of_part.select("part_id", "element_id", "state_idx", values(SEVEN, "vm", "s1", "s3", "eps", "e1", "e3", "evm"))
+    of_face = rows.select("element_id", "state_idx", *STRESS).join(faces.select("element_id", "surface", "nx", "ny", "nz"), "element_id")
+    of_face = with_face_stress(with_principals(of_face, STRESS, "s").withColumn("vm", F.sqrt(3 * F.col("sj2"))))
+    of_face = of_face.select("surface", "element_id", "state_idx", values(OF_FACE, "vm", "s1", "s3", "normal", "shear"))
+    return found(of_part, "part", "part_id").union(found(of_face, "surface", "surface"))
 
 
 def progress(series: DataFrame, total_states: int) -> DataFrame:

@@ -49,3 +49,10 @@ def test_extremes_are_hashed_in_tasks_first(spark, sf, name):
     nodes = re.findall(r"^\(\d+\) .*?(?=\n\n)", text, re.S | re.M)
     assert any(re.match(r"\(\d+\) HashAggregate", n) and "partial_max" in n for n in nodes)
     assert not [n for n in nodes if re.match(r"\(\d+\) SortAggregate", n) and re.search(r"max_by|state_idx|value", n)]
+
+
+def test_rows_of_parts_are_dealt_before_their_quantities(spark, sf):
+    """Seven rows a row and their sums are not shuffled: parts meet by part and state, only surfaces by quantity."""
+    dealt = re.findall(r"Arguments: hashpartitioning\((.*?)\)", plan(registry.QUERIES["parts_and_faces_in_one_pass"](spark, sf)))
+    assert any(re.match(r"part_id#\d+L?, state_idx#\d+, \d+$", a) for a in dealt)
+    assert not [a for a in dealt if "quantity" in a and not a.startswith("surface")]
