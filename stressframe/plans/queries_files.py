@@ -182,13 +182,15 @@ def _history(s: SparkSession, d: str, branch: str, little: bool = True) -> DataF
     i = F.col("event_id")
     e = T.read(s, d, "events").select(i, F.col("value").alias("v"), F.floor(i / TIMES_OF_A_FILE).cast("int").alias("f"))
     before = e.where((i % TIMES_OF_A_FILE == 0) & (i > 0)).select("event_id", (F.col("v") - 1).alias("v"), (F.col("f") - 1).alias("f"))
-    record = lambda folder, r: F.struct(folder.alias("folder"), F.lit(r[0]).alias("name"), F.lit(r[1]).alias("form"), F.expr(f"transform(array({r[2]}), x -> cast(x as double))").alias("values"))
-    state = F.format_string("d%06d", i - F.col("f") * TIMES_OF_A_FILE + 1)
-    moving = [record(F.concat(F.lit(f"/{b}/"), state), r) for b, own in BRANCHES.items() for r in [("time", "f8", "event_id * 0.5"), *own]]
+    record = lambda folder, r: F.struct(folder.alias("folder"), F.lit(r[0]).alias("name"), F.lit(r[1]).alias("form"), F.expr(f"cast(array({r[2]}) as array<double>)").alias("values"))
+    padded = lambda n, width: F.lpad(n.cast("string"), F.greatest(F.lit(width), F.length(n.cast("string"))), F.lit("0"))
+    moving = [record(F.concat(F.lit(f"/{b}/"), "state"), r) for b, own in BRANCHES.items() for r in [("time", "f8", "event_id * 0.5"), *own]]
     still = [record(F.lit(f"/{b}/metadata"), r) for b, own in STAYS.items() for r in own]
-    rows = e.union(before).select("f", "event_id", F.posexplode(F.array(*moving)).alias("k", "r")).union(e.select("f").distinct().select("f", F.lit(-1), F.posexplode(F.array(*still))))
+    times = e.union(before).repartition("f").withColumns({"state": F.concat(F.lit("d"), padded(i - F.col("f") * TIMES_OF_A_FILE + 1, 6)), "file": F.concat(F.lit("binout"), padded(F.col("f"), 4))})  # spread before a time becomes many records
+    files = e.select("f").distinct().select(F.concat(F.lit("binout"), padded(F.col("f"), 4)).alias("file"))
+    rows = times.select("file", "event_id", F.posexplode(F.array(*moving)).alias("k", "r")).union(files.select("file", F.lit(-1), F.posexplode(F.array(*still))))
     root = new_path(s)
-    history.write(rows.select(F.format_string("binout%04d", "f").alias("file"), (F.col("event_id") * 100 + F.col("k")).alias("at"), "r.*"), root, little)
+    history.write(rows.select("file", (F.col("event_id") * 100 + F.col("k")).alias("at"), "r.*"), root, little, files.count())
     return history.read(s, f"{root}/binout*", [branch])
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import streams
-from .binary import store
+from .binary import SPAN, store
 
 #: Commands of records, and types by number.
 FOLDER, DATA = 2, 3
@@ -31,68 +31,79 @@ ROWS, VALUES = 1000, 1 << 20
 FOLDER_BYTES = 1 << 16
 
 
+#: Bytes of a read; a longer record is read whole.
+CHUNK = 1 << 20
+
+
+def tasks(files: int, size: int | None = None) -> int:
+    """Tasks for so many files of so many bytes together: one each, but small files go together, as a task takes longer to begin than a small file to pass; where bytes are not known, beyond 200 files up to 32."""
+    return max(1, min(files, max(200, ceil(files / 32)) if size is None else max(64, ceil(size / SPAN))))
+
+
 def records(read, size: int, branches: Sequence[str] = ()) -> Iterator[tuple[str, str, np.ndarray]]:
-    """(folder, name, values) of every data record, in order, by reads ``read(place, length)``; whatever else a file holds is passed over, and so are records of other branches. A file that breaks off gives what is whole."""
+    """(folder, name, values) of every data record, in order, by reads ``read(place, length)`` of a megabyte; whatever else a file holds is passed over, and so are records of other branches. A file that breaks off gives what is whole."""
     if size < 8:
         return
-    head = read(0, 8)
-    at, width, _, command, kind, little = head[:6]
-    order, folder, wanted = "<" if little else ">", "/", not branches
-    number = lambda raw: int.from_bytes(raw, "little" if little else "big")
-    while at + width + command <= size:
-        top = read(at, width + command + kind + 1 + 255)
-        length, what, body = number(top[:width]), number(top[width : width + command]), width + command
+    at, width, _, command, kind, little = read(0, 8)[:6]
+    order, ends, folder, wanted, body = "<" if little else ">", "little" if little else "big", "/", not branches, width + command
+    held, start, number = b"", 0, int.from_bytes
+    while at + body <= size:
+        o = at - start
+        if o + body > len(held):
+            held, start, o = read(at, CHUNK), at, 0
+        length, what = number(held[o : o + width], ends), number(held[o + width : o + body], ends)
         if length < body or at + length > size:
             return
-        if what == FOLDER and length - body <= FOLDER_BYTES:
-            folder = posixpath.normpath(posixpath.join(folder, read(at + body, length - body).decode("latin-1").rstrip("\0")))
-            wanted = not branches or "/".join(folder.strip("/").split("/")[:-1]) in branches
-        elif what == DATA and wanted and length > body + kind:
-            name_at = body + kind + 1
-            start = name_at + top[body + kind]
-            form = TYPES.get(number(top[body : body + kind]))
-            if form and start <= length:
-                raw = read(at + start, (length - start) // int(form[1]) * int(form[1]))
-                yield folder, top[name_at:start].decode("latin-1"), np.frombuffer(raw, order + form)
+        is_folder = what == FOLDER and length - body <= FOLDER_BYTES
+        if is_folder or (what == DATA and wanted and length > body + kind):
+            if o + length > len(held):
+                held, start, o = read(at, max(length, CHUNK)), at, 0
+            if is_folder:
+                folder = posixpath.normpath(posixpath.join(folder, held[o + body : o + length].decode("latin-1").rstrip("\0")))
+                wanted = not branches or "/".join(folder.strip("/").split("/")[:-1]) in branches
+            else:
+                name_at = o + body + kind + 1
+                first = name_at + held[name_at - 1]
+                form = TYPES.get(number(held[o + body : o + body + kind], ends))
+                if form and first <= o + length:
+                    count = (o + length - first) // int(form[1])
+                    yield folder, held[name_at:first].decode("latin-1"), np.frombuffer(held, order + form, count, first) if count else np.empty(0)
         at += length
 
 
-class _Chunks:
-    """Reads of a file by chunks of a megabyte."""
-
-    def __init__(self, file):
-        self.file, self.start, self.held = file, 0, b""
-
-    def __call__(self, place: int, length: int) -> bytes:
-        if place < self.start or place + length > self.start + len(self.held):
-            self.start, self.held = place, self.file.read_at(max(length, 1 << 20), place)
-        return self.held[place - self.start : place - self.start + length]
-
-
 _READ = pa.schema([("file", pa.string()), ("branch", pa.string()), ("state", pa.string()), ("name", pa.string()), ("values", pa.list_(pa.float64()))])
 
 
 def read(spark: SparkSession, path: str, branches: Sequence[str] = ()) -> DataFrame:
     """file, branch, state ('metadata' or dNNNNNN), name, values of every record (of ``branches``, if any) of the files of ``path``; text is an array of bytes."""
 
+    def made(path: str, rows: list[tuple[str, str, str, np.ndarray]]) -> pa.RecordBatch:
+        branch, state, name, values = zip(*rows, strict=True)
+        ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+        arrays = [pa.array([path] * len(rows)), *(pa.array(c, pa.string()) for c in (branch, state, name)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))]
+        return pa.RecordBatch.from_arrays(arrays, schema=_READ)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 files, at = store(path)
                 with files.open_input_file(at) as file:
-                    rows, held = [], 0
-                    for folder, name, values in records(_Chunks(file), file.size(), branches):
-                        parts = folder.strip("/").split("/")
-                        rows.append({"file": path, "branch": "/".join(parts[:-1]), "state": parts[-1], "name": name, "values": values.astype(float)})
+                    rows, held, last, place = [], 0, None, ("", "")
+                    for folder, name, values in records(lambda place, length, file=file: file.read_at(length, place), file.size(), branches):
+                        if folder != last:
+                            parts = folder.strip("/").split("/")
+                            last, place = folder, ("/".join(parts[:-1]), parts[-1])
+                        rows.append((*place, name, values.astype(float)))
                         held += len(values)
                         if len(rows) == ROWS or held > VALUES:
-                            yield pa.RecordBatch.from_pylist(rows, _READ)
+                            yield made(path, rows)
                             rows, held = [], 0
                     if rows:
-                        yield pa.RecordBatch.from_pylist(rows, _READ)
+                        yield made(path, rows)
 
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    return listed.repartition(max(1, len(listed.inputFiles())), "path").mapInArrow(run, "file string, branch string, state string, name string, values array<double>")
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    files, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return listed.select("path").repartition(tasks(files, size), "path").mapInArrow(run, "file string, branch string, state string, name string, values array<double>")
 
 
 def _states(rows: DataFrame, branch: str, names: Sequence[str]) -> DataFrame:
@@ -164,28 +175,51 @@ def _head(little: bool) -> bytes:
     return bytes([8, 8, 8, 1, 1, int(little), 0, 0])
 
 
-def write(rows: DataFrame, folder: str, little: bool = True) -> None:
+def _batch(batch: pa.RecordBatch, current: str | None, place: str | None, little: bool) -> tuple[pa.RecordBatch, str | None, str | None]:
+    """The bytes of a batch's records, a row for each file, and the file and folder that it ends in."""
+    order, lists = "little" if little else "big", batch.column("values")
+    flat, sizes = lists.flatten(), np.asarray(lists.fill_null([]).value_lengths())
+    ends, heads, raw, out, parts = np.concatenate([[0], np.cumsum(sizes)]).tolist(), {}, {}, [], []
+    for k, (file, folder, name, form) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "folder", "name", "form")), strict=True)):
+        if file != current:
+            if parts:
+                out.append((current, b"".join(parts)))
+            parts, current, place = [_head(little)], file, None
+        if folder != place:
+            place = folder
+            parts.append(_record(FOLDER, place.encode("latin-1"), order))
+        if form not in raw:  # all values in this form, of which a record takes its own
+            with np.errstate(invalid="ignore"):
+                raw[form] = flat.to_numpy(zero_copy_only=False).astype(("<" if little else ">") + form).tobytes()
+        if flat.null_count and form[0] != "f" and flat[ends[k] : ends[k + 1]].null_count:
+            raise ValueError(f"{file}: a whole number of {name} is missing")
+        count, wide = ends[k + 1] - ends[k], int(form[1])
+        key = (name, form, count)
+        if key not in heads:
+            heads[key] = _data(name, np.zeros(count), form, little)[: -count * wide or None]
+        parts.append(heads[key])
+        parts.append(raw[form][ends[k] * wide : ends[k + 1] * wide])
+    if parts:
+        out.append((current, b"".join(parts)))
+    names, data = zip(*out, strict=True) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["file", "data"]), current, place
+
+
+def write(rows: DataFrame, folder: str, little: bool = True, files: int | None = None) -> None:
     """Write files from rows: file, at (the order within the file), folder, name, form (f8, i4, ...), values.
 
-    A task sorts and streams the files it has; a folder is written where it changes.
+    A task sorts and streams the files it has; a folder is written where it changes. ``files``
+    is about their number, which a pass over the rows finds where it is not told.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, place, order = None, None, "little" if little else "big"
+        current, place = None, None
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                raw = b""
-                if r["file"] != current:
-                    raw, current, place = _head(little), r["file"], None
-                if r["folder"] != place:
-                    place = r["folder"]
-                    raw += _record(FOLDER, place.encode("latin-1"), order)
-                out.append({"file": current, "data": raw + _data(r["name"], r["values"], r["form"], little)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("file", pa.string()), ("data", pa.binary())]))
-
-    count = rows.select(F.approx_count_distinct("file")).first()[0]
-    dealt = rows.repartition(max(1, ceil(count)), "file").sortWithinPartitions("file", "at")
+            made, current, place = _batch(batch, current, place, little)
+            yield made
+
+    count = files if files is not None else rows.select(F.approx_count_distinct("file")).first()[0]
+    dealt = rows.repartition(tasks(ceil(count)), "file").sortWithinPartitions("file", "at")
     streams.write(dealt.select("file", "folder", "name", "form", "values").mapInArrow(run, streams.ROWS), folder)
 
 

@@ -198,3 +198,29 @@ def test_headers_leave_no_families(spark, sf, monkeypatch):
     monkeypatch.setattr(queries_files, "_family", family)
     assert registry.QUERIES["result_headers"](spark, sf).count() == 2 and there == [[], [False]]
     assert not [base for base in written if Path(base.removeprefix("file://")).parent.exists()]
+
+
+def test_history_is_written_by_batches_and_many_files_by_few_tasks(spark, tmp_path):
+    """Forms and lengths of all kinds, files that go on over batches: as ``pack`` has them; 5000 files are not 5000 tasks."""
+    assert [history.tasks(n) for n in (0, 1, 150, 5000, 100_000)] == [1, 1, 150, 200, 3125]
+    assert [history.tasks(n, n << 20) for n in (0, 50, 600, 64_000)] == [1, 50, 64, 2000] and history.tasks(600, 600 << 30) == 600
+    kinds, rows, want = [("a", "f8", [1.5, -2.0]), ("bb", "i4", [7.0]), ("none", "f4", []), ("ccc", "i1", [1.0, 2.0, 3.0])], [], {}
+    for f in range(3):
+        for k in range(40):
+            own = [(name, form, [v + k for v in values]) for name, form, values in kinds]
+            rows += [(f"x{f}", 10 * k + j, f"/glstat/d{k:06d}", name, form, values) for j, (name, form, values) in enumerate(own)]
+            want.setdefault(f"x{f}", []).append((f"/glstat/d{k:06d}", [(name, np.array(values, form)) for name, form, values in own]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        history.write(spark.createDataFrame(rows, "file string, at long, folder string, name string, form string, values array<double>"), f"{tmp_path}/h", False)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "h").iterdir() if not p.name.startswith((".", "_"))} == {name: history.pack(folders, False) for name, folders in want.items()}
+
+
+@pytest.mark.parametrize("chunk", [8, 30, 1 << 20])
+def test_history_records_over_the_ends_of_reads(monkeypatch, chunk):
+    monkeypatch.setattr(history, "CHUNK", max(chunk, 9))
+    raw = history.pack([(f"/glstat/d{k:06d}", [("time", np.array([float(k)])), ("many", np.arange(50.0) + k), ("none", np.zeros(0))]) for k in range(5)] + [("/other/d000001", [("time", np.array([9.0]))])])
+    got = [(folder, name, list(values)) for folder, name, values in history.records(lambda place, length: raw[place : place + length], len(raw), ["glstat"])]
+    assert got == [(f"/glstat/d{k:06d}", name, list(values)) for k in range(5) for name, values in (("time", np.array([float(k)])), ("many", np.arange(50.0) + k), ("none", np.zeros(0)))]
