@@ -224,3 +224,16 @@ def test_history_records_over_the_ends_of_reads(monkeypatch, chunk):
     raw = history.pack([(f"/glstat/d{k:06d}", [("time", np.array([float(k)])), ("many", np.arange(50.0) + k), ("none", np.zeros(0))]) for k in range(5)] + [("/other/d000001", [("time", np.array([9.0]))])])
     got = [(folder, name, list(values)) for folder, name, values in history.records(lambda place, length: raw[place : place + length], len(raw), ["glstat"])]
     assert got == [(f"/glstat/d{k:06d}", name, list(values)) for k in range(5) for name, values in (("time", np.array([float(k)])), ("many", np.arange(50.0) + k), ("none", np.zeros(0)))]
+
+
+def test_cells_of_a_family_are_dealt_once_as_rows(spark, sf, monkeypatch):
+    """Words are summed up behind the shuffle, and no pass over them counts their length."""
+    from stressframe.plans import queries_files
+
+    seen = {}
+    monkeypatch.setattr(queries_files.binary, "write_family", lambda *of, widths=None: seen.update(rows=of[6]["SOLID"], widths=widths))
+    queries_files._family(spark, sf)
+    lines = seen["rows"]._jdf.queryExecution().executedPlan().toString().split("\n")
+    dealt = [k for k, line in enumerate(lines) if "Exchange" in line]
+    assert len(dealt) == 1 and not [line for line in lines[dealt[0] :] if "Aggregate" in line]
+    assert seen["widths"] == {"SOLID": 7, "BEAM": 6}
