@@ -77,7 +77,7 @@ def _principals(of: str, names: tuple[str, ...], source: str) -> str:
     UNION ALL SELECT 'surface', surface, element_id, state_idx, unnest([{", ".join(f"'{c}'" for c in FACE_SQL)}]), unnest([{", ".join(FACE_SQL)}]) FROM n)
   SELECT kind, target, state_idx, quantity, round(max(v), 4) AS max, round(min(v), 4) AS min, round(avg(v), 4) AS avg, arg_max(element_id, (round(v, 5), -element_id)) AS max_element, arg_min(element_id, (round(v, 5), element_id)) AS min_element FROM u GROUP BY 1, 2, 3, 4""")
 def parts_and_faces_in_one_pass(s, d):
-    """Stress and strain of parts, and stress on the faces that look up and down, from one scan of the states."""
+    """Stress and strain of parts, and stress on the faces that look up and down; the states are read once for each of the two."""
     geometry = _geometry(s, d)
     faces = None
     for name, way in (("top", 1.0), ("bottom", -1.0)):
